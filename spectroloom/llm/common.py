@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space: the separators of words in most contracts here.
 WHITE = "\\x20\\x09-\\x0D"
@@ -54,6 +55,14 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def wider(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of ``df`` with more columns (a schema's own ``add`` would change the frame's)."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, kind)
+    return out
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the decimal text of an integer column, modulo ``m`` (null: of the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % m

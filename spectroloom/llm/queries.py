@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectroloom.llm import chat, mixing, simhash
-from spectroloom.llm.common import table
+from spectroloom.llm import chat, language, media, mixing, quality, simhash, toxicity
+from spectroloom.llm.common import crc_mod, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +46,45 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, crc_mod("doc_id", 3) != 1)
+    done = quality.scored(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", quality.predicted().alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, crc_mod("doc_id", 3) != 1)
+    done = language.identified(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, crc_mod("doc_id", 5) != 0)
+    done = toxicity.scored(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_mixing": op2_mixing,
+        "op3_quality": op3_quality,
         "op5_simhash": op5_simhash,
+        "op6_language": op6_language,
+        "op7_media": op7_media,
+        "op10_toxicity": op10_toxicity,
     }
 
 
