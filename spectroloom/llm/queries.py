@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectroloom.llm import chat, decontamination, language, media, mixing, quality, simhash, toxicity
+from spectroloom.llm import chat, decontamination, language, licenses, media, mixing, quality, simhash, toxicity
 from spectroloom.llm.common import crc_mod, table
 
 
@@ -53,6 +53,30 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", quality.predicted().alias("predicted"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = licenses.scan(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text_digest", "text_license", "n_lines", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+
+def _op4_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    form = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(LINE, '[\x00-\x20!-/:-@\[-`{-~“”‘’–—\x{00a0}]+', ' ', 'g'),
+      '\b(sub)?licence', '\1license', 'g'), '\bhttps\b', 'http', 'g'), '\bnoninfringement\b', 'non infringement', 'g'), '\bmerchantibility\b', 'merchantability', 'g'), ' ')"""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    drop = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved).*$"
+    lines = f"list_filter(list_transform(list_filter(string_split({lower}, chr(10)), lambda x: NOT regexp_matches(x, '{drop}')), lambda x: {form.replace('LINE', 'x')}), lambda x: x <> '')"
+    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licenses.KNOWN)
+    return f"""
+WITH k AS (SELECT min(license) AS license, sha256(array_to_string({lines}, ' ')) AS digest FROM (VALUES {known}) AS v(license, text) GROUP BY 2),
+f AS (SELECT doc_id, {lines} AS l FROM documents),
+u AS (SELECT doc_id, license FROM (SELECT doc_id, sha256(unnest(l)) AS digest FROM f) JOIN k USING (digest)),
+n AS (SELECT doc_id, count(*) AS n_lines, string_agg(DISTINCT license, ',' ORDER BY license) AS ids FROM u GROUP BY doc_id),
+w AS (SELECT doc_id, sha256(array_to_string(l, ' ')) AS text_digest FROM f)
+SELECT w.doc_id, text_digest, k.license AS text_license, coalesce(n_lines, 0) AS n_lines, coalesce(ids, '') AS line_licenses
+FROM w LEFT JOIN k ON k.digest = w.text_digest LEFT JOIN n USING (doc_id)
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -102,6 +126,7 @@ def queries() -> dict:
         "op1_chat_formatting": op1_chat_formatting,
         "op2_mixing": op2_mixing,
         "op3_quality": op3_quality,
+        "op4_licenses": op4_licenses,
         "op5_simhash": op5_simhash,
         "op6_language": op6_language,
         "op7_media": op7_media,
@@ -111,4 +136,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op9_decontamination": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_licenses": _op4_sql(), "op9_decontamination": OP9_SQL}
