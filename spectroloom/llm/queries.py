@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectroloom.llm import chat, decontamination, language, licenses, media, mixing, quality, simhash, toxicity
+from spectroloom.llm import chat, decontamination, language, licenses, media, mixing, quality, simhash, substrings, toxicity
 from spectroloom.llm.common import crc_mod, table
 
 
@@ -93,6 +93,23 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.without_repeats(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS p FROM d, range(1, len(w) - 48) AS r(i) WHERE len(w) >= 50),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY p) AS f FROM win) WHERE f < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM dup, range(0, 50) AS r(k)),
+lists AS (SELECT doc_id, count(*) AS n, list(pos) AS ats FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ats, i)), ' '), '') END) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id)
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -121,8 +138,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {
+    import importlib.util
+
+    found = {"pipeline": pipeline} if importlib.util.find_spec("corpus_pipeline") else {}
+    return found | {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_mixing": op2_mixing,
         "op3_quality": op3_quality,
@@ -130,10 +156,11 @@ def queries() -> dict:
         "op5_simhash": op5_simhash,
         "op6_language": op6_language,
         "op7_media": op7_media,
+        "op8_substrings": op8_substrings,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op4_licenses": _op4_sql(), "op9_decontamination": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_licenses": _op4_sql(), "op8_substrings": OP8_SQL, "op9_decontamination": OP9_SQL}

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectroloom.llm.common import fanout, written
@@ -48,15 +48,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Null and wordless texts have 0."""
+    """(doc_id, fp, print): the fingerprint as a signed long and a hash of the text, which tells rows
+    of the same id apart. Null and wordless texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "print"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, fp long, print long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -158,7 +159,8 @@ def links(fps: DataFrame, most: int = 3, fp: str = "fp") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the least doc_id reachable by links.
+    """(doc_id, fp, print, root, component_id) of every row: component_id is the least doc_id reachable
+    by links, root a fingerprint that stands for the component.
 
     Null or empty texts have fingerprint 0 and are linked like any other. Rows with a null id take
     part in links but never name a component (null if it has no other id). Repeated rows are
@@ -170,5 +172,23 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, doc_id: st
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    classes = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "print", "root", "component_id")
+
+
+def representatives(docs: DataFrame, most: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: that of its least id, all columns as they were.
+
+    Rows without an id count as the last of a group; rows of equal id are ordered by a hash of
+    their text, and of equal rows one stays.
+    """
+    found = written(near_duplicates(docs, most, shingle, doc_id, text))
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("k"))
+    keys = keep.select(F.col("k.doc_id").alias("_id"), F.col("k.print").alias("_print"))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_print"))
+    repeated = found.groupBy("doc_id", "print").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return docs.join(keys, same, "left_semi")
+    kept = docs.join(keys, same)
+    first = F.row_number().over(Window.partitionBy("_id", "_print").orderBy(F.lit(1)))
+    return kept.withColumn("_first", first).where("_first = 1").drop("_id", "_print", "_first")
