@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from spectroloom.plans import joins, scalars, summaries, windows
+from spectroloom.plans.registry import QUERIES, SQL
+
+__all__ = ["joins", "scalars", "summaries", "windows"]
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Best row of each scan with q-values by target and decoy."""
+    return QUERIES["fdr_q_values"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
