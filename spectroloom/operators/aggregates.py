@@ -38,9 +38,9 @@ def otsu_threshold(df: DataFrame, keys: Sequence[str], value: str, low: float, h
     counts = inside.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     up = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*keys)
-    c = counts.withColumn("w", F.sum("n").over(up)).withColumn("m", F.sum(F.col("n") * F.col("bin")).over(up)).withColumn("W", F.sum("n").over(every)).withColumn("M", F.sum(F.col("n") * F.col("bin")).over(every))
-    rest = F.col("W") - F.col("w")
-    gap = F.col("m") / F.col("w") - (F.col("M") - F.col("m")) / rest
+    c = counts.withColumn("w", F.sum("n").over(up)).withColumn("m", F.sum(F.col("n") * F.col("bin")).over(up)).withColumn("all_w", F.sum("n").over(every)).withColumn("all_m", F.sum(F.col("n") * F.col("bin")).over(every))
+    rest = F.col("all_w") - F.col("w")
+    gap = F.col("m") / F.col("w") - (F.col("all_m") - F.col("m")) / rest
     c = c.withColumn("between", F.when(rest > 0, F.col("w") * rest * gap * gap).otherwise(F.lit(0.0)))
     return c.groupBy(*keys).agg((F.max_by("bin", F.struct("between", -F.col("bin"))) * width + (low + width)).alias("threshold"), F.max("between").alias("between"))
 
