@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from spectroloom.plans import joins, scalars, summaries, windows
+from spectroloom.plans import joins, scalars, sequences, summaries, windows
 from spectroloom.plans.registry import QUERIES, SQL
 
-__all__ = ["joins", "scalars", "summaries", "windows"]
+__all__ = ["joins", "scalars", "sequences", "summaries", "windows"]
 
 
 def flagship(spark, sf_dir):
