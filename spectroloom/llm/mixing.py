@@ -111,13 +111,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget_share: flo
     """
     spark = docs.sparkSession
     base = docs.drop("size", "source_size", "target", "taken")
-    base = base.withColumn("size", word_count(F.col(text))).withColumn("_order", F.xxhash64(F.lit(seed), F.col(doc_id)))
-    base = base.withColumn("_bucket", F.pmod(F.shiftright("_order", 20), F.lit(BUCKETS)).cast("int"))
+    base = base.withColumn("size", word_count(F.col(text))).withColumn("_mix_order", F.xxhash64(F.lit(seed), F.col(doc_id)))
+    base = base.withColumn("_mix_bucket", F.pmod(F.shiftright("_mix_order", 20), F.lit(BUCKETS)).cast("int"))
     # one pass over the texts: a row per (source, length, bucket)
-    slim = base.select(F.col(source).alias("_source"), "size", "_bucket")
-    counted = written(slim.groupBy("_source", "size", "_bucket").agg(F.count("*").alias("n")))
-    histogram = counted.groupBy("_source", "size").agg(F.sum("n").alias("n"))
-    sources = histogram.groupBy("_source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    slim = base.select(F.col(source).alias("_source"), "size", "_mix_bucket")
+    counted = written(slim.groupBy("_source", "size", "_mix_bucket").agg(F.count("*").alias("_mix_n")))
+    histogram = counted.groupBy("_source", "size").agg(F.sum("_mix_n").alias("_mix_n"))
+    sources = histogram.groupBy("_source").agg(F.sum(F.col("size") * F.col("_mix_n")).alias("words"))
     # a row per source: what a mix is specified by
     known = sorted(sources.collect(), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     sizes = [int(r["words"]) for r in known]
@@ -128,20 +128,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget_share: flo
         size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
         epochs = int(target // size) if size else 0
         group = group.sort_values("size")
-        group["repeats"] = epochs
-        group["extra"] = fit(group["size"].tolist(), group["n"].tolist(), int(round(target)) - epochs * size)
-        return group[["_source", "size", "source_size", "target", "repeats", "extra"]]
+        group["_mix_repeats"] = epochs
+        group["extra"] = fit(group["size"].tolist(), group["_mix_n"].tolist(), int(round(target)) - epochs * size)
+        return group[["_source", "size", "source_size", "target", "_mix_repeats", "extra"]]
 
     with_spec = histogram.join(spec, F.col("_source").eqNullSafe(F.col("_key"))).drop("_key")
-    plan = written(with_spec.groupBy("_source").applyInPandas(fitted, "_source string, size long, source_size long, target double, repeats long, extra long"))
+    plan = written(with_spec.groupBy("_source").applyInPandas(fitted, "_source string, size long, source_size long, target double, _mix_repeats long, extra long"))
     # how far each bucket of the seeded order is taken
-    window = Window.partitionBy("_source", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    p = plan.withColumnsRenamed({"_source": "_s", "size": "_z"})
-    reach = counted.withColumn("before", F.coalesce(F.sum("n").over(window), F.lit(0))).join(p, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z")
-    reach = reach.select(F.col("_source").alias("_s"), F.col("size").alias("_z"), F.col("_bucket").alias("_b"), "source_size", "target", "repeats", F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before"))).alias("_quota"), "n")
-    joined = base.join(reach, F.col(source).eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_z", "_b")
-    part = F.col("_quota").between(1, F.col("n") - 1)
+    window = Window.partitionBy("_source", "size").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    p = plan.withColumnsRenamed({"_source": "_mix_s", "size": "_mix_z"})
+    reach = counted.withColumn("before", F.coalesce(F.sum("_mix_n").over(window), F.lit(0))).join(p, F.col("_source").eqNullSafe(F.col("_mix_s")) & (F.col("size") == F.col("_mix_z"))).drop("_mix_s", "_mix_z")
+    reach = reach.select(F.col("_source").alias("_mix_s"), F.col("size").alias("_mix_z"), F.col("_mix_bucket").alias("_mix_b"), "source_size", "target", "_mix_repeats", F.greatest(F.lit(0), F.least("_mix_n", F.col("extra") - F.col("before"))).alias("_mix_quota"), "_mix_n")
+    joined = base.join(reach, F.col(source).eqNullSafe(F.col("_mix_s")) & (F.col("size") == F.col("_mix_z")) & (F.col("_mix_bucket") == F.col("_mix_b"))).drop("_mix_s", "_mix_z", "_mix_b")
+    part = F.col("_mix_quota").between(1, F.col("_mix_n") - 1)
     # only buckets that are taken in part need an order within
-    rank = F.row_number().over(Window.partitionBy(source, "size", "_bucket", F.when(part, F.lit(-1)).otherwise(F.pmod("_order", F.lit(997)))).orderBy("_order", doc_id))
-    chosen = F.when(part, rank <= F.col("_quota")).otherwise(F.col("_quota") > 0)
-    return joined.withColumn("_chosen", chosen).withColumn("taken", F.col("size") * (F.col("repeats") + F.col("_chosen").cast("long"))).drop("_order", "_bucket", "_quota", "n", "repeats", "_chosen")
+    rank = F.row_number().over(Window.partitionBy(source, "size", "_mix_bucket", F.when(part, F.lit(-1)).otherwise(F.pmod("_mix_order", F.lit(997)))).orderBy("_mix_order", doc_id))
+    chosen = F.when(part, rank <= F.col("_mix_quota")).otherwise(F.col("_mix_quota") > 0)
+    return joined.withColumn("_mix_chosen", chosen).withColumn("taken", F.col("size") * (F.col("_mix_repeats") + F.col("_mix_chosen").cast("long"))).drop("_mix_order", "_mix_bucket", "_mix_quota", "_mix_n", "_mix_repeats", "_mix_chosen")
