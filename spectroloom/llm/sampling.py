@@ -1,36 +1,56 @@
-"""Bounded samples of labelled rows, on which classifiers are fitted."""
+"""Bounded samples of labelled rows, on which classifiers are fitted.
+
+A sample of k of n rows is drawn in two steps: rows whose hash falls below 2 k / n (all, if n is
+small), then the k first of those in hash order. So a task sends its share of about 2 k keys to
+the driver, however many tasks there are, and reruns draw the same rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PLACES = 1 << 30
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Column, per_class: int, max_chars: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, str]]:
-    """[(label, text)] of at most ``per_class`` rows of each of the classes 0 and 1.
 
-    The ids are drawn from the label table alone (seeded hash order), so that the broadcast side of
-    the join with the texts holds at most ``2 * per_class`` ids. Texts above ``max_chars`` are not
-    used for fitting, which bounds the driver's memory by ``2 * per_class * max_chars``.
-    """
-    ids = None
-    for c in (0, 1):
-        rows = labels.where((F.col(label) == c) & eligible & F.col(doc_id).isNotNull())
-        one = rows.select(F.col(doc_id).alias("_id"), F.lit(c).alias("_label")).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(per_class)
-        ids = one if ids is None else ids.union(one)
+def _drawn(rows: DataFrame, key: str, n: int, k: int, seed: int) -> DataFrame:
+    place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(PLACES))
+    # 64 more than twice as many: small samples do not run short by chance
+    below = min(PLACES, (2 * k + 64) * PLACES // max(1, n))
+    return rows.where(place < below).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k)
+
+
+def _texts(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, max_chars: int) -> list[tuple]:
+    """[(label, text)] of the rows with these ids, which were drawn to a bound, in a fixed order."""
     joined = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= max_chars))
     found = joined.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_label", "_text", "_id").collect()
-    # a fixed order makes the fit the same in every run
     return [(r["_label"], r["_text"]) for r in sorted(found, key=lambda r: (r["_id"], r["_label"], r["_text"]))]
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Column, per_class: int, max_chars: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, str]]:
+    """[(label, text)] of at most ``per_class`` ids of each of the classes 0 and 1.
+
+    The ids are drawn from the label table alone, so the broadcast side of the join with the texts
+    holds at most ``2 * per_class`` of them. Texts above ``max_chars`` are not used for fitting,
+    which bounds the driver's memory.
+    """
+    rows = labels.where(eligible & F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).alias("_label"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
+    ids = _drawn(rows.where("_label = 0"), "_id", sizes.get(0, 0), per_class, seed).union(_drawn(rows.where("_label = 1"), "_id", sizes.get(1, 0), per_class, seed))
+    return _texts(docs, ids, doc_id, text, max_chars)
+
+
 def documents_sample(docs: DataFrame, group: str, eligible: Column, per_group: int, max_chars: int, groups: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> dict[str, list[str]]:
-    """At most ``per_group`` texts for each of at most ``groups`` values of ``group`` (the most
-    frequent ones among eligible rows), in seeded order."""
-    fit = docs.where(eligible & F.col(text).isNotNull() & F.col(group).isNotNull() & (F.length(text) <= max_chars))
-    names = [r[0] for r in fit.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()]
-    out = {}
-    for name in sorted(names):
-        rows = fit.where(F.col(group) == name).select(text, doc_id).orderBy(F.xxhash64(doc_id, F.lit(seed)), doc_id, text).limit(per_group).collect()
-        out[name] = [r[0] for r in rows]
+    """At most ``per_group`` ids' texts for each of at most ``groups`` values of ``group`` (the most
+    frequent ones among eligible rows)."""
+    fit = docs.where(eligible & F.col(doc_id).isNotNull() & F.col(text).isNotNull() & F.col(group).isNotNull() & (F.length(text) <= max_chars))
+    sizes = fit.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
+    ids = None
+    for name, n in sorted((r[0], r[1]) for r in sizes):
+        one = _drawn(fit.where(F.col(group) == name).select(F.col(doc_id).alias("_id"), F.lit(name).alias("_label")), "_id", n, per_group, seed)
+        ids = one if ids is None else ids.union(one)
+    out: dict[str, list[str]] = {r[0]: [] for r in sizes}
+    if ids is not None:
+        for name, t in _texts(docs.where(eligible), ids.distinct(), doc_id, text, max_chars):
+            out[name].append(t)
     return out
