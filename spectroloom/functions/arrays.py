@@ -96,4 +96,4 @@ def max_subarray(a: Column) -> Column:
 def running_sum(a: Column) -> Column:
     """Prefix sums of an array of doubles."""
     start = F.array().cast("array<double>")
-    return F.aggregate(a, start, lambda s, x: F.concat(s, F.array(F.coalesce(F.element_at(s, -1), F.lit(0.0)) + x)))
+    return F.aggregate(a, start, lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + x)))

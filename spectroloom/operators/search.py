@@ -36,7 +36,7 @@ def candidates(proteins: DataFrame, options: parameters.SearchParameters) -> Dat
     """Sequences of the proteins by cleavage mode: none (intact), single (one end trimmed) or multiple (all substrings)."""
     cut = {
         "none": lambda p: sequences.intact_sequences(p, "sequence", options.min_length, options.max_length, 1),
-        "single": lambda p: sequences.terminal_cleavages(p, "sequence", options.min_length, options.max_length, 2**20, 0),
+        "single": lambda p: sequences.terminal_cleavages(p, "sequence", options.min_length, options.max_length, 1, 0),
         "multiple": lambda p: sequences.all_substrings(p, "sequence", options.min_length, options.max_length, distinct=True),
     }[options.cleavage]
     return cut(proteins).drop("sequence").withColumnRenamed("peptide", "sequence")

@@ -153,7 +153,7 @@ def read_tags(spark: SparkSession, path: str, least_length: int = 5, most_per_sc
 
 def read_scan_list(spark: SparkSession, path: str) -> DataFrame:
     """Integers of a text file, however they are separated."""
-    return spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(\d+)"), 1)).cast("int").alias("scan_num")).distinct()
+    return spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(\d+)"), 1)).alias("n")).select(F.col("n").cast("int").alias("scan_num")).distinct()
 
 
 def write_crosstab(table: DataFrame, path: str, order: str) -> None:
