@@ -62,8 +62,9 @@ def test_connected_components(spark, edges):
 
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = graph.connected_components(spark.range(41), spark.createDataFrame(edges, "u long, v long")).collect()
-    assert {r["id"]: r["component"] for r in got} == {i: find(i) for i in range(41)}
+    for one_task in (1000, 0):
+        got = graph.connected_components(spark.range(41), spark.createDataFrame(edges, "u long, v long"), one_task=one_task).collect()
+        assert {r["id"]: r["component"] for r in got} == {i: find(i) for i in range(41)}
 
 
 @QUIET
