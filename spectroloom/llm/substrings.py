@@ -13,8 +13,8 @@ needs, and each stream meets only the shard it needs:
 4. A first document's repeated passages are its reference shard; runs of windows of other documents
    that first occur in it are its streams. The shard's suffix automaton gives exact matching
    statistics of each stream, and words under a match of ``least`` words or more are removed: no
-   hash decides what goes. Shards whose windows occur very often are copied, and their streams
-   divided among the copies.
+   hash decides what goes. Equal streams of a bucket travel and are read once. Shards whose windows
+   occur very often are copied, and the buckets' streams divided among the copies.
 """
 
 from __future__ import annotations
@@ -219,7 +219,7 @@ def _read(table: pa.Table, column: str, kind) -> list[np.ndarray]:
 
 NAMES = ["bucket", "part", "kind", "a", "b", "c"]
 PACKED = "bucket long, part int, kind int, a binary, b binary, c binary"
-SEGMENT = "shard int, first long, copies int, copy int, bucket long, doc long, print long, start long, reference boolean, words binary"
+SEGMENT = "shard int, first long, copies int, copy int, bucket long, reference boolean, words binary, members binary"
 SPAN = "bucket long, doc long, print long, start long, stop long"
 
 
@@ -276,9 +276,9 @@ def removed_spans(docs: DataFrame, parts: int, least: int, doc_id: str, text: st
         return _packed([(bucket, part, 1, s.tobytes(), first[i].tobytes(), copies[i].astype(np.int32).tobytes()) for bucket, s, i in zip(table.column("bucket").to_pylist(), sent, np.split(at, ends[:-1]), strict=True)])
 
     def segments(table: pa.Table, side: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: dict[tuple, list] = {}
+        number = table.column("_bucket")[0].as_py() if table.num_rows else 0
         if table.num_rows and side.num_rows:
-            number = table.column("_bucket")[0].as_py()
             b = known(table, side)
             values, _, _ = b.windows()
             first, copies = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
@@ -307,33 +307,31 @@ def removed_spans(docs: DataFrame, parts: int, least: int, doc_id: str, text: st
                     start = int(p[i] - b.starts[held])
                     piece = b" ".join(words[start : int(p[j - 1] - b.starts[held]) + least])
                     reference = bool(f[i] == own[i])
-                    mark = b.prints[b.owner[held]]
-                    for copy in range(int(c[i])) if reference else [(int(own[i]) * 2654435761 >> 7) % int(c[i])]:
-                        shard = hash((int(f[i]), int(c[i]), copy)) % parts
-                        out.append((shard, int(f[i]), int(c[i]), copy, number, int(own[i]), mark, start, reference, piece))
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                    for copy in range(int(c[i])) if reference else [number % int(c[i])]:
+                        members = out.setdefault((int(f[i]), int(c[i]), copy, reference, piece), [])
+                        if not reference:
+                            members.append((int(own[i]), b.prints[b.owner[held]], start))
+        rows = [(hash((f, c, copy)) % parts, f, c, copy, number, reference, piece, np.array(m, np.int64).tobytes()) for (f, c, copy, reference, piece), m in out.items()]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in SEGMENT.split(", ")]
-        columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
         return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
     def verified(table: pa.Table) -> pa.Table:
         shards: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
-        columns = [table.column(x).to_pylist() for x in ("first", "copies", "copy", "bucket", "doc", "print", "start", "reference", "words")]
-        for first, copies, copy, bucket, doc, mark, start, reference, words in zip(*columns, strict=True):
-            if reference:
-                shards[first, copies, copy][0].append(words)
-            else:
-                shards[first, copies, copy][1].append((words, bucket, doc, mark, start))
+        columns = [table.column(x).to_pylist() for x in ("first", "copies", "copy", "bucket", "reference", "words", "members")]
+        for first, copies, copy, bucket, reference, words, members in zip(*columns, strict=True):
+            shards[first, copies, copy][0 if reference else 1].append(words if reference else (words, bucket, members))
         out = []
         for (first, _, _), (references, streams) in shards.items():
             if not streams:
                 continue
             automaton = SuffixAutomaton(x.split() for x in sorted(set(references)))
             done: dict[bytes, list] = {}
-            for words, bucket, doc, mark, start in streams:
+            for words, bucket, members in streams:
                 if words not in done:
                     done[words] = automaton.covered(words.split(), least)
-                out += [(bucket, doc, mark, start + a, start + b) for a, b in done[words] if first < doc]
+                out += [(bucket, doc, mark, start + a, start + b) for doc, mark, start in np.frombuffer(members, np.int64).reshape(-1, 3).tolist() if first < doc for a, b in done[words]]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=["bucket", "doc", "print", "start", "stop"])
 
