@@ -173,7 +173,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(at)]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            live = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if scorer else []
+            live = [i for i, t in enumerate(texts) if t and any(m[0].isalpha() for m in LETTER.finditer(t))] if scorer else []
             if live:
                 totals = scorer.totals([texts[i].encode() for i in live])
                 best = totals.argmin(1)

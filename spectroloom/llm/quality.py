@@ -10,6 +10,7 @@ logistic curve on labelled texts that the dictionaries have not seen, are the sc
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectroloom.llm.common import wider
-from spectroloom.llm.sampling import labelled_sample
+from spectroloom.llm.sampling import class_weights, labelled_sample
 
+SENTENCE = re.compile(rb"[^.\n]*[.\n]?")
 #: Bytes that are compressed on their own.
 PIECE = 2048
 
@@ -75,7 +77,7 @@ class Scorer:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, a * x[0] + b * x[1] + c * x[2] + offset))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
     """Weights and offset by Newton's method on standardised columns; one class only: its side."""
     k = 3 if x.ndim < 2 else x.shape[1]
     if not len(x) or y.min() == y.max():
@@ -85,29 +87,33 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     w = np.zeros(k + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(k + 1), a.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(k + 1), a.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
     return (*(w[:-1] / scale).tolist(), float(w[-1] - (w[:-1] * mean / scale).sum()))
 
 
-def fit(sample: list[tuple[int, str]], size: int = 64 << 10) -> Model:
-    """Three of four rows of each class make the dictionaries, the fourth calibrates."""
+def fit(sample: list[tuple[int, str]], totals: dict[int, int] | None = None, size: int = 64 << 10) -> Model:
+    """Three of four rows of each class make the dictionaries, the fourth calibrates, weighed to the class ``totals``."""
     split = {0: ([], []), 1: ([], [])}
     for label, text in sample:
         built, held = split[label]
         (held if (len(built) + len(held)) % 4 == 3 else built).append(text.encode())
-    model = Model(_dictionary(split[1][0], size), _dictionary(split[0][0], size))
+    # sentences that both classes have tell nothing; in one dictionary they would mark whoever quotes them
+    sentences = {c: {p for t in split[c][0] for p in SENTENCE.findall(t)} for c in (0, 1)}
+    shared = sentences[0] & sentences[1]
+    own = {c: [b"".join(p for p in SENTENCE.findall(t) if p not in shared) for t in split[c][0]] for c in (0, 1)}
+    model = Model(_dictionary([t for t in own[1] if t], size), _dictionary([t for t in own[0] if t], size))
     scorer = Scorer(model)
     x = np.array([scorer.measures(t) for c in (0, 1) for t in split[c][1]])
     y = np.array([c for c in (0, 1) for _ in split[c][1]], float)
-    return Model(model.good, model.bad, logistic(x, y))
+    return Model(model.good, model.bad, logistic(x, y, np.array(class_weights(y.astype(int).tolist(), totals))))
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column, label: str = "quality", per_class: int = 2000, max_chars: int = 50_000, seed: int = 3) -> Model:
     """Fits on at most ``per_class`` rows of each class, each of at most ``max_chars``."""
-    return fit(labelled_sample(docs, labels, label, eligible, per_class, max_chars, seed))
+    return fit(*labelled_sample(docs, labels, label, eligible, per_class, max_chars, seed))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:

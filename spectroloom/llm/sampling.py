@@ -27,8 +27,9 @@ def _texts(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, max_chars: i
     return [(r["_label"], r["_text"]) for r in sorted(found, key=lambda r: (r["_id"], r["_label"], r["_text"]))]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Column, per_class: int, max_chars: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, str]]:
-    """[(label, text)] of at most ``per_class`` ids of each of the classes 0 and 1.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Column, per_class: int, max_chars: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """[(label, text)] of at most ``per_class`` ids of each of the classes 0 and 1, and how many
+    eligible rows each class has: a sample of equal classes is weighed back to their true shares.
 
     The ids are drawn from the label table alone, so the broadcast side of the join with the texts
     holds at most ``2 * per_class`` of them. Texts above ``max_chars`` are not used for fitting,
@@ -37,7 +38,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Co
     rows = labels.where(eligible & F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).alias("_label"))
     sizes = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
     ids = _drawn(rows.where("_label = 0"), "_id", sizes.get(0, 0), per_class, seed).union(_drawn(rows.where("_label = 1"), "_id", sizes.get(1, 0), per_class, seed))
-    return _texts(docs, ids, doc_id, text, max_chars)
+    return _texts(docs, ids, doc_id, text, max_chars), sizes
+
+
+def class_weights(labels: list[int], totals: dict[int, int] | None) -> list[float]:
+    """A weight for each row of a sample, so that classes weigh as their totals (1 each without them); their mean is 1."""
+    if not totals or not labels:
+        return [1.0] * len(labels)
+    drawn = {c: labels.count(c) for c in set(labels)}
+    raw = [totals.get(c, drawn[c]) / drawn[c] for c in labels]
+    mean = sum(raw) / len(raw)
+    return [w / mean for w in raw]
 
 
 def documents_sample(docs: DataFrame, group: str, eligible: Column, per_group: int, max_chars: int, groups: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> dict[str, list[str]]:

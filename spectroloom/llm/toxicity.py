@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from spectroloom.llm.common import wider
-from spectroloom.llm.sampling import labelled_sample
+from spectroloom.llm.sampling import class_weights, labelled_sample
 
 # Second-person words of the languages at hand.
 SECOND_PERSON = frozenset(w.encode() for w in ("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer usted ustedes ti tuyo vosotros").split())
 FEATURES = ("weight", "density", "hits", "distinct", "strongest", "near_second_person", "second_person", "capitals", "exclamations", "punctuation", "obfuscated", "mixed", "words")
+#: By how many standard deviations a word must exceed chance; the value with the least loss across folds counts.
+THRESHOLDS = (4.0, 5.0, 6.0)
 #: Words on either side within which a second-person word counts as near.
 NEAR = 5
 
@@ -118,7 +120,7 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.1, bins: int = 32, leaf: int = 5, ridge: float = 1.0) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 80, depth: int = 3, rate: float = 0.1, bins: int = 32, leaf: int = 5, ridge: float = 1.0) -> Trees:
     model = Trees(rate=rate)
     if not len(x) or y.min() == y.max():
         model.base = 0.0 if not len(x) else (4.0 if y[0] else -4.0)
@@ -131,12 +133,13 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: f
             model.edges[j] = np.unique(np.concatenate([model.edges[j], np.quantile(live, np.linspace(0, 1, bins // 2)) - 1e-12]))
     b = model.binned(x)
     width = max(len(e) for e in model.edges) + 1
-    rate0 = y.mean()
+    weight = np.ones(len(y)) if weight is None else weight
+    rate0 = (weight * y).sum() / weight.sum()
     model.base = float(np.log(rate0 / (1 - rate0)))
     out = np.full(len(y), model.base)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-out))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         tree: list[tuple] = [(-1, 0, 0, 0, 0.0)]
         todo = [(0, np.arange(len(y)), 0)]
         while todo:
@@ -167,12 +170,13 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: f
     return model
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: (x, value) of the blocks, to be joined by straight lines."""
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []
-    for a, b in zip(x[order], y[order], strict=True):
-        blocks.append([a, b, 1])
+    weight = np.ones(len(y)) if weight is None else weight
+    for a, b, n in zip(x[order], y[order], weight[order], strict=True):
+        blocks.append([a, b * n, n])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             top = blocks.pop()
             w = blocks[-1][2] + top[2]
@@ -196,26 +200,34 @@ class Model:
         return np.clip(0.998 * level + 0.002 / (1 + np.exp(-raw)), 0, 1)
 
 
-def fit(sample: list[tuple[int, str]], folds: int = 5) -> Model:
+def fit(sample: list[tuple[int, str]], totals: dict[int, int] | None = None, folds: int = 5) -> Model:
+    """Fits on (label, text) rows, weighed to the class ``totals``."""
+    weight = np.array(class_weights([label for label, _ in sample], totals))
     y = np.array([label for label, _ in sample], float)
     sets = [frozenset(words_of(t)) for _, t in sample]
-    x = np.zeros((len(sample), len(FEATURES)))
     fold = np.arange(len(sample)) % folds
-    for k in range(folds):
-        rest = np.flatnonzero(fold != k)
-        lexicon = learn_lexicon([sets[i] for i in rest], y[rest])
-        for i in np.flatnonzero(fold == k):
-            x[i] = features(sample[i][1], lexicon)
-    raw = np.zeros(len(sample))
-    for k in range(folds):
-        own = fold == k
-        raw[own] = boost(x[~own], y[~own]).raw(x[own])
-    return Model(learn_lexicon(sets, y), boost(x, y), *isotonic(raw, y))
+    best = None
+    for least in THRESHOLDS if len(sample) else THRESHOLDS[:1]:
+        x = np.zeros((len(sample), len(FEATURES)))
+        for k in range(folds):
+            rest = np.flatnonzero(fold != k)
+            lexicon = learn_lexicon([sets[i] for i in rest], y[rest], least)
+            for i in np.flatnonzero(fold == k):
+                x[i] = features(sample[i][1], lexicon)
+        raw = np.zeros(len(sample))
+        for k in range(folds):
+            own = fold == k
+            raw[own] = boost(x[~own], y[~own], weight[~own]).raw(x[own])
+        loss = float((weight * np.logaddexp(0, np.where(y > 0, -raw, raw))).sum())
+        if best is None or loss < best[0]:
+            best = (loss, least, x, raw)
+    _, least, x, raw = best
+    return Model(learn_lexicon(sets, y, least), boost(x, y, weight), *isotonic(raw, y, weight))
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column, label: str = "toxic", per_class: int = 4000, max_chars: int = 20_000, seed: int = 10) -> Model:
     """Fits on at most ``per_class`` rows of each class, each of at most ``max_chars``."""
-    return fit(labelled_sample(docs, labels, label, eligible, per_class, max_chars, seed))
+    return fit(*labelled_sample(docs, labels, label, eligible, per_class, max_chars, seed))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:

@@ -118,9 +118,12 @@ def test_empty_tables(spark):
 def test_samples_are_bounded_and_repeatable(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"))
     labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("quality"))
-    got = sampling.labelled_sample(docs, labels, "quality", F.lit(True), 100, 1000, 1)
+    got, totals = sampling.labelled_sample(docs, labels, "quality", F.lit(True), 100, 1000, 1)
+    assert totals == {0: 4500, 1: 500}
+    weights = sampling.class_weights([y for y, _ in got], totals)
+    assert sum(w for w, (y, _) in zip(weights, got, strict=True) if not y) == pytest.approx(0.9 * sum(weights))
     assert sum(1 for y, _ in got if y) == 100 and sum(1 for y, _ in got if not y) == 100
-    assert got == sampling.labelled_sample(docs.repartition(7), labels.repartition(5), "quality", F.lit(True), 100, 1000, 1)
+    assert got == sampling.labelled_sample(docs.repartition(7), labels.repartition(5), "quality", F.lit(True), 100, 1000, 1)[0]
 
 
 def test_isotonic_and_trees():
