@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectroloom.functions.arrays import bhattacharyya, pearson
-from spectroloom.functions.mass import C13_MINUS_C12, ION_SERIES, NEUTRAL_LOSS, PROTON, RESIDUE_MASS, fine_bin, isotope_mz, nominal_bin, residue_mass
+from spectroloom.functions.mass import ION_SERIES, NEUTRAL_LOSS, PROTON, RESIDUE_MASS, fine_bin, isotope_mz, nominal_bin, residue_mass
 from spectroloom.operators.joins import band_join, interval_join
 
 
@@ -233,6 +233,3 @@ def apexes(points: DataFrame, keys: Sequence[str], at: str, intensity: str, targ
 
     return points.groupBy(*keys).applyInPandas(within, schema)
 
-
-def isotope_spacing(charge: Column) -> Column:
-    return F.lit(C13_MINUS_C12) / charge

@@ -33,10 +33,12 @@ def find_features(runs: DataFrame, charges: tuple[int, int] = (1, 60), ppm: floa
 
 
 def candidates(proteins: DataFrame, options: parameters.SearchParameters) -> DataFrame:
-    """Sequences of the proteins by cleavage mode: none (intact), single (one end trimmed) or multiple (all substrings)."""
+    """Sequences of the proteins by cleavage mode: none (intact), single (one end trimmed), multiple (all
+    substrings) or enzyme (bottom-up: peptides between cuts behind K and R)."""
     cut = {
         "none": lambda p: sequences.intact_sequences(p, "sequence", options.min_length, options.max_length, 1),
         "single": lambda p: sequences.terminal_cleavages(p, "sequence", options.min_length, options.max_length, 1, 0),
+        "enzyme": lambda p: sequences.digested(p, "sequence", options.extra.get("residues", "KR"), options.min_length, options.max_length, int(options.extra.get("missed", 1)), int(options.extra.get("termini", 2))),
         "multiple": lambda p: sequences.all_substrings(p, "sequence", options.min_length, options.max_length, distinct=True),
     }[options.cleavage]
     return cut(proteins).drop("sequence").withColumnRenamed("peptide", "sequence")

@@ -82,6 +82,13 @@ def parse_parameters(lines: list[str]) -> SearchParameters:
     return out
 
 
+def format_parameters(options: SearchParameters) -> list[str]:
+    """Lines that ``parse_parameters`` reads back."""
+    names = {v: k for k, v in reversed(PARAMETER_NAMES.items())}
+    known = [f"{names.get(f.name, f.name)}={getattr(options, f.name)}" for f in fields(options) if f.name != "extra"]
+    return known + [f"{k}={v}" for k, v in options.extra.items()]
+
+
 def read_parameters(spark: SparkSession, path: str) -> SearchParameters:
     return parse_parameters([r[0] for r in spark.read.text(path).collect()])
 

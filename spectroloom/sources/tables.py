@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,20 @@ def _columns(schema: str) -> list[tuple[str, str]]:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t", comment: str | None = None) -> DataFrame:
-    """All columns as text, by the header's names; rows longer than the header are left out."""
-    reader = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("enforceSchema", False).option("quote", "")
+    """All columns as text, by the header's names.
+
+    Rows longer than the header are left out, shorter ones end with nulls; empty fields are null.
+    Nothing is quoted. Of several files, each repeats the header.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line")).where(F.col("line") != "")
     if comment:
-        reader = reader.option("comment", comment)
-    return reader.csv(path)
+        lines = lines.where(~F.col("line").startswith(comment))
+    first = lines.first()
+    names = first[0].split(sep) if first else []
+    if not names:
+        return spark.createDataFrame([], "line string").drop("line")
+    cells = lines.where(F.col("line") != first[0]).select(F.split("line", re.escape(sep), -1).alias("c")).where(F.size("c") <= len(names))
+    return cells.select(*[F.nullif(F.get("c", k), F.lit("")).alias(n) for k, n in enumerate(names)])
 
 
 def _typed(raw: DataFrame, schema: str, aliases: dict[str, str] | None = None) -> DataFrame:
