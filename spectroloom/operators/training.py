@@ -67,9 +67,9 @@ def significance_score(peaks: DataFrame, keys: Sequence[str], intensity: str, ma
     """keys with -log2 of the rank-sum p-value that matched peaks are as intense as they are by chance, and of the
     hypergeometric p-value that so many of the upper half are matched."""
     w = Window.partitionBy(*keys)
-    ranked = peaks.withColumn("_r", F.row_number().over(w.orderBy(F.col(intensity).asc()))).withColumn("_n", F.count("*").over(w))
+    ranked = peaks.withColumn("_r", F.row_number().over(w.orderBy(F.col(intensity).desc()))).withColumn("_n", F.count("*").over(w))
     hit = F.col(matched).cast("int")
-    upper = (F.col("_r") > F.col("_n") / 2).cast("int")
+    upper = (F.col("_r") <= F.col("_n") / 2).cast("int")
     agg = ranked.groupBy(*keys).agg(F.max("_n").alias("n"), F.sum(hit).alias("n1"), F.sum(hit * F.col("_r")).alias("r1"), F.sum(upper).alias("_k"), F.sum(hit * upper).alias("_k1"))
     p = agg.withColumn("rank_p", numeric.rank_sum_udf(F.col("n").cast("double"), F.col("n1").cast("double"), F.col("r1").cast("double"))).withColumn("hyper_p", numeric.hypergeometric_udf("n", "_k", "n1", F.greatest(F.lit(0), F.col("_k1") - 1)))
     return p.select(*keys, "n", "n1", (-F.log2(F.greatest(F.lit(1e-300), "rank_p"))).alias("rank_score"), (-F.log2(F.greatest(F.lit(1e-300), "hyper_p"))).alias("hyper_score"))
