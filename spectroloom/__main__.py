@@ -41,7 +41,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     else:
         # a list of files: one row each
         sets = tables.read_datasets(spark, a.datasets).collect()
-        tables.write_crosstab(search.align({r["Label"]: tables.read_features(spark, r["Ms1FtFilePath"]) for r in sets}), a.out, "group_id")
+        tables.write_crosstab(search.align({r["Label"]: tables.read_features(spark, r["FeatureFilePath"]) for r in sets}), a.out, "group_id")
 
 
 if __name__ == "__main__":

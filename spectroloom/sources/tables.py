@@ -107,7 +107,7 @@ def write_envelope_rows(envelopes: DataFrame, path: str) -> None:
 
 
 def read_datasets(spark: SparkSession, path: str) -> DataFrame:
-    """Label, RawFilePath, Ms1FtFilePath and, where given, MsPathfinderIdFilePath; rows with fewer than three go.
+    """Label, RawFilePath, FeatureFilePath and, where given, IdFilePath; rows with fewer than three go.
 
     An empty label becomes Dataset_n by the row's place. A list of files is small: it is read in one piece.
     """
@@ -116,25 +116,25 @@ def read_datasets(spark: SparkSession, path: str) -> DataFrame:
     at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_n"))
     return rows.select(
         F.coalesce(F.nullif(F.trim(F.col("f")[0]), F.lit("")), F.concat(F.lit("Dataset_"), at.cast("string"))).alias("Label"), F.trim(F.col("f")[1]).alias("RawFilePath"),
-        F.trim(F.col("f")[2]).alias("Ms1FtFilePath"), F.nullif(F.trim(F.get("f", 3)), F.lit("")).alias("MsPathfinderIdFilePath"),
+        F.trim(F.col("f")[2]).alias("FeatureFilePath"), F.nullif(F.trim(F.get("f", 3)), F.lit("")).alias("IdFilePath"),
     )
 
 
 # Which columns of three tools' tables hold what.
 MATCH_COLUMNS = {
-    "MSPathFinder": {"Scan": "scan", "Sequence": "sequence", "Modifications": "modifications", "Mass": "mass", "Charge": "charge", "ProteinName": "protein", "ProteinDesc": "protein_desc", "#MatchedFragments": "score", "Start": "start", "End": "end", "QValue": "q_value"},
-    "MSAlign": {"Scan(s)": "scan", "Peptide": "sequence", "Precursor_mass": "mass", "Charge": "charge", "Protein_name": "protein", "First_residue": "start", "Last_residue": "end", "#matched_fragment_ions": "score", "E-value": "e_value", "FDR": "q_value"},
-    "MSGFPlus": {"Scan": "scan", "ScanNum": "scan", "Peptide": "sequence", "PrecursorMZ": "mz", "Precursor": "mz", "Charge": "charge", "Protein": "protein", "MSGFScore": "score", "QValue": "q_value"},
+    "own": {"Scan": "scan", "Sequence": "sequence", "Modifications": "modifications", "Mass": "mass", "Charge": "charge", "ProteinName": "protein", "ProteinDesc": "protein_desc", "#MatchedFragments": "score", "Start": "start", "End": "end", "QValue": "q_value"},
+    "alignment": {"Scan(s)": "scan", "Peptide": "sequence", "Precursor_mass": "mass", "Charge": "charge", "Protein_name": "protein", "First_residue": "start", "Last_residue": "end", "#matched_fragment_ions": "score", "E-value": "e_value", "FDR": "q_value"},
+    "generating_function": {"Scan": "scan", "ScanNum": "scan", "Peptide": "sequence", "PrecursorMZ": "mz", "Precursor": "mz", "Charge": "charge", "Protein": "protein", "MSGFScore": "score", "QValue": "q_value"},
 }
 MATCH_SCHEMA = "scan int, sequence string, modifications string, mass double, mz double, charge int, protein string, protein_desc string, score double, start int, end int, e_value double, q_value double"
 
 
 def tool_of(columns: list[str]) -> str:
     if "Precursor_mass" in columns or "#matched_fragment_ions" in columns:
-        return "MSAlign"
+        return "alignment"
     if "MSGFScore" in columns:
-        return "MSGFPlus"
-    return "MSPathFinder"
+        return "generating_function"
+    return "own"
 
 
 def read_matches(spark: SparkSession, path: str, tool: str | None = None, most_q: float = 0.01, most_rows: int | None = None) -> DataFrame:
@@ -142,7 +142,7 @@ def read_matches(spark: SparkSession, path: str, tool: str | None = None, most_q
     raw = read_delimited(spark, path)
     tool = tool or tool_of(raw.columns)
     typed = _typed(raw, MATCH_SCHEMA, MATCH_COLUMNS[tool])
-    if tool == "MSGFPlus":
+    if tool == "generating_function":
         from spectroloom.functions.mass import mono_mass
 
         typed = typed.withColumn("mass", F.coalesce("mass", mono_mass(F.col("mz"), F.col("charge"), F.lit(0))))

@@ -79,7 +79,12 @@ def test_other_tables(spark, tmp_path):
     assert [r["sequencetag"] for r in tables.read_tags(spark, p, 5, 1).collect()] == ["ABCDF"]
     p = text_file(tmp_path / "msgf.tsv", "Scan\tPeptide\tPrecursorMZ\tProtein\tMSGFScore\tCharge\tQValue\n5\tK.AB.R\t500.5\tP1\t30\t2\t0.001\n6\tK.AB.R\t500.5\tXXX_P1\t30\t2\t0.001\n7\tA\t1\tP\t1\t1\t0.5\n")
     m = tables.read_matches(spark, p).collect()
-    assert [(r["scan"], r["tool"], round(r["mass"], 3)) for r in m] == [(5, "MSGFPlus", 998.985)]
+    assert [(r["scan"], r["tool"], round(r["mass"], 3)) for r in m] == [(5, "generating_function", 998.985)]
+
+
+def test_ragged_rows(spark, tmp_path):
+    p = text_file(tmp_path / "r.tsv", "# note\nA\tB\n1\t2\r\n3\n4\t5\t6\n7\t\"q\n")
+    assert sorted((r["A"], r["B"]) for r in tables.read_delimited(spark, p, comment="#").collect()) == [("1", "2"), ("3", None), ("7", '"q')]
 
 
 def test_modifications_and_parameters(spark, tmp_path):
