@@ -21,6 +21,8 @@ from spectroloom.llm.graph import components
 
 SEED = 42
 SEGMENT = 32
+#: Look-ups (13 bytes each) of a partition, about.
+PROBES = 8_000_000
 #: Members under one value from which they are first divided by quarters of the fingerprint.
 DIVIDE = 20_000
 
@@ -115,7 +117,8 @@ def links(fps: DataFrame, most: int = 3, fp: str = "fp") -> DataFrame:
     at most ``most`` (up to 3) bits. Values travel packed, a row for each batch and partition."""
     if not 0 <= most <= 3:
         raise ValueError("two segments with one bit of play each find at most 3 differing bits")
-    parts = fanout(fps.sparkSession)
+    # a partition of look-ups stays below about 100 MB however many fingerprints there are
+    parts = max(fanout(fps.sparkSession), fps.count() * 33 // PROBES)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         balls = np.concatenate([[0], 1 << np.arange(SEGMENT)]).astype(np.uint64)

@@ -361,7 +361,8 @@ def without_repeats(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", te
     buckets = max(fanout(spark), -(-size // bucket_bytes))
     number = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))), F.lit(buckets)).alias("_bucket")
     dealt = docs.withColumn(doc_id, F.col(doc_id).cast("long")).select("*", number)
-    spans = removed_spans(dealt, fanout(spark), least, doc_id, text)
+    # a partition of windows gets entries from all buckets: about those of four buckets in all
+    spans = removed_spans(dealt, max(fanout(spark), buckets // 4), least, doc_id, text)
     plain = dealt.drop("_bucket") if texts else dealt.select(doc_id)
     schema = wider(plain, n_words="long", n_removed="long", kept_sha256="string")
     names, at = schema.names, plain.columns
