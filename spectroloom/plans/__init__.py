@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from spectroloom.plans import evidence, joins, scalars, sequences, summaries, windows
+from spectroloom.plans import evidence, joins, scalars, sequences, streams, summaries, windows
 from spectroloom.plans.registry import QUERIES, SQL
 
-__all__ = ["evidence", "joins", "scalars", "sequences", "summaries", "windows"]
+__all__ = ["evidence", "joins", "scalars", "sequences", "streams", "summaries", "windows"]
 
 
 def flagship(spark, sf_dir):
