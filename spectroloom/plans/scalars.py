@@ -13,10 +13,10 @@ def tolerance_predicates(t):
     return t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", mass.within_ppm(a, b, 50000).alias("by_ppm"), mass.within_da(a, b, 1000).alias("by_da"), mass.in_isolation_window(a, b, F.lit(500), F.lit(250)).alias("in_window"))
 
 
-@query("isotope_mz", """SELECT p_partkey, round((p_retailprice + p_size % 5 * 1.00335483) / (p_size % 7 + 1) + 1.00727649, 8) AS mz, round((p_retailprice - 1.00727649) * (p_size % 7 + 1) - 1.00335483, 8) AS mono FROM part""")
+@query("isotope_mz", """SELECT p_partkey, round((p_retailprice + p_size % 5 * 1.00335483) / (p_size % 7 + 1) + 1.00727649, 6) AS mz, round((p_retailprice - 1.00727649) * (p_size % 7 + 1) - 1.00335483, 6) AS mono FROM part""")
 def isotope_mz(t):
     z, m = F.col("p_size") % 7 + 1, F.col("p_retailprice")
-    return t("part").select("p_partkey", F.round(mass.isotope_mz(m, z, F.col("p_size") % 5), 8).alias("mz"), F.round(mass.mono_mass(m, z, F.lit(1)), 8).alias("mono"))
+    return t("part").select("p_partkey", F.round(mass.isotope_mz(m, z, F.col("p_size") % 5), 6).alias("mz"), F.round(mass.mono_mass(m, z, F.lit(1)), 6).alias("mono"))
 
 
 @query("mass_bins", """SELECT l_orderkey, l_partkey, l_linenumber, CAST(round_even(l_extendedprice * 0.9995, 0) AS BIGINT) AS nominal, CAST(round_even(l_extendedprice * 274.335215, 0) AS BIGINT) AS fine FROM lineitem""")
