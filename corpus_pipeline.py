@@ -2,6 +2,10 @@
 
 Every stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that
 is written as Parquet and read again as the next one's docs.
+
+All stages take null texts as empty, any column may be null, columns beyond those of documents are
+dropped, and empty tables pass through. Rows without an id are scored, grouped and mixed like others;
+they lose no passages to others and take none.
 """
 
 from __future__ import annotations
@@ -16,13 +20,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier accepts; it learns from rows whose crc32 modulo 3 is not 1."""
+    """Documents that the compression classifier accepts; it learns from rows whose crc32 modulo 3 is not 1.
+
+    Empty texts all share one score. Without labels every score is 0.5 and every document stays.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     return quality.scored(docs, model).where(quality.predicted() == 1).select(COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of SimHash near duplicates."""
+    """The document with the least id of each group of SimHash near duplicates; wordless texts are one group, of equal rows one stays."""
     return simhash.representatives(docs).select(COLUMNS)
 
 
@@ -39,7 +46,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words taken of each (repeats counted)."""
+    """The documents that the mix takes, with the words taken of each (repeats counted); those without words are never taken."""
     return mixing.mix(docs).where(F.col("taken") > 0).select(*COLUMNS, "size", "source_size", "target", "taken")
 
 

@@ -79,3 +79,28 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.written(stage(spark, docs, f"{DATA}/sf0.001"))
     assert docs.count() == 0
+
+
+def test_odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing extra columns."""
+    from pyspark.sql import functions as F
+
+    prose = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select(*COLUMNS).limit(60)
+    long = " ".join(f"palabra{k % 977} the{k}" for k in range(60_000))
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (9001, None, "en", "src0", 0), (9002, "", None, None, None), (9003, long, "en", None, None), (9004, "one", "en", "src1", 3), (9004, "one", "en", "src1", 3), (None, "loose words", "en", "src1", None), (9005, " \n\t ", None, "", 4)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    docs = prose.unionByName(odd)
+    for name in ("score", "size", "taken", "target", "n", "fp", "root", "component_id", "n_words", "n_removed", "kept_sha256", "bucket", "items", "phrase", "term", "pos", "start", "words", "repeats", "label"):
+        docs = docs.withColumn(name, F.lit(f"mine {name}"))
+    counts = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = common.written(stage(spark, docs, f"{DATA}/sf0.001"))
+        counts.append(docs.count())
+        assert docs.columns[:5] == COLUMNS
+        if k == 1:
+            # one wordless document at most is left, and one row of the repeated ones
+            assert docs.where(~F.coalesce("text", F.lit("")).rlike(r"\S")).count() <= 1
+            assert docs.where("doc_id = 9004").count() <= 1
+    assert counts == sorted(counts, reverse=True)
