@@ -50,17 +50,34 @@ def best_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def target_decoy_fdr(rows: DataFrame, scan: str, peptide: str, score: str, probability: str, decoy: str, tie: Sequence[Column] = ()) -> DataFrame:
+#: Fixed value: the q-value of rows for which none can be told.
+UNDEFINED_Q = 10.0
+
+
+def target_decoy_fdr(rows: DataFrame, scan: str, peptide: str, score: str, probability: str, decoy: str, tie: Sequence[Column] = (), several: bool = False) -> DataFrame:
     """Rows that are best of their scan, with ``q_value`` and peptide-level ``pep_q_value``.
 
     Order: score ascending, probability descending, decoys before equal targets, then ``tie``.
+    With ``several`` matches a scan, peptides are judged by all rows, and the scans' further rows
+    follow with both values 10, as they have no rate of their own.
     """
     order = [F.col(probability).desc(), F.col(decoy).desc(), *tie]
-    best = best_per(rows, [scan], [F.col(score).asc(), *order])
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(scan).orderBy(F.col(score).asc(), *order)))
+    best = ranked.where("_n = 1").drop("_n")
     scored = running_fdr(best, score, decoy, order).drop("fdr")
-    peptides = best_per(best, [peptide], [F.col(score).asc(), *order])
+    peptides = best_per(rows if several else best, [peptide], [F.col(score).asc(), *order])
     by_peptide = running_fdr(peptides, score, decoy, order).select(F.col(peptide).alias("_pep"), F.col("q_value").alias("pep_q_value"))
-    return scored.join(by_peptide, F.col(peptide).eqNullSafe(F.col("_pep"))).drop("_pep")
+    done = scored.join(by_peptide, F.col(peptide).eqNullSafe(F.col("_pep"))).drop("_pep")
+    if not several:
+        return done
+    further = ranked.where("_n > 1").drop("_n").withColumn("q_value", F.lit(UNDEFINED_Q)).withColumn("pep_q_value", F.lit(UNDEFINED_Q))
+    return done.unionByName(further)
+
+
+def identified_counts(scored: DataFrame, peptide: str, protein: str, decoy: str, most: float = 0.01) -> DataFrame:
+    """One row: matches, peptides and proteins of targets with q-values up to ``most``."""
+    good = scored.where((F.col("q_value") <= most) & ~F.col(decoy))
+    return good.agg(F.count("*").alias("matches"), F.count_distinct(F.when(F.col("pep_q_value") <= most, F.col(peptide))).alias("peptides"), F.count_distinct(protein).alias("proteins"))
 
 
 def intensity_ranks(df: DataFrame, keys: Sequence[str], intensity: str, tie: Sequence[str], least: float = 0.0) -> DataFrame:

@@ -81,6 +81,16 @@ def test_running_fdr(spark, rows):
         assert got[i] == pytest.approx(min(fdr[k:]))
 
 
+def test_several_matches_a_scan(spark):
+    rows = [(1, "A", 0.1, 0.9, False), (1, "B", 0.2, 0.9, False), (2, "B", 0.3, 0.9, False), (2, "C", 0.3, 0.9, True), (3, "D", 0.5, 0.9, False)]
+    df = spark.createDataFrame(rows, "scan int, pep string, e double, p double, decoy boolean").withColumn("protein", F.col("pep"))
+    got = {(r["scan"], r["pep"]): (round(r["q_value"], 6), round(r["pep_q_value"], 6)) for r in windows.target_decoy_fdr(df, "scan", "pep", "e", "p", "decoy", several=True).collect()}
+    # the decoy of scan 2 comes before its equal target; B's best row is that of scan 1
+    assert got == {(1, "A"): (0.0, 0.0), (2, "C"): (0.5, 0.333333), (3, "D"): (0.5, 0.333333), (1, "B"): (10.0, 10.0), (2, "B"): (10.0, 10.0)}
+    n = windows.identified_counts(windows.target_decoy_fdr(df, "scan", "pep", "e", "p", "decoy"), "pep", "protein", "decoy", 0.1).first()
+    assert tuple(n) == (1, 1, 1)
+
+
 def test_asof_takes_equal_places(spark):
     left = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "k string, at long")
     right = spark.createDataFrame([("a", 1, "x"), ("a", 4, "y"), ("b", 3, "z")], "k string, at long, v string")
