@@ -35,7 +35,7 @@ from spectroloom.llm.simhash import pack
 #: Bytes of text in a bucket, about.
 BUCKET_BYTES = 8 << 20
 #: Occurrences of a window from which its shard is copied.
-HOT = 256
+HOT = 64
 BASE = 0x9E3779B97F4A7C15
 SPACE = re.compile(rb"([\x20\x09-\x0d]+)")
 
