@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -99,13 +100,18 @@ def tail_probability(low: int, p: np.ndarray, score: int) -> float:
 def generating_function(spectra: DataFrame, keys: Sequence[str], mass: str, nodes: str, score: str, residues: dict[str, float]) -> DataFrame:
     """keys with ``spec_e_value``: ``mass`` is the nominal target, ``nodes`` an array of (mass, score), ``score`` the match's.
 
-    Rows are independent of each other, so that they spread over the cluster as they are.
+    Rows are independent of each other, so that they spread over the cluster as they are. Rows of
+    equal target and nodes that a task meets share one distribution while it is among the last ones.
     """
     schema = ", ".join(f"{k} {spectra.schema[k].dataType.simpleString()}" for k in keys) + ", spec_e_value double"
     steps = np.array([int(round(m * 0.9995)) for m in residues.values()])
     weights = np.full(len(steps), 1 / len(steps))
 
     def run(frames):
+        @lru_cache(maxsize=128)
+        def distribution(target: int, scores: bytes) -> tuple[int, np.ndarray]:
+            return score_distribution(np.frombuffer(scores, int), steps, weights, target)
+
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
@@ -114,7 +120,7 @@ def generating_function(spectra: DataFrame, keys: Sequence[str], mass: str, node
                 for n in getattr(row, nodes):
                     if 0 < n["mass"] < target:
                         scores[n["mass"]] = n["score"]
-                low, p = score_distribution(scores, steps, weights, target)
+                low, p = distribution(target, scores.tobytes())
                 out.append([getattr(row, k) for k in keys] + [tail_probability(low, p, int(getattr(row, score)))])
             yield pd.DataFrame(out, columns=[*keys, "spec_e_value"])
 

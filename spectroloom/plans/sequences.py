@@ -198,5 +198,5 @@ def significance_tests(t):
 
 @query("generating_function_e_values")
 def generating_function_e_values(t):
-    rows = t("part").where("p_partkey < 200").select("p_partkey", (F.col("p_size") * 20 + 300).cast("int").alias("target"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct((i * 57).cast("int").alias("mass"), F.lit(1).alias("score"))).alias("nodes"), (F.col("p_size") % 5 + 1).cast("int").alias("score"))
+    rows = t("part").select("p_partkey", (F.col("p_size") * 20 + 300).cast("int").alias("target"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct((i * 57).cast("int").alias("mass"), F.lit(1).alias("score"))).alias("nodes"), (F.col("p_size") % 5 + 1).cast("int").alias("score"))
     return scoring.generating_function(rows, ["p_partkey"], "target", "nodes", "score", {r: RESIDUE_MASS[r] for r in RESIDUES})
