@@ -68,9 +68,13 @@ def reachable_bins(most: float, masses: Sequence[float] = tuple(RESIDUE_MASS.val
 
 
 def quick_counts(proteins: DataFrame, peaks: DataFrame, protein: str, sequence: str, scan: str, mass: str) -> DataFrame:
-    """For each scan the protein with most fragment masses at the scan's nominal peak masses; first by id on ties."""
+    """For each scan the protein with most fragment masses at the scan's nominal peak masses; first by id on ties.
+
+    Of proteins of equal sequence only the first by id can be an answer, so that each sequence meets the peaks once.
+    """
     n = F.length(sequence)
-    prefixes = proteins.where(n > 1).select(protein, F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda k: nominal_bin(residue_mass(F.left(F.col(sequence), k))))).alias("bin")).distinct()
+    firsts = proteins.where(n > 1).groupBy(sequence).agg(F.min(protein).alias(protein))
+    prefixes = firsts.select(protein, F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda k: nominal_bin(residue_mass(F.left(F.col(sequence), k))))).alias("bin")).distinct()
     hits = peaks.select(scan, nominal_bin(F.col(mass)).alias("bin")).distinct().join(prefixes, "bin").groupBy(scan, protein).agg(F.count("*").alias("n_bins"))
     w = Window.partitionBy(scan).orderBy(F.desc("n_bins"), protein)
     return hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

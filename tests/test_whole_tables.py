@@ -3,7 +3,7 @@
 import numpy as np
 
 from spectroloom import plans
-from spectroloom.functions.mass import RESIDUE_MASS, RESIDUES
+from spectroloom.functions.mass import NOMINAL_SCALE, RESIDUE_MASS, RESIDUES
 from spectroloom.operators import scoring
 
 
@@ -19,3 +19,18 @@ def test_generating_function_takes_every_part(spark, tmp_path):
         scores[[m for m in range(57, 57 * 13, 57) if m < target]] = 1
         want[k] = scoring.tail_probability(*scoring.score_distribution(scores, steps, np.full(len(steps), 1 / len(steps)), target), size % 5 + 1)
     assert got == want
+
+
+def test_quick_counts_take_every_part_and_order(spark, tmp_path):
+    names = {1: "zz yy", 299: "red blue", 300: "green lime", 9000: "red blue", 10**7: "navy pink plum"}
+    spark.createDataFrame(list(names.items()), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    prefixes = {k: {round(sum(RESIDUE_MASS.get(r, 0.0) for r in s[:i]) * NOMINAL_SCALE) for i in range(1, len(s))} for k, s in ((k, n.upper().replace(" ", "")) for k, n in names.items())}
+    rows = [(o, 100.0 * sum(RESIDUE_MASS.get(r, 0.0) for r in s)) for o, n in ((5, "red blue"), (1999, "green lime"), (2000, "navy pink plum"), (10**8, "green lime")) for s in [n.upper().replace(" ", "")[:i] for i in range(1, 5)]]
+    spark.createDataFrame(rows, "l_orderkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r["l_orderkey"], r["p_partkey"], r["n_bins"]) for r in plans.queries()["quick_counts"](spark, str(tmp_path)).collect())
+    want = []
+    for order in (5, 1999, 2000, 10**8):
+        bins = {round(p / 100 * NOMINAL_SCALE) for o, p in rows if o == order}
+        n, part = min((-len(bins & b), k) for k, b in prefixes.items())
+        want.append((order, part, -n))
+    assert got == sorted(want)
