@@ -3,11 +3,14 @@
 A text is brought to a canonical form - lines of copyright notices go, A-Z is lower-cased,
 punctuation and white space become single spaces, equivalent spellings become one - and the
 SHA-256 digest of the entire form is hash-joined to the digests of known license texts and
-notices. Every document is looked up as a whole and line by line.
+notices. Every document is looked up as a whole and line by line. A text with lines that begin like
+a notice of copyright and are none (a wrapped sentence, an item "(c)") is looked up with them as well.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from spectroloom.llm.common import ascii_lower
 
 # A line that is only a notice of copyright; punctuation; spellings taken as equal.
 COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved).*$"
+#: A line that is a notice whatever stands around it: a sign, a year or a place for one follows.
+NOTICE = r"^[^a-z0-9]*(copyright[\s:,]*(\(c\)|©|&copy;|[0-9<\[{]|by\b)|(\(c\)|©)[\s,]*(copyright|[0-9<\[{])|all rights reserved[^a-z0-9]*$).*$"
 PUNCTUATION = r"[\x00-\x20!-/:-@\[-`{-~“”‘’–— ]+"
 SPELLINGS = ((r"\b(sub)?licence", "$1license"), (r"\bhttps\b", "http"), (r"\bnoninfringement\b", "non infringement"), (r"\bmerchantibility\b", "merchantability"))
 
@@ -60,11 +65,22 @@ KNOWN = (
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+_BSD3 = _BSD2.replace("2-Clause", "3-Clause").replace("\n\nTHIS SOFTWARE", "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE")
+
+
+def license_texts() -> list[tuple[str, str]]:
+    """The longer texts, one file each named by its license id, with and without what follows their terms."""
+    out = [("BSD-3-Clause", _BSD3), ("BSD-3-Clause", _BSD3.partition("\n\n")[2])]
+    for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = file.read_text("utf-8")
+        terms, end, rest = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(file.stem, text)] + [(file.stem, terms + end), (file.stem, terms)] * bool(rest)
+    return out
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical forms of a text's lines, copyright lines and empty ones left out."""
-    lines = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~x.rlike(COPYRIGHT))
+def canonical_lines(text: Column, dropped: str = COPYRIGHT) -> Column:
+    """The canonical forms of a text's lines, those that match ``dropped`` and empty ones left out."""
+    lines = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~x.rlike(dropped))
 
     def form(x: Column) -> Column:
         x = F.regexp_replace(x, PUNCTUATION, " ")
@@ -82,13 +98,23 @@ def digest(lines: Column) -> Column:
     return F.sha2(F.array_join(lines, " "), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license) of known texts; among texts of equal form the least license id counts."""
-    texts = spark.createDataFrame([(i, t) for i, t in known], "license string, text string")
-    forms = texts.select("license", canonical_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    """(digest, license) of known texts in both forms; among texts of equal form the least license id counts."""
+    texts = spark.createDataFrame([(i, t) for i, t in (known or [*KNOWN, *license_texts()])], "license string, text string")
+    both = F.explode(F.array(canonical_lines(F.col("text")), canonical_lines(F.col("text"), NOTICE)))
+    forms = texts.select("license", both.alias("lines")).where(F.size("lines") > 0)
     return forms.groupBy(digest(F.col("lines")).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def _other(text: Column) -> Column:
+    """The unit (whole null) of a text that has lines COPYRIGHT drops and NOTICE does not; none for others."""
+    unit = F.struct(F.lit(None).cast("boolean").alias("whole"), digest(canonical_lines(text, NOTICE)).alias("digest"))
+    # lines are only split where one of the marks occurs
+    marked = text.rlike(r"(?i)copyright|\(c\)|©|all rights reserved")
+    differs = F.exists(F.split(ascii_lower(text), "\n"), lambda x: x.rlike(COPYRIGHT) & ~x.rlike(NOTICE))
+    return F.when(F.when(marked, differs).otherwise(False), F.array(unit)).otherwise(F.array().cast("array<struct<whole:boolean,digest:string>>"))
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: doc_id, text_digest, text_license, n_lines, line_licenses.
 
@@ -100,14 +126,14 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
     that is passed in only if Spark finds it small.
     """
     table = F.broadcast(known_digests(docs.sparkSession)) if known is None else known.groupBy("digest").agg(F.min("license").alias("license"))
-    formed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_hash"), canonical_lines(F.col(text)).alias("lines"))
+    formed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_hash"), canonical_lines(F.col(text)).alias("lines"), _other(F.col(text)).alias("other"))
     whole = F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("lines")).alias("digest")))
     # a text of one line is looked up once as a text and once as a line
-    units = F.concat(whole, F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(x, 256).alias("digest"))))
+    units = F.concat(whole, F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(x, 256).alias("digest"))), "other")
     looked = formed.select("doc_id", "_hash", F.inline(units)).join(table, "digest", "left")
     line = ~F.col("whole") & F.col("license").isNotNull()
     per_doc = looked.groupBy("doc_id", "_hash").agg(
-        F.count_if("whole").alias("_rows"), F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"), F.max(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
+        F.count_if("whole").alias("_rows"), F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"), F.coalesce(F.max(F.when(F.col("whole"), F.col("license"))), F.max(F.when(F.col("whole").isNull(), F.col("license")))).alias("text_license"),
         F.count_if(line).alias("_lines"), F.sort_array(F.collect_set(F.when(line, F.col("license")))).alias("line_licenses"),
     )
     return per_doc.select("doc_id", "text_digest", "text_license", (F.col("_lines") / F.col("_rows")).cast("long").alias("n_lines"), "line_licenses", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_copy")).drop("_copy")

@@ -161,3 +161,22 @@ def test_media_rows(spark):
 
 def test_media_query(spark):
     assert queries.op7_media(spark, f"{DATA}/sf0.001").count() == 200
+
+
+def test_license_texts_are_found_however_wrapped(spark):
+    import textwrap
+
+    isc = dict(licenses.KNOWN)["ISC"]
+    wrapped = "\n".join(textwrap.fill(p, 70) for p in isc.split("\n"))
+    broken = wrapped.replace("above\ncopyright notice", "above copyright notice").replace("above copyright notice", "above\ncopyright notice")
+    assert "\ncopyright notice" in broken
+    notice = "Copyright (c) 2001 Somebody\n\n"
+    texts = dict(licenses.license_texts())
+    folder = licenses.Path(licenses.__file__).parent / "license_texts"
+    whole = {f.stem: f.read_text("utf-8") for f in folder.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-3.0-only", "MPL-2.0", "Unlicense"} < set(whole) and "BSD-3-Clause" in texts
+    rewrapped = lambda t, n: "\n\n".join(textwrap.fill(" ".join(p.split()), n) for p in re.split(r"\n\s*\n", t))
+    rows = [("ISC", notice + broken), ("BSD-3-Clause", notice + texts["BSD-3-Clause"])] + [(i, t) for i, t in whole.items()] + [("Apache-2.0", rewrapped(whole["Apache-2.0"], 61)), (None, whole["Apache-2.0"].replace("perpetual", "brief"))]
+    df = spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(rows))] == [i for i, _ in rows]
