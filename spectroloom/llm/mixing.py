@@ -50,9 +50,9 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], budget: float,
 def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, dp_words: int = 1 << 16) -> list[int]:
     """How many documents of each length to take so that their words come closest to ``budget``.
 
-    Exact (the best sum not above the budget) whenever what remains after the proportional and
-    greedy steps is below ``dp_words``; the greedy step alone leaves less than the shortest
-    length that still has documents, otherwise.
+    What remains after the proportional and greedy steps is filled with the best sum that the
+    documents left over can make: by the programme below ``dp_words``; from there on every length
+    left over is more than half of what remains, so that the longest that fits is the best sum.
     """
     order = sorted((i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > 0), key=lambda i: -lengths[i])
     total = sum(lengths[i] * counts[i] for i in order)
@@ -80,24 +80,28 @@ def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, dp_words: in
         return take
     # bounded knapsack over sums up to left: bit s of reach is set if s words can be made; each
     # count is split into powers of two, and the items are walked back from the best sum.
-    mask, reach, items, history = (1 << (left + 1)) - 1, 1, [], []
+    # Of a sum only the item that first made it is kept: what it was made from came earlier.
+    mask, reach, items, made = (1 << (left + 1)) - 1, 1, [], {}
     for i in order:
         free = min(counts[i] - take[i], left // lengths[i])
         k = 1
         while free > 0 and not reach >> left & 1:
             k = min(k, free)
-            history.append(reach)
+            new = reach << k * lengths[i] & mask & ~reach
+            reach |= new
+            while new:
+                made[new.bit_length() - 1] = len(items)
+                new ^= 1 << new.bit_length() - 1
             items.append((i, k))
-            reach |= reach << k * lengths[i] & mask
             free -= k
             k *= 2
-        if len(history) > 4096 or reach >> left & 1:
+        if reach >> left & 1:
             break
     best = reach.bit_length() - 1
-    for (i, k), before in zip(reversed(items), reversed(history), strict=True):
-        if not before >> best & 1:
-            take[i] += k
-            best -= k * lengths[i]
+    while best:
+        i, k = items[made[best]]
+        take[i] += k
+        best -= k * lengths[i]
     return take
 
 

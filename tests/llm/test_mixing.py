@@ -80,3 +80,25 @@ def test_one_very_common_length(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("s").alias("source"))
     got = rows_of(mixing.mix(df, budget_share=0.4))
     assert sum(r["taken"] for r in got) == 4800
+
+
+def test_fit_tries_every_length():
+    # long even lengths come first and more than 4096 of them; only the one odd length makes the odd sum
+    lengths = [7, *range(10_000, 22_000, 2)]
+    counts = [1] * len(lengths)
+    budget = 55_007
+    take = mixing.fit(lengths, counts, budget)
+    assert all(0 <= t <= 1 for t in take) and sum(t * z for t, z in zip(take, lengths, strict=True)) == budget
+
+
+def test_fit_of_very_long_documents():
+    rng = random.Random(9)
+    for _ in range(200):
+        dp = rng.choice([16, 17, 64])
+        lengths = sorted({rng.randint(1, 150) for _ in range(5)})
+        counts = [rng.randint(1, 2) for _ in lengths]
+        budget = rng.randint(1, 500)
+        take = mixing.fit(lengths, counts, budget, dp)
+        got = sum(t * z for t, z in zip(take, lengths, strict=True))
+        assert got <= budget and all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+        assert all(t == c or z > budget - got for t, c, z in zip(take, counts, lengths, strict=True))
