@@ -6,7 +6,7 @@ protein's row and are never gathered.
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +87,13 @@ def site_counts(sequence: Column, sites: dict[str, str]) -> Column:
     return F.create_map(*pairs)
 
 
+def site_needs(combination: tuple[str, ...], sites: dict[str, str]) -> list[tuple[str, int]]:
+    """Hall's condition for each set of a combination's own names: (residues, how many of them the set needs)."""
+    names = sorted(set(combination))
+    chosen = [c for k in range(1, len(names) + 1) for c in combinations(names, k)]
+    return [("".join(sorted(set("".join(sites[n] for n in c)))), sum(combination.count(n) for n in c)) for c in chosen]
+
+
 def proteoforms(sequences: DataFrame, sequence: str, masses: dict[str, float], sites: dict[str, str], most: int) -> DataFrame:
     """``sequences`` with ``modifications`` (a sorted array) and ``mass`` for each combination that fits.
 
@@ -97,19 +104,13 @@ def proteoforms(sequences: DataFrame, sequence: str, masses: dict[str, float], s
 
     spark = sequences.sparkSession
     combos = modification_combinations(list(masses), most)
-    table = spark.createDataFrame([(list(c), float(sum(masses[m] for m in c))) for c in combos], "modifications array<string>, shift double")
+    table = spark.createDataFrame([(list(c), float(sum(masses[m] for m in c)), site_needs(c, sites)) for c in combos], "modifications array<string>, shift double, _needs array<struct<residues:string,need:int>>")
     with_counts = sequences.withColumn("_mass", residue_mass(F.col(sequence)) + WATER)
     # one row for each combination: len(combos) rows are broadcast
     pairs = with_counts.join(F.broadcast(table))
-    fits = F.lit(True)
-    every = sorted(sites)
-    for k in range(1, 2 ** len(every) if len(every) <= 6 else len(every) + 1):
-        chosen = [every[i] for i in range(len(every)) if k >> i & 1] if len(every) <= 6 else [every[k - 1]]
-        residues = "".join(sorted(set("".join(sites[c] for c in chosen))))
-        room = F.length(sequence) - F.length(F.regexp_replace(F.col(sequence), f"[{residues}]", ""))
-        need = sum(F.size("modifications") - F.size(F.array_remove("modifications", c)) for c in chosen)
-        fits = fits & (need <= room)  # Hall's condition for each set of modifications
-    return pairs.where(fits).withColumn("mass", F.col("_mass") + F.col("shift")).drop("_mass", "shift")
+    room = lambda residues: F.length(sequence) - F.length(F.call_function("translate", F.col(sequence), residues, F.lit("")))
+    fits = F.forall("_needs", lambda n: n["need"] <= room(n["residues"]))
+    return pairs.where(fits).withColumn("mass", F.col("_mass") + F.col("shift")).drop("_mass", "shift", "_needs")
 
 
 def fragments(sequences: DataFrame, sequence: str, series: tuple[str, ...] = ("b", "y"), charges: tuple[int, int] = (1, 1)) -> DataFrame:

@@ -196,3 +196,15 @@ def test_tag_paths(spark):
     proteins = spark.createDataFrame([(1, "MKPEPTIDER"), (2, "AEDITPEPK")], "id long, sequence string")
     hits = tags.tags_on_proteins(spark.createDataFrame([("PEPTL",)], "tag string"), proteins, "id", "sequence")
     assert sorted((r["id"], r["position"], r["reversed"]) for r in hits.collect()) == [(1, 2, False), (2, 3, True)]
+
+
+def test_proteoforms_with_many_names_respect_shared_sites(spark):
+    names = "ABCDEFGH"
+    masses, sites = {m: k + 1.0 for k, m in enumerate(names)}, {m: "S" if m < "D" else "K" if m < "G" else "MS" for m in names}
+    df = spark.createDataFrame([("p", "SMKK"), ("q", "GG")], "id string, sequence string")
+    got = {(r["id"], tuple(r["modifications"])) for r in sequences.proteoforms(df, "sequence", masses, sites, 3).collect()}
+
+    def placed(word, left):
+        return not left or any(r in sites[left[0]] and placed(word[:i] + word[i + 1 :], left[1:]) for i, r in enumerate(word))
+
+    assert got == {(i, c) for i, w in (("p", "SMKK"), ("q", "GG")) for c in sequences.modification_combinations(list(masses), 3) if placed(w, c)}
