@@ -31,6 +31,74 @@ def composite_score(matched: DataFrame, by: Sequence[str], weights: dict[str, fl
     ).withColumn("score", weights.get("offset", 0.0) + F.col("n_matched") * weights.get("count", 1.0) + F.col("strength") * weights.get("intensity", 0.0) + F.col("mean_error") * weights.get("error", 0.0))
 
 
+def best_placement(sequence: str, modifications: Sequence[str], hits: dict[tuple[int, tuple[str, ...]], tuple[int, float]], sites: dict[str, str], count: float, error: float) -> tuple[float, list[str]] | None:
+    """(score, modification or empty of each residue) of the placement that scores best; None if none has a hit.
+
+    ``hits`` gives for the cleavage behind a number of residues, and the sorted modifications before
+    it, how many fragments match and the sum of their errors. The score is ``count`` times all
+    matches plus ``error`` (not positive) times their mean error, so that for each number of
+    matches the least sum of errors is enough: placements that agree in what is placed meet.
+    """
+    whole = tuple(sorted(modifications))
+    states: dict[tuple[tuple[str, ...], int], tuple[float, tuple | None]] = {((), 0): (0.0, None)}
+    for i, residue in enumerate(sequence, 1):
+        after: dict[tuple[tuple[str, ...], int], tuple[float, tuple | None]] = {}
+        for (done, n), (total, path) in states.items():
+            for m in ["", *[m for m in sorted(set(whole)) if residue in sites[m] and done.count(m) < whole.count(m)]]:
+                now = tuple(sorted((*done, m))) if m else done
+                more, errors = hits.get((i, now), (0, 0.0)) if i < len(sequence) else (0, 0.0)
+                key = (now, n + more)
+                if key not in after or total + errors < after[key][0]:
+                    after[key] = (total + errors, (path, i, m) if m else path)
+        states = after
+    ends = [(n * count + error * total / n, n, path) for (done, n), (total, path) in states.items() if done == whole and n]
+    if not ends:
+        return None
+    score, _, path = max(ends, key=lambda x: x[:2])
+    placed = [""] * len(sequence)
+    while path:
+        path, i, m = path
+        placed[i - 1] = m
+    return score, placed
+
+
+def placed_score(matched: DataFrame, by: Sequence[str], sites: dict[str, str], weights: dict[str, float], reference: float) -> DataFrame:
+    """``composite_score`` of the best placement of each match's modifications, and ``placement``.
+
+    ``matched`` has for each fragment (``ion`` b or y, ``cut``) and each ``part`` of the match's
+    ``modifications`` that it may carry its peak, and the match's ``sequence``. ``weights``: count, error, offset.
+    """
+    schema = ", ".join(f"{k} {matched.schema[k].dataType.simpleString()}" for k in by) + ", n_matched long, strength double, mean_error double, score double, placement array<string>"
+
+    def before(row, n: int, whole: list[str]) -> tuple[int, tuple[str, ...]]:
+        part = list(row.part)
+        if row.ion == "b":
+            return int(row.cut), tuple(sorted(part))
+        rest = list(whole)
+        for m in part:
+            rest.remove(m)
+        return n - int(row.cut), tuple(sorted(rest))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sequence, whole = group["sequence"].iloc[0], list(group["modifications"].iloc[0])
+        rows = [(before(r, len(sequence), whole), abs(r.error_ppm), r.matched_intensity) for r in group.sort_values(["ion", "cut", "fragment_mass"]).itertuples(index=False)]
+        hits: dict = {}
+        for at, error, _ in rows:
+            n, total = hits.get(at, (0, 0.0))
+            hits[at] = (n + 1, total + error)
+        found = best_placement(sequence, whole, hits, sites, weights.get("count", 1.0), weights.get("error", 0.0))
+        if found is None:
+            return pd.DataFrame([], columns=[*by, "n_matched", "strength", "mean_error", "score", "placement"])
+        score, placed = found
+        chosen = {(i, tuple(sorted(m for m in placed[:i] if m))) for i in range(1, len(sequence))}
+        used = [(e, x) for at, e, x in rows if at in chosen]
+        strength = sum(np.log2(1 + x / reference) for _, x in used)
+        out = [*(group[k].iloc[0] for k in by), len(used), strength, sum(e for e, _ in used) / len(used), score + weights.get("offset", 0.0), placed]
+        return pd.DataFrame([out], columns=[*by, "n_matched", "strength", "mean_error", "score", "placement"])
+
+    return matched.groupBy(*by).applyInPandas(run, schema)
+
+
 def complementary_pairs(matched: DataFrame, by: Sequence[str], cut: str, length: str, prefix: str) -> DataFrame:
     """How many cleavages have both their prefix and their suffix fragment."""
     site = F.when(F.col(prefix), F.col(cut)).otherwise(F.col(length) - F.col(cut))

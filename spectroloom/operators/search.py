@@ -48,7 +48,8 @@ def search(runs: DataFrame, proteins: DataFrame, modifications: dict[str, tuple[
     """Target and decoy matches of the fragment spectra of ``runs``, the best ``report`` of each scan, with q-values.
 
     Precursor masses come from the isolation's monoisotopic m/z and charge. ``modifications`` maps
-    a name to (mass shift, residues). Proteins have name and sequence.
+    a name to (mass shift, residues); with them each match is scored by its best placement of them,
+    ``placement`` (name or empty of each residue). Proteins have name and sequence.
     """
     options = options or parameters.SearchParameters()
     modifications = modifications or {}
@@ -61,9 +62,19 @@ def search(runs: DataFrame, proteins: DataFrame, modifications: dict[str, tuple[
     pairs = pairs.withColumn("match_id", F.xxhash64("scan_num", "name", "sequence", "start", "modifications"))
     if peaks is None:
         peaks = deconvolution.deconvolute(ms2, ["scan_num"], (options.min_product_charge, options.max_product_charge), options.product_ppm)
-    ions = sequences.fragments(pairs.select("match_id", "scan_num", "sequence"), "sequence", ("b", "y"))
-    matched = scoring.match_fragments(ions, peaks.select("scan_num", F.col("mass").alias("peak_mass"), F.col("intensity").alias("peak_intensity")), "fragment_mass", "peak_mass", "peak_intensity", options.product_ppm, ["match_id", "scan_num", "ion", "cut"], ["scan_num"])
-    scored = scoring.composite_score(matched, ["match_id", "scan_num"], {"count": 1.0, "error": -0.05}, F.lit(1.0))
+    found = peaks.select("scan_num", F.col("mass").alias("peak_mass"), F.col("intensity").alias("peak_intensity"))
+    ions = sequences.fragments(pairs.select("match_id", "scan_num", "sequence", "modifications"), "sequence", ("b", "y"))
+    fragment, weights = ["match_id", "scan_num", "ion", "cut"], {"count": 1.0, "error": -0.05}
+    if masses:
+        # a fragment is matched once with each part of the modifications that it may carry; placements share these
+        combos = sequences.modification_combinations(list(masses), options.max_modifications)
+        parts = runs.sparkSession.createDataFrame(sequences.modification_parts(combos, masses), "modifications array<string>, parts array<struct<part:array<string>,shift:double>>")
+        ions = ions.join(F.broadcast(parts), "modifications").select(*fragment, "fragment_mass", F.inline("parts")).withColumn("fragment_mass", F.col("fragment_mass") + F.col("shift"))
+        matched = scoring.match_fragments(ions, found, "fragment_mass", "peak_mass", "peak_intensity", options.product_ppm, [*fragment, "part"], ["scan_num"])
+        scored = scoring.placed_score(matched.join(pairs.select("match_id", "sequence", "modifications"), "match_id"), ["match_id", "scan_num"], sites, weights, 1.0)
+    else:
+        matched = scoring.match_fragments(ions, found, "fragment_mass", "peak_mass", "peak_intensity", options.product_ppm, fragment, ["scan_num"])
+        scored = scoring.composite_score(matched, ["match_id", "scan_num"], weights, F.lit(1.0))
     best = ranking.top_k_distinct_scores(scored, ["scan_num"], "score", [F.col("match_id")], options.keep)
     results = best.join(pairs.drop("scan_num"), "match_id")
     nodes = peaks.groupBy("scan_num").agg(F.collect_set(F.struct(nominal_bin(F.col("mass")).cast("int").alias("mass"), F.lit(1).alias("score"))).alias("nodes"))

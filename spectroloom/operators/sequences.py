@@ -87,6 +87,12 @@ def site_counts(sequence: Column, sites: dict[str, str]) -> Column:
     return F.create_map(*pairs)
 
 
+def modification_parts(combos: list[tuple[str, ...]], masses: dict[str, float]) -> list[tuple[list[str], list[tuple[list[str], float]]]]:
+    """Each combination with all that a fragment can carry of it: (modifications, [(part, mass shift)])."""
+    parts = lambda c: sorted({p for k in range(len(c) + 1) for p in combinations(c, k)})
+    return [(list(c), [(list(p), float(sum(masses[m] for m in p))) for p in parts(c)]) for c in combos]
+
+
 def site_needs(combination: tuple[str, ...], sites: dict[str, str]) -> list[tuple[str, int]]:
     """Hall's condition for each set of a combination's own names: (residues, how many of them the set needs)."""
     names = sorted(set(combination))

@@ -63,3 +63,46 @@ def test_features_of_spectra(spark):
     runs = spark.createDataFrame(rows, "run string, scan_num int, ms_level int, elution_time double, mz array<double>, intensity array<double>")
     best = search.find_features(runs, (4, 8)).orderBy(F.desc("abundance")).first()
     assert abs(best["mass"] - 6000) < 0.1 and (best["min_scan"], best["max_scan"]) == (5, 11)
+
+
+def test_search_places_modifications(spark, case):
+    _, proteins, _, known = case
+    mods = {"Ox": (15.994915, "MW"), "Phos": (79.966331, "STY")}
+    extra = [("M1", "", "AGSPEPTMDEYLKSGR"), ("M2", "", "GGMADEFWKLTVPAC")]
+    put = {1: (extra[0][2], {10: "Phos", 7: "Ox"}), 2: (extra[1][2], {7: "Ox"}), 3: (known[0][2], {})}
+    scans, peaks = [], []
+    for scan, (seq, at) in put.items():
+        each = [RESIDUE_MASS[r] + (mods[at[i]][0] if i in at else 0.0) for i, r in enumerate(seq)]
+        scans.append((scan, 2, ((sum(each) + WATER) / 2 + PROTON, 2, 0.0, 1.0, 1.0), [], []))
+        for i in range(1, len(seq)):
+            peaks += [(scan, sum(each[:i]), 10.0), (scan, sum(each[i:]) + WATER, 12.0)]
+    runs = spark.createDataFrame(scans, SPECTRUM)
+    every = proteins.unionByName(spark.createDataFrame(extra, proteins.schema))
+    options = SearchParameters(min_length=8, max_length=30, min_mass=500, max_mass=5000, cleavage="none", keep=3, report=1, max_modifications=2)
+    got = {r["scan_num"]: r for r in search.search(runs, every, mods, options, spark.createDataFrame(peaks, "scan_num int, mass double, intensity double")).collect()}
+    for scan, (seq, at) in put.items():
+        assert got[scan]["sequence"] == seq and got[scan]["modifications"] == sorted(at.values())
+        assert got[scan]["placement"] == [at.get(i, "") for i in range(len(seq))] and got[scan]["n_matched"] == 2 * (len(seq) - 1)
+
+
+def test_best_placement_against_enumeration():
+    import itertools
+
+    from spectroloom.operators import scoring
+
+    rng, sites = random.Random(3), {"A": "SM", "B": "S"}
+    for _ in range(40):
+        seq = "".join(rng.choice("SMK") for _ in range(6))
+        whole = sorted(rng.choice("AB") for _ in range(rng.randint(0, 2)))
+        parts = [tuple(sorted(p)) for k in range(len(whole) + 1) for p in set(itertools.combinations(whole, k))]
+        hits = {(i, p): (rng.randint(1, 2), rng.uniform(0, 9)) for i in range(1, 6) for p in parts if rng.random() < 0.4}
+        best = None
+        for placed in itertools.product(["", "A", "B"], repeat=6):
+            if sorted(m for m in placed if m) != whole or any(m and r not in sites[m] for r, m in zip(seq, placed, strict=True)):
+                continue
+            used = [hits.get((i, tuple(sorted(m for m in placed[:i] if m))), (0, 0.0)) for i in range(1, 6)]
+            n = sum(u[0] for u in used)
+            if n:
+                best = max(best or -1e9, n - 0.05 * sum(u[1] for u in used) / n)
+        got = scoring.best_placement(seq, whole, hits, sites, 1.0, -0.05)
+        assert (got is None and best is None) or got[0] == pytest.approx(best)
