@@ -152,9 +152,9 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, eligible: Column, lang: str = "lang", per_language: int = 200, max_chars: int = 10_000, languages: int = 200, seed: int = 6) -> Model:
-    """Fits on at most ``per_language`` texts of at most ``max_chars`` for each language."""
-    return fit(documents_sample(docs, lang, eligible, per_language, max_chars, languages, seed))
+def train(docs: DataFrame, eligible: Column, lang: str = "lang", per_language: int = 200, max_chars: int = 10_000, seed: int = 6) -> Model:
+    """Fits on at most ``per_language`` texts of at most ``max_chars`` for each language, however many there are."""
+    return fit(documents_sample(docs, lang, eligible, per_language, max_chars, seed))
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ the driver, however many tasks there are, and reruns draw the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLACES = 1 << 30
@@ -51,17 +51,26 @@ def class_weights(labels: list[int], totals: dict[int, int] | None) -> list[floa
     return [w / mean for w in raw]
 
 
-def documents_sample(docs: DataFrame, group: str, eligible: Column, per_group: int, max_chars: int, groups: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> dict[str, list[str]]:
-    """At most ``per_group`` ids' texts for each of at most ``groups`` values of ``group`` (the most
-    frequent ones among eligible rows)."""
-    fit = docs.where(eligible & F.col(doc_id).isNotNull() & F.col(text).isNotNull() & F.col(group).isNotNull() & (F.length(text) <= max_chars))
-    sizes = fit.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
-    ids = None
-    for name, n in sorted((r[0], r[1]) for r in sizes):
-        one = _drawn(fit.where(F.col(group) == name).select(F.col(doc_id).alias("_id"), F.lit(name).alias("_label")), "_id", n, per_group, seed)
-        ids = one if ids is None else ids.union(one)
-    out: dict[str, list[str]] = {r[0]: [] for r in sizes}
-    if ids is not None:
-        for name, t in _texts(docs.where(eligible), ids.distinct(), doc_id, text, max_chars):
-            out[name].append(t)
+def documents_sample(docs: DataFrame, group: str, eligible: Column, per_group: int, max_chars: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> dict[str, list[str]]:
+    """At most ``per_group`` ids' texts for every value of ``group`` among eligible rows.
+
+    Texts above ``max_chars`` are used only where a group has no other: their first ``max_chars`` characters.
+    """
+    fit = docs.where(eligible & F.col(doc_id).isNotNull() & F.col(text).isNotNull() & F.col(group).isNotNull())
+    fit = fit.select(F.col(doc_id).alias("_id"), F.col(group).alias("_label"), F.col(text).alias("_text"), (F.length(text) > max_chars).alias("_long"))
+    # a row for each group: how many rows it draws from, and whether they are long ones
+    sizes = fit.groupBy("_label").agg(F.count_if(~F.col("_long")).alias("short"), F.count("*").alias("n")).collect()
+    if not sizes:
+        return {}
+    bounds = [(r["_label"], not r["short"], min(PLACES, (2 * per_group + 64) * PLACES // (r["short"] or r["n"]))) for r in sizes]
+    drawn_from = docs.sparkSession.createDataFrame(bounds, f"_label {fit.schema['_label'].dataType.simpleString()}, _long boolean, _below long")
+    usable = fit.join(F.broadcast(drawn_from), ["_label", "_long"])
+    # the same rows as _drawn takes, for all groups at once: about 2 per_group of a group meet
+    below = usable.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(PLACES)) < F.col("_below"))
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("_id", F.lit(seed)), "_id"))
+    ids = below.select("_label", "_long", "_id").withColumn("_rank", rank).where(F.col("_rank") <= per_group).select("_label", "_long", "_id").distinct()
+    found = usable.join(F.broadcast(ids), ["_label", "_long", "_id"], "left_semi").select("_label", "_id", F.left("_text", F.lit(max_chars)).alias("_text")).collect()
+    out: dict[str, list[str]] = {r["_label"]: [] for r in sizes}
+    for r in sorted(found, key=lambda r: (r["_id"], r["_label"], r["_text"])):
+        out[r["_label"]].append(r["_text"])
     return out

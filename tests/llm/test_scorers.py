@@ -142,3 +142,28 @@ def test_obfuscated_words_count():
     assert plain[at] == 0
     assert toxicity.features("you 1d10t there, i-d-i-o-t", lexicon)[at] > 0
     assert toxicity.features("you idiot", lexicon)[toxicity.FEATURES.index("near_second_person")] > 0
+
+
+def test_every_language_is_learned(spark):
+    """More than 200 languages, and one that has only long texts; each is written in letters of its own."""
+    letters = lambda k: f"{chr(0x4E00 + 2 * k)}{chr(0x4E01 + 2 * k)}"
+    rows = [(k * 3 + j, letters(k) * (9 + j), f"l{k:03}") for k in range(215) for j in range(2 if k > 200 else 3)]
+    rows += [(9000, letters(300) * 6000, "long"), (9001, letters(301) * 20, "l000"), (9002, letters(302) * 6000, "l000")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sampling.documents_sample(docs, "lang", F.lit(True), 200, 10_000, 6)
+    assert set(got) == {r[2] for r in rows}
+    assert got["long"] == [(letters(300) * 6000)[:10_000]]
+    assert sorted(got["l000"]) == sorted([letters(0) * 9, letters(0) * 10, letters(0) * 11, letters(301) * 20])
+    few = docs.where("doc_id < 6 or doc_id > 640 or lang = 'long'")
+    model = language.train(few, F.lit(True))
+    assert {"l000", "l214", "long"} <= set(model.languages)
+    said = {r["doc_id"]: r["lang_pred"] for r in language.identified(few, model).collect()}
+    assert said[9000] == "long" and said[642] == "l214" and said[0] == "l000"
+
+
+def test_samples_of_languages_are_those_of_each_alone(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("lang"))
+    got = sampling.documents_sample(docs, "lang", F.lit(True), 50, 1000, 6)
+    for name, n in (("a", 300), ("b", 2700)):
+        ids = sampling._drawn(docs.where(F.col("lang") == name).select(F.col("doc_id").alias("_id")), "_id", n, 50, 6)
+        assert sorted(got[name]) == sorted(f"t {r['_id']}" for r in ids.collect())
