@@ -29,7 +29,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of SimHash near duplicates; wordless texts are one group, of equal rows one stays."""
+    """The document with the least id of each group of SimHash near duplicates; wordless texts are one group, of equal rows one stays.
+
+    Near duplicates are those of op5_simhash: fingerprints of 3-word shingles at most 3 of 64 bits apart,
+    with no rule of similarity. Of pairs of a Jaccard similarity of 0.98 about 67 % are so near (computed for
+    independent bits), of 0.95 31 %, of 0.9 9 %, of 0.8 1 %; other near copies stay.
+    """
     return simhash.representatives(docs).select(COLUMNS)
 
 

@@ -104,3 +104,12 @@ def test_odd_documents(spark):
             assert docs.where(~F.coalesce("text", F.lit("")).rlike(r"\S")).count() <= 1
             assert docs.where("doc_id = 9004").count() <= 1
     assert counts == sorted(counts, reverse=True)
+
+
+def test_near_duplicate_stage_states_its_rule():
+    import inspect
+
+    from spectroloom.llm import simhash
+
+    said, rule = " ".join(corpus_pipeline.one_of_each.__doc__.split()), inspect.signature(simhash.representatives).parameters
+    assert f"{rule['shingle'].default}-word shingles at most {rule['most'].default} of 64 bits" in said and "Jaccard similarity" in said
