@@ -63,6 +63,17 @@ def wider(df: DataFrame, **kinds: str) -> StructType:
     return out
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, with as many underscores behind each as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the decimal text of an integer column, modulo ``m`` (null: of the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % m

@@ -153,7 +153,10 @@ class Scorer:
 
 
 def train(docs: DataFrame, eligible: Column, lang: str = "lang", per_language: int = 200, max_chars: int = 10_000, seed: int = 6) -> Model:
-    """Fits on at most ``per_language`` texts of at most ``max_chars`` for each language, however many there are."""
+    """Fits on at most ``per_language`` texts of at most ``max_chars`` for each language, however many there are.
+
+    Which rows these are, null and repeated ones among them, ``documents_sample`` says. Without a row to learn from there are no languages.
+    """
     return fit(documents_sample(docs, lang, eligible, per_language, max_chars, seed))
 
 

@@ -112,7 +112,11 @@ def fit(sample: list[tuple[int, str]], totals: dict[int, int] | None = None, siz
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column, label: str = "quality", per_class: int = 2000, max_chars: int = 50_000, seed: int = 3) -> Model:
-    """Fits on at most ``per_class`` rows of each class, each of at most ``max_chars``."""
+    """Fits on at most ``per_class`` ids of each class, each text of at most ``max_chars``.
+
+    Which rows these are, null and repeated ones among them, ``labelled_sample`` says. Without labels every score is 0.5,
+    with labels of one class all scores lie on its side.
+    """
     return fit(*labelled_sample(docs, labels, label, eligible, per_class, max_chars, seed))
 
 

@@ -30,6 +30,8 @@ NEAR = 5
 
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SPACED = bytes(32 if c in PUNCTUATION else c for c in range(256))
+#: White space of every kind as spaces, so that tokens end at all of it.
+BLANK = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
 UNLEET = bytes.maketrans(b"013457@$!|", b"oieastasil")
 MIXED = re.compile(rb"[a-z\x80-\xff][0-9@$!|*.\-_]+[a-z\x80-\xff]")
 UPPER, STOPS = bytes(range(65, 91)), b"!?"
@@ -50,22 +52,20 @@ def features(text: str, lexicon: dict[bytes, float]) -> list[float]:
         near += any(w in SECOND_PERSON for w in words[max(0, i - NEAR) : i + NEAR + 1])
     mixed = obfuscated = 0
     hidden = 0.0
-    end = -1
+    spaced, end = lower.translate(BLANK), -1
     for m in MIXED.finditer(lower):
         if m.start() < end:
             continue
-        start, end = lower.rfind(b" ", 0, m.start()) + 1, lower.find(b" ", m.end())
+        start, end = spaced.rfind(b" ", 0, m.start()) + 1, spaced.find(b" ", m.end())
         end = len(lower) if end < 0 else end
         mixed += 1
-        if end - start <= 40:
-            token = lower[start:end].strip(b".,;:?\"'()\n")
-            plain = token.translate(UNLEET, b"*.-_")
-            if plain in lexicon:
-                obfuscated += 1
-                hidden += lexicon[plain]
+        plain = lower[start:end].strip(b".,;:?\"'()").translate(UNLEET, b"*.-_")
+        if plain in lexicon:
+            obfuscated += 1
+            hidden += lexicon[plain]
     weights = [lexicon[words[i]] for i in hits]
     weight = sum(weights) + hidden
-    person = sum(map(SECOND_PERSON.__contains__, words)) if n < 20_000 else sum(w in SECOND_PERSON for w in words)
+    person = sum(map(SECOND_PERSON.__contains__, words))
     letters = size - len(raw.translate(None, UPPER))
     return [
         weight / n, (len(hits) + obfuscated) / n, np.log1p(len(hits) + obfuscated), np.log1p(len({words[i] for i in hits})), max(weights, default=0.0), near / n, person / n,
@@ -73,8 +73,8 @@ def features(text: str, lexicon: dict[bytes, float]) -> list[float]:
     ]
 
 
-def learn_lexicon(sets: list[frozenset[bytes]], labels: np.ndarray, least: float = 4.0, most: int = 5000) -> dict[bytes, float]:
-    """Words by how far their number of toxic texts exceeds chance, in standard deviations."""
+def learn_lexicon(sets: list[frozenset[bytes]], labels: np.ndarray, least: float = 4.0) -> dict[bytes, float]:
+    """Words by how far their number of toxic texts exceeds chance, in standard deviations: all of at least ``least``."""
     toxic, every = Counter(), Counter()
     for words, y in zip(sets, labels, strict=True):
         every.update(words)
@@ -87,7 +87,7 @@ def learn_lexicon(sets: list[frozenset[bytes]], labels: np.ndarray, least: float
         z = (k - expected) / np.sqrt(expected + 1)
         if z >= least and k >= 3:
             found.append((-z, w))
-    return {w: float(-z) for z, w in sorted(found)[:most]}
+    return {w: float(-z) for z, w in sorted(found)}
 
 
 @dataclass
@@ -226,7 +226,11 @@ def fit(sample: list[tuple[int, str]], totals: dict[int, int] | None = None, fol
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column, label: str = "toxic", per_class: int = 4000, max_chars: int = 20_000, seed: int = 10) -> Model:
-    """Fits on at most ``per_class`` rows of each class, each of at most ``max_chars``."""
+    """Fits on at most ``per_class`` ids of each class, each text of at most ``max_chars``.
+
+    Which rows these are, null and repeated ones among them, ``labelled_sample`` says. Without labels every score is 0.5,
+    with labels of one class all scores lie on its side.
+    """
     return fit(*labelled_sample(docs, labels, label, eligible, per_class, max_chars, seed))
 
 

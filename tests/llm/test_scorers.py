@@ -167,3 +167,25 @@ def test_samples_of_languages_are_those_of_each_alone(spark):
     for name, n in (("a", 300), ("b", 2700)):
         ids = sampling._drawn(docs.where(F.col("lang") == name).select(F.col("doc_id").alias("_id")), "_id", n, 50, 6)
         assert sorted(got[name]) == sorted(f"t {r['_id']}" for r in ids.collect())
+
+
+def test_obfuscated_words_count_at_any_white_space_and_length():
+    lexicon = {b"idiot": 5.0}
+    at = toxicity.FEATURES.index("obfuscated")
+    for text in ("x i*d*i*o*t y", "x i*d*i*o*t\ny", "x\ti*d*i*o*t\r\n", "x i" + "*" * 60 + "d*i*o*t y"):
+        assert toxicity.features(text, lexicon)[at] == pytest.approx(1 / max(1, len(toxicity.words_of(text)))), text
+
+
+def test_lexicon_keeps_every_word_above_the_bound():
+    sets = [frozenset({b"w%d" % k for k in range(6000)})] * 40 + [frozenset({b"fine"})] * 40
+    assert len(toxicity.learn_lexicon(sets, np.array([1.0] * 40 + [0.0] * 40))) == 6000
+
+
+def test_samples_of_repeated_ids_stay_bounded(spark):
+    docs = spark.range(5000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit(1).alias("quality"))
+    got, totals = sampling.labelled_sample(docs, labels, "quality", F.lit(True), 10, 1000, 1)
+    assert got == [(1, "t 0")] and totals == {1: 5000}
+    assert sampling.documents_sample(docs, "lang", F.lit(True), 10, 1000, 6) == {"en": ["t 0"]}
+    both = spark.createDataFrame([(7, 0), (7, 1), (None, 1), (8, None), (9, 3)], "doc_id int, quality int")
+    assert sampling.labelled_sample(docs, both, "quality", F.lit(True), 10, 1000, 1)[0] == [(0, "t 0"), (1, "t 0")]
