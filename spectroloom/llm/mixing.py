@@ -8,13 +8,15 @@
    fit are added, and a bounded-knapsack dynamic programme finds the combination of the documents
    left over whose sum comes closest to what then remains.
 4. Within a length, documents are taken in a seeded order, by counts: no group of equal lengths
-   ever meets in one task, only the one bucket of its order in which the count runs out.
+   ever meets in one task, only the ids of the one bucket of its order in which the count runs out.
+   Texts are read twice, to count and to return them, and are not shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from spectroloom.llm.common import WORD, written
 
 #: Buckets of the seeded order within a (source, length).
 BUCKETS = 256
+#: Rows (below 100 bytes each) of the plan up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def word_count(text):
@@ -50,9 +54,9 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], budget: float,
 def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, dp_words: int = 1 << 16) -> list[int]:
     """How many documents of each length to take so that their words come closest to ``budget``.
 
-    What remains after the proportional and greedy steps is filled with the best sum that the
-    documents left over can make: by the programme below ``dp_words``; from there on every length
-    left over is more than half of what remains, so that the longest that fits is the best sum.
+    Each length gives its proportional share less one, then the longest documents go in while more
+    than the programme's width remains: ``dp_words`` or twice the longest document, whichever is
+    more. What then remains is filled with the best sum that all documents left over can make.
     """
     order = sorted((i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > 0), key=lambda i: -lengths[i])
     total = sum(lengths[i] * counts[i] for i in order)
@@ -61,27 +65,22 @@ def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, dp_words: in
         return take
     if budget >= total:
         return [counts[i] if lengths[i] > 0 else 0 for i in range(len(lengths))]
-    left = budget
+    left, width = budget, max(dp_words, 2 * lengths[order[0]])
     for i in order:
         # one document is held back where it can be, so that the programme has something to choose from
         take[i] = max(0, min(counts[i], budget * counts[i] // total) - 1)
         left -= take[i] * lengths[i]
     for i in order:
-        if left < dp_words:
+        if left < width:
             break
-        more = min(counts[i] - take[i], max(0, left - dp_words // 2) // lengths[i])
+        # half the width is no less than the longest document, so that this ends below the width
+        more = min(counts[i] - take[i], max(0, left - width // 2) // lengths[i])
         take[i] += more
         left -= more * lengths[i]
-    if left >= dp_words:
-        for i in order:
-            more = min(counts[i] - take[i], left // lengths[i])
-            take[i] += more
-            left -= more * lengths[i]
-        return take
     # bounded knapsack over sums up to left: bit s of reach is set if s words can be made; each
     # count is split into powers of two, and the items are walked back from the best sum.
     # Of a sum only the item that first made it is kept: what it was made from came earlier.
-    mask, reach, items, made = (1 << (left + 1)) - 1, 1, [], {}
+    mask, reach, items, made = (1 << (left + 1)) - 1, 1, [], np.zeros(left + 1, np.int32)
     for i in order:
         free = min(counts[i] - take[i], left // lengths[i])
         k = 1
@@ -89,9 +88,7 @@ def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, dp_words: in
             k = min(k, free)
             new = reach << k * lengths[i] & mask & ~reach
             reach |= new
-            while new:
-                made[new.bit_length() - 1] = len(items)
-                new ^= 1 << new.bit_length() - 1
+            made[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little"))] = len(items)
             items.append((i, k))
             free -= k
             k *= 2
@@ -111,41 +108,57 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget_share: flo
     Sources in code-point order (null last) get ``weights`` in turn. Every input row is returned:
     ``taken`` is ``size`` times the document's repeats, 0 if the mix leaves it out. Null and empty
     texts have size 0 and are never worth taking. Rows that agree in id, source and size are
-    interchangeable. Same-named columns of the input are replaced. Reruns agree.
+    interchangeable: where a quota ends among them, a hash of their values decides. Columns of the four
+    names above are replaced, all others stay, whatever they are called. Reruns agree. An empty table
+    gives no rows. The driver holds a row for each source.
     """
     spark = docs.sparkSession
-    base = docs.drop("size", "source_size", "target", "taken")
-    base = base.withColumn("size", word_count(F.col(text))).withColumn("_mix_order", F.xxhash64(F.lit(seed), F.col(doc_id)))
-    base = base.withColumn("_mix_bucket", F.pmod(F.shiftright("_mix_order", 20), F.lit(BUCKETS)).cast("int"))
-    # one pass over the texts: a row per (source, length, bucket)
-    slim = base.select(F.col(source).alias("_source"), "size", "_mix_bucket")
-    counted = written(slim.groupBy("_source", "size", "_mix_bucket").agg(F.count("*").alias("_mix_n")))
-    histogram = counted.groupBy("_source", "size").agg(F.sum("_mix_n").alias("_mix_n"))
-    sources = histogram.groupBy("_source").agg(F.sum(F.col("size") * F.col("_mix_n")).alias("words"))
-    # a row per source: what a mix is specified by
+    kept = docs.drop("size", "source_size", "target", "taken")
+    # the input's columns travel in one struct, so that no name of theirs can clash
+    base = kept.select(F.struct("*").alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(doc_id).alias("id"))
+    base = base.withColumn("order", F.xxhash64(F.lit(seed), "id"))
+    base = base.withColumn("bucket", F.pmod(F.shiftright("order", 20), F.lit(BUCKETS)).cast("int"))
+    # one pass over the texts: what the rest is decided by, without them
+    slim = written(base.select("source", "size", "bucket", "order", "id"))
+    counted = written(slim.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")))
+    histogram = counted.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    sources = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     known = sorted(sources.collect(), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     sizes = [int(r["words"]) for r in known]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(known))], budget_share * sum(sizes), max_epochs)
-    spec = spark.createDataFrame([(r[0], s, t) for r, s, t in zip(known, sizes, targets, strict=True)], "_key string, source_size long, target double")
+    spec = spark.createDataFrame([(r[0], s, t) for r, s, t in zip(known, sizes, targets, strict=True)], "key string, source_size long, target double")
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
         epochs = int(target // size) if size else 0
         group = group.sort_values("size")
-        group["_mix_repeats"] = epochs
-        group["extra"] = fit(group["size"].tolist(), group["_mix_n"].tolist(), int(round(target)) - epochs * size)
-        return group[["_source", "size", "source_size", "target", "_mix_repeats", "extra"]]
-
-    with_spec = histogram.join(spec, F.col("_source").eqNullSafe(F.col("_key"))).drop("_key")
-    plan = written(with_spec.groupBy("_source").applyInPandas(fitted, "_source string, size long, source_size long, target double, _mix_repeats long, extra long"))
-    # how far each bucket of the seeded order is taken
-    window = Window.partitionBy("_source", "size").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    p = plan.withColumnsRenamed({"_source": "_mix_s", "size": "_mix_z"})
-    reach = counted.withColumn("before", F.coalesce(F.sum("_mix_n").over(window), F.lit(0))).join(p, F.col("_source").eqNullSafe(F.col("_mix_s")) & (F.col("size") == F.col("_mix_z"))).drop("_mix_s", "_mix_z")
-    reach = reach.select(F.col("_source").alias("_mix_s"), F.col("size").alias("_mix_z"), F.col("_mix_bucket").alias("_mix_b"), "source_size", "target", "_mix_repeats", F.greatest(F.lit(0), F.least("_mix_n", F.col("extra") - F.col("before"))).alias("_mix_quota"), "_mix_n")
-    joined = base.join(reach, F.col(source).eqNullSafe(F.col("_mix_s")) & (F.col("size") == F.col("_mix_z")) & (F.col("_mix_bucket") == F.col("_mix_b"))).drop("_mix_s", "_mix_z", "_mix_b")
-    part = F.col("_mix_quota").between(1, F.col("_mix_n") - 1)
-    # only buckets that are taken in part need an order within
-    rank = F.row_number().over(Window.partitionBy(source, "size", "_mix_bucket", F.when(part, F.lit(-1)).otherwise(F.pmod("_mix_order", F.lit(997)))).orderBy("_mix_order", doc_id))
-    chosen = F.when(part, rank <= F.col("_mix_quota")).otherwise(F.col("_mix_quota") > 0)
-    return joined.withColumn("_mix_chosen", chosen).withColumn("taken", F.col("size") * (F.col("_mix_repeats") + F.col("_mix_chosen").cast("long"))).drop("_mix_order", "_mix_bucket", "_mix_quota", "_mix_n", "_mix_repeats", "_mix_chosen")
+        group["repeats"] = epochs
+        group["extra"] = fit(group["size"].tolist(), group["n"].tolist(), int(round(target)) - epochs * size)
+        return group[["source", "size", "source_size", "target", "repeats", "extra"]]
+
+    with_spec = histogram.join(spec, F.col("source").eqNullSafe(F.col("key"))).drop("key")
+    plan = written(with_spec.groupBy("source").applyInPandas(fitted, "source string, size long, source_size long, target double, repeats long, extra long"))
+    plan = plan.withColumnsRenamed({"source": "of", "size": "words"})
+    own = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("words"))
+    # of each (source, size) the bucket in which its documents run out, and how many that bucket gives
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = counted.withColumn("before", before).join(plan, own).where((F.col("before") <= F.col("extra")) & (F.col("extra") < F.col("before") + F.col("n")))
+    ends = steps.select("of", "words", F.col("bucket").alias("cut"), (F.col("extra") - F.col("before")).alias("quota"))
+    # within that bucket the key at which its quota is used up; a key is one document's, unless ids repeat
+    keys = slim.join(ends.where("quota > 0"), own & (F.col("bucket") == F.col("cut"))).groupBy("of", "words", "quota", "order", "id").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("of", "words").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, 0))
+    last = keys.withColumn("so_far", so_far).where((F.col("quota") <= F.col("so_far")) & (F.col("so_far") - F.col("n") < F.col("quota")))
+    last = last.select("of", "words", F.struct("order", "id").alias("key"), (F.col("quota") - F.col("so_far") + F.col("n")).alias("from_key"), F.col("n").alias("at_key"))
+    plan = written(plan.join(ends.drop("quota").withColumnsRenamed({"of": "of1", "words": "words1"}), F.col("of").eqNullSafe(F.col("of1")) & (F.col("words") == F.col("words1")), "left").drop("of1", "words1")
+                   .join(last.withColumnsRenamed({"of": "of2", "words": "words2"}), F.col("of").eqNullSafe(F.col("of2")) & (F.col("words") == F.col("words2")), "left").drop("of2", "words2"))
+    # a row for each source and length; beyond the bound texts are shuffled to it instead
+    joined = base.join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan, own)
+    at = F.struct("order", "id")
+    inside = F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & F.coalesce(at < F.col("key"), F.lit(False)))
+    on_key = (F.col("bucket") == F.col("cut")) & F.coalesce(at == F.col("key"), F.lit(False))
+    done = lambda rows, chosen: rows.select("row.*", "size", "source_size", "target", (F.col("size") * (F.col("repeats") + chosen.cast("long"))).alias("taken"))
+    if not plan.where("from_key < at_key").limit(1).count():
+        return done(joined, inside | on_key)
+    values = F.xxhash64(*[F.col("row")[f.name] for f in kept.schema.fields if "map" not in f.dataType.simpleString()])
+    tied = joined.where(on_key).withColumn("rank", F.row_number().over(Window.partitionBy("of", "words").orderBy(values)))
+    return done(joined.where(~on_key), inside).unionByName(done(tied, F.col("rank") <= F.col("from_key")))

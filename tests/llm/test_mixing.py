@@ -102,3 +102,26 @@ def test_fit_of_very_long_documents():
         got = sum(t * z for t, z in zip(take, lengths, strict=True))
         assert got <= budget and all(0 <= t <= c for t, c in zip(take, counts, strict=True))
         assert all(t == c or z > budget - got for t, c, z in zip(take, counts, lengths, strict=True))
+
+
+def test_fit_is_exact_for_documents_longer_than_the_programme():
+    take = mixing.fit([70_000, 100_001, 130_003], [3, 3, 3], 210_000)
+    assert take == [3, 0, 0]
+
+
+def test_internal_names_repeated_rows_and_both_joins(spark, monkeypatch):
+    names = ("row", "id", "order", "bucket", "of", "words", "cut", "key", "from_key", "at_key", "quota", "n", "repeats", "extra", "rank", "_mix_n", "source_size", "target")
+    rows = [(7 if i % 2 else i, "a b c" if i % 3 else "a b", "s", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mine int")
+    for n in names:
+        df = df.withColumn(n, F.lit(f"mine {n}"))
+    seen = []
+    for bound in (mixing.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", bound)
+        got = rows_of(mixing.mix(df, budget_share=0.37))
+        assert sorted(r["mine"] for r in got) == list(range(400)) and all(r[n] == f"mine {n}" for r in got for n in names[:-2])
+        assert sum(r["taken"] for r in got) == round(got[0]["target"]) and all(r["taken"] in (0, r["size"]) for r in got)
+        seen.append(sorted((r["mine"], r["taken"]) for r in got))
+    assert seen[0] == seen[1]
+    text_ids = df.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", "source")
+    assert sum(r["taken"] for r in rows_of(mixing.mix(text_ids, budget_share=0.37))) == sum(t for _, t in seen[0])
