@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectroloom.llm.common import ascii_lower, written
+from spectroloom.llm.common import ascii_lower, free, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of a test-side table (a phrase of a few words each) up to which it may be broadcast.
@@ -122,6 +122,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without its contaminated rows, all columns as they were."""
-    bad = written(contamination(docs, items, window, share, doc_id, text).where("contaminated").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct())
-    return docs.join(_small(bad), F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_h")), "left_anti")
+    """``docs`` without its contaminated rows, all columns as they were, whatever they are called."""
+    id_, hash_ = free(docs, "_id", "_hash")
+    bad = written(contamination(docs, items, window, share, doc_id, text).where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct())
+    return docs.join(_small(bad), F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_)), "left_anti")

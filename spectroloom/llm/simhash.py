@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectroloom.llm.common import fanout, written
+from spectroloom.llm.common import fanout, free, wider, written
 from spectroloom.llm.graph import components
 
 SEED = 42
@@ -51,7 +51,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, print): the fingerprint as a signed long and a hash of the text, which tells rows
-    of the same id apart. Null and wordless texts have fingerprint 0."""
+    of the same id apart. Null and wordless texts have fingerprint 0. Ids keep their type."""
+    ids = docs.select(F.col(doc_id).alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +60,7 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "print"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, fp long, print long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text), F.xxhash64(text)).mapInArrow(run, wider(ids, fp="long", print="long"))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -182,16 +183,19 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, doc_id: st
 def representatives(docs: DataFrame, most: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near duplicates: that of its least id, all columns as they were.
 
-    Rows without an id count as the last of a group; rows of equal id are ordered by a hash of
-    their text, and of equal rows one stays.
+    Rows without an id count as the last of a group. Rows of equal id are ordered by a hash of their
+    text, rows of equal id and text by a hash of all their columns but maps, so that reruns agree; of
+    rows that are equal in all this one stays. Extra columns may have any name.
     """
     found = written(near_duplicates(docs, most, shingle, doc_id, text))
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("k"))
-    keys = keep.select(F.col("k.doc_id").alias("_id"), F.col("k.print").alias("_print"))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_print"))
-    repeated = found.groupBy("doc_id", "print").count().where("count > 1").limit(1).count()
-    if not repeated:
+    id_, print_, row_, i, p, r = free(docs, "_id", "_print", "_row", "_i", "_p", "_r")
+    keys = keep.select(F.col("k.doc_id").alias(id_), F.col("k.print").alias(print_))
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(print_))
+    if not found.groupBy("doc_id", "print").count().where("count > 1").limit(1).count():
         return docs.join(keys, same, "left_semi")
-    kept = docs.join(keys, same)
-    first = F.row_number().over(Window.partitionBy("_id", "_print").orderBy(F.lit(1)))
-    return kept.withColumn("_first", first).where("_first = 1").drop("_id", "_print", "_first")
+    # repeated rows: both steps are combined before they are shuffled, however many rows are equal
+    kept = docs.join(keys, same).withColumn(row_, F.xxhash64(*[f.name for f in docs.schema.fields if "map" not in f.dataType.simpleString()]))
+    least = kept.groupBy(id_, print_).agg(F.min(row_).alias(row_))
+    first = least.select(F.col(id_).alias(i), F.col(print_).alias(p), F.col(row_).alias(r))
+    return kept.join(first, F.col(id_).eqNullSafe(F.col(i)) & (F.col(print_) == F.col(p)) & (F.col(row_) == F.col(r)), "left_semi").dropDuplicates([id_, print_]).drop(id_, print_, row_)

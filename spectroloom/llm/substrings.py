@@ -7,14 +7,19 @@ needs, and each stream meets only the shard it needs:
 1. Documents are dealt into buckets of bounded size by a hash of their id.
 2. Each window has an anchor, the least hash of the runs of ``least // 2`` words inside it. Buckets
    send their distinct anchors, and hear back which of them other documents have too.
-3. For windows with such an anchor, buckets send hash, least id and count, and hear back the first
-   document of each repeated window. One entry a bucket and window: hot windows are aggregated
-   before they move.
+3. For windows with such an anchor, buckets send a hash of 128 bits, least id and count, and hear
+   back the first document of each repeated window. One entry a bucket and window: hot windows are
+   aggregated before they move.
 4. A first document's repeated passages are its reference shard; runs of windows of other documents
    that first occur in it are its streams. The shard's suffix automaton gives exact matching
    statistics of each stream, and words under a match of ``least`` words or more are removed: no
    hash decides what goes. Equal streams of a bucket travel and are read once. Shards whose windows
-   occur very often are copied, and the buckets' streams divided among the copies.
+   occur very often are copied, at most once for four buckets that send streams, and the streams
+   divided among the copies.
+
+Hashes decide what is looked at: a repeat could stay only if two different windows had equal 128 bits
+(among 10^13 windows, 100 TB of text, a chance of about 10^-13). The shards are not broadcast: the
+repeated passages grow with the corpus, and every document would have to read all of them.
 """
 
 from __future__ import annotations
@@ -29,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectroloom.llm.common import fanout, wider
+from spectroloom.llm.common import fanout, free, wider, written
 from spectroloom.llm.simhash import pack
 
 #: Bytes of text in a bucket, about.
 BUCKET_BYTES = 8 << 20
-#: Occurrences of a window from which its shard is copied.
-HOT = 64
+#: Occurrences of a window from which its shard is copied, and the buckets that a copy answers at least.
+HOT, SENDERS = 64, 4
 BASE = 0x9E3779B97F4A7C15
 SPACE = re.compile(rb"([\x20\x09-\x0d]+)")
 
@@ -152,11 +157,11 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 class Bucket:
     """Words and windows of a bucket's documents, in a fixed order. Rows without an id have no windows."""
 
-    def __init__(self, table: pa.Table, least: int, doc_id: str, text: str):
+    def __init__(self, table: pa.Table, least: int):
         import xxhash
 
         h = xxhash.xxh64_intdigest
-        rows = [(i, (t or "").encode()) for i, t in zip(table.column(doc_id).to_pylist(), table.column(text).to_pylist(), strict=True)]
+        rows = [(i, (t or "").encode()) for i, t in zip(table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True)]
         self.prints = [h(t, 1) - (1 << 63) for _, t in rows]
         self.order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, self.prints[k]))
         self.rows = rows
@@ -195,18 +200,34 @@ class Bucket:
         return values, low < high
 
     def keep(self, anchors: np.ndarray) -> None:
-        """Only windows with one of these anchors stay."""
+        """Only windows with one of these anchors stay; ``window`` and ``second`` are their 128 bits."""
+        import xxhash
+
         near = np.isin(self.anchor, anchors)
         self.position, self.document = self.position[near], self.document[near]
-        self.window = _runs(self.every, self.least)[self.position] if len(self.position) else np.zeros(0, np.uint64)
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows with their least document and count; ``self.which`` leads back to them."""
-        values, self.which = np.unique(self.window, return_inverse=True)
-        least = np.full(len(values), np.iinfo(np.int64).max)
-        if len(values):
+        again = np.zeros(len(self.every), np.uint64)
+        for d in np.unique(self.document):
+            a, b = self.starts[d], self.starts[d + 1]
+            again[a:b] = np.fromiter((xxhash.xxh64_intdigest(w, 2) for w in self.rows[self.owner[d]][1].split()), np.uint64, b - a)
+        self.window, self.second = (_runs(x, self.least)[self.position] if len(self.position) else np.zeros(0, np.uint64) for x in (self.every, again))
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows (two columns) with their least document and count; ``self.which`` leads back to them."""
+        first, second, self.which = _distinct(self.window, self.second)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        if len(first):
             np.minimum.at(least, self.which, self.ids[self.document])
-        return values, least, np.bincount(self.which, minlength=len(values))
+        return first, second, least, np.bincount(self.which, minlength=len(first))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of two columns, sorted, and which of them each row is."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return a[order][new], b[order][new], which
 
 
 def _part(x: np.ndarray, parts: int) -> np.ndarray:
@@ -217,25 +238,25 @@ def _read(table: pa.Table, column: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(b, kind) for b in table.column(column).to_pylist()]
 
 
-NAMES = ["bucket", "part", "kind", "a", "b", "c"]
-PACKED = "bucket long, part int, kind int, a binary, b binary, c binary"
-SEGMENT = "shard int, first long, copies int, copy int, bucket long, reference boolean, words binary, members binary"
+NAMES = ["bucket", "part", "kind", "a", "b", "c", "d"]
+PACKED = "bucket long, part int, kind int, a binary, b binary, c binary, d binary"
+SEGMENT = "first long, copies int, copy int, bucket long, reference boolean, words binary, members binary"
 SPAN = "bucket long, doc long, print long, start long, stop long"
 
 
 def _packed(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
 
 
-def removed_spans(docs: DataFrame, parts: int, least: int, doc_id: str, text: str) -> DataFrame:
-    """SPAN rows: words [start, stop) of (doc, print) that are repeats. ``docs`` has a _bucket column."""
+def removed_spans(docs: DataFrame, parts: int, least: int) -> DataFrame:
+    """SPAN rows: words [start, stop) of (doc, print) that are repeats. ``docs`` has bucket, id (long) and text."""
 
     def anchors(table: pa.Table) -> pa.Table:
-        bucket = table.column("_bucket")[0].as_py()
-        values, several = Bucket(table, least, doc_id, text).anchors()
-        return _packed([(bucket, p, 0, a, b, b"") for p, (a, b) in pack(_part(values, parts), [values, several.astype(np.uint8)], parts)])
+        bucket = table.column("bucket")[0].as_py()
+        values, several = Bucket(table, least).anchors()
+        return _packed([(bucket, p, 0, a, b, b"", b"") for p, (a, b) in pack(_part(values, parts), [values, several.astype(np.uint8)], parts)])
 
     def recurring(table: pa.Table) -> pa.Table:
         sent = _read(table, "a", np.uint64)
@@ -248,11 +269,11 @@ def removed_spans(docs: DataFrame, parts: int, least: int, doc_id: str, text: st
         for bucket, s in zip(table.column("bucket").to_pylist(), sent, strict=True):
             found = s[again[np.searchsorted(values, s)]]
             if len(found):
-                out.append((bucket, 0, 0, found.tobytes(), b"", b""))
+                out.append((bucket, 0, 0, found.tobytes(), b"", b"", b""))
         return _packed(out)
 
     def known(table: pa.Table, side: pa.Table) -> Bucket:
-        bucket = Bucket(table, least, doc_id, text)
+        bucket = Bucket(table, least)
         kind = side.column("kind").to_pylist()
         bucket.keep(np.concatenate([np.zeros(0, np.uint64), *(a for a, k in zip(_read(side, "a", np.uint64), kind, strict=True) if k == 0)]))
         return bucket
@@ -260,33 +281,35 @@ def removed_spans(docs: DataFrame, parts: int, least: int, doc_id: str, text: st
     def windows(table: pa.Table, side: pa.Table) -> pa.Table:
         if not table.num_rows or not side.num_rows:
             return _packed([])
-        number = table.column("_bucket")[0].as_py()
-        values, first, count = known(table, side).windows()
-        return _packed([(number, p, 1, *blobs) for p, blobs in pack(_part(values, parts), [values, first, count.astype(np.int64)], parts)])
+        number = table.column("bucket")[0].as_py()
+        values, second, first, count = known(table, side).windows()
+        return _packed([(number, p, 1, *blobs) for p, blobs in pack(_part(values, parts), [values, second, first, count.astype(np.int64)], parts)])
 
     def firsts(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        sent, low, counts = _read(table, "a", np.uint64), _read(table, "b", np.int64), _read(table, "c", np.int64)
-        values, at = np.unique(np.concatenate(sent), return_inverse=True)
-        first, total = np.full(len(values), np.iinfo(np.int64).max), np.bincount(at, np.concatenate(counts), len(values)).astype(np.int64)
-        np.minimum.at(first, at, np.concatenate(low))
+        sent = _read(table, "a", np.uint64)
+        low, counts = (np.concatenate(_read(table, c, np.int64)) for c in "cd")
+        values, _, at = _distinct(np.concatenate(sent), np.concatenate(_read(table, "b", np.uint64)))
+        first, total = np.full(len(values), np.iinfo(np.int64).max), np.bincount(at, counts, len(values))
+        np.minimum.at(first, at, low)
         # copies of a shard: a power of two, so that neighbouring windows agree
-        copies = np.left_shift(1, np.ceil(np.log2(np.maximum(1, total / HOT))).astype(np.int64)) * (total > 1)
+        wanted = np.minimum(total / HOT, np.bincount(at, minlength=len(values)) / SENDERS)
+        copies = np.left_shift(1, np.ceil(np.log2(np.maximum(1, wanted))).astype(np.int64)) * (total > 1)
         ends = np.cumsum([len(s) for s in sent])
-        return _packed([(bucket, part, 1, s.tobytes(), first[i].tobytes(), copies[i].astype(np.int32).tobytes()) for bucket, s, i in zip(table.column("bucket").to_pylist(), sent, np.split(at, ends[:-1]), strict=True)])
+        # answers stand in the order of what each bucket sent
+        return _packed([(bucket, part, 1, b"", first[i].tobytes(), copies[i].astype(np.int32).tobytes(), b"") for bucket, i in zip(table.column("bucket").to_pylist(), np.split(at, ends[:-1]), strict=True)])
 
     def segments(table: pa.Table, side: pa.Table) -> pa.Table:
         out: dict[tuple, list] = {}
-        number = table.column("_bucket")[0].as_py() if table.num_rows else 0
+        number = table.column("bucket")[0].as_py() if table.num_rows else 0
         if table.num_rows and side.num_rows:
             b = known(table, side)
-            values, _, _ = b.windows()
+            values, _, _, _ = b.windows()
             first, copies = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
-            kind = side.column("kind").to_pylist()
-            for k, v, f, c in zip(kind, _read(side, "a", np.uint64), side.column("b").to_pylist(), side.column("c").to_pylist(), strict=True):
+            part = _part(values, parts)
+            for k, p, f, c in zip(*(side.column(x).to_pylist() for x in ("kind", "part", "b", "c")), strict=True):
                 if k == 1:
-                    at = np.searchsorted(values, v)
-                    first[at], copies[at] = np.frombuffer(f, np.int64), np.frombuffer(c, np.int32)
+                    first[part == p], copies[part == p] = np.frombuffer(f, np.int64), np.frombuffer(c, np.int32)
             f, c, own = first[b.which], copies[b.which], b.ids[b.document]
             live = np.flatnonzero(c > 0)
             # a first document repeats a window itself: once is enough, and it is no stream of its own
@@ -307,12 +330,11 @@ def removed_spans(docs: DataFrame, parts: int, least: int, doc_id: str, text: st
                     start = int(p[i] - b.starts[held])
                     piece = b" ".join(words[start : int(p[j - 1] - b.starts[held]) + least])
                     reference = bool(f[i] == own[i])
-                    for copy in range(int(c[i])) if reference else [number % int(c[i])]:
-                        members = out.setdefault((int(f[i]), int(c[i]), copy, reference, piece), [])
-                        if not reference:
-                            members.append((int(own[i]), b.prints[b.owner[held]], start))
-        rows = [(hash((f, c, copy)) % parts, f, c, copy, number, reference, piece, np.array(m, np.int64).tobytes()) for (f, c, copy, reference, piece), m in out.items()]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+                    members = out.setdefault((int(f[i]), int(c[i]), number % int(c[i]), reference, piece), [])
+                    if not reference:
+                        members.append((int(own[i]), b.prints[b.owner[held]], start))
+        rows = [(f, c, copy, number, reference, piece, np.array(m, np.int64).tobytes()) for (f, c, copy, reference, piece), m in out.items()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in SEGMENT.split(", ")]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
         return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
@@ -335,16 +357,30 @@ def removed_spans(docs: DataFrame, parts: int, least: int, doc_id: str, text: st
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=["bucket", "doc", "print", "start", "stop"])
 
-    dealt = docs.select("_bucket", doc_id, text)
-    sent = dealt.groupBy("_bucket").applyInArrow(anchors, PACKED)
+    dealt = docs.select("bucket", "id", "text")
+    sent = dealt.groupBy("bucket").applyInArrow(anchors, PACKED)
     heard = sent.groupBy("part").applyInArrow(recurring, PACKED)
-    seen = dealt.groupBy("_bucket").cogroup(heard.groupBy("bucket")).applyInArrow(windows, PACKED)
+    seen = dealt.groupBy("bucket").cogroup(heard.groupBy("bucket")).applyInArrow(windows, PACKED)
     answered = seen.groupBy("part").applyInArrow(firsts, PACKED)
     both = heard.union(answered)
-    pieces = dealt.groupBy("_bucket").cogroup(both.groupBy("bucket")).applyInArrow(segments, SEGMENT)
+    pieces = dealt.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(segments, SEGMENT)
+    # a reference goes to every copy of its shard
+    every = F.when(F.col("reference"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array("copy"))
+    pieces = pieces.withColumn("copy", F.explode(every)).withColumn("shard", F.pmod(F.xxhash64("first", "copies", "copy"), F.lit(parts)))
     return pieces.groupBy("shard").applyInArrow(verified, SPAN)
 
 
+def numbered(docs: DataFrame, doc_id: str, name: str) -> DataFrame:
+    """``docs`` with a long column ``name`` that orders rows as ``doc_id`` does; null where that is null."""
+    if docs.schema[doc_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        return docs.withColumn(name, F.col(doc_id).cast("long"))
+    of, n = free(docs, "_of", "_n")
+    ids = docs.select(F.col(doc_id).alias(of)).where(F.col(of).isNotNull()).distinct()
+    # ids are sorted in ranges, and numbers grow from range to range; written, they stay what they are
+    ids = written(ids.orderBy(of).withColumn(n, F.monotonically_increasing_id()))
+    return docs.join(ids, F.col(doc_id) == F.col(of), "left").withColumnRenamed(n, name).drop(of)
+
+
 def without_repeats(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str = "text", texts: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed``, ``kept_sha256`` and, if ``texts``, ``kept`` in place of
     ``text``: what is left with the white space behind it, a text that loses nothing as it was.
@@ -352,18 +388,20 @@ def without_repeats(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", te
     A word goes if it lies in a window of ``least`` words that also starts in a document with a
     smaller id; windows are judged on the input. Null and empty texts have no words and stay as they
     are; rows without an id neither lose words nor take any; repeated ids are judged row by row and
-    never against each other. Columns of the names above are replaced, others stay. An empty table
-    gives no rows.
+    never against each other. Columns of the names above are replaced, others stay, whatever they are
+    called. Ids are compared as numbers if they are whole numbers, else in their own order. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "_bucket")
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    bucket, number = free(docs, "_bucket", "_number")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(fanout(spark), -(-size // bucket_bytes))
-    number = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))), F.lit(buckets)).alias("_bucket")
-    dealt = docs.withColumn(doc_id, F.col(doc_id).cast("long")).select("*", number)
+    dealt = numbered(docs, doc_id, number)
+    dealt = dealt.withColumn(bucket, F.pmod(F.xxhash64(F.coalesce(F.col(number), F.xxhash64(text))), F.lit(buckets)))
     # a partition of windows gets entries from all buckets: about those of four buckets in all
-    spans = removed_spans(dealt, max(fanout(spark), buckets // 4), least, doc_id, text)
-    plain = dealt.drop("_bucket") if texts else dealt.select(doc_id)
+    spans = removed_spans(dealt.select(F.col(bucket).alias("bucket"), F.col(number).alias("id"), F.col(text).alias("text")), max(fanout(spark), buckets // 4), least)
+    plain = docs if texts else docs.select(doc_id)
     schema = wider(plain, n_words="long", n_removed="long", kept_sha256="string")
     names, at = schema.names, plain.columns
 
@@ -374,7 +412,7 @@ def without_repeats(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", te
         for doc, mark, a, b in zip(*(side.column(x).to_pylist() for x in ("doc", "print", "start", "stop")), strict=True):
             gone[doc, mark].append((a, b))
         counts, removed, digests, kept = [], [], [], []
-        for i, t in zip(table.column(doc_id).to_pylist(), table.column(text).to_pylist(), strict=True):
+        for i, t in zip(table.column(number).to_pylist(), table.column(text).to_pylist(), strict=True):
             raw = (t or "").encode()
             words = raw.split()
             spans = gone.get((i, xxhash.xxh64_intdigest(raw, 1) - (1 << 63))) if gone else None
@@ -399,5 +437,5 @@ def without_repeats(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", te
         columns |= {"n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table([columns[c] for c in names], names=names)
 
-    source = dealt if texts else dealt.select("_bucket", doc_id, text)
-    return source.groupBy("_bucket").cogroup(spans.groupBy("bucket")).applyInArrow(finish, schema)
+    source = dealt if texts else dealt.select(bucket, number, doc_id, text)
+    return source.groupBy(bucket).cogroup(spans.groupBy("bucket")).applyInArrow(finish, schema)

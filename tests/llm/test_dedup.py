@@ -166,3 +166,32 @@ def test_repeats_odd_rows(spark):
 
 def test_substrings_query_against_sql(spark):
     same_rows(queries.op8_substrings(spark, f"{DATA}/sf0.01"), duck("sf0.01").execute(queries.OP8_SQL))
+
+
+def test_any_column_name_and_any_id(spark):
+    names = ("_id", "_print", "_row", "_i", "_p", "_r", "_bucket", "_number", "_of", "_n", "bucket", "id", "doc")
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [("b10", "same text here now"), ("b9", "same text here now"), (None, "same text here now"), ("a", "x " + long), ("b", long + " y"), ("b", long + " y"), ("c", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("which", F.monotonically_increasing_id())
+    for n in names:
+        df = df.withColumn(n, F.lit(f"mine {n}"))
+    kept = simhash.representatives(df)
+    assert kept.columns == df.columns
+    # the two rows with long texts are no near duplicates; one of each other group stays, the least id's
+    assert sorted(r["doc_id"] for r in kept.collect()) == ["a", "b", "b10", "c"]
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect() if r["doc_id"] != "a"} >= {("b9", "b10"), ("b10", "b10"), (None, "b10"), ("c", "c")}
+    done = substrings.without_repeats(df)
+    assert done.columns == [*df.columns, "n_words", "n_removed", "kept_sha256"]
+    got = sorted((str(r["doc_id"]), r["n_removed"], r["text"], r["_bucket"]) for r in done.collect())
+    assert got == sorted((str(i), 60 if i == "b" else 0, "y" if i == "b" else t, "mine _bucket") for i, t in rows)
+
+
+def test_survivor_of_repeated_rows_is_the_same_in_every_run(spark):
+    rows = [(1, "one two three", f"src{k}") for k in range(40)]
+    got = [simhash.representatives(spark.createDataFrame(r, "doc_id long, text string, source string")).collect() for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 1
+
+
+def test_windows_of_equal_first_hash_stay_apart():
+    a, b, which = substrings._distinct(np.array([5, 3, 5, 5], np.uint64), np.array([1, 9, 2, 1], np.uint64))
+    assert a.tolist() == [3, 5, 5] and b.tolist() == [9, 1, 2] and which.tolist() == [1, 0, 2, 1]
