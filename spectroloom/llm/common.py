@@ -36,11 +36,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage."""
+def written(df: DataFrame, level: int = 3) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage. ``level`` is zstandard's."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path) if partition_by else df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._loom_path = path
     return back

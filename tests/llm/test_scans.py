@@ -146,7 +146,9 @@ def test_media_rows(spark):
 
     rows = [(1, None), (2, ""), (3, "x" * 64), (4, "é" * 40), (5, "long " * 100_000), (6, "same"), (6, "same"), (None, "same")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(1)).withColumn("feature", F.lit(2))
-    got = media.digests(df).collect()
+    # rows are written and read back, in any order
+    place = {i: k for k, i in enumerate((1, 2, 3, 4, 5, 6, None))}
+    got = sorted(media.digests(df).collect(), key=lambda r: place[r["doc_id"]])
     assert len(got) == len(rows)
     for (i, t), r in zip(rows, got, strict=True):
         raw = (t or "").encode()
@@ -155,12 +157,80 @@ def test_media_rows(spark):
         assert r["payload_sha256"] == hashlib.sha256(whole).hexdigest() and r["tail_crc32"] == zlib.crc32(whole[-64:])
     assert got[5][1:] == got[6][1:] == got[7][1:] and got[0][1:] == got[1][1:]
     kept = media.stored(df).collect()
-    assert [media.unwav(bytes(r["media"]))[3][: r["n_bytes"]] for r in kept] == [(t or "").encode() for _, t in rows]
+    assert [media.payload_of(bytes(r["media"]))[: r["n_bytes"]] for r in kept] == [(t or "").encode() for _, t in rows]
     assert media.digests(df.limit(0)).count() == 0
 
 
-def test_media_query(spark):
-    assert queries.op7_media(spark, f"{DATA}/sf0.001").count() == 200
+def slow_expand(byte, law):
+    """G.711 from its definition."""
+    if law == "mu":
+        byte = ~byte & 255
+        size = ((((byte & 15) << 3) + 132) << ((byte & 112) >> 4)) - 132
+        return -size if byte & 128 else size
+    byte ^= 0x55
+    segment, size = (byte & 112) >> 4, ((byte & 15) << 4) + 8
+    size = size if not segment else (size + 256) << (segment - 1)
+    return size if byte & 128 else -size
+
+
+def test_media_query_against_plain_python(spark):
+    """Every column of the query over a whole table, from definitions and one sample at a time."""
+    import hashlib
+    import math
+    import zlib
+
+    def pcm_of(x, ratio):
+        half = 8 * ratio
+        sinc = lambda v: 1.0 if v == 0 else math.sin(math.pi * v) / (math.pi * v)
+        kernel = {k: sinc(k / ratio) * (0.5 + 0.5 * math.cos(math.pi * k / (half + 1))) for k in range(-half, half + 1)}
+        total = math.fsum(kernel.values())
+        value = lambda i: math.fsum(x[i - k] * w for k, w in kernel.items() if 0 <= i - k < len(x)) / total
+        return [max(-32768, min(32767, round(value(i)))) for i in range(0, len(x), ratio)] if len(x) > 1 else x
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
+    got = queries.op7_media(spark, f"{DATA}/sf0.001").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    kinds, checked = set(), 0
+    for r in got:
+        raw = (docs[r["doc_id"]] or "").encode()
+        data = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        kind = zlib.crc32(data) % 8
+        tag, block, bits = (17, 68, 4) if kind == 0 else (6, 1, 8) if kind < 4 else (7, 1, 8)
+        body = b"".join(b"\0\0\0\0" + data[k : k + 64] for k in range(0, len(data), 64)) if tag == 17 else data
+        fmt = struct.pack("<HHIIHH", tag, 1, 8000, 8000 * 68 // 129 if tag == 17 else 8000, block, bits) + (struct.pack("<HH", 2, 129) if tag == 17 else b"\0\0")
+        riff = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(body)) + body
+        file = b"RIFF" + struct.pack("<I", len(riff)) + riff
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        if len(data) <= 2000 and (tag not in kinds or checked < 25):
+            kinds.add(tag)
+            checked += 1
+            x = slow_adpcm(body, 68) if tag == 17 else [slow_expand(b, "mu" if tag == 7 else "a") for b in body]
+            want = pcm_of(x, 4)
+            seen = dict(part.split("=") for part in r["feature"].split(";"))
+            assert int(seen["n"]) == len(want)
+            assert abs(float(seen["rms"]) - math.sqrt(sum(v * v for v in want) / len(want))) < 1
+            assert abs(int(seen["peak"]) - max(map(abs, want))) <= 0.51
+    assert kinds == {6, 7, 17} and checked >= 25
+    assert len({r["feature"] for r in got}) == len({r["payload_sha256"] for r in got})
+
+
+def test_media_is_low_passed_and_any_id_is_kept(spark):
+    t = np.arange(8000) / 8000
+    low = (10_000 * np.sin(2 * np.pi * 300 * t)).astype(np.int16)
+    middle = lambda x: np.abs(media.resample(x, 8000, 2000)[200:1800].astype(int)).max()
+    for f in (1500, 2700, 3900):
+        assert middle((10_000 * np.sin(2 * np.pi * f * t)).astype(np.int16)) < 300
+    assert middle(low) > 9000
+    got = media.digests(spark.createDataFrame([("a", "x"), (None, None)], "doc_id string, text string").withColumn("pcm", F.lit(1))).collect()
+    assert [r["doc_id"] for r in got] == ["a", None] and len({r["media_sha256"] for r in got}) == 2
+
+
+def test_adpcm_of_many_files_is_that_of_each():
+    rng = random.Random(3)
+    files = [rng.randbytes(n) for n in (0, 68, 68 * 4, 3, 68 * 2 + 30, 68 + 30)]
+    for file, got in zip(files, media.adpcm_decode_all(files, 68), strict=True):
+        assert got.tolist() == slow_adpcm(file, 68)
 
 
 def test_license_texts_are_found_however_wrapped(spark):
