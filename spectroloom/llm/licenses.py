@@ -1,14 +1,17 @@
 """License scans by canonical digests, with DataFrame operations only.
 
-A text is brought to a canonical form - lines of copyright notices go, A-Z is lower-cased,
-punctuation and white space become single spaces, equivalent spellings become one - and the
-SHA-256 digest of the entire form is hash-joined to the digests of known license texts and
-notices. Every document is looked up as a whole and line by line. A text with lines that begin like
-a notice of copyright and are none (a wrapped sentence, an item "(c)") is looked up with them as well.
+A text is brought to a canonical form - A-Z is lower-cased, lines that are notices of copyright go,
+punctuation and white space become single spaces, equivalent spellings become one - and the SHA-256
+digest of the entire form is hash-joined to the digests of known license texts and notices. Every
+document is looked up as a whole and line by line.
+
+A line is a notice only if a sign, a year, a name behind "by" or a place for one follows: items of a
+list such as "(c) You must" and wrapped sentences that begin with "copyright notice" stay.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +19,20 @@ from pyspark.sql import functions as F
 
 from spectroloom.llm.common import ascii_lower
 
-# A line that is only a notice of copyright; punctuation; spellings taken as equal.
-COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved).*$"
-#: A line that is a notice whatever stands around it: a sign, a year or a place for one follows.
-NOTICE = r"^[^a-z0-9]*(copyright[\s:,]*(\(c\)|©|&copy;|[0-9<\[{]|by\b)|(\(c\)|©)[\s,]*(copyright|[0-9<\[{])|all rights reserved[^a-z0-9]*$).*$"
-PUNCTUATION = r"[\x00-\x20!-/:-@\[-`{-~“”‘’–— ]+"
-SPELLINGS = ((r"\b(sub)?licence", "$1license"), (r"\bhttps\b", "http"), (r"\bnoninfringement\b", "non infringement"), (r"\bmerchantibility\b", "merchantability"))
+# What a notice of copyright can hold, a line that is one, punctuation, and words and phrases taken as equal.
+MARKS = ("copyright", "(c)", "©", "all rights reserved")
+NOTICE = r"(?md)^[^a-z0-9\n]*(copyright[ \t\r:,]*(\(c\)|©|&copy;|[0-9<\[{]|by\b)|(\(c\)|©)[ \t\r,]*(copyright|[0-9<\[{])|all rights reserved[^a-z0-9\n]*$).*$"
+PUNCTUATION = r"[\x00-\x09\x0B-\x20!-/:-@\[-`{-~“”‘’–—\x{A0}]+"
+SPELLINGS = (
+    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"),
+    ("cancelled", "canceled"), ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("copyright owner", "copyright holder"),
+    ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("https", "http"), ("initialise", "initialize"), ("judgement", "judgment"),
+    ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("maximise", "maximize"), ("merchantibility", "merchantability"), ("modelled", "modeled"), ("modelling", "modeling"), ("noncommercial", "non commercial"),
+    ("noninfringement", "non infringement"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"),
+    ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
+)
+#: By how much spelling changes a line's length at most, and its share of long ones: lengths tell which lines are worth a closer look.
+SLACK, SHARE = 8, 20
 
 _MIT = """MIT License
 
@@ -78,41 +89,40 @@ def license_texts() -> list[tuple[str, str]]:
     return out
 
 
-def canonical_lines(text: Column, dropped: str = COPYRIGHT) -> Column:
-    """The canonical forms of a text's lines, those that match ``dropped`` and empty ones left out."""
-    lines = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~x.rlike(dropped))
+def spelled(words: Column) -> Column:
+    """Words between single spaces, equivalent spellings made one."""
+    # with two spaces between words each has a space of its own on either side
+    out = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+    for variant, word in SPELLINGS:
+        gaps = lambda t: F.lit(" " + t.replace(" ", "  ") + " ")
+        out = F.replace(out, gaps(variant), gaps(word))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
-    def form(x: Column) -> Column:
-        x = F.regexp_replace(x, PUNCTUATION, " ")
-        # spellings only matter where one of their marks occurs
-        marked = x.contains("licence") | x.contains("https") | x.contains("noninfringement") | x.contains("merchantibility")
-        spelled = x
-        for pattern, to in SPELLINGS:
-            spelled = F.regexp_replace(spelled, pattern, to)
-        return F.trim(F.when(marked, spelled).otherwise(x))
 
-    return F.filter(F.transform(lines, form), lambda x: x != "")
+def plain_words(text: Column) -> Column:
+    """A text without notices of copyright, lower-cased (A-Z), its lines' words between single spaces; null: empty."""
+    lower = ascii_lower(F.coalesce(text, F.lit("")))
+    marked = F.contains(lower, F.lit(MARKS[0]))
+    for mark in MARKS[1:]:
+        marked = marked | F.contains(lower, F.lit(mark))
+    kept = F.when(marked, F.regexp_replace(lower, NOTICE, "")).otherwise(lower)
+    return F.regexp_replace(kept, PUNCTUATION, " ")
 
 
-def digest(lines: Column) -> Column:
-    return F.sha2(F.array_join(lines, " "), 256)
+def joined_words(words: Column) -> Column:
+    return F.trim(F.regexp_replace(words, "[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, known=None) -> DataFrame:
-    """(digest, license) of known texts in both forms; among texts of equal form the least license id counts."""
-    texts = spark.createDataFrame([(i, t) for i, t in (known or [*KNOWN, *license_texts()])], "license string, text string")
-    both = F.explode(F.array(canonical_lines(F.col("text")), canonical_lines(F.col("text"), NOTICE)))
-    forms = texts.select("license", both.alias("lines")).where(F.size("lines") > 0)
-    return forms.groupBy(digest(F.col("lines")).alias("digest")).agg(F.min("license").alias("license"))
+def canonical(text: Column) -> Column:
+    """The canonical form of an entire text; empty if nothing is left."""
+    return spelled(joined_words(plain_words(text)))
 
 
-def _other(text: Column) -> Column:
-    """The unit (whole null) of a text that has lines COPYRIGHT drops and NOTICE does not; none for others."""
-    unit = F.struct(F.lit(None).cast("boolean").alias("whole"), digest(canonical_lines(text, NOTICE)).alias("digest"))
-    # lines are only split where one of the marks occurs
-    marked = text.rlike(r"(?i)copyright|\(c\)|©|all rights reserved")
-    differs = F.exists(F.split(ascii_lower(text), "\n"), lambda x: x.rlike(COPYRIGHT) & ~x.rlike(NOTICE))
-    return F.when(F.when(marked, differs).otherwise(False), F.array(unit)).otherwise(F.array().cast("array<struct<whole:boolean,digest:string>>"))
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    """(digest, license, chars) of known texts; among texts of equal form the least license id counts."""
+    texts = spark.createDataFrame([(i, t) for i, t in (known or [*KNOWN, *license_texts()])], "license string, text string")
+    forms = texts.select("license", canonical(F.col("text")).alias("form")).where("form <> ''")
+    return forms.groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("chars")).agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,20 +130,37 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
 
     ``text_license`` is the license that the entire text is (null: none known), ``n_lines`` how
     many lines are known texts of their own and ``line_licenses`` their distinct ids, sorted. Null
-    and empty texts, and texts of nothing but punctuation or copyright lines, have the digest of
-    the empty form and no license. Repeated rows are repeated, a null id is a value, other columns
-    are ignored. ``known`` is (digest, license); the built-in table of a few rows is broadcast, one
-    that is passed in only if Spark finds it small.
+    and empty texts, and texts of nothing but punctuation or notices, have the digest of the empty
+    form and no license. Repeated rows are repeated, a null id is a value, other columns are ignored.
+    ``known`` is (digest, license, chars: the canonical form's length); the built-in table of about a
+    hundred rows is broadcast, one that is passed in only if Spark finds it small. An empty table
+    gives no rows.
     """
-    table = F.broadcast(known_digests(docs.sparkSession)) if known is None else known.groupBy("digest").agg(F.min("license").alias("license"))
-    formed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_hash"), canonical_lines(F.col(text)).alias("lines"), _other(F.col(text)).alias("other"))
-    whole = F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("lines")).alias("digest")))
-    # a text of one line is looked up once as a text and once as a line
-    units = F.concat(whole, F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(x, 256).alias("digest"))), "other")
-    looked = formed.select("doc_id", "_hash", F.inline(units)).join(table, "digest", "left")
+    builtin = known is None
+    known = known_digests(docs.sparkSession) if builtin else known
+    table = known.groupBy("digest").agg(F.min("license").alias("license"))
+    table = F.broadcast(table) if builtin else table
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"), plain_words(F.col(text)).alias("words"))
+    lines = F.filter(F.transform(F.split("words", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    if builtin:
+        # only lines of about the length of a known text are spelled and hashed
+        spans: list[list[int]] = []
+        for (n,) in sorted(known.select("chars").distinct().collect()):
+            low, high = n - SLACK - n // SHARE, n + SLACK + n // SHARE
+            if spans and low <= spans[-1][1]:
+                spans[-1][1] = high
+            else:
+                spans.append([low, high])
+        near = lambda x: reduce(lambda a, b: a | b, [F.length(x).between(*span) for span in spans], F.lit(False))
+        lines = F.filter(lines, near)
+    units = F.concat(
+        F.array(F.struct(F.lit(True).alias("whole"), F.sha2(spelled(joined_words(F.col("words"))), 256).alias("digest"))),
+        F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(spelled(x), 256).alias("digest"))),
+    )
+    looked = words.select("doc_id", "hash", F.inline(units)).join(table, "digest", "left")
     line = ~F.col("whole") & F.col("license").isNotNull()
-    per_doc = looked.groupBy("doc_id", "_hash").agg(
-        F.count_if("whole").alias("_rows"), F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"), F.coalesce(F.max(F.when(F.col("whole"), F.col("license"))), F.max(F.when(F.col("whole").isNull(), F.col("license")))).alias("text_license"),
-        F.count_if(line).alias("_lines"), F.sort_array(F.collect_set(F.when(line, F.col("license")))).alias("line_licenses"),
+    per_doc = looked.groupBy("doc_id", "hash").agg(
+        F.count_if("whole").alias("rows"), F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"), F.max(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
+        F.count_if(line).alias("lines"), F.sort_array(F.collect_set(F.when(line, F.col("license")))).alias("line_licenses"),
     )
-    return per_doc.select("doc_id", "text_digest", "text_license", (F.col("_lines") / F.col("_rows")).cast("long").alias("n_lines"), "line_licenses", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_copy")).drop("_copy")
+    return per_doc.select("doc_id", "text_digest", "text_license", (F.col("lines") / F.col("rows")).cast("long").alias("n_lines"), "line_licenses", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")).drop("copy")

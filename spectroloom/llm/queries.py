@@ -59,19 +59,36 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op4_sql() -> str:
+    """The rules are written out here once more, in DuckDB's functions, from the operator's description and not from its patterns."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
-    form = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(LINE, '[\x00-\x20!-/:-@\[-`{-~“”‘’–—\x{00a0}]+', ' ', 'g'),
-      '\b(sub)?licence', '\1license', 'g'), '\bhttps\b', 'http', 'g'), '\bnoninfringement\b', 'non infringement', 'g'), '\bmerchantibility\b', 'merchantability', 'g'), ' ')"""
+    equal = """acknowledgement>acknowledgment analogue>analog analyse>analyze artefact>artifact authorisation>authorization authorised>authorized calibre>caliber cancelled>canceled
+      capitalisations>capitalizations catalogue>catalog categorise>categorize centre>center copyright_owner>copyright_holder emphasised>emphasized favour>favor favourite>favorite fulfil>fulfill
+      fulfilment>fulfillment https>http initialise>initialize judgement>judgment labelling>labeling labour>labor licence>license maximise>maximize merchantibility>merchantability modelled>modeled
+      modelling>modeling noncommercial>non_commercial noninfringement>non_infringement offence>offense optimise>optimize organisation>organization organise>organize per_cent>percent practise>practice
+      programme>program realise>realize recognise>recognize signalling>signaling sub_license>sublicense sub_licence>sublicense sublicence>sublicense utilisation>utilization whilst>while wilful>willful"""
+    # marks that are not part of a word, and what stands between the parts of a notice
+    gap = r"[\x00-\x20\x{00a0}!\"#$%&''()*+,./:;<=>?@\[\\\]^_`{|}~“”‘’–—-]"
+    year_or_holder = r"([\[{<]|\d)"
+    sign = r"(\(c\)|©)"
+    head, some = r"^[^0-9a-z]*", r"[ \t\r,]*"
+    notices = [f"{head}copyright[ \t\r:,]*({sign}|&copy;|{year_or_holder}|by\b)", f"{head}{sign}{some}(copyright|{year_or_holder})", f"{head}all rights reserved[^0-9a-z]*$"]
+    is_notice = " OR ".join(f"regexp_matches(x, '{n}')" for n in notices)
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    drop = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved).*$"
-    lines = f"list_filter(list_transform(list_filter(string_split({lower}, chr(10)), lambda x: NOT regexp_matches(x, '{drop}')), lambda x: {form.replace('LINE', 'x')}), lambda x: x <> '')"
-    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licenses.KNOWN)
+    kept = f"list_filter(string_split({lower}, chr(10)), lambda x: NOT ({is_notice}))"
+    words = f"list_filter(string_split_regex(T, '{gap}+'), lambda w: w <> '')"
+    spelled = f"' ' || array_to_string({words}, '  ') || ' '"
+    for pair in equal.split():
+        old, new = (f"' {x.replace('_', '  ')} '" for x in pair.split(">"))
+        spelled = f"replace({spelled}, {old}, {new})"
+    form = f"trim(replace({spelled}, '  ', ' '))"
+    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in [*licenses.KNOWN, *licenses.license_texts()])
     return f"""
-WITH k AS (SELECT min(license) AS license, sha256(array_to_string({lines}, ' ')) AS digest FROM (VALUES {known}) AS v(license, text) GROUP BY 2),
-f AS (SELECT doc_id, {lines} AS l FROM documents),
-u AS (SELECT doc_id, license FROM (SELECT doc_id, sha256(unnest(l)) AS digest FROM f) JOIN k USING (digest)),
-n AS (SELECT doc_id, count(*) AS n_lines, string_agg(DISTINCT license, ',' ORDER BY license) AS ids FROM u GROUP BY doc_id),
-w AS (SELECT doc_id, sha256(array_to_string(l, ' ')) AS text_digest FROM f)
+WITH t AS (SELECT license, array_to_string({kept}, chr(10)) AS T FROM (VALUES {known}) AS v(license, text)),
+k AS (SELECT min(license) AS license, sha256({form}) AS digest FROM t GROUP BY 2),
+d AS (SELECT doc_id, {kept} AS l FROM documents),
+w AS (SELECT doc_id, sha256({form}) AS text_digest FROM (SELECT doc_id, array_to_string(l, chr(10)) AS T FROM d)),
+u AS (SELECT doc_id, license FROM (SELECT doc_id, sha256({form}) AS digest FROM (SELECT doc_id, unnest(l) AS T FROM d)) JOIN k USING (digest)),
+n AS (SELECT doc_id, count(*) AS n_lines, string_agg(DISTINCT license, ',' ORDER BY license) AS ids FROM u GROUP BY doc_id)
 SELECT w.doc_id, text_digest, k.license AS text_license, coalesce(n_lines, 0) AS n_lines, coalesce(ids, '') AS line_licenses
 FROM w LEFT JOIN k ON k.digest = w.text_digest LEFT JOIN n USING (doc_id)
 """

@@ -250,3 +250,31 @@ def test_license_texts_are_found_however_wrapped(spark):
     df = spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")
     got = {r["doc_id"]: r["text_license"] for r in licenses.scan(df).collect()}
     assert [got[k] for k in range(len(rows))] == [i for i, _ in rows]
+
+
+def test_items_marked_c_and_wrapped_sentences_stay(spark):
+    rest = "You may copy this.\nYou may change this."
+    texts = [f"{rest}\n(c) You must retain all notices", f"{rest}\n(c) You may drop all notices", rest]
+    notices = [f"{n}\n{rest}" for n in ("Copyright (c) 2001 A", "  * COPYRIGHT 1999-2003, B", "(C) Copyright C", "(c) 2020 D", "© 2019", "Copyright <year> <holder>", "Copyright by E", "Copyright: [yyyy]", "All rights reserved.")]
+    plain = [f"{n}\n{rest}" for n in ("copyright notice and this permission notice", "(c) and so on", "copyrighted", "all rights reserved to the owner")]
+    df = spark.createDataFrame(list(enumerate(texts + notices + plain)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text_digest"] for r in licenses.scan(df).collect()}
+    digests = [got[k] for k in range(len(got))]
+    assert len(set(digests[:3])) == 3
+    assert set(digests[3 : 3 + len(notices)]) == {got[2]}
+    assert len(set(digests[3 + len(notices) :]) | {got[2]}) == len(plain) + 1
+
+
+def test_spellings(spark):
+    forms = [(k, f"x {a} {a}, {a} y") for k, (a, _) in enumerate(licenses.SPELLINGS)] + [(1000 + k, f"x {b} {b} {b} y") for k, (_, b) in enumerate(licenses.SPELLINGS)]
+    got = {r["doc_id"]: r["c"] for r in spark.createDataFrame(forms, "doc_id long, text string").select("doc_id", licenses.canonical(F.col("text")).alias("c")).collect()}
+    assert all(got[k] == got[1000 + k] == f"x {b} {b} {b} y" for k, (_, b) in enumerate(licenses.SPELLINGS))
+    assert all(abs(len(a) - len(b)) <= licenses.SLACK // 2 for a, b in licenses.SPELLINGS)
+
+
+def test_about_thirty_licenses_are_known(spark):
+    ids = {i for i, _ in [*licenses.KNOWN, *licenses.license_texts()]}
+    assert len(ids) >= 28
+    rows = [(k, i, f"Copyright 2020 Someone\n\n{t}") for k, (i, t) in enumerate(licenses.license_texts())]
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, id string, text string")).collect()}
+    assert all(got[k] == i for k, i, _ in rows)
