@@ -6,8 +6,9 @@ the escape probability of each context that has not seen it (method C: distinct
 distinct)) and then its own probability there, below all contexts 1/256. The language with the
 least total code length is predicted, and the score is its posterior under equal priors.
 
-Costs of all languages for every (context, byte) are tabulated, so that a batch of whole texts is
-scored by table look-ups of numpy: exact code lengths, not estimates.
+Of each language the costs of the n-grams it has seen are held in sorted arrays. The distinct
+four-byte grams of a slab of texts are looked up once for each language, the longest context first,
+and summed by text with numpy: exact code lengths, not estimates.
 """
 
 from __future__ import annotations
@@ -63,67 +64,53 @@ def fit(samples: dict[str, list[str]]) -> Model:
     return Model(names, tuple(grams), tuple(counts))
 
 
+def _place(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` stand in the sorted ``known``, and whether they do."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
 class Scorer:
-    """``lower`` holds, for contexts of each order below the highest, costs of (context, byte); the
-    highest order's contexts are numbered, 0 standing for one that no language knows."""
+    """Of each language only what it has seen is held: costs of n-grams and escape costs of contexts.
+
+    Memory follows the n-grams of the samples, not alphabets or the number of languages squared.
+    """
 
     def __init__(self, model: Model):
         self.names = model.languages
-        size = len(self.names)
-        used = np.unique(np.concatenate([np.zeros(0, np.uint32), *(g[0] for g in model.grams)]))
-        #: Dense symbols: 0 is any byte that no language has seen.
-        self.symbol = np.zeros(256, np.uint32)
-        self.symbol[used] = np.arange(1, len(used) + 1)
-        self.k = k = len(used) + 1
-        table = np.full((1, k, size), 8.0)  # costs below all contexts, in bits
-        table[:, 0, :] = 8.0
-        self.contexts = None
-        for order in range(ORDER + 1):
-            dense = k**order if order < ORDER else None
-            if order < ORDER:
-                # a context of this order escapes to its own last order - 1 symbols
-                table = np.tile(table, (k if order else 1, 1, 1)) if order else table.copy()
-                rows = None
-            else:
-                known = np.unique(np.concatenate([np.zeros(0, np.int64), *(self._dense(g[order] >> np.uint32(8), order) for g in model.grams)]))
-                rows = np.zeros(k**order, np.int32)
-                rows[known] = np.arange(1, len(known) + 1)
-                lower = table
-                table = np.concatenate([np.zeros((1, k, size)), lower[known % k ** (order - 1)]])
-            for j in range(size):
-                gram, count = model.grams[j][order], model.counts[j][order].astype(float)
-                if not len(gram):
-                    continue
-                context = self._dense(gram >> np.uint32(8), order) if order else np.zeros(len(gram), np.int64)
-                at = context if rows is None else rows[context]
-                symbols = self.symbol[gram & np.uint32(255)].astype(np.int64)
-                n = dense if rows is None else len(table)
-                total, distinct = np.bincount(at, count, n), np.bincount(at, minlength=n)
-                seen = distinct > 0
-                escape = np.zeros(n)
-                escape[seen] = np.log2((total[seen] + distinct[seen]) / distinct[seen])
-                table[:, :, j] += escape[:, None]
-                table[at, symbols, j] = np.log2((total[at] + distinct[at]) / count)
-            if order == ORDER - 1:
-                self.short = table.astype(np.float32).reshape(-1, size)
-            if order == ORDER:
-                self.long, self.rows = table.astype(np.float32).reshape(-1, size), rows
-
-    def _dense(self, gram: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(len(gram), np.int64)
-        for shift in range(8 * (n - 1), -1, -8):
-            out = out * self.k + self.symbol[gram >> np.uint32(shift) & np.uint32(255)]
+        self.levels = []
+        for grams, counts in zip(model.grams, model.counts, strict=True):
+            of_language = []
+            for gram, count in zip(grams, counts, strict=True):
+                context, at = np.unique(gram >> np.uint32(8), return_inverse=True)
+                total, distinct = np.bincount(at, count, len(context)), np.bincount(at, minlength=len(context))
+                whole = total + distinct
+                of_language.append((gram, np.log2(whole[at] / count), context, np.log2(whole / np.maximum(distinct, 1))))
+            self.levels.append(of_language)
+
+    def bits(self, language: int, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each of these four-byte grams behind the three others."""
+        out, todo = np.zeros(len(grams)), np.arange(len(grams))
+        for order in range(ORDER, -1, -1):
+            gram, cost, context, escape = self.levels[language][order]
+            wanted = grams[todo] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at, seen = _place(gram, wanted)
+            out[todo[seen]] += cost[at[seen]]
+            todo, wanted = todo[~seen], wanted[~seen]
+            at, seen = _place(context, wanted >> np.uint32(8))
+            out[todo[seen]] += escape[at[seen]]
+        out[todo] += 8.0
         return out
 
-    def bits(self, data: bytes) -> np.ndarray:
-        """Code length of each byte behind the first ORDER ones, for each language."""
-        s = self.symbol[np.frombuffer(data, np.uint8)].astype(np.int64)
-        context = (s[:-3] * self.k + s[1:-2]) * self.k + s[2:-1]
-        row = self.rows[context]
-        out = self.long[row * self.k + s[3:]]
-        new = np.flatnonzero(row == 0)
-        if len(new):
-            out[new] = self.short[(s[1:-2][new] * self.k + s[2:-1][new]) * self.k + s[3:][new]]
+    def _sums(self, data: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Code lengths (piece, language) of the bytes [start, stop) of pieces of ``data``, each behind ORDER others."""
+        grams, which = np.unique(_grams(np.frombuffer(data, np.uint8), ORDER + 1), return_inverse=True)
+        out = np.zeros((len(starts), len(self.names)))
+        for j in range(len(self.names)):
+            sums = np.concatenate([[0.0], np.cumsum(self.bits(j, grams)[which])])
+            out[:, j] = sums[stops - ORDER] - sums[starts - ORDER]
         return out
 
     def totals(self, texts: list[bytes]) -> np.ndarray:
@@ -139,15 +126,11 @@ class Scorer:
             if j == i + 1 and lengths[i] > SLAB:
                 whole = b"\n" * ORDER + texts[i]
                 for k in range(ORDER, len(whole), SLAB):
-                    out[i] += self.bits(whole[k - ORDER : k + SLAB]).sum(0, dtype=np.float64)
+                    piece = whole[k - ORDER : k + SLAB]
+                    out[i] += self._sums(piece, np.array([ORDER]), np.array([len(piece)]))[0]
             else:
-                joined = b"".join(b"\n" * ORDER + t for t in texts[i:j])
-                bits = self.bits(joined)
-                ends = np.cumsum([n + ORDER for n in lengths[i:j]])
-                sums = np.concatenate([np.zeros((1, len(self.names))), np.cumsum(bits, 0, dtype=np.float64)])
-                for x, end in enumerate(ends):
-                    start = end - lengths[i + x] - ORDER
-                    out[i + x] = sums[end - ORDER] - sums[start]
+                stops = np.cumsum([n + ORDER for n in lengths[i:j]])
+                out[i:j] = self._sums(b"".join(b"\n" * ORDER + t for t in texts[i:j]), stops - np.array(lengths[i:j]), stops)
             i = j
         return out
 

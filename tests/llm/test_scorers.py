@@ -189,3 +189,124 @@ def test_samples_of_repeated_ids_stay_bounded(spark):
     assert sampling.documents_sample(docs, "lang", F.lit(True), 10, 1000, 6) == {"en": ["t 0"]}
     both = spark.createDataFrame([(7, 0), (7, 1), (None, 1), (8, None), (9, 3)], "doc_id int, quality int")
     assert sampling.labelled_sample(docs, both, "quality", F.lit(True), 10, 1000, 1)[0] == [(0, "t 0"), (1, "t 0")]
+
+
+def test_memory_of_the_scorer_follows_the_samples_and_not_the_alphabet():
+    rng = np.random.default_rng(0)
+    samples = {f"l{k:03}": ["".join(map(chr, rng.integers(0x4E00, 0x9000, 300)))] for k in range(120)}
+    model = language.fit(samples)
+    held = sum(a.nbytes for levels in language.Scorer(model).levels for level in levels for a in level)
+    assert held < 12 * sum(g.nbytes + 8 * len(g) for grams in model.grams for g in grams)
+    texts = [t[0].encode() for t in samples.values()]
+    assert (language.Scorer(model).totals(texts).argmin(1) == np.arange(120)).all()
+
+
+def slow_features(text, lexicon):
+    """The features from their definitions, word by word."""
+    import math
+    import re
+
+    lower = text.lower().encode()
+    punctuation = {c for c in range(33, 127) if not chr(c).isalnum()}
+    words = bytes(32 if c in punctuation else c for c in lower).split()
+    n, size = max(1, len(words)), max(1, len(text.encode()))
+    hits = [i for i in range(len(words)) if words[i] in lexicon]
+    near = sum(any(words[k] in toxicity.SECOND_PERSON for k in range(max(0, i - 5), min(len(words), i + 6))) for i in hits)
+    mixed, hidden = 0, []
+    for token in re.split(rb"[ \t\n\v\f\r]+", lower):
+        if re.search(rb"[a-z\x80-\xff][0-9@$!|*.\-_]+[a-z\x80-\xff]", token):
+            mixed += 1
+            token = token.strip(b".,;:?\"'()")
+            for leet, letter in zip(b"013457@$!|", b"oieastasil", strict=True):
+                token = token.replace(bytes([leet]), bytes([letter]))
+            token = bytes(c for c in token if c not in b"*.-_")
+            hidden += [lexicon[token]] if token in lexicon else []
+    share = lambda wanted: sum(c in wanted for c in text.encode()) / size
+    weights, found = [lexicon[words[i]] for i in hits], len(hits) + len(hidden)
+    return [
+        (sum(weights) + sum(hidden)) / n, found / n, math.log(1 + found), math.log(1 + len({words[i] for i in hits})), max([0.0, *weights]), near / n, sum(w in toxicity.SECOND_PERSON for w in words) / n,
+        share(range(65, 91)), share(b"!?"), share(punctuation), len(hidden) / n, mixed / n, math.log(1 + len(words)),
+    ]
+
+
+def slow_toxicity(text, model):
+    """Trees walked node by node, then the isotonic curve by hand."""
+    import bisect
+    import math
+
+    x, raw = slow_features(text, model.lexicon), model.trees.base
+    for tree in model.trees.trees:
+        at = 0
+        while tree[at][0] >= 0:
+            feature, cut, left, right, _ = tree[at]
+            at = left if bisect.bisect_right(list(model.trees.edges[feature]), x[feature]) <= cut else right
+        raw += model.trees.rate * tree[at][4]
+    k = bisect.bisect_right(list(model.at), raw)
+    if k == 0 or k == len(model.at):
+        level = model.value[min(k, len(model.at) - 1)]
+    else:
+        a, b = model.at[k - 1], model.at[k]
+        level = model.value[k - 1] + (model.value[k] - model.value[k - 1]) * (raw - a) / (b - a)
+    return min(1.0, max(0.0, 0.998 * level + 0.002 / (1 + math.exp(-raw))))
+
+
+def flipped(spark, tmp_path, modulus, held_out):
+    """The tables of sf0.001 with the labels of held-out rows turned round."""
+    spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/sf0.001/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string")) % modulus == held_out
+    turned = [F.when(out, 1 - F.col(c)).otherwise(F.col(c)).cast(labels.schema[c].dataType).alias(c) for c in ("quality", "toxic")]
+    labels.select("doc_id", *turned).write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_toxicity_query_against_plain_python(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in queries.op10_toxicity(spark, f"{DATA}/sf0.001").collect()}
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        want = slow_toxicity(texts[i] or "", model)
+        assert r["score"] == pytest.approx(want, abs=1e-9) and r["predicted"] == (want >= 0.5) and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    again = {r["doc_id"]: r["score"] for r in queries.op10_toxicity(spark, flipped(spark, tmp_path, 5, 0)).collect()}
+    assert again == {i: r["score"] for i, r in got.items()}
+
+
+def test_quality_query_against_plain_python(spark, tmp_path):
+    import math
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+
+    def size_of(piece, dictionary):
+        plain = zstandard.ZstdCompressionDict(dictionary)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=plain, write_checksum=False, write_content_size=False, write_dict_id=False).compress(piece))
+
+    def slow(raw):
+        good, bad = (sum(size_of(raw[k : k + 2048], d) for k in range(0, len(raw), 2048)) for d in (model.good, model.bad))
+        x = [(bad - good) / (good + bad), math.log((good + bad) / 2 / len(raw))] if raw else [0.0, 0.0]
+        a, b, c, offset = model.weights
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * x[0] + b * x[1] + c * x[1] ** 2 + offset))))
+
+    got = {r["doc_id"]: r for r in queries.op3_quality(spark, f"{DATA}/sf0.001").collect()}
+    for r in docs.collect():
+        raw, row = (r["text"] or "").encode(), got.pop(r["doc_id"])
+        if len(raw) < 30_000:
+            assert row["score"] == pytest.approx(slow(raw), abs=0.02) and row["predicted"] == (row["score"] >= 0.5)
+        assert row["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    assert not got
+    same = [{r["doc_id"]: r["score"] for r in queries.op3_quality(spark, d).collect()} for d in (f"{DATA}/sf0.001", flipped(spark, tmp_path, 3, 1))]
+    assert same[0] == same[1]
+
+
+def test_logistic_curve_is_the_likeliest():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3)) * [0.1, 2, 5]
+    y = (rng.random(500) < 1 / (1 + np.exp(-(x @ [8, 0.5, -0.2] + 0.3)))).astype(float)
+    w = rng.random(500) + 0.5
+    loss = lambda v: float((w * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v[:3] + v[3]))).sum())
+    best = np.array(quality.logistic(x, y, w, 1e-9))
+    assert all(loss(best) <= loss(best + d) + 1e-9 for d in rng.normal(size=(50, 4)) * 0.05)
