@@ -400,10 +400,15 @@ def without_repeats(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", te
     dealt = numbered(docs, doc_id, number)
     dealt = dealt.withColumn(bucket, F.pmod(F.xxhash64(F.coalesce(F.col(number), F.xxhash64(text))), F.lit(buckets)))
     # a partition of windows gets entries from all buckets: about those of four buckets in all
-    spans = removed_spans(dealt.select(F.col(bucket).alias("bucket"), F.col(number).alias("id"), F.col(text).alias("text")), max(fanout(spark), buckets // 4), least)
+    slim = dealt.select(F.col(bucket).alias("bucket"), F.col(number).alias("id"), F.col(text).alias("text"))
+    spans = removed_spans(slim, max(fanout(spark), buckets // 4), least)
     plain = docs if texts else docs.select(doc_id)
     schema = wider(plain, n_words="long", n_removed="long", kept_sha256="string")
     names, at = schema.names, plain.columns
+    # without texts and with ids that are numbers the last step reads what the first ones do: one shuffle of the texts
+    shared = not texts and docs.schema[doc_id].dataType.simpleString() == "bigint"
+    source = slim if shared else dealt if texts else dealt.select(bucket, number, doc_id, text)
+    its_bucket, its_number, its_text = ("bucket", "id", "text") if shared else (bucket, number, text)
 
     def finish(table: pa.Table, side: pa.Table) -> pa.Table:
         import xxhash
@@ -412,7 +417,7 @@ def without_repeats(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", te
         for doc, mark, a, b in zip(*(side.column(x).to_pylist() for x in ("doc", "print", "start", "stop")), strict=True):
             gone[doc, mark].append((a, b))
         counts, removed, digests, kept = [], [], [], []
-        for i, t in zip(table.column(number).to_pylist(), table.column(text).to_pylist(), strict=True):
+        for i, t in zip(table.column(its_number).to_pylist(), table.column(its_text).to_pylist(), strict=True):
             raw = (t or "").encode()
             words = raw.split()
             spans = gone.get((i, xxhash.xxh64_intdigest(raw, 1) - (1 << 63))) if gone else None
@@ -431,11 +436,10 @@ def without_repeats(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", te
                 removed.append(0)
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             kept.append(t)
-        columns = {c: table.column(c) for c in at}
+        columns = {doc_id: table.column("id")} if shared else {c: table.column(c) for c in at}
         if texts:
             columns[text] = pa.array(kept, pa.string())
         columns |= {"n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table([columns[c] for c in names], names=names)
 
-    source = dealt if texts else dealt.select(bucket, number, doc_id, text)
-    return source.groupBy(bucket).cogroup(spans.groupBy("bucket")).applyInArrow(finish, schema)
+    return source.groupBy(its_bucket).cogroup(spans.groupBy("bucket")).applyInArrow(finish, schema)
