@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from spectroloom.functions.numeric import binomial
 from spectroloom.operators import aggregates, filters, joins
 from spectroloom.plans.registry import query
 
 
-@query("scans_of_level", """SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderkey BETWEEN 50 AND 9000""")
+@query("scans_of_level", """SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH' AND o_totalprice BETWEEN 50000 AND 190000""")
 def scans_of_level(t):
-    return filters.in_range(filters.of_level(t("orders"), "2-HIGH", "o_orderpriority"), "o_orderkey", 50, 9000).select("o_orderkey")
+    return filters.in_range(filters.of_level(t("orders"), "2-HIGH", "o_orderpriority"), "o_totalprice", 50000, 190000).select("o_orderkey")
 
 
 @query("mass_range_filter", """SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_extendedprice >= 30000 AND l_extendedprice <= 30500""")
@@ -47,26 +48,26 @@ def named_mass_shifts(t):
 
 
 @query("offset_lookup", """WITH o AS (SELECT p_name, p_partkey, sum(length(p_name) + 1) OVER (ORDER BY p_name, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM part),
-q AS (SELECT c_custkey, c_custkey * 7 AS place FROM customer WHERE c_custkey < 2000) SELECT c_custkey, arg_max(p_partkey, coalesce(s, 0)) AS p_partkey FROM q JOIN o ON coalesce(s, 0) <= place GROUP BY c_custkey""")
+q AS (SELECT c_custkey, c_custkey * 7 AS place FROM customer), z AS (SELECT p_partkey, coalesce(s, 0) AS place FROM o) SELECT c_custkey, p_partkey FROM q ASOF JOIN z ON q.place >= z.place""")
 def offset_lookup(t):
     from spectroloom.sources.fasta import with_offsets
 
     proteins = t("part").select(F.concat("p_name", F.lit("\x00"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("name"), F.col("p_name").alias("sequence"), "p_partkey")
     starts = with_offsets(proteins).select(F.lit(0).alias("k"), F.col("start_offset").alias("at"), "p_partkey")
-    asked = t("customer").where("c_custkey < 2000").select("c_custkey", F.lit(0).alias("k"), (F.col("c_custkey") * 7).alias("at"))
+    asked = t("customer").select("c_custkey", F.lit(0).alias("k"), (F.col("c_custkey") * 7).alias("at"))
     return joins.asof_join(asked, starts, "at", ["k"], ["p_partkey"]).select("c_custkey", F.col("asof_p_partkey").alias("p_partkey"))
 
 
-@query("name_lookup", """SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal < 0""")
+@query("name_lookup", """SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def name_lookup(t):
     # 25 and 5 rows: Spark broadcasts them by their files' sizes
-    c = t("customer").where("c_acctbal < 0")
+    c = t("customer")
     return c.join(t("nation"), c["c_nationkey"] == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
 
 
-@query("scan_set_union", """SELECT mass_bin, array_to_string(list_sort(list(DISTINCT scan)), ',') AS scans FROM (SELECT CAST(floor(l_extendedprice / 20) AS BIGINT) AS mass_bin, l_linenumber AS scan FROM lineitem WHERE l_suppkey < 5) GROUP BY mass_bin""")
+@query("scan_set_union", """SELECT mass_bin, array_to_string(list_sort(list(DISTINCT scan)), ',') AS scans FROM (SELECT CAST(floor(l_extendedprice / 20) AS BIGINT) AS mass_bin, l_linenumber AS scan FROM lineitem) GROUP BY mass_bin""")
 def scan_set_union(t):
-    rows = t("lineitem").where("l_suppkey < 5").groupBy(F.floor(F.col("l_extendedprice") / 20).alias("mass_bin")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("s"))
+    rows = t("lineitem").groupBy(F.floor(F.col("l_extendedprice") / 20).alias("mass_bin")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("s"))
     return rows.select("mass_bin", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("scans"))
 
 
@@ -78,11 +79,10 @@ def consumed_nodes(t):
     return every.join(left, "c_nationkey", "left").select("c_nationkey", F.coalesce("n_left", F.lit(0).cast("long")).alias("n_left"), "n")
 
 
-@query("binomials", """SELECT DISTINCT p_size AS n, p_size % 6 AS k, CAST(factorial(p_size) / (factorial(p_size % 6) * factorial(p_size - p_size % 6)) AS BIGINT) AS ways FROM part WHERE p_size <= 20""")
+@query("binomials", """SELECT DISTINCT p_size AS n, p_size % 6 AS k, CAST(round(exp(lgamma(p_size + 1) - lgamma(p_size % 6 + 1) - lgamma(p_size - p_size % 6 + 1))) AS BIGINT) AS ways FROM part""")
 def binomials(t):
-    n, k = F.col("n"), F.col("k")
-    rows = t("part").where("p_size <= 20").select(F.col("p_size").alias("n"), (F.col("p_size") % 6).alias("k")).distinct()
-    return rows.withColumn("ways", (F.factorial(n) / (F.factorial(k) * F.factorial(n - k))).cast("long"))
+    rows = t("part").select(F.col("p_size").alias("n"), (F.col("p_size") % 6).alias("k")).distinct()
+    return rows.withColumn("ways", binomial(F.col("n"), F.col("k")))
 
 
 @query("longest_and_total", """SELECT max(length(p_name)) AS longest, sum(length(p_name))::BIGINT AS residues, count(DISTINCT p_name) AS sequences FROM part""")
@@ -90,16 +90,16 @@ def longest_and_total(t):
     return t("part").agg(F.max(F.length("p_name")).cast("long").alias("longest"), F.sum(F.length("p_name")).alias("residues"), F.count_distinct("p_name").alias("sequences"))
 
 
-@query("touching_scan_ranges", """WITH s AS (SELECT l_suppkey, l_orderkey AS lo, l_orderkey + l_quantity::BIGINT AS hi FROM lineitem WHERE l_suppkey < 20), g AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS c FROM s),
+@query("touching_scan_ranges", """WITH s AS (SELECT l_suppkey, l_orderkey AS lo, l_orderkey + l_quantity::BIGINT AS hi FROM lineitem), g AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS c FROM s),
 r AS (SELECT *, sum(c) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT l_suppkey, min(lo) AS low, max(hi) AS high, count(*) AS n FROM r GROUP BY l_suppkey, run""")
 def touching_scan_ranges(t):
-    s = t("lineitem").where("l_suppkey < 20").select("l_suppkey", F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("hi"))
+    s = t("lineitem").select("l_suppkey", F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("hi"))
     return aggregates.merged_ranges(s, ["l_suppkey"], "lo", "hi").select("l_suppkey", "low", "high", "n")
 
 
-@query("result_rows", """SELECT o_orderkey, c_name, o_totalprice * (SELECT count(*) FROM supplier) AS e_value FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice < 2000""")
+@query("result_rows", """SELECT o_orderkey, c_name, o_totalprice * (SELECT count(*) FROM supplier) AS e_value FROM orders JOIN customer ON c_custkey = o_custkey""")
 def result_rows(t):
     # the number of proteins multiplies each match's value: one row is joined
     n = t("supplier").agg(F.count("*").alias("n"))
-    o = t("orders").where("o_totalprice < 2000").join(F.broadcast(n))
+    o = t("orders").join(F.broadcast(n))
     return o.join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_name", (F.col("o_totalprice") * F.col("n")).alias("e_value"))

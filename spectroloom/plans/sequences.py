@@ -10,10 +10,10 @@ from spectroloom.plans.registry import query
 
 
 def _proteins(t):
-    return t("part").where("p_partkey < 400").select("p_partkey", F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("sequence"))
+    return t("part").select("p_partkey", F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("sequence"))
 
 
-SEQ = "p AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS s FROM part WHERE p_partkey < 400)"
+SEQ = "p AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS s FROM part)"
 CUT = "CASE WHEN a = 0 THEN '-' ELSE substr(s, a, 1) END AS pre, substr(s, a + 1, b - a) AS peptide, CASE WHEN b >= length(s) THEN '-' ELSE substr(s, b + 1, 1) END AS post, a + 1 AS start"
 
 
@@ -77,11 +77,11 @@ def fragment_ions(t):
 
 
 def _mass_peaks(t):
-    return t("lineitem").where("l_orderkey < 3000").select("l_orderkey", F.round(F.col("l_extendedprice") / 100, 2).alias("mass")).distinct().withColumn("node", F.round(F.col("mass") * 100).cast("long"))
+    return t("lineitem").select("l_orderkey", (F.col("l_extendedprice") / 100).alias("mass"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("node")).distinct()
 
 
-EDGES = f"""WITH {MASS_SQL}, p AS (SELECT DISTINCT l_orderkey, round(l_extendedprice / 100, 2) AS mass FROM lineitem WHERE l_orderkey < 3000),
-e AS (SELECT a.l_orderkey, CAST(round(a.mass * 100) AS BIGINT) AS from_node, CAST(round(b.mass * 100) AS BIGINT) AS to_node, r.r AS residue FROM p a, r, p b
+EDGES = f"""WITH {MASS_SQL}, p AS (SELECT DISTINCT l_orderkey, l_extendedprice / 100 AS mass, CAST(round(l_extendedprice * 100) AS BIGINT) AS node FROM lineitem),
+e AS (SELECT a.l_orderkey, a.node AS from_node, b.node AS to_node, r.r AS residue FROM p a, r, p b
   WHERE r.r <> 'I' AND a.l_orderkey = b.l_orderkey AND abs(a.mass + r.m - b.mass) <= (a.mass + r.m) * 2000 / 1e6)"""
 
 
@@ -113,18 +113,18 @@ def tag_counts(t):
 
 @query("tags_on_proteins", f"""WITH {SEQ}, g AS (SELECT DISTINCT substr(s, 2, 4) AS tag FROM p WHERE length(s) >= 5), i AS (SELECT p_partkey, replace(s, 'I', 'L') AS s FROM p),
 b AS (SELECT tag, false AS reversed, tag AS pattern FROM g UNION ALL SELECT tag, true, reverse(tag) FROM g WHERE reverse(tag) <> tag)
-SELECT i.p_partkey, b.tag, b.reversed, k AS position FROM i, b, range(0, 40) r(k) WHERE substr(i.s, k + 1, 4) = b.pattern AND length(b.pattern) = 4""")
+SELECT i.p_partkey, b.tag, b.reversed, k AS position FROM (SELECT p_partkey, k, substr(s, k + 1, 4) AS piece FROM i, range(0, 60) r(k) WHERE k + 4 <= length(s)) i JOIN b ON i.piece = b.pattern""")
 def tags_on_proteins(t):
     p = _proteins(t)
     found = tags.tags_on_proteins(p.where(F.length("sequence") >= 5).select(F.substring("sequence", 2, 4).alias("tag")), p, "p_partkey", "sequence", 4, 10**9)
     return found.select("p_partkey", "tag", "reversed", F.col("position").cast("long").alias("position"))
 
 
-@query("fragment_matching", f"""WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity * 1800 AS ion_mz FROM lineitem WHERE l_orderkey < 4000)
+@query("fragment_matching", f"""WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity * 1800 AS ion_mz FROM lineitem)
 SELECT o.l_orderkey, o.l_linenumber, o.ion_mz, arg_max(b.l_extendedprice, (b.l_tax, b.l_extendedprice)) AS matched_mz, max(b.l_tax) AS matched_intensity FROM o JOIN lineitem b ON b.l_orderkey = o.l_orderkey
   AND abs(o.ion_mz - b.l_extendedprice) <= o.ion_mz * 30000 / 1e6 GROUP BY ALL""")
 def fragment_matching(t):
-    li = t("lineitem").where("l_orderkey < 4000")
+    li = t("lineitem")
     ions = li.select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 1800).alias("ion_mz"))
     peaks = li.select("l_orderkey", "l_extendedprice", "l_tax")
     done = scoring.match_fragments(ions, peaks, "ion_mz", "l_extendedprice", "l_tax", 30000.0, ["l_orderkey", "l_linenumber"], ["l_orderkey"])
@@ -157,9 +157,9 @@ def rank_scores(t):
     return done.select("l_orderkey", "l_partkey", "l_extendedprice", F.round("rank_score", 6).alias("rank_score"))
 
 
-@query("score_cutoff", """SELECT l_suppkey, count(*) AS n_matched, round(count(*) + 0.5 * sum(log2(1 + l_quantity / 10)), 4) AS score FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey HAVING count(*) + 0.5 * sum(log2(1 + l_quantity / 10)) > 12""")
+@query("score_cutoff", """SELECT l_suppkey, count(*) AS n_matched, round(count(*) + 0.5 * sum(log2(1 + l_quantity / 10)), 4) AS score FROM lineitem GROUP BY l_suppkey HAVING count(*) + 0.5 * sum(log2(1 + l_quantity / 10)) > 12""")
 def score_cutoff(t):
-    rows = t("lineitem").where("l_linenumber = 1").select("l_suppkey", F.col("l_quantity").alias("matched_intensity"), F.lit(0.0).alias("error_ppm"))
+    rows = t("lineitem").select("l_suppkey", F.col("l_quantity").alias("matched_intensity"), F.lit(0.0).alias("error_ppm"))
     done = scoring.composite_score(rows, ["l_suppkey"], {"count": 1.0, "intensity": 0.5}, F.lit(10.0)).where("score > 12")
     return done.select("l_suppkey", "n_matched", F.round("score", 4).alias("score"))
 
