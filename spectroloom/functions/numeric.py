@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
@@ -59,6 +60,17 @@ def envelope_of_mass(mass: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def prefix_masses(sequence: pd.Series) -> pd.Series:
+    """Masses of a sequence's first 0, 1, ... residues, in one pass; letters that are no residue weigh nothing."""
+    from spectroloom.functions.mass import RESIDUE_MASS
+
+    def sums(s: str | None) -> list[float] | None:
+        return None if s is None else np.concatenate([[0.0], np.cumsum([RESIDUE_MASS.get(r, 0.0) for r in s])]).tolist()
+
+    return sequence.map(sums)
+
+
 def normal_cdf(x: float, mean: float = 0.0, sd: float = 1.0) -> float:
     return 0.5 * math.erfc(-(x - mean) / (sd * math.sqrt(2)))
 
@@ -67,6 +79,12 @@ def log_choose(n: int, k: int) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) if 0 <= k <= n else float("-inf")
 
 
+def binomial(n: Column, k: Column) -> Column:
+    """Ways to choose k of n as an exact long; 0 where k is negative or above n."""
+    ways = F.aggregate(F.sequence(F.lit(1), k.cast("int")), F.lit(1).cast("long"), lambda so_far, i: F.call_function("div", so_far * (n - k + i), i.cast("long")))
+    return F.when((k < 0) | (k > n), F.lit(0).cast("long")).when(k == 0, F.lit(1).cast("long")).otherwise(ways)
+
+
 def hypergeometric_p(n: int, k: int, n1: int, k1: int, upper: bool = True) -> float:
     """Of n things k are marked and n1 are drawn: 1 - P(marked draws <= k1), 1 where all are marked."""
     if k >= n:

@@ -53,8 +53,11 @@ def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, to
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float, keys: Sequence[str] = (), how: str = "inner", closed: str = "both") -> DataFrame:
     """Points inside intervals. ``width`` is a bucket's: about a typical interval's length.
 
-    ``closed``: both, left, or neither. Intervals are copied to the buckets that they touch.
+    ``closed``: both ends, low (the low end only) or neither. Intervals are copied to the buckets that they touch. Null
+    points and intervals with a null or reversed end match nothing; ties all match.
     """
+    if closed not in ("both", "low", "neither"):
+        raise ValueError("closed is both, low or neither")
     low_ok = F.col(low) < F.col(at) if closed == "neither" else F.col(low) <= F.col(at)
     high_ok = F.col(at) <= F.col(high) if closed == "both" else F.col(at) < F.col(high)
     renamed, same = _matched(points, intervals.where(F.col(low) <= F.col(high)), keys)

@@ -133,28 +133,41 @@ def score_distribution(node_scores: np.ndarray, steps: np.ndarray, weights: np.n
     """(least score, probabilities) of all residue sequences of nominal mass ``target``.
 
     ``node_scores`` gives the integer score of a cleavage at each nominal mass, ``steps`` the
-    residues' nominal masses, ``weights`` their probabilities. Distributions of reachable masses
-    are convolved upwards, one row of a matrix for each mass.
+    residues' nominal masses, ``weights`` their probabilities. The least and the highest score that
+    any sequence can have are found first. Distributions of reachable masses are convolved upwards,
+    and only as many are kept as the heaviest residue reaches back.
     """
-    low, high = int(np.minimum(node_scores, 0).sum()), int(np.maximum(node_scores, 0).sum())
-    low, high = max(low, -1000), min(high, 2000)
-    size = high - low + 1
-    table = np.zeros((target + 1, size))
+    steps = np.asarray(steps, np.int64)
+    best, worst = np.full(target + 1, -np.inf), np.full(target + 1, np.inf)
+    best[0] = worst[0] = 0
+    for m in range(1, target + 1):
+        back = m - steps[steps <= m]
+        s = int(node_scores[m]) if m < target else 0
+        if len(back):
+            best[m], worst[m] = best[back].max() + s, worst[back].min() + s
+    if not np.isfinite(best[target]):
+        return 0, np.zeros(1)
+    reached = np.isfinite(best)
+    low, high = int(min(0, worst[reached].min())), int(max(0, best[reached].max()))
+    size, depth = high - low + 1, int(steps.max()) + 1
+    table = np.zeros((depth, size))
     table[0, -low] = 1.0
     for m in range(1, target + 1):
         row = np.zeros(size)
         for step, w in zip(steps, weights, strict=True):
             if step <= m:
-                row += w * table[m - step]
+                row += w * table[(m - step) % depth]
         s = int(node_scores[m]) if m < target else 0
-        if s > 0:
-            row[s:] = row[:-s]
+        if abs(s) >= size:
+            row[:] = 0  # no sequence that gets here can go on
+        elif s > 0:
+            row[s:] = row[: size - s].copy()
             row[:s] = 0
         elif s < 0:
-            row[:s] = row[-s:]
+            row[:s] = row[-s:].copy()
             row[s:] = 0
-        table[m] = row
-    return low, table[target]
+        table[m % depth] = row
+    return low, table[target % depth]
 
 
 def tail_probability(low: int, p: np.ndarray, score: int) -> float:
@@ -162,7 +175,7 @@ def tail_probability(low: int, p: np.ndarray, score: int) -> float:
     total = p.sum()
     if not total:
         return 1.0
-    return float(max(p[max(0, score - low) :].sum() / total, 1e-300))
+    return float(max(p[min(len(p), max(0, score - low)) :].sum() / total, 1e-300))
 
 
 def generating_function(spectra: DataFrame, keys: Sequence[str], mass: str, nodes: str, score: str, residues: dict[str, float]) -> DataFrame:

@@ -6,11 +6,13 @@ protein's row and are never gathered.
 
 from __future__ import annotations
 
+import json
 from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def _cut(df: DataFrame, sequence: str, start: Column, stop: Column) -> DataFrame:
     """``df`` with pre, peptide, post and 1-based start, given 0-based start and stop columns."""
     seq = F.col(sequence)
@@ -104,29 +106,28 @@ def proteoforms(sequences: DataFrame, sequence: str, masses: dict[str, float], s
     """``sequences`` with ``modifications`` (a sorted array) and ``mass`` for each combination that fits.
 
     A combination fits if its modifications find sites of their own; modifications that share
-    residues are counted together. Combinations are a small table made on the driver.
+    residues are counted together. Null sequences give no row.
     """
     from spectroloom.functions.mass import WATER, residue_mass
 
-    spark = sequences.sparkSession
-    combos = modification_combinations(list(masses), most)
-    table = spark.createDataFrame([(list(c), float(sum(masses[m] for m in c)), site_needs(c, sites)) for c in combos], "modifications array<string>, shift double, _needs array<struct<residues:string,need:int>>")
-    with_counts = sequences.withColumn("_mass", residue_mass(F.col(sequence)) + WATER)
-    # one row for each combination: len(combos) rows are broadcast
-    pairs = with_counts.join(F.broadcast(table))
+    rows = [{"modifications": list(c), "shift": float(sum(masses[m] for m in c)), "needs": [{"residues": r, "need": n} for r, n in site_needs(c, sites)]} for c in modification_combinations(list(masses), most)]
+    # the combinations are one constant of the plan: each sequence's row is taken by those that fit it, without a join
+    every = F.from_json(F.lit(json.dumps(rows)), "array<struct<modifications:array<string>,shift:double,needs:array<struct<residues:string,need:int>>>>")
     room = lambda residues: F.length(sequence) - F.length(F.call_function("translate", F.col(sequence), residues, F.lit("")))
-    fits = F.forall("_needs", lambda n: n["need"] <= room(n["residues"]))
-    return pairs.where(fits).withColumn("mass", F.col("_mass") + F.col("shift")).drop("_mass", "shift", "_needs")
+    fitting = F.filter(every, lambda c: F.forall(c["needs"], lambda n: n["need"] <= room(n["residues"])))
+    pairs = sequences.withColumn("_mass", residue_mass(F.col(sequence)) + WATER).withColumn("_c", F.explode(fitting))
+    return pairs.withColumn("modifications", F.col("_c.modifications")).withColumn("mass", F.col("_mass") + F.col("_c.shift")).drop("_mass", "_c")
 
 
 def fragments(sequences: DataFrame, sequence: str, series: tuple[str, ...] = ("b", "y"), charges: tuple[int, int] = (1, 1)) -> DataFrame:
     """``sequences`` with a row for each cleavage, series and charge: ``ion``, ``cut`` (residues of the fragment), ``charge``, ``fragment_mass``, ``ion_mz``."""
-    from spectroloom.functions.mass import ION_SERIES, PROTON, residue_mass
+    from spectroloom.functions.mass import ION_SERIES, PROTON
+    from spectroloom.functions.numeric import prefix_masses
 
     n = F.length(sequence)
-    cuts = sequences.where(n > 1).withColumn("cut", F.explode(F.sequence(F.lit(1), n - 1)))
+    cuts = sequences.where(n > 1).withColumn("_up", prefix_masses(F.col(sequence))).withColumn("cut", F.explode(F.sequence(F.lit(1), n - 1)))
     parts = F.array(*[F.struct(F.lit(s).alias("ion"), F.lit(ION_SERIES[s][0] == "prefix").alias("prefix"), F.lit(ION_SERIES[s][1]).alias("offset")) for s in series])
     each = cuts.withColumn("_s", F.explode(parts))
-    piece = F.when(F.col("_s.prefix"), F.left(F.col(sequence), F.col("cut"))).otherwise(F.right(F.col(sequence), F.col("cut")))
-    each = each.withColumn("fragment_mass", residue_mass(piece) + F.col("_s.offset")).withColumn("charge", F.explode(F.sequence(F.lit(charges[0]), F.lit(charges[1]))))
-    return each.withColumn("ion", F.col("_s.ion")).withColumn("ion_mz", F.col("fragment_mass") / F.col("charge") + PROTON).drop("_s")
+    piece = F.when(F.col("_s.prefix"), F.get("_up", F.col("cut"))).otherwise(F.get("_up", n) - F.get("_up", n - F.col("cut")))
+    each = each.withColumn("fragment_mass", piece + F.col("_s.offset")).withColumn("charge", F.explode(F.sequence(F.lit(charges[0]), F.lit(charges[1]))))
+    return each.withColumn("ion", F.col("_s.ion")).withColumn("ion_mz", F.col("fragment_mass") / F.col("charge") + PROTON).drop("_s", "_up")

@@ -7,29 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectroloom.operators.scratch import materialised
 
-def cuts_of(df: DataFrame, column: str, parts: int) -> list[float]:
-    """At most ``parts - 1`` ascending values that divide ``column`` into parts of about equal size."""
-    if parts < 2:
-        return []
-    found = df.approxQuantile(column, [k / parts for k in range(1, parts)], 0.5 / parts)
-    return sorted(set(found))
 
-
-def running_fdr(df: DataFrame, score: str, decoy: str, order: Sequence[Column], parts: int = 32) -> DataFrame:
+def running_fdr(df: DataFrame, score: str, decoy: str, order: Sequence[Column], parts: int | None = None) -> DataFrame:
     """``df`` with ``fdr`` and ``q_value`` in ascending ``score`` (then ``order``).
 
     fdr = min(1, decoys so far / targets so far), 1 without targets; q_value is the least fdr from
-    a row on. Sums over the whole order without one partition: rows are divided by score, windows
-    run within the parts, and a table with a row for each part carries what lies before and behind.
+    a row on. Null scores come first, ties go by ``order``. Sums over the whole order without one
+    partition: rows are divided into ranges of score and ``order`` (as many as the session's shuffle
+    partitions, so that equal scores are divided too) and written once, windows run within the
+    ranges, and a table with a row for each range carries what lies before and behind.
     """
-    cuts = cuts_of(df, score, parts)
-    part = F.coalesce(sum((F.col(score) > c).cast("int") for c in cuts) if cuts else F.lit(0), F.lit(0))
-    base = df.withColumn("_part", part).withColumn("_d", F.col(decoy).cast("long"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(score).asc(), *order]
+    base = df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()).withColumn("_d", F.col(decoy).cast("long"))
+    base = materialised(base)
     totals = base.groupBy("_part").agg(F.sum("_d").alias("_dd"), F.sum(1 - F.col("_d")).alias("_tt"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_dd").over(before), F.lit(0)).alias("_d0"), F.coalesce(F.sum("_tt").over(before), F.lit(0)).alias("_t0"))
-    keys = [F.col(score).asc(), *order]
     here = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     # at most ``parts`` rows are broadcast
     with_fdr = base.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
@@ -63,7 +59,7 @@ def target_decoy_fdr(rows: DataFrame, scan: str, peptide: str, score: str, proba
     """
     order = [F.col(probability).desc(), F.col(decoy).desc(), *tie]
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(scan).orderBy(F.col(score).asc(), *order)))
-    best = ranked.where("_n = 1").drop("_n")
+    best = materialised(ranked.where("_n = 1").drop("_n"))
     scored = running_fdr(best, score, decoy, order).drop("fdr")
     peptides = best_per(rows if several else best, [peptide], [F.col(score).asc(), *order])
     by_peptide = running_fdr(peptides, score, decoy, order).select(F.col(peptide).alias("_pep"), F.col("q_value").alias("pep_q_value"))

@@ -208,3 +208,118 @@ def test_proteoforms_with_many_names_respect_shared_sites(spark):
         return not left or any(r in sites[left[0]] and placed(word[:i] + word[i + 1 :], left[1:]) for i, r in enumerate(word))
 
     assert got == {(i, c) for i, w in (("p", "SMKK"), ("q", "GG")) for c in sequences.modification_combinations(list(masses), 3) if placed(w, c)}
+
+
+def components_of(n, linked):
+    """Least member reachable, by all pairs."""
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(n):
+        for j in range(n):
+            if i != j and linked(i, j):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(n)]
+
+
+def partition(labels):
+    groups = {}
+    for i, x in enumerate(labels):
+        groups.setdefault(x, set()).add(i)
+    return {frozenset(g) for g in groups.values()}
+
+
+PEAK = "k long, run string, scan_num int, mass double, charge int, intensity double"
+
+
+def test_clusters_lose_no_link_and_no_row(spark):
+    # one later peak at the other edge of the band, behind six nearer ones; and two equal rows
+    rows = [(0, "r", 10, 1000.0, 2, 5.0)] + [(k, "r", 11, 1000.0 * (1 - 9e-6), 2, 5.0 + k) for k in range(1, 7)] + [(7, "r", 13, 1000.0 * (1 + 9e-6), 2, 5.0), (8, "r", 50, 900.0, 2, 1.0), (9, "r", 50, 900.0, 2, 1.0)]
+    got = {r["k"]: r["feature"] for r in features.peak_clusters(spark.createDataFrame(rows, PEAK)).collect()}
+    assert len(got) == 10 and len({got[k] for k in range(8)}) == 1 and got[8] == got[9] != got[0]
+
+
+def test_clusters_against_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice("ab"), rng.randint(1, 60), rng.choice([500.0, 1000.0]) * (1 + rng.uniform(-40, 40) * 1e-6), rng.randint(1, 3), 1.0) for k in range(160)]
+    got = {r["k"]: r["feature"] for r in features.peak_clusters(spark.createDataFrame(rows, PEAK), ppm=7.0, gap=3).collect()}
+
+    def linked(i, j):
+        a, b = rows[i], rows[j]
+        return a[1] == b[1] and 0 <= b[2] - a[2] <= 3 and abs(a[3] - b[3]) <= a[3] * 7e-6
+
+    assert partition([got[k] for k in range(160)]) == partition(components_of(160, linked))
+
+
+def test_merging_and_alignment_links_against_all_pairs(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), k, 1000.0 * (1 + rng.uniform(-60, 60) * 1e-6), rng.randint(0, 40) / 400, 1.0) for k in range(150)]
+    df = spark.createDataFrame(rows, "run string, feature long, mass double, net double, abundance double")
+    near = lambda a, b: abs(a[2] - b[2]) <= a[2] * 8e-6 and abs(a[3] - b[3]) <= 0.01
+    merged = {r["feature"]: r["component"] for r in features.merged_features(df, ppm=8.0, net=0.01).collect()}
+    assert [merged[k] for k in range(150)] == components_of(150, lambda i, j: rows[i][0] == rows[j][0] and near(rows[i], rows[j]))
+    groups = {r["feature"]: r for r in features.aligned(df, 8.0, 0.01).collect()}
+    whole = components_of(150, lambda i, j: rows[i][0] != rows[j][0] and near(rows[i], rows[j]))
+    assert len(groups) == 150
+    for c in set(whole):
+        # the rule of groups, row by row
+        left, want = sorted((k for k in range(150) if whole[k] == c), key=lambda k: (rows[k][3], k)), {}
+        while left:
+            best = None
+            for i in left:
+                nearest = {}
+                for j in left:
+                    gap = abs(rows[j][3] - rows[i][3])
+                    if rows[j][0] != rows[i][0] and gap <= 0.01 and (rows[j][0] not in nearest or gap < nearest[rows[j][0]][0]):
+                        nearest[rows[j][0]] = (gap, j)
+                cost = (-len(nearest), sum(g for g, _ in nearest.values()), i)
+                if best is None or cost < best[0]:
+                    best = (cost, i, [j for _, j in nearest.values()])
+            for j in (best[1], *best[2]):
+                want[j] = best[1]
+                left.remove(j)
+        assert {k: groups[k]["group_id"] for k in want} == want
+
+
+def test_overlapping_features_go_by_abundance(spark):
+    rng = random.Random(4)
+    rows = [("r", k, 1000.0 * (1 + rng.choice([0, 4, 300]) * 1e-6), s := rng.randint(1, 300), s + rng.randint(0, 120), float(rng.randint(1, 40))) for k in range(120)]
+    df = spark.createDataFrame(rows, "run string, feature long, mass double, min_scan int, max_scan int, abundance double")
+    got = {r["feature"] for r in features.without_overlaps(df, 10.0).collect()}
+    taken = []
+    for row in sorted(rows, key=lambda r: (-r[5], r[1])):
+        if not any(abs(row[2] - o[2]) < 0.05 and row[3] <= o[4] and o[3] <= row[4] for o in taken):
+            taken.append(row)
+    assert got == {r[1] for r in taken}
+
+
+def test_scores_of_any_size_are_kept():
+    nodes = np.zeros(11, int)
+    nodes[[2, 4]] = [2500, -1800]
+    low, p = scoring.score_distribution(nodes, np.array([2, 3]), np.array([0.5, 0.5]), 10)
+    assert p.sum() > 0 and scoring.tail_probability(low, p, 2500) == pytest.approx(p[2500 - low :].sum() / p.sum())
+    assert scoring.tail_probability(low, p, 9999) == 1e-300
+    assert scoring.tail_probability(*scoring.score_distribution(nodes, np.array([4]), np.array([1.0]), 10), 1) == 1.0
+
+
+def test_rates_of_many_equal_scores(spark):
+    """Ties are divided among the ranges too and still go by the order that is given."""
+    rng = random.Random(2)
+    rows = [(k, rng.choice([0.0, 0.0, 0.0, 1.0, None]), rng.random() < 0.3) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k long, score double, decoy boolean")
+    got = {r["k"]: (r["fdr"], r["q_value"]) for r in windows.running_fdr(df, "score", "decoy", [F.col("k")], 13).collect()}
+    decoys = targets = 0
+    fdr = []
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    for _, _, decoy in ordered:
+        decoys, targets = decoys + decoy, targets + (not decoy)
+        fdr.append(min(1.0, decoys / targets) if targets else 1.0)
+    least = 1.0
+    for (k, _, _), f in zip(reversed(ordered), reversed(fdr), strict=True):
+        least = min(least, f)
+        assert got[k] == (pytest.approx(f), pytest.approx(least))
