@@ -13,11 +13,126 @@ from pyspark.sql import functions as F
 from spectroloom.operators.joins import band_join
 
 
-def match_fragments(fragments: DataFrame, peaks: DataFrame, ion_mz: str, peak_mz: str, intensity: str, ppm: float, id_columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Each fragment with its strongest peak within ``ppm``: id_columns, peak_mz, intensity and error in ppm."""
+# Weights of the composite score, each times 4: a match's offset and least score, a cleavage with fragments on
+# both sides, and of a fragment on either side its count, intensity over the spectrum's reference (at most 1), the correlation
+# and distance of its envelope, and its error in ppm.
+SCALE, OFFSET, LEAST_SCORE, COMPLEMENTARY = 4.0, -5.39335774417474, 3.0, -0.378768218613132
+PREFIX = {"count": -1.125486077, "intensity": 0.323923971, "corr": 1.473096149, "dist": 0.179502658, "error": -0.032959575}
+SUFFIX = {"count": -0.886170429, "intensity": 0.372673677, "corr": 1.18929338, "dist": -0.284321389, "error": -0.026141488}
+# The fragment series of each way to break molecules; b and y for all others.
+SERIES = {"ETD": ("c", "z"), "UVPD": ("a", "b", "c", "x", "y", "z")}
+
+
+def series_of(activation: Column) -> Column:
+    """The fragment series of an activation as an array."""
+    out = F.array(F.lit("b"), F.lit("y"))
+    for name, series in SERIES.items():
+        out = F.when(activation == name, F.array(*map(F.lit, series))).otherwise(out)
+    return out
+
+
+def composite_term(prefix: Column, intensity: Column, reference: Column, corr: Column, dist: Column, error_ppm: Column) -> Column:
+    """What one matched fragment adds to the composite score."""
+    def side(w: dict[str, float]) -> Column:
+        share = F.when(reference > 0, F.least(intensity / reference, F.lit(1.0))).otherwise(F.lit(1.0))
+        return (w["count"] + w["intensity"] * share + w["corr"] * corr + w["dist"] * dist + w["error"] * F.abs(error_ppm)) * SCALE
+
+    return F.when(prefix, side(PREFIX)).otherwise(side(SUFFIX))
+
+
+def composite_sites(matched: DataFrame, by: Sequence[str], length: str) -> DataFrame:
+    """A row for each cleavage of a match that some fragment shows: ``site`` (residues before it), ``site_score``,
+    ``plain_score`` (without mass errors, a whole number) and ``n``.
+
+    ``matched`` has ``prefix``, ``cut`` (residues of the fragment), ``term`` and ``plain_term`` for each matched fragment.
+    """
+    site = F.when(F.col("prefix"), F.col("cut")).otherwise(F.col(length) - F.col("cut"))
+    both = F.when(F.bool_or("prefix") & F.bool_or(~F.col("prefix")), F.lit(COMPLEMENTARY * SCALE)).otherwise(F.lit(0.0))
+    return matched.groupBy(*by, site.alias("site")).agg((F.sum("term") + both).alias("site_score"), F.bround(F.sum("plain_term") + both).cast("long").alias("plain_score"), F.count("*").alias("n"))
+
+
+def composite(matched: DataFrame, by: Sequence[str], length: str) -> DataFrame:
+    """by with ``score``, ``plain_score`` and ``n_matched``: the sums over the cleavages of a match."""
+    return composite_sites(matched, by, length).groupBy(*by).agg(F.sum("n").alias("n_matched"), F.sum("site_score").alias("score"), F.sum("plain_score").alias("plain_score"))
+
+
+def probability(score: Column) -> Column:
+    """That a match of this composite score is right, by the logistic curve of the offset."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(score + OFFSET * SCALE)))
+
+
+def best_additive_placement(sequence: str, modifications: Sequence[str], sites: dict[str, str], shown: dict[tuple[int, tuple[str, ...]], tuple[float, int, int]]) -> tuple[float, int, int, list[str]] | None:
+    """(score, plain score, matched fragments, modification or empty of each residue) of the placement that scores best.
+
+    ``shown`` gives what the cleavage behind a number of residues, with these modifications before it, adds to each.
+    Placements that agree in what is placed so far meet, so that only the best of them goes on. None if nothing is shown.
+    """
+    whole = tuple(sorted(modifications))
+    states: dict[tuple[str, ...], tuple] = {(): (0.0, 0, 0, None)}
+    for i, residue in enumerate(sequence, 1):
+        after: dict[tuple[str, ...], tuple] = {}
+        for done, (score, plain, n, path) in states.items():
+            for m in ["", *[m for m in sorted(set(whole)) if residue in sites[m] and done.count(m) < whole.count(m)]]:
+                now = tuple(sorted((*done, m))) if m else done
+                a, b, c = shown.get((i, now), (0.0, 0, 0)) if i < len(sequence) else (0.0, 0, 0)
+                new = (score + a, plain + b, n + c, (path, i, m) if m else path)
+                if now not in after or new[:3] > after[now][:3]:
+                    after[now] = new
+        states = after
+    if whole not in states or not states[whole][2]:
+        return None
+    score, plain, n, path = states[whole]
+    placed = [""] * len(sequence)
+    while path:
+        path, i, m = path
+        placed[i - 1] = m
+    return score, plain, n, placed
+
+
+def placed_composite(matched: DataFrame, by: Sequence[str], sites: dict[str, str]) -> DataFrame:
+    """``composite`` of the best placement of each match's modifications, and ``placement``.
+
+    ``matched`` has for each fragment and each ``part`` of the match's ``modifications`` that it may carry its terms, and the
+    match's ``sequence``. A match is one row for the task that places it.
+    """
+    schema = ", ".join(f"{k} {matched.schema[k].dataType.simpleString()}" for k in by) + ", n_matched long, score double, plain_score long, placement array<string>"
+    rows = F.sort_array(F.collect_list(F.struct("prefix", "cut", F.array_join("part", "|").alias("part"), "term", "plain_term")))
+    matches = matched.groupBy(*by).agg(F.first("sequence").alias("_sequence"), F.array_join(F.first("modifications"), "|").alias("_whole"), rows.alias("_r"))
+    matches = matches.select(*by, "_sequence", "_whole", *[F.col(f"_r.{c}").alias(f"_{c}") for c in ("prefix", "cut", "part", "term", "plain_term")])
+
+    def split(names: str) -> list[str]:
+        return names.split("|") if names else []
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                head, (sequence, whole, *columns) = row[: len(by)], row[len(by) :]
+                cells: dict[tuple, list] = {}
+                for prefix, cut, part, term, plain in zip(*columns, strict=True):
+                    before = split(part)
+                    if not prefix:
+                        before = split(whole)
+                        for m in split(part):
+                            before.remove(m)
+                    cell = cells.setdefault((int(cut) if prefix else len(sequence) - int(cut), tuple(sorted(before))), [0.0, 0.0, 0, set()])
+                    cell[0], cell[1], cell[2] = cell[0] + term, cell[1] + plain, cell[2] + 1
+                    cell[3].add(bool(prefix))
+                both = COMPLEMENTARY * SCALE
+                shown = {k: (t + both * (len(s) == 2), int(np.rint(p + both * (len(s) == 2))), n) for k, (t, p, n, s) in cells.items()}
+                found = best_additive_placement(sequence, split(whole), sites, shown)
+                if found:
+                    out.append([*head, found[2], found[0], found[1], found[3]])
+            yield pd.DataFrame(out, columns=[*by, "n_matched", "score", "plain_score", "placement"])
+
+    return matches.mapInPandas(run, schema)
+
+
+def match_fragments(fragments: DataFrame, peaks: DataFrame, ion_mz: str, peak_mz: str, intensity: str, ppm: float, id_columns: Sequence[str], keys: Sequence[str] = (), take: Sequence[str] = ()) -> DataFrame:
+    """Each fragment with its strongest peak within ``ppm``: id_columns, peak_mz, intensity, error in ppm and ``take`` of the peak."""
     pairs = band_join(fragments, peaks, ion_mz, peak_mz, ppm, "ppm", keys)
-    best = pairs.groupBy(*id_columns, ion_mz).agg(F.max(F.struct(F.col(intensity).alias("i"), F.col(peak_mz).alias("m"))).alias("b"))
-    return best.select(*id_columns, ion_mz, F.col("b.m").alias("matched_mz"), F.col("b.i").alias("matched_intensity"), ((F.col("b.m") - F.col(ion_mz)) / F.col(ion_mz) * 1e6).alias("error_ppm"))
+    best = pairs.groupBy(*id_columns, ion_mz).agg(F.max(F.struct(F.col(intensity).alias("i"), F.col(peak_mz).alias("m"), *take)).alias("b"))
+    return best.select(*id_columns, ion_mz, F.col("b.m").alias("matched_mz"), F.col("b.i").alias("matched_intensity"), ((F.col("b.m") - F.col(ion_mz)) / F.col(ion_mz) * 1e6).alias("error_ppm"), *[F.col(f"b.{c}").alias(c) for c in take])
 
 
 def composite_score(matched: DataFrame, by: Sequence[str], weights: dict[str, float], reference: Column) -> DataFrame:

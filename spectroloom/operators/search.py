@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectroloom.functions.mass import RESIDUE_MASS, nominal_bin
+from spectroloom.functions.arrays import upper_quantile
+from spectroloom.functions.mass import ION_SERIES, PROTON, RESIDUE_MASS, WATER, nominal_bin
 from spectroloom.operators import deconvolution, features, ranking, scoring, sequences, windows
 from spectroloom.operators.joins import band_join
+from spectroloom.operators.scratch import materialised
 from spectroloom.sources import parameters, spectra, tables
 from spectroloom.sources.fasta import with_decoys
 
@@ -44,45 +46,79 @@ def candidates(proteins: DataFrame, options: parameters.SearchParameters) -> Dat
     return cut(proteins).drop("sequence").withColumnRenamed("peptide", "sequence")
 
 
+def _node_scores(matches: DataFrame, peaks: DataFrame) -> DataFrame:
+    """match_id with ``nodes``: what a cleavage at each nominal prefix mass of the match would score, from its spectrum's peaks."""
+    near = matches.select("match_id", "scan_num", (F.col("mass") - WATER).alias("residues"), "series").join(peaks, "scan_num")
+    offsets = F.create_map(*[x for k, (_, o) in ION_SERIES.items() for x in (F.lit(k), F.lit(o))])
+    each = near.withColumn("ion", F.explode("series")).withColumn("prefix", F.col("ion").isin("a", "b", "c"))
+    own = F.col("peak_mass") - F.element_at(offsets, F.col("ion"))
+    each = each.withColumn("bin", F.when(F.col("prefix"), nominal_bin(own)).otherwise(nominal_bin(F.col("residues")) - nominal_bin(own)))
+    term = scoring.composite_term(F.col("prefix"), F.col("peak_intensity"), F.col("reference"), F.col("corr"), F.col("dist"), F.lit(0.0))
+    best = each.where("bin > 0").groupBy("match_id", "bin", "ion").agg(F.first("prefix").alias("prefix"), F.max(term).alias("t"))
+    both = F.when(F.bool_or("prefix") & F.bool_or(~F.col("prefix")), F.lit(scoring.COMPLEMENTARY * scoring.SCALE)).otherwise(F.lit(0.0))
+    nodes = best.groupBy("match_id", "bin").agg(F.bround(F.sum("t") + both).cast("int").alias("score"))
+    return nodes.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(F.col("bin").cast("int").alias("mass"), "score"))).alias("nodes"))
+
+
+def _matched_terms(ions: DataFrame, peaks: DataFrame, ppm: float, fragment: list[str]) -> DataFrame:
+    """Matched fragments with what they add to the composite score, with and without their error."""
+    took = ["corr", "dist", "reference"]
+    matched = scoring.match_fragments(ions, peaks, "fragment_mass", "peak_mass", "peak_intensity", ppm, fragment, ["scan_num"], took)
+    term = lambda error: scoring.composite_term(F.col("prefix"), F.col("matched_intensity"), F.col("reference"), F.col("corr"), F.col("dist"), error)
+    return matched.withColumn("prefix", F.col("ion").isin("a", "b", "c")).withColumn("term", term(F.col("error_ppm"))).withColumn("plain_term", term(F.lit(0.0)))
+
+
+def _with_reference(peaks: DataFrame) -> DataFrame:
+    """Peaks as the scores take them: corr 1 and dist 0 where they have none, and their spectrum's reference intensity."""
+    corr = F.col("corr") if "corr" in peaks.columns else F.lit(1.0)
+    dist = F.col("dist") if "dist" in peaks.columns else F.lit(0.0)
+    found = peaks.select("scan_num", F.col("mass").alias("peak_mass"), F.col("intensity").alias("peak_intensity"), corr.alias("corr"), dist.alias("dist"))
+    level = found.groupBy("scan_num").agg(upper_quantile(F.collect_list("peak_intensity")).alias("reference"))
+    return found.join(level, "scan_num")
+
+
 def search(runs: DataFrame, proteins: DataFrame, modifications: dict[str, tuple[float, str]] | None = None, options: parameters.SearchParameters | None = None, peaks: DataFrame | None = None) -> DataFrame:
     """Target and decoy matches of the fragment spectra of ``runs``, the best ``report`` of each scan, with q-values.
 
     Precursor masses come from the isolation's monoisotopic m/z and charge. ``modifications`` maps
     a name to (mass shift, residues); with them each match is scored by its best placement of them,
-    ``placement`` (name or empty of each residue). Proteins have name and sequence.
+    ``placement`` (name or empty of each residue). Proteins have name and sequence. Matches are scored by the
+    composite score over the series of their scan's ``activation`` (c and z for ETD, b and y unless told otherwise), and
+    E-values count random sequences of the same, modified residues that score as well, times the number of proteins.
     """
     options = options or parameters.SearchParameters()
     modifications = modifications or {}
     masses, sites = {k: v[0] for k, v in modifications.items()}, {k: v[1] for k, v in modifications.items()}
     both = with_decoys(proteins.select("name", "description", "sequence"))
     ms2 = runs.where((F.col("ms_level") == 2) & F.col("isolation.mono_mz").isNotNull() & F.col("isolation.charge").between(options.min_charge, options.max_charge))
-    scans = ms2.select("scan_num", ((F.col("isolation.mono_mz") - 1.00727649) * F.col("isolation.charge")).alias("precursor_mass"), F.col("isolation.charge").alias("charge"))
+    activation = F.lit(options.activation.upper()) if options.activation != "unknown" or "activation" not in runs.columns else F.upper("activation")
+    scans = ms2.select("scan_num", ((F.col("isolation.mono_mz") - PROTON) * F.col("isolation.charge")).alias("precursor_mass"), F.col("isolation.charge").alias("charge"), scoring.series_of(activation).alias("series"))
     forms = sequences.proteoforms(candidates(both, options), "sequence", masses, sites, options.max_modifications if masses else 0).where(F.col("mass").between(options.min_mass, options.max_mass))
     pairs = band_join(scans, forms, "precursor_mass", "mass", options.precursor_ppm, "ppm")
-    pairs = pairs.withColumn("match_id", F.xxhash64("scan_num", "name", "sequence", "start", "modifications"))
+    pairs = materialised(pairs.withColumn("match_id", F.xxhash64("scan_num", "name", "sequence", "start", "modifications")))
     if peaks is None:
         peaks = deconvolution.deconvolute(ms2, ["scan_num"], (options.min_product_charge, options.max_product_charge), options.product_ppm)
-    found = peaks.select("scan_num", F.col("mass").alias("peak_mass"), F.col("intensity").alias("peak_intensity"))
-    ions = sequences.fragments(pairs.select("match_id", "scan_num", "sequence", "modifications"), "sequence", ("b", "y"))
-    fragment, weights = ["match_id", "scan_num", "ion", "cut"], {"count": 1.0, "error": -0.05}
+    found = materialised(_with_reference(peaks))
+    every = tuple(dict.fromkeys(("b", "y", *[s for kinds in scoring.SERIES.values() for s in kinds])))
+    ions = sequences.fragments(pairs.select("match_id", "scan_num", "sequence", "modifications", "series"), "sequence", every).where(F.array_contains("series", F.col("ion")))
+    fragment = ["match_id", "scan_num", "ion", "cut"]
     if masses:
         # a fragment is matched once with each part of the modifications that it may carry; placements share these
         combos = sequences.modification_combinations(list(masses), options.max_modifications)
         parts = runs.sparkSession.createDataFrame(sequences.modification_parts(combos, masses), "modifications array<string>, parts array<struct<part:array<string>,shift:double>>")
         ions = ions.join(F.broadcast(parts), "modifications").select(*fragment, "fragment_mass", F.inline("parts")).withColumn("fragment_mass", F.col("fragment_mass") + F.col("shift"))
-        matched = scoring.match_fragments(ions, found, "fragment_mass", "peak_mass", "peak_intensity", options.product_ppm, [*fragment, "part"], ["scan_num"])
-        scored = scoring.placed_score(matched.join(pairs.select("match_id", "sequence", "modifications"), "match_id"), ["match_id", "scan_num"], sites, weights, 1.0)
+        matched = _matched_terms(ions, found, options.product_ppm, [*fragment, "part"])
+        scored = scoring.placed_composite(matched.join(pairs.select("match_id", "sequence", "modifications"), "match_id"), ["match_id", "scan_num"], sites)
     else:
-        matched = scoring.match_fragments(ions, found, "fragment_mass", "peak_mass", "peak_intensity", options.product_ppm, fragment, ["scan_num"])
-        scored = scoring.composite_score(matched, ["match_id", "scan_num"], weights, F.lit(1.0))
+        matched = _matched_terms(ions, found, options.product_ppm, fragment)
+        scored = scoring.composite(matched.join(pairs.select("match_id", F.length("sequence").alias("residues")), "match_id"), ["match_id", "scan_num"], "residues")
     best = ranking.top_k_distinct_scores(scored, ["scan_num"], "score", [F.col("match_id")], options.keep)
-    results = best.join(pairs.drop("scan_num"), "match_id")
-    nodes = peaks.groupBy("scan_num").agg(F.collect_set(F.struct(nominal_bin(F.col("mass")).cast("int").alias("mass"), F.lit(1).alias("score"))).alias("nodes"))
-    with_nodes = results.join(nodes, "scan_num").withColumn("target", nominal_bin(F.col("mass") - 18.010565).cast("int")).withColumn("hits", F.col("n_matched").cast("int"))
-    e = scoring.generating_function(with_nodes, ["match_id"], "target", "nodes", "hits", RESIDUE_MASS)
-    n = both.count()
-    final = results.join(e, "match_id").withColumn("e_value", F.col("spec_e_value") * n).withColumn("probability", F.lit(1.0) / (1.0 + F.exp(-F.col("score") / 10)))
-    reported = ranking.top_n_with_ties(final, ["scan_num"], "e_value", [F.col("match_id")], options.report)
+    results = materialised(best.join(pairs.drop("scan_num"), "match_id"))
+    with_nodes = results.join(_node_scores(results, found), "match_id").withColumn("target", nominal_bin(F.col("mass") - WATER).cast("int"))
+    steps = RESIDUE_MASS | {f"{r}+{name}": RESIDUE_MASS[r] + shift for name, (shift, residues) in modifications.items() for r in residues if r in RESIDUE_MASS}
+    e = scoring.generating_function(with_nodes, ["match_id"], "target", "nodes", "plain_score", steps)
+    final = results.join(e, "match_id").withColumn("e_value", F.col("spec_e_value") * proteins.count()).withColumn("probability", scoring.probability(F.col("score")))
+    reported = ranking.top_n_with_ties(final.drop("series", "plain_score"), ["scan_num"], "e_value", [F.col("match_id")], options.report)
     return windows.target_decoy_fdr(reported, "scan_num", "sequence", "e_value", "probability", "is_decoy", [F.col("match_id")])
 
 
@@ -99,11 +135,11 @@ def fdr_of_files(spark: SparkSession, target: str, decoy: str) -> DataFrame:
 
 
 def rescore(results: DataFrame, peaks: DataFrame, ppm: float = 10.0) -> DataFrame:
-    """``results`` (Scan, Sequence) with a score over new peaks (scan_num, mass, intensity)."""
+    """``results`` (Scan, Sequence) with the composite score over new peaks (scan_num, mass, intensity); null where no fragment matches."""
     rows = results.select(F.xxhash64("Scan", "Sequence").alias("match_id"), F.col("Scan").alias("scan_num"), F.col("Sequence").alias("sequence")).distinct()
     ions = sequences.fragments(rows, "sequence", ("b", "y"))
-    matched = scoring.match_fragments(ions, peaks.select("scan_num", F.col("mass").alias("peak_mass"), "intensity"), "fragment_mass", "peak_mass", "intensity", ppm, ["match_id", "scan_num", "ion", "cut"], ["scan_num"])
-    scored = scoring.composite_score(matched, ["match_id"], {"count": 1.0}, F.lit(1.0))
+    matched = _matched_terms(ions, _with_reference(peaks), ppm, ["match_id", "scan_num", "ion", "cut"])
+    scored = scoring.composite(matched.join(rows.select("match_id", F.length("sequence").alias("residues")), "match_id"), ["match_id"], "residues").drop("plain_score")
     return results.withColumn("match_id", F.xxhash64("Scan", "Sequence")).join(scored, "match_id", "left").drop("match_id")
 
 
@@ -111,7 +147,8 @@ def align(tables_by_run: dict[str, DataFrame], ppm: float = 10.0, net: float = 0
     """The crosstab of feature tables (as their files have them) over runs."""
     every = None
     for run, df in tables_by_run.items():
-        end = F.max("MaxElutionTime").over(windows.Window.partitionBy(F.lit(run)))
-        one = df.select(F.lit(run).alias("run"), F.xxhash64(F.lit(run), "FeatureID").bitwiseAND(F.lit(2**62 - 1)).alias("feature"), F.col("MonoMass").alias("mass"), ((F.col("MinElutionTime") + F.col("MaxElutionTime")) / 2 / end).alias("net"), F.col("Abundance").alias("abundance"))
+        # one row, the run's last time, is joined
+        end = df.agg(F.max("MaxElutionTime").alias("_end"))
+        one = df.join(F.broadcast(end)).select(F.lit(run).alias("run"), F.xxhash64(F.lit(run), "FeatureID").bitwiseAND(F.lit(2**62 - 1)).alias("feature"), F.col("MonoMass").alias("mass"), ((F.col("MinElutionTime") + F.col("MaxElutionTime")) / 2 / F.col("_end")).alias("net"), F.col("Abundance").alias("abundance"))
         every = one if every is None else every.unionByName(one)
     return features.alignment_crosstab(features.aligned(every, ppm, net), list(tables_by_run))
