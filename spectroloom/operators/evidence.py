@@ -44,6 +44,11 @@ def without_precursor_peaks(peaks: DataFrame, precursors: DataFrame, mz: str, pr
     return band_join(peaks, places, mz, "_place", da, "da", keys, "left_anti")
 
 
+def above_noise(peaks: DataFrame, intensity: str, noise: str, ratio: float = 1.4826) -> DataFrame:
+    """Peaks at or above ``ratio`` times the noise that the instrument gives for them; peaks without a noise stay."""
+    return peaks.where(F.col(noise).isNull() | (F.col(intensity) >= F.col(noise) * ratio))
+
+
 def with_precursor(ions: DataFrame, ms1_peaks: DataFrame, mass: str, charge: str, mz: str, ppm: float, keys: Sequence[str], isotopes: int = 3) -> DataFrame:
     """Ions of which some of the first isotopes has a peak in the MS1 scan of equal keys."""
     each = ions.withColumn("_iso", F.explode(F.sequence(F.lit(0), F.lit(isotopes - 1)))).withColumn("_mz", isotope_mz(F.col(mass), F.col(charge), F.col("_iso")))

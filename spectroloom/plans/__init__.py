@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from spectroloom.plans import evidence, filters, joins, scalars, sequences, sources, streams, summaries, windows
+from spectroloom.plans import evidence, filters, joins, scalars, sequences, sources, spectral, streams, summaries, windows
 from spectroloom.plans.registry import QUERIES, SQL
 
-__all__ = ["evidence", "filters", "joins", "scalars", "sequences", "sources", "streams", "summaries", "windows"]
+__all__ = ["evidence", "filters", "joins", "scalars", "sequences", "sources", "spectral", "streams", "summaries", "windows"]
 
 
 def flagship(spark, sf_dir):
