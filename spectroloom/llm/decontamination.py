@@ -1,27 +1,33 @@
 """Benchmark decontamination over a positional inverted index, with DataFrame operations only.
 
-1. Test items are cut into windows (phrases) of consecutive words.
-2. Corpus frequencies of all words of the items are counted over all documents.
-3. The index is built: for each word that is the rarest of some window, its postings (term,
-   document, position), each with the words around it. Words that no window starts from are never
-   looked up and so are left out of the stored index.
-4. A phrase is looked up from its rarest term: postings are shifted by the term's offset in the
-   phrase and kept where every other term stands at its own offset (exact), or where all terms
-   stand within a distance (``proximity``).
-
-Test-side tables are broadcast only after their rows were counted; larger ones are joined by hash.
+1. Documents are cut into words once and written; all that follows reads the words.
+2. Test items are cut into windows (phrases) of consecutive words, each with a number; equal ones are one phrase.
+3. Corpus frequencies of all words of the items are counted over all documents.
+4. The index is built: the postings (document, term, position) of the rarest terms of each phrase. Words that no
+   phrase is looked up by are left out of the stored index.
+5. A phrase is looked up from its rarest terms: each list of postings is shifted back by the term's offset in the
+   phrase, so that it holds starts, and the lists are intersected by document, phrase and start. What is left is
+   compared with the document word by word.
+6. ``proximity`` looks up phrases whose terms all stand near the rarest one, in any order.
+
+Phrases travel as numbers; the items of a phrase are joined at the end. Test-side tables are broadcast only after
+their rows, of a bounded number of words, were counted; larger ones are joined by hash.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectroloom.llm.common import ascii_lower, free, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of a test-side table (a phrase of a few words each) up to which it may be broadcast.
+#: Rows of a test-side table (a word or a phrase of a window's words each) up to which it may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Of how many of a phrase's rarest terms lists are intersected before documents are looked at.
+LISTS = 2
 
 
 def words(text: Column) -> Column:
@@ -33,65 +39,76 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def phrases(items: DataFrame, window: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(phrase array, items array): the distinct windows; an item of fewer words is one window."""
+def tokenised(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, w): the words of each document, written."""
+    return written(docs.select(*keys, words(F.col(text)).alias("w")))
+
+
+def phrases(items: DataFrame, window: int, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(pid, phrase) and (pid, item): the distinct windows, and whose they are; an item of fewer words is one window."""
     cut = items.select(F.col(item_id).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1))
-    each = cut.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("phrase"))
-    return each.groupBy("phrase").agg(F.collect_set("item").alias("items"))
+    each = written(cut.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("phrase")).distinct())
+    # numbers stay what they are because they are written
+    numbered = written(each.select("phrase").distinct().withColumn("pid", F.monotonically_increasing_id()))
+    return numbered, written(each.join(numbered, "phrase").select("pid", "item"))
 
 
-def frequencies(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
+def frequencies(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, n): occurrences in all documents of the terms of ``vocabulary``."""
-    tokens = docs.select(F.explode(words(F.col(text))).alias("term"))
-    return tokens.join(_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return tokens.select(F.explode("w").alias("term")).join(_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def rarest(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each phrase with its rarest ``term`` and that term's 0-based ``offset``; phrases with a term
+def rarest(found: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame:
+    """Each phrase with ``rare``: (n, term, offset from 0) of its rarest terms, the rarest first; phrases with a term
     that occurs nowhere are left out, as they occur nowhere."""
-    terms = found.select("phrase", F.posexplode("phrase").alias("offset", "term"))
-    ranked = terms.join(counts, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).alias("r"))
-    return ranked.where("r.n > 0").select("phrase", "r.term", "r.offset").join(found, "phrase")
+    terms = found.select("pid", F.posexplode("phrase").alias("offset", "term"))
+    ranked = terms.join(counts, "term", "left").groupBy("pid").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("r"))
+    return ranked.where(F.col("r")[0]["n"] > 0).select("pid", F.slice("r", 1, lists).alias("rare")).join(found, "pid")
 
 
-def build_index(docs: DataFrame, terms: DataFrame, reach: int, keys: list[str], text: str = "text") -> DataFrame:
-    """The stored postings of ``terms``: (keys, term, pos, near, first).
+def build_index(tokens: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """The stored postings of ``terms``: (keys, term, pos), positions counted in words from 0."""
+    return written(tokens.select(*keys, F.posexplode("w").alias("pos", "term")).join(_small(terms), "term").select(*keys, "term", "pos"))
 
-    ``pos`` counts words from 0; ``near`` are the words from position ``first`` on, up to ``reach``
-    on either side of ``pos``.
-    """
-    tokens = docs.select(*keys, words(F.col(text)).alias("_w"))
-    each = tokens.select(*keys, "_w", F.posexplode("_w").alias("pos", "term")).join(_small(terms), "term")
-    first = F.greatest(F.lit(0), F.col("pos") - reach)
-    return written(each.select(*keys, "term", "pos", first.alias("first"), F.slice("_w", first + 1, F.col("pos") - first + 1 + reach).alias("near")))
 
-
-def exact(index: DataFrame, looked: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, length, phrase, items) of every occurrence of the phrases."""
-    joined = index.join(_small(looked), "term")
-    start = F.col("pos") - F.col("offset")
-    at = start - F.col("first")
-    inside = joined.where((at >= 0) & (F.slice("near", F.greatest(at, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase")))
-    return inside.select(*keys, start.alias("start"), F.size("phrase").alias("length"), "phrase", "items")
+def exact(tokens: DataFrame, index: DataFrame, looked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, length, pid) of every occurrence of the phrases."""
+    lists = looked.select("pid", F.size("rare").alias("lists"), F.posexplode("rare").alias("k", "r"))
+    starts = index.join(_small(lists.select("pid", "lists", "k", F.col("r.term").alias("term"), F.col("r.offset").alias("offset"))), "term")
+    starts = starts.select(*keys, "pid", (F.col("pos") - F.col("offset")).alias("start"), "lists", F.call_function("shiftleft", F.lit(1), F.col("k")).alias("list")).where("start >= 0")
+    met = starts.groupBy(*keys, "pid", "start").agg(F.bit_or("list").alias("seen"), F.first("lists").alias("lists"))
+    # a document's starts are one row for it, so that its words are read once
+    kept = met.where(F.col("seen") == F.call_function("shiftleft", F.lit(1), F.col("lists")) - 1).join(_small(looked.select("pid", "phrase")), "pid")
+    starts = written(kept.groupBy(*keys).agg(F.collect_list(F.struct("pid", "start", "phrase")).alias("at")))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    both = tokens.alias("d").join(starts.alias("s"), reduce(lambda a, b: a & b, same)).select(*[f"d.{k}" for k in keys], "w", "at")
+    found = F.filter("at", lambda x: F.slice("w", x["start"] + 1, F.size(x["phrase"])) == x["phrase"])
+    return both.select(*keys, F.explode(found).alias("x")).select(*keys, "x.start", F.size("x.phrase").alias("length"), "x.pid")
 
 
 def proximity(index: DataFrame, looked: DataFrame, keys: list[str], within: int) -> DataFrame:
-    """(keys, pos, phrase, items): postings of a phrase's rarest term around which all its terms
-    stand within ``within`` words, in any order (``within`` up to the index's reach)."""
-    joined = index.join(_small(looked), "term")
-    centre = F.col("pos") - F.col("first")
-    low = F.greatest(F.lit(0), centre - within)
-    span = F.slice("near", low + 1, centre - low + 1 + within)
-    return joined.where(F.size(F.array_except("phrase", span)) == 0).select(*keys, "pos", "phrase", "items")
-
+    """(keys, pos, pid): postings of a phrase's rarest term with all of its terms within ``within`` words, in any order.
 
-def matches(docs: DataFrame, items: DataFrame, window: int, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    found = written(phrases(items, window, item_id, item_text))
+    ``index`` holds the postings of all terms of the phrases. Terms meet the rarest one by document, term and a
+    bucket of positions, so that long lists are not paired with each other.
+    """
+    width = max(1, within)
+    first = looked.select("pid", F.col("rare")[0]["term"].alias("term"), F.array_distinct("phrase").alias("terms"))
+    seeds = index.join(_small(first), "term").select(*keys, "pid", F.col("pos").alias("at"), "terms")
+    near = F.explode(F.array(*[F.floor(F.col("at") / width) + d for d in (-1, 0, 1)]))
+    wanted = seeds.select(*keys, "pid", "at", F.size("terms").alias("n"), F.explode("terms").alias("term")).withColumn("bucket", near)
+    have = index.select(*[F.col(k).alias(f"{k}_of") for k in keys], F.col("term").alias("term_of"), "pos", F.floor(F.col("pos") / width).alias("bucket_of"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
+    met = wanted.join(have, reduce(lambda a, b: a & b, same) & (F.col("term") == F.col("term_of")) & (F.col("bucket") == F.col("bucket_of"))).where(F.abs(F.col("pos") - F.col("at")) <= within)
+    seen = met.groupBy(*keys, "pid", "at").agg(F.count_distinct("term").alias("seen"), F.first("n").alias("n"))
+    return seen.where("seen = n").select(*keys, F.col("at").alias("pos"), "pid")
+
+
+def looked_up(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """The phrases that can occur, with their rarest terms over all documents; written."""
     vocabulary = found.select(F.explode("phrase").alias("term")).distinct()
-    looked = written(rarest(found, written(frequencies(docs, vocabulary, text))))
-    index = build_index(docs, looked.select("term").distinct(), window - 1, keys, text)
-    return exact(index, looked, keys)
+    return written(rarest(found, written(frequencies(tokens, vocabulary))))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -103,20 +120,24 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     repeated rows get equal results and a null id is a value. Items with a null id hit but are not
     listed. Either table may be empty; other columns are ignored.
     """
-    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
-    hits = matches(keyed, items, window, ["_id", "_hash"], "_text", item_id, item_text)
-    spans = hits.groupBy("_id", "_hash", "start").agg(F.max("length").alias("length"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    per_doc = spans.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    keys = ["_id", "_hash"]
+    tokens = tokenised(docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")), keys, "_text")
+    found, owners = phrases(items, window, item_id, item_text)
+    looked = looked_up(tokens, found)
+    index = build_index(tokens, looked.select(F.explode("rare.term").alias("term")).distinct(), keys)
+    hits = written(exact(tokens, index, looked, keys).distinct())
+    per_doc = hits.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    whose = hits.select(*keys, "pid").distinct().join(_small(owners), "pid").groupBy(*keys).agg(F.collect_set("item").alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
 
     def cover(acc: Column, x: Column) -> Column:
         end = x["start"] + x["length"]
         return F.struct((acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["upto"], x["start"]))).alias("n"), F.greatest(acc["upto"], end).alias("upto"))
 
-    hit = per_doc.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), F.aggregate("spans", zero, cover)["n"].cast("long").alias("n_hit"), "items")
-    hit = written(hit)
-    base = keyed.select("_id", "_hash", F.size(words(F.col("_text"))).cast("long").alias("n_words"))
-    joined = base.join(hit, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
+    hit = per_doc.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), F.aggregate("spans", zero, cover)["n"].cast("long").alias("n_hit"))
+    same = F.col("_i").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_hash"))
+    hit = written(hit.join(whose, same, "left").select("_i", "_h", "n_hit", "items"))
+    joined = tokens.select(*keys, F.size("w").cast("long").alias("n_words")).join(hit, same, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(F.col("_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast(hit.schema["items"].dataType)).alias("items"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), F.col("_hash").alias("text_hash"))
 

@@ -84,11 +84,21 @@ def test_contamination_of_empty_tables_and_null_ids(spark):
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "red x x green y blue"), (2, "red x x x x x x x green blue"), (3, "blue green red")], "doc_id long, text string")
-    looked = spark.createDataFrame([(["red", "green", "blue"], "green", 1, [7])], "phrase array<string>, term string, offset int, items array<long>")
-    index = decontamination.build_index(d, looked.select("term"), 5, ["doc_id"])
-    assert sorted(r["doc_id"] for r in decontamination.proximity(index, looked, ["doc_id"], 3).collect()) == [1, 3]
-    assert decontamination.exact(index, looked, ["doc_id"]).count() == 0
+    rng = random.Random(7)
+    docs = [(1, "red x x green y blue"), (2, "red x x x x x x x green blue"), (3, "blue green red")] + [(k, " ".join(rng.choice(["red", "green", "blue", "x", "y"]) for _ in range(rng.randint(0, 30)))) for k in range(4, 40)] + [(None, "green red blue red")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(7, "red green blue"), (8, "x x y"), (9, "blue")], "item_id long, text string")
+    tokens = decontamination.tokenised(d, ["doc_id"])
+    found, _ = decontamination.phrases(b, 3)
+    looked = decontamination.looked_up(tokens, found)
+    index = decontamination.build_index(tokens, found.select(F.explode("phrase").alias("term")).distinct(), ["doc_id"])
+    words_of = {r["pid"]: (list(r["phrase"]), r["rare"][0]["term"]) for r in looked.collect()}
+    for within in (3, 5):
+        want = sorted(((i, k, " ".join(p)) for i, t in docs for p, r in words_of.values() for k, w in enumerate(t.split()) if w == r and set(p) <= set(t.split()[max(0, k - within) : k + within + 1])), key=str)
+        got = sorted(((r["doc_id"], r["pos"], " ".join(words_of[r["pid"]][0])) for r in decontamination.proximity(index, looked, ["doc_id"], within).collect()), key=str)
+        assert got == want and want
+    exact = sorted((r["doc_id"], r["start"], " ".join(words_of[r["pid"]][0])) for r in decontamination.exact(tokens, index, looked, ["doc_id"]).where("doc_id is not null").collect())
+    assert exact == sorted((i, k, " ".join(p)) for i, t in docs if i for p, _ in words_of.values() for k in range(len(t.split())) if t.split()[k : k + len(p)] == p)
 
 
 def test_contamination_query_against_sql(spark):
