@@ -96,7 +96,9 @@ def spelled(words: Column) -> Column:
     for variant, word in SPELLINGS:
         gaps = lambda t: F.lit(" " + t.replace(" ", "  ") + " ")
         out = F.replace(out, gaps(variant), gaps(word))
-    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+    # most texts have none of the variants: they are looked for once, all together
+    some = F.arrays_overlap(F.split(words, " "), F.array(*[F.lit(v.split(" ")[-1] if v != "sub license" else "sub") for v, _ in SPELLINGS]))
+    return F.when(some, F.trim(F.replace(out, F.lit("  "), F.lit(" ")))).otherwise(words)
 
 
 def plain_words(text: Column) -> Column:
