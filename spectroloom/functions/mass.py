@@ -12,7 +12,7 @@ PROTON = 1.00727649
 C13_MINUS_C12 = 1.00335483
 NOMINAL_SCALE = 0.9995
 FINE_SCALE = 274.335215
-ATOM_MASS = {"C": 12.0, "H": 1.007825035, "N": 14.003074, "O": 15.99491463, "S": 31.9720707, "P": 30.973762}
+ATOM_MASS = {"C": 12.0, "H": 1.007825035, "N": 14.003074, "O": 15.99491463, "S": 31.9720707, "P": 30.973762, "13C": 13.00335483, "15N": 15.000108898}
 
 # Atoms C, H, N, O, S of each amino-acid residue.
 RESIDUES = {

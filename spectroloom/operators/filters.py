@@ -10,10 +10,14 @@ from spectroloom.functions.mass import ATOM_MASS
 #: Fixed value: what decoys' names begin with.
 DECOY = "XXX"
 
-# Common modifications and the atoms they add.
+# Common modifications and the atoms they add (13C and 15N are heavy isotopes).
 MODIFICATIONS = {
-    "Acetyl": {"C": 2, "H": 2, "O": 1}, "Carbamidomethyl": {"C": 2, "H": 3, "N": 1, "O": 1}, "Deamidated": {"H": -1, "N": -1, "O": 1}, "Dehydro": {"H": -1}, "Dimethyl": {"C": 2, "H": 4},
-    "Methyl": {"C": 1, "H": 2}, "Oxidation": {"O": 1}, "Phospho": {"H": 1, "O": 3, "P": 1}, "Pyro-glu": {"H": -3, "N": -1}, "Trimethyl": {"C": 3, "H": 6},
+    "Acetyl": {"C": 2, "H": 2, "O": 1}, "Carbamidomethyl": {"C": 2, "H": 3, "N": 1, "O": 1}, "Carbamyl": {"C": 1, "H": 1, "N": 1, "O": 1}, "Carboxymethyl": {"C": 2, "H": 2, "O": 2}, "Deamidated": {"H": -1, "N": -1, "O": 1},
+    "NIPCAM": {"C": 5, "H": 9, "N": 1, "O": 1}, "Phospho": {"H": 1, "O": 3, "P": 1}, "Pyro-carbamidomethyl": {"H": -3, "N": -1}, "Glu->pyro-Glu": {"H": -2, "O": -1}, "Gln->pyro-Glu": {"H": -3, "N": -1}, "Methyl": {"C": 1, "H": 2},
+    "Oxidation": {"O": 1}, "TriOxidation": {"O": 3}, "Dimethyl": {"C": 2, "H": 4}, "Trimethyl": {"C": 3, "H": 6}, "Glutathione": {"C": 10, "H": 15, "N": 3, "O": 6, "S": 1}, "Cysteinyl": {"C": 3, "H": 5, "N": 1, "O": 2, "S": 1}, "Dehydro": {"H": -1},
+    "iTRAQ4plex": {"C": 4, "H": 12, "N": 1, "O": 1, "13C": 3, "15N": 1}, "TMT6plex": {"C": 8, "H": 20, "N": 1, "O": 2, "13C": 4, "15N": 1}, "Nethylmaleimide": {"C": 6, "H": 7, "N": 1, "O": 2}, "Nitrosyl": {"H": -1, "N": 1, "O": 1},
+    "Thr->Ala": {"C": -1, "H": -2, "O": -1}, "Dethiomethyl": {"C": -1, "H": -4, "S": -1}, "Delta:H(2)C(2)": {"C": 2, "H": 2}, "Ser->Xle": {"C": 3, "H": 6, "O": -1}, "Ser->Asn": {"C": 1, "H": 1, "N": 1}, "Ser->Asp": {"C": 1, "O": 1},
+    "Label:13C(6)15N(2)": {"C": -6, "N": -2, "13C": 6, "15N": 2}, "Label:13C(6)15N(4)": {"C": -6, "N": -4, "13C": 6, "15N": 4}, "TEV-FP2": {"C": 26, "H": 48, "N": 7, "O": 9, "P": 1},
 }
 
 

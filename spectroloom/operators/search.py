@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectroloom.functions.arrays import upper_quantile
 from spectroloom.functions.mass import ION_SERIES, PROTON, RESIDUE_MASS, WATER, nominal_bin
-from spectroloom.operators import deconvolution, features, ranking, scoring, sequences, windows
+from spectroloom.operators import deconvolution, evidence, features, ranking, scoring, sequences, tags, windows
 from spectroloom.operators.joins import band_join
 from spectroloom.operators.scratch import materialised
 from spectroloom.sources import parameters, spectra, tables
@@ -134,13 +136,61 @@ def fdr_of_files(spark: SparkSession, target: str, decoy: str) -> DataFrame:
     return done.withColumnsRenamed({"q_value": "QValue", "pep_q_value": "PepQValue"}).drop("_peptide")
 
 
-def rescore(results: DataFrame, peaks: DataFrame, ppm: float = 10.0) -> DataFrame:
+def scorer(peaks: DataFrame, ppm: float = 10.0, activation: str = "CID") -> Callable[[DataFrame], DataFrame]:
+    """What scores sequences against spectra of one kind: takes (scan_num, sequence), gives them distinct with
+    ``n_matched`` and ``score``, the composite score over the activation's series. Pairs without a fragment are left out.
+    """
+    found, series = _with_reference(peaks), scoring.SERIES.get(activation.upper(), ("b", "y"))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        rows = pairs.select("scan_num", "sequence").distinct().withColumn("match_id", F.xxhash64("scan_num", "sequence"))
+        matched = _matched_terms(sequences.fragments(rows, "sequence", series), found, ppm, ["match_id", "scan_num", "ion", "cut"])
+        scored = scoring.composite(matched.join(rows.select("match_id", F.length("sequence").alias("residues")), "match_id"), ["match_id"], "residues")
+        return rows.join(scored.drop("plain_score"), "match_id").drop("match_id")
+
+    return score
+
+
+def rescore(results: DataFrame, peaks: DataFrame, ppm: float = 10.0, activation: str = "CID") -> DataFrame:
     """``results`` (Scan, Sequence) with the composite score over new peaks (scan_num, mass, intensity); null where no fragment matches."""
-    rows = results.select(F.xxhash64("Scan", "Sequence").alias("match_id"), F.col("Scan").alias("scan_num"), F.col("Sequence").alias("sequence")).distinct()
-    ions = sequences.fragments(rows, "sequence", ("b", "y"))
-    matched = _matched_terms(ions, _with_reference(peaks), ppm, ["match_id", "scan_num", "ion", "cut"])
-    scored = scoring.composite(matched.join(rows.select("match_id", F.length("sequence").alias("residues")), "match_id"), ["match_id"], "residues").drop("plain_score")
-    return results.withColumn("match_id", F.xxhash64("Scan", "Sequence")).join(scored, "match_id", "left").drop("match_id")
+    scored = scorer(peaks, ppm, activation)(results.select(F.col("Scan").alias("scan_num"), F.col("Sequence").alias("sequence")))
+    return results.join(scored.withColumnsRenamed({"scan_num": "Scan", "sequence": "Sequence"}), ["Scan", "Sequence"], "left")
+
+
+def tag_search(scans: DataFrame, peaks: DataFrame, proteins: DataFrame, least: int = 5, most: int = 8, ppm: float = 10.0, da: float = 0.01, shifts: Sequence[float] = (0.0,), most_hits: int = 10**9, activation: str = "CID") -> DataFrame:
+    """(scan_num, name, start, stop, sequence, left_shift, right_shift, n_matched, score): proteins found by sequence tags.
+
+    ``scans`` are (scan_num, precursor_mass). Tags of ``least`` to ``most`` residues are read off the deconvoluted peaks as
+    prefix fragments, and backwards as suffix fragments; where one stands on a protein, its flanking masses are made up by the
+    residues around it, with one of ``shifts`` on either side. What is found is scored as a whole, without the shifts.
+    """
+    series = scoring.SERIES.get(activation.upper(), ("b", "y"))
+    prefix, suffix = ION_SERIES[series[0]][1], ION_SERIES[series[-1]][1]
+    nodes = materialised(peaks.select("scan_num", "mass").distinct().withColumn("node", F.monotonically_increasing_id()))
+    paths = tags.tag_paths(tags.tag_edges(nodes, ["scan_num"], "mass", "node", ppm), ["scan_num"], least, most)
+    ends = nodes.select("node", F.col("mass").alias("end_mass"))
+    read = paths.join(ends.withColumnsRenamed({"node": "start_node", "end_mass": "low"}), "start_node").join(ends.withColumnsRenamed({"node": "stop_node", "end_mass": "high"}), "stop_node")
+    read = materialised(read.select("scan_num", "tag", "low", "high").distinct())
+    hits = tags.tags_on_proteins(read.select("tag"), proteins, "name", "sequence", least, most_hits).drop("pattern")
+    whole = F.col("precursor_mass") - WATER
+    placed = read.join(hits, "tag").join(scans.select("scan_num", "precursor_mass"), "scan_num")
+    before = F.when(F.col("reversed"), whole - (F.col("high") - suffix)).otherwise(F.col("low") - prefix)
+    after = F.when(F.col("reversed"), F.col("low") - suffix).otherwise(whole - (F.col("high") - prefix))
+    placed = placed.withColumn("before", before).withColumn("after", after).select("scan_num", "name", "position", "tag", "before", "after").distinct()
+    found = evidence.extended_tags(placed, proteins, "name", "sequence", "position", "tag", "before", "after", da, shifts)
+    found = found.select("scan_num", "name", "start", "stop", F.col("matched").alias("sequence"), "left_shift", "right_shift").distinct()
+    return found.join(scorer(peaks, ppm, activation)(found), ["scan_num", "sequence"])
+
+
+def feature_tag_search(features_of: DataFrame, scans: DataFrame, peaks: DataFrame, proteins: DataFrame, **options) -> DataFrame:
+    """``tag_search`` of the fragment scans that a feature covers: with ``feature``, precursor masses are the features'.
+
+    ``features_of``: feature, mass, min_scan, max_scan; ``scans``: scan_num and precursor_mass, which lies within 10 ppm of
+    the feature's.
+    """
+    near = band_join(scans, features_of.select("feature", F.col("mass").alias("feature_mass"), "min_scan", "max_scan"), "precursor_mass", "feature_mass", 10.0, "ppm")
+    own = near.where(F.col("scan_num").between(F.col("min_scan"), F.col("max_scan"))).select("feature", "scan_num", F.col("feature_mass").alias("precursor_mass"))
+    return tag_search(own.select("scan_num", "precursor_mass").distinct(), peaks.join(own.select("scan_num").distinct(), "scan_num", "left_semi"), proteins, **options).join(own.select("feature", "scan_num"), "scan_num")
 
 
 def align(tables_by_run: dict[str, DataFrame], ppm: float = 10.0, net: float = 0.01) -> DataFrame:

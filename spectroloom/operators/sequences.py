@@ -76,6 +76,31 @@ def digested(proteins: DataFrame, sequence: str, residues: str, least: int, most
     return _cut(placed, sequence, F.col("_n"), F.col("_e"))
 
 
+def suffix_order(proteins: DataFrame, protein: str, sequence: str, most: int) -> DataFrame:
+    """(protein, start, suffix, common): all suffixes in lexicographic order, cut at ``most`` residues (the longest
+    sequence that is looked for), with how many residues each shares with the one before it.
+
+    Suffixes are sorted in ranges and written; the first of a range is compared with the last of the range before, of
+    which there is one row a range. Equal suffixes follow by protein and start.
+    """
+    from pyspark.sql import Window
+
+    from spectroloom.operators.scratch import materialised
+
+    keys = ["suffix", protein, "start"]
+    each = proteins.where(F.length(sequence) > 0).select(protein, F.explode(F.sequence(F.lit(1), F.length(sequence))).alias("start"), sequence)
+    each = each.select(protein, "start", F.substring(F.col(sequence), F.col("start"), F.lit(most)).alias("suffix"))
+    ranged = materialised(each.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    ends = ranged.groupBy("_part").agg(F.max("suffix").alias("_end"))
+    last = ends.select((F.col("_part")).alias("_p"), F.lag("_end").over(Window.partitionBy(F.lit(0)).orderBy("_part")).alias("_end"))
+    w = Window.partitionBy("_part").orderBy(*keys)
+    # one row a range is broadcast
+    with_last = ranged.join(F.broadcast(last), F.col("_part") == F.col("_p")).withColumn("_before", F.coalesce(F.lag("suffix").over(w), "_end", F.lit("")))
+    shorter = F.least(F.length("suffix"), F.length("_before"))
+    same = F.aggregate(F.sequence(F.lit(1), shorter), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(F.col("suffix"), i, F.lit(1)) == F.substring(F.col("_before"), i, F.lit(1))), i).otherwise(n))
+    return with_last.select(protein, "start", "suffix", F.when(shorter > 0, same).otherwise(0).alias("common"))
+
+
 def modification_combinations(names: list[str], most: int) -> list[tuple[str, ...]]:
     """All sorted multisets of up to ``most`` modifications, the empty one first."""
     return [c for k in range(most + 1) for c in combinations_with_replacement(sorted(names), k)]

@@ -42,7 +42,7 @@ def likelihood_threshold(t):
 MOD_SQL = ", ".join(f"('{n}', {sum(k * filters.ATOM_MASS[a] for a, k in atoms.items())!r}::DOUBLE)" for n, atoms in filters.MODIFICATIONS.items())
 
 
-@query("named_mass_shifts", f"""WITH m(name, mass) AS (VALUES {MOD_SQL}) SELECT p_partkey, arg_min(name, abs(mass - shift)) FILTER (abs(mass - shift) <= 0.3) AS modification FROM (SELECT p_partkey, p_size * 2 - 20 AS shift FROM part) JOIN m ON true GROUP BY p_partkey""")
+@query("named_mass_shifts", f"""WITH m(name, mass) AS (VALUES {MOD_SQL}) SELECT p_partkey, arg_min(name, (abs(mass - shift), name)) FILTER (abs(mass - shift) <= 0.3) AS modification FROM (SELECT p_partkey, p_size * 2 - 20 AS shift FROM part) JOIN m ON true GROUP BY p_partkey""")
 def named_mass_shifts(t):
     return filters.named_shifts(t("part").select("p_partkey", (F.col("p_size") * 2 - 20).alias("shift")), "shift", 0.3).select("p_partkey", "modification")
 

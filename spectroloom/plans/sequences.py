@@ -196,6 +196,20 @@ def significance_tests(t):
     return t("part").select("p_partkey", F.round(numeric.hypergeometric_udf(n, F.col("p_size"), F.lit(20), F.col("p_size") % 7), 9).alias("hypergeometric"), F.round(numeric.rank_sum_udf(n.cast("double"), F.lit(20.0), F.col("p_size") * 60.0), 9).alias("rank_sum"), F.round(numeric.poisson_udf(F.col("p_size") / 5.0, F.col("p_size") % 7), 9).alias("poisson"))
 
 
+LOG_CHOOSE = "(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+
+@query("hypergeometric_tests", f"""WITH x AS (SELECT DISTINCT p_size AS k, p_size % 7 AS k1 FROM part), s AS (SELECT k, k1, sum(exp({LOG_CHOOSE.format(n="k", k="x")} + {LOG_CHOOSE.format(n="(200 - k)", k="(20 - x)")} - {LOG_CHOOSE.format(n="200", k="20")})) AS c FROM x, range(0, 7) r(x) WHERE x <= k1 AND x <= k GROUP BY ALL)
+SELECT p_partkey, round(1 - least(1.0, c), 9) AS p FROM part JOIN s ON k = p_size AND k1 = p_size % 7""")
+def hypergeometric_tests(t):
+    return t("part").select("p_partkey", F.round(numeric.hypergeometric_udf(F.lit(200), F.col("p_size"), F.lit(20), F.col("p_size") % 7), 9).alias("p"))
+
+
+@query("poisson_tests", """WITH x AS (SELECT DISTINCT p_size, p_size / 5.0 AS mean, p_size % 7 AS k FROM part), s AS (SELECT p_size, sum(exp(x * ln(mean) - mean - lgamma(x + 1))) AS c FROM x, range(0, 7) r(x) WHERE x <= k GROUP BY ALL) SELECT p_partkey, round(greatest(0.0, 1 - c), 9) AS p FROM part JOIN s USING (p_size)""")
+def poisson_tests(t):
+    return t("part").select("p_partkey", F.round(numeric.poisson_udf(F.col("p_size") / 5.0, F.col("p_size") % 7), 9).alias("p"))
+
+
 @query("generating_function_e_values")
 def generating_function_e_values(t):
     rows = t("part").select("p_partkey", (F.col("p_size") * 20 + 300).cast("int").alias("target"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct((i * 57).cast("int").alias("mass"), F.lit(1).alias("score"))).alias("nodes"), (F.col("p_size") % 5 + 1).cast("int").alias("score"))

@@ -362,3 +362,85 @@ def overlapping_features_removed(t):
     c = t("customer").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "c_custkey")
     f = c.select(F.lit("r").alias("run"), (F.col("c_custkey") + F.col("k") * 10**9).alias("feature"), (F.col("c_custkey") * 10.0 + 1000 + F.col("k") * 0.001).alias("mass"), (F.lit(5) + F.col("k") * 3).alias("min_scan"), (F.lit(9) + F.col("k") * 3).alias("max_scan"), (F.lit(2.0) - F.col("k")).alias("abundance"))
     return features.without_overlaps(f, 5.0).select("feature")
+
+
+@query("tag_search", f"""{FOUND}, 2 * (length(s) - 1) AS n_matched FROM supplier JOIN p ON s_nationkey = n_nationkey""")
+def tag_search(t):
+    scans, peaks = _planted(t, 0.0)
+    masses = scans.select("scan_num", ((F.col("isolation.mono_mz") - PROTON) * 2).alias("precursor_mass"))
+    return search.tag_search(masses, peaks, _proteins(t), 4, 4).select("scan_num", "sequence", "n_matched").distinct()
+
+
+@query("tag_search_of_features", f"""{FOUND}, s_nationkey AS feature FROM supplier JOIN p ON s_nationkey = n_nationkey WHERE s_suppkey <= 400""")
+def tag_search_of_features(t):
+    scans, peaks = _planted(t, 0.0)
+    masses = scans.select("scan_num", ((F.col("isolation.mono_mz") - PROTON) * 2).alias("precursor_mass"))
+    # the feature of a nation's mass covers the scans up to 400
+    n = _proteins(t).select(F.col("n_nationkey").alias("feature"), (residue_mass(F.col("sequence")) + WATER).alias("mass"), F.lit(0).alias("min_scan"), F.lit(400).alias("max_scan"))
+    done = search.feature_tag_search(n, masses, peaks, _proteins(t), least=4, most=4)
+    return done.join(_proteins(t).select(F.col("n_nationkey").alias("feature"), F.col("sequence").alias("own")), "feature").where("sequence = own").select("scan_num", "sequence", "feature").distinct()
+
+
+PRECURSORS = """w AS (SELECT o_orderkey AS scan_num, o_totalprice / 4 - 15000 AS lo, o_totalprice / 4 + 15000 AS hi FROM orders), p AS (SELECT scan_num, l_extendedprice AS mz, l_quantity AS i, row_number() OVER (PARTITION BY scan_num ORDER BY l_quantity DESC, l_extendedprice) AS r FROM w JOIN lineitem ON l_orderkey = scan_num AND l_extendedprice BETWEEN lo AND hi),
+c AS (SELECT DISTINCT scan_num, mz, CAST(z AS INT) AS charge FROM p, range(1, 4) q(z) WHERE r <= 3 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = scan_num AND abs(mz + 1.00335483 / z - l.l_extendedprice) <= (mz + 1.00335483 / z) * 40000 / 1e6))"""
+
+
+def _candidates(t):
+    from spectroloom.operators import precursors
+
+    s = t("orders").select(F.col("o_orderkey").alias("scan_num"), (F.col("o_totalprice") / 4 - 15000).alias("low_mz"), (F.col("o_totalprice") / 4 + 15000).alias("high_mz"), F.col("o_orderkey").alias("prev_at"), F.lit(None).cast("long").alias("next_at"))
+    p = t("lineitem").select(F.col("l_orderkey").alias("ms1_scan"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))
+    return precursors.precursor_candidates(s, p, (1, 3), 40000.0, 3)
+
+
+@query("precursor_candidates", f"""WITH {PRECURSORS} SELECT * FROM c""")
+def precursor_candidates(t):
+    return _candidates(t).select("scan_num", "mz", "charge").distinct()
+
+
+@query("candidates_at_several_charges", f"""WITH {PRECURSORS} SELECT scan_num, mz FROM c GROUP BY ALL HAVING count(*) = 3""")
+def candidates_at_several_charges(t):
+    # of one peak: the charges at which it has a neighbour
+    return _candidates(t).groupBy("scan_num", "mz").agg(F.count_distinct("charge").alias("n")).where("n = 3").select("scan_num", "mz")
+
+
+@query("correlated_candidates", """SELECT n_nationkey, CAST(s AS INT) AS scan_num, CAST(z AS INT) AS charge FROM nation, range(1, 4) a(s), range(5, 8) b(z)""")
+def correlated_candidates(t):
+    from spectroloom.operators import precursors
+
+    s = _envelope_spectra(t, 3)
+    peaks = spectra.exploded_peaks(s, "n_nationkey", "scan_num").withColumn("ms1_scan", F.col("n_nationkey") * 10 + F.col("scan_num"))
+    scans = s.select((F.col("n_nationkey") * 10 + F.col("scan_num")).alias("scan_num"), F.lit(0.0).alias("low_mz"), F.lit(9000.0).alias("high_mz"), (F.col("n_nationkey") * 10 + F.col("scan_num")).alias("prev_at"), F.lit(None).cast("long").alias("next_at"))
+    ms1 = peaks.select("ms1_scan", "mz", "intensity")
+    good = precursors.correlated_candidates(precursors.precursor_candidates(scans, ms1, (3, 9), 5.0), ms1, 5.0, 0.98)
+    at = F.floor(F.col("scan_num") / 10)
+    near = good.withColumn("n_nationkey", at).where(F.abs(F.col("mass") - 5000.0 - F.col("n_nationkey") * 137.0) < 0.05)
+    return precursors.several_charges(near, 3).select("n_nationkey", (F.col("scan_num") % 10).cast("int").alias("scan_num"), "charge").distinct()
+
+
+@query("scans_of_candidates", """SELECT n_nationkey AS mass_id, n_nationkey * 10 + s AS scan_num FROM nation, range(1, 4) a(s)""")
+def scans_of_candidates(t):
+    from spectroloom.operators import precursors
+
+    s = _envelope_spectra(t, 3)
+    number = F.col("n_nationkey") * 10 + F.col("scan_num")
+    ms1 = spectra.exploded_peaks(s, "n_nationkey", "scan_num").select(number.alias("ms1_scan"), "mz", "intensity")
+    scans = s.select(number.alias("scan_num"), F.lit(0.0).alias("low_mz"), F.lit(9000.0).alias("high_mz"), number.alias("prev_at"), F.lit(None).cast("long").alias("next_at"))
+    good = precursors.without_repeats(precursors.precursor_candidates(scans, ms1, (5, 7), 5.0))
+    masses = t("nation").select(F.col("n_nationkey").alias("mass_id"), (F.lit(5000.0) + F.col("n_nationkey") * 137.0).alias("mass"))
+    return precursors.candidate_scans(masses, "mass", good, 5.0, ["mass_id"]).where(F.floor(F.col("scan_num") / 10) == F.col("mass_id"))
+
+
+@query("feature_extents", """SELECT n_nationkey AS mass_id, 5 AS apex, 3 AS min_scan, 7 AS max_scan, 5 AS min_charge, 7 AS max_charge FROM nation""")
+def feature_extents(t):
+    from spectroloom.operators import precursors
+
+    _, m = _matrix(t)
+    done = precursors.feature_extent(m.where(F.col("run") == F.concat(F.lit("run"), "mass_id")), 0.5)
+    return done.select("mass_id", *[F.col(c).cast("int").alias(c) for c in ("apex", "min_scan", "max_scan", "min_charge", "max_charge")])
+
+
+@query("suffix_order", f"""WITH p AS (SELECT n_nationkey AS k, {_sequence_sql("n_name || r_name")} AS s FROM nation JOIN region ON n_regionkey = r_regionkey), x AS (SELECT k, i AS start, substr(s, i, 12) AS suffix FROM p, range(1, 60) q(i) WHERE i <= length(s)),
+l AS (SELECT *, coalesce(lag(suffix) OVER (ORDER BY suffix, k, start), '') AS b FROM x) SELECT k, CAST(start AS INT) AS start, suffix, CAST(len(list_filter(range(1, 13), lambda i: i <= length(suffix) AND i <= length(b) AND substr(suffix, 1, CAST(i AS INT)) = substr(b, 1, CAST(i AS INT)))) AS INT) AS common FROM l""")
+def suffix_order(t):
+    return sequences.suffix_order(_proteins(t), "n_nationkey", "sequence", 12).withColumnRenamed("n_nationkey", "k")

@@ -29,3 +29,26 @@ def test_sessions(spark, tmp_path):
 def test_distinct(spark, tmp_path):
     got = drained(lambda s: streaming.distinct_in_time(s, "at", ["run"], "1 hour"), spark, tmp_path, ROWS, "distinct_rows")
     assert sorted(r["run"] for r in got) == ["a", "b", "z"]
+
+
+def test_progress_of_running_jobs(spark):
+    import threading
+    import time
+
+    from spectroloom.streaming import progress
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(1)
+            yield b
+
+    assert progress.job_progress(spark).count() == 0
+    job = threading.Thread(target=lambda: spark.range(0, 64, 1, 32).mapInArrow(slow, "id long").count())
+    job.start()
+    seen = []
+    while job.is_alive():
+        seen += [(r.tasks, r.done) for r in progress.job_progress(spark).collect() if r.tasks == 32]
+        time.sleep(0.3)
+    job.join()
+    assert seen and all(0 <= d <= n for n, d in seen)
+    assert progress.remaining_seconds(0.25, 10) == 30 and progress.remaining_seconds(0, 10) is None

@@ -34,3 +34,62 @@ def test_quick_counts_take_every_part_and_order(spark, tmp_path):
         n, part = min((-len(bins & b), k) for k, b in prefixes.items())
         want.append((order, part, -n))
     assert got == sorted(want)
+
+
+def test_greedy_selection_of_every_customer(spark):
+    from conftest import DATA
+
+    rows = spark.read.parquet(f"{DATA}/sf0.001/customer.parquet").collect()
+    want = set()
+    for nation in {r["c_nationkey"] for r in rows}:
+        taken = []
+        for r in sorted((r for r in rows if r["c_nationkey"] == nation), key=lambda r: (-r["c_acctbal"], r["c_custkey"])):
+            low = r["c_custkey"] % 200
+            if all(low + 20 < x or x + 20 < low for x in taken):
+                taken.append(low)
+                want.add((r["c_custkey"], nation))
+    assert {tuple(r) for r in plans.queries()["greedy_non_overlapping"](spark, f"{DATA}/sf0.001").collect()} == want
+
+
+def test_averagine_envelopes_of_every_part(spark):
+    """Isotopes of the average atoms as a plain convolution of each atom's own isotopes."""
+    import math
+
+    from conftest import DATA
+
+    from spectroloom.functions.mass import ATOM_MASS
+    from spectroloom.functions.numeric import ABUNDANCE
+
+    unit = {"C": 4.9384, "H": 7.7583, "N": 1.3577, "O": 1.4773, "S": 0.0417}
+    known = {}
+
+    def envelope(nominal):
+        mass = nominal / 0.9995
+        counts = {a: int(round(mass / sum(k * ATOM_MASS[a] for a, k in unit.items()) * n)) for a, n in unit.items()}
+        means = [sum(n * ABUNDANCE[a][d] for a, n in counts.items()) for d in (1, 2, 3)]
+        poisson = lambda m, k: math.exp(k * math.log(m) - m - math.lgamma(k + 1)) if m > 0 else float(k == 0)
+        out = [sum(poisson(means[0], i - 2 * j - 3 * k) * poisson(means[1], j) * poisson(means[2], k) for k in range(i // 3 + 1) for j in range((i - 3 * k) // 2 + 1)) for i in range(40)]
+        top = max(range(40), key=lambda i: out[i])
+        return next(i for i in range(top, 40) if out[i] < 0.1 * out[top]), top
+
+    prices = {r["p_partkey"]: r["p_retailprice"] for r in spark.read.parquet(f"{DATA}/sf0.001/part.parquet").collect()}
+    got = plans.queries()["averagine_envelopes"](spark, f"{DATA}/sf0.001").collect()
+    assert len(got) == len(prices)
+    for r in got:
+        nominal = int(round(prices[r["p_partkey"]] * 10 * 0.9995))
+        if nominal not in known:
+            known[nominal] = envelope(nominal)
+        assert (r["n"], r["most_abundant"]) == known[nominal]
+
+
+def test_rank_sums_of_every_part(spark):
+    from statistics import NormalDist
+
+    from conftest import DATA
+
+    sizes = {r["p_partkey"]: r["p_size"] for r in spark.read.parquet(f"{DATA}/sf0.001/part.parquet").collect()}
+    got = plans.queries()["significance_tests"](spark, f"{DATA}/sf0.001").collect()
+    assert len(got) == len(sizes)
+    for r in got:
+        u = 20 * 180 + 20 * 21 / 2 - sizes[r["p_partkey"]] * 60
+        assert abs(r["rank_sum"] - abs(1 - NormalDist(20 * 180 / 2, (20 * 180 * 201 / 12) ** 0.5).cdf(u))) < 1e-8
