@@ -162,10 +162,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    import importlib.util
-
-    found = {"pipeline": pipeline} if importlib.util.find_spec("corpus_pipeline") else {}
-    return found | {
+    return {
+        "pipeline": pipeline,
         "op1_chat_formatting": op1_chat_formatting,
         "op2_mixing": op2_mixing,
         "op3_quality": op3_quality,
