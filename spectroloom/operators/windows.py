@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from spectroloom.operators.scratch import materialised
 
@@ -106,18 +109,38 @@ def local_maxima(df: DataFrame, keys: Sequence[str], at: str, intensity: str, ha
     return df.withColumn("_max", F.expr(f"max({intensity}) OVER {range_window(keys, at, half)}")).where(F.col("_max") == F.col(intensity)).drop("_max")
 
 
+def _by_spectrum(df: DataFrame, keys: Sequence[str], at: str, intensity: str, stays: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of each spectrum that ``stays`` (places in order, intensities -> mask) keeps; a spectrum is one row for it."""
+
+    @F.pandas_udf(ArrayType(BooleanType()))
+    def mask(places: pd.Series, heights: pd.Series) -> pd.Series:
+        return pd.Series([stays(np.asarray(x, float), np.asarray(y, float)).tolist() for x, y in zip(places, heights, strict=True)])
+
+    rows = F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("at"), F.col(intensity).cast("double").alias("height"), F.struct(*df.columns).alias("row"))))
+    spectra = df.groupBy(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)]).agg(rows.alias("_r"))
+    kept = spectra.select(F.explode(F.arrays_zip(F.col("_r.row").alias("row"), mask(F.col("_r.at"), F.col("_r.height")).alias("stays"))).alias("x"))
+    return kept.where("x.stays").select("x.row.*")
+
+
 def window_rank_filter(df: DataFrame, keys: Sequence[str], at: str, intensity: str, width: float, keep: int) -> DataFrame:
-    """Rows that fewer than ``keep`` rows within width / 2 exceed in intensity."""
-    around = df.withColumn("_all", F.expr(f"collect_list({intensity}) OVER {range_window(keys, at, width / 2)}"))
-    above = F.size(F.filter("_all", lambda x: x > F.col(intensity)))
-    return around.where(above < keep).drop("_all")
+    """Rows that fewer than ``keep`` rows within width / 2 exceed in intensity; ties do not exceed each other."""
+
+    def stays(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(x, x - width / 2), np.searchsorted(x, x + width / 2, "right")
+        return np.array([np.count_nonzero(y[a:b] > v) < keep for a, b, v in zip(low, high, y, strict=True)], bool)
+
+    return _by_spectrum(df, keys, at, intensity, stays)
 
 
 def local_window_noise(df: DataFrame, keys: Sequence[str], at: str, intensity: str, half: float, ratio: float = 1.4826) -> DataFrame:
-    """Rows at or above ``ratio`` times the median of the distinct intensities within ``half``."""
-    around = df.withColumn("_all", F.array_sort(F.array_distinct(F.expr(f"collect_list({intensity}) OVER {range_window(keys, at, half)}"))))
-    median = F.element_at("_all", (F.floor(F.size("_all") / 2) + 1).cast("int"))
-    return around.where(F.col(intensity) >= median * ratio).drop("_all")
+    """Rows at or above ``ratio`` times the (upper) median of the distinct intensities within ``half``."""
+
+    def stays(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(x, x - half), np.searchsorted(x, x + half, "right")
+        around = (np.unique(y[a:b]) for a, b in zip(low, high, strict=True))
+        return np.array([v >= u[len(u) // 2] * ratio for v, u in zip(y, around, strict=True)], bool)
+
+    return _by_spectrum(df, keys, at, intensity, stays)
 
 
 def global_noise(df: DataFrame, keys: Sequence[str], intensity: str, ratio: float = 1.4826) -> DataFrame:

@@ -32,7 +32,7 @@ def _columns(schema: str) -> list[tuple[str, str]]:
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t", comment: str | None = None) -> DataFrame:
     """All columns as text, by the header's names.
 
-    Rows longer than the header are left out, shorter ones end with nulls; empty fields are null.
+    Rows longer than the header are left out (``rejected_lines`` gives them), shorter ones end with nulls; empty fields are null.
     Nothing is quoted. Of several files, each repeats the header.
     """
     lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line")).where(F.col("line") != "")
@@ -46,6 +46,15 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t", comment: str
     return cells.select(*[F.nullif(F.get("c", k), F.lit("")).alias(n) for k, n in enumerate(names)])
 
 
+def rejected_lines(spark: SparkSession, path: str, sep: str = "\t", comment: str | None = None) -> DataFrame:
+    """(line): what ``read_delimited`` leaves out of a file, lines with more fields than the header."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line")).where(F.col("line") != "")
+    if comment:
+        lines = lines.where(~F.col("line").startswith(comment))
+    first = lines.first()
+    return lines.where(F.size(F.split("line", re.escape(sep), -1)) > (len(first[0].split(sep)) if first else 0))
+
+
 def _typed(raw: DataFrame, schema: str, aliases: dict[str, str] | None = None) -> DataFrame:
     """The columns of ``schema`` by name or alias, cast; absent ones are null."""
     named = {(aliases or {}).get(c, c): c for c in raw.columns}
@@ -69,12 +78,18 @@ def read_features(spark: SparkSession, path: str, extended: bool = False) -> Dat
     return typed.withColumn("isotopes", parse_envelope(F.col("Envelope")))
 
 
-def write_features(features: DataFrame, path: str, extended: bool = False) -> None:
-    """Feature tables with the fixed number formats of their readers; one file, in order of FeatureID."""
+def _in_order(df: DataFrame, one_file: bool, *order: str) -> DataFrame:
+    """One file in order, or as many as the session's shuffle makes, each in order and behind the one before."""
+    parts = 1 if one_file else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.coalesce(1) if one_file else df.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
+
+
+def write_features(features: DataFrame, path: str, extended: bool = False, one_file: bool = True) -> None:
+    """Feature tables with the fixed number formats of their readers, in order of FeatureID."""
     fixed = {"MonoMass": "%.4f", "RepMz": "%.4f", "Abundance": "%.4f", "ApexIntensity": "%.4f", "MinElutionTime": "%.3f", "MaxElutionTime": "%.3f", "ElutionLength": "%.3f", "LikelihoodRatio": "%.4f"}
     names = [n for n, _ in _columns(FEATURE_SCHEMA + (", " + FEATURE_EXTENDED if extended else ""))]
     out = features.select(*[F.format_string(fixed[n], n).alias(n) if n in fixed else F.col(n) for n in names])
-    out.coalesce(1).sortWithinPartitions("FeatureID").write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    _in_order(out, one_file, "FeatureID").write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
 
 
 def read_results(spark: SparkSession, path: str, comment: bool = False) -> DataFrame:
@@ -90,9 +105,9 @@ def with_tiny_floor(results: DataFrame, least: float = 9.99e-308) -> DataFrame:
     return results.withColumns({c: F.greatest(F.lit(least), F.col(c)) for c in present})
 
 
-def write_results(results: DataFrame, path: str) -> None:
+def write_results(results: DataFrame, path: str, one_file: bool = True) -> None:
     """Search results in order of scan; very small values are written as the least that readers take."""
-    with_tiny_floor(results).coalesce(1).sortWithinPartitions("Scan", "EValue").write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    _in_order(with_tiny_floor(results), one_file, "Scan", "EValue").write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
 
 
 def read_isotope_peaks(spark: SparkSession, path: str, most_fit: float = 1.0) -> DataFrame:
@@ -101,9 +116,9 @@ def read_isotope_peaks(spark: SparkSession, path: str, most_fit: float = 1.0) ->
     return typed.where((F.col("fit").isNull() | ~(F.col("fit") > most_fit)) & (F.col("charge") > 1))
 
 
-def write_envelope_rows(envelopes: DataFrame, path: str) -> None:
+def write_envelope_rows(envelopes: DataFrame, path: str, one_file: bool = True) -> None:
     names = ["scan_num", "charge", "abundance", "mz", "fit", "monoisotopic_mw", "FeatureID"]
-    envelopes.select(*names).coalesce(1).sortWithinPartitions("FeatureID", "scan_num").write.option("header", True).csv(path)
+    _in_order(envelopes.select(*names), one_file, "FeatureID", "scan_num").write.option("header", True).csv(path)
 
 
 def read_datasets(spark: SparkSession, path: str) -> DataFrame:
@@ -167,9 +182,9 @@ def read_scan_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(\d+)"), 1)).alias("n")).select(F.col("n").cast("int").alias("scan_num")).distinct()
 
 
-def write_crosstab(table: DataFrame, path: str, order: str) -> None:
-    """One tab-separated file in order; nested columns are not allowed."""
-    table.coalesce(1).sortWithinPartitions(order).write.option("header", True).option("sep", "\t").option("emptyValue", "").csv(path)
+def write_crosstab(table: DataFrame, path: str, order: str, one_file: bool = True) -> None:
+    """A tab-separated table in order; nested columns are not allowed."""
+    _in_order(table, one_file, order).write.option("header", True).option("sep", "\t").option("emptyValue", "").csv(path)
 
 
 def has_rows(df: DataFrame) -> bool:

@@ -141,3 +141,13 @@ def test_mgf_and_msalign(spark, tmp_path):
     assert got["two"]["mz"] == [] and got["two"]["sequence"] is None
     p = text_file(tmp_path / "a.msalign", "BEGIN IONS\nID=0\nSCANS=5\n1000.5\t20\t3\n900.25 1e3 2\nEND IONS\nBEGIN IONS\nSCANS=6\nEND IONS\n")
     assert sorted(tuple(r) for r in spectra.read_msalign(spark, p).collect()) == [(5, 900.25, 1000.0, 2), (5, 1000.5, 20.0, 3)]
+
+
+def test_rejected_lines_and_several_files(spark, tmp_path):
+    p = text_file(tmp_path / "a.tsv", "a\tb\n1\t2\n1\t2\t3\n4\n")
+    assert [r["line"] for r in tables.rejected_lines(spark, p).collect()] == ["1\t2\t3"]
+    assert sorted(str(tuple(r)) for r in tables.read_delimited(spark, p).collect()) == ["('1', '2')", "('4', None)"]
+    table = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    tables.write_crosstab(table.repartition(6), str(tmp_path / "many"), "k", one_file=False)
+    assert len(list((tmp_path / "many").glob("part-*.csv"))) > 1
+    assert tables.read_delimited(spark, str(tmp_path / "many")).count() == 1000
