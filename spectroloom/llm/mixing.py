@@ -51,6 +51,27 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], budget: float,
     return targets
 
 
+def shared(sources: DataFrame, weights: Sequence[float], budget_share: float, cap: float) -> DataFrame:
+    """(source, source_size, target) of a table (source, words): ``water_fill`` as rounds of sums, however many sources there are.
+
+    Sources in code-point order (null last) get ``weights`` in turn; that order is a sort in one task of a row for each source.
+    Who is above the cap at one level stays above it at the next, higher one, so that a round needs the level alone.
+    """
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source")) - 1
+    each = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))))
+    ranked = written(sources.select("source", F.col("words").alias("source_size"), each.alias("weight")))
+    budget = budget_share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
+    left, open_weight, above = float(budget), float(ranked.agg(F.sum("weight")).first()[0] or 0), -1
+    capped = F.col("source_size") * float(cap)
+    while True:
+        # as a share: the same sum in the same order as for a list
+        over = (F.lit(left) * F.col("weight") / F.lit(open_weight)) > capped if open_weight > 0 else F.lit(True)
+        n, size, weight = ranked.agg(F.count_if(over), F.sum(F.when(over, F.col("source_size")).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        if n == above or not open_weight:
+            return ranked.select("source", "source_size", F.when(over, capped).otherwise(F.lit(left) * F.col("weight") / F.lit(open_weight or 1.0)).alias("target"))
+        left, open_weight, above = budget - float(cap) * (size or 0), float(weight or 0), n
+
+
 def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, dp_words: int = 1 << 16) -> list[int]:
     """How many documents of each length to take so that their words come closest to ``budget``.
 
@@ -110,9 +131,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget_share: flo
     texts have size 0 and are never worth taking. Rows that agree in id, source and size are
     interchangeable: where a quota ends among them, a hash of their values decides. Columns of the four
     names above are replaced, all others stay, whatever they are called. Reruns agree. An empty table
-    gives no rows. The driver holds a row for each source.
+    gives no rows.
     """
-    spark = docs.sparkSession
     kept = docs.drop("size", "source_size", "target", "taken")
     # the input's columns travel in one struct, so that no name of theirs can clash
     base = kept.select(F.struct("*").alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(doc_id).alias("id"))
@@ -123,10 +143,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget_share: flo
     counted = written(slim.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")))
     histogram = counted.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sources = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
-    known = sorted(sources.collect(), key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    sizes = [int(r["words"]) for r in known]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(known))], budget_share * sum(sizes), max_epochs)
-    spec = spark.createDataFrame([(r[0], s, t) for r, s, t in zip(known, sizes, targets, strict=True)], "key string, source_size long, target double")
+    spec = shared(sources, weights, budget_share, max_epochs).withColumnRenamed("source", "key")
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])

@@ -125,3 +125,15 @@ def test_internal_names_repeated_rows_and_both_joins(spark, monkeypatch):
     assert seen[0] == seen[1]
     text_ids = df.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", "source")
     assert sum(r["taken"] for r in rows_of(mixing.mix(text_ids, budget_share=0.37))) == sum(t for _, t in seen[0])
+
+
+def test_targets_of_a_table_are_those_of_a_list(spark):
+    rng = random.Random(1)
+    for n in (1, 2, 7, 60):
+        rows = [(f"s{k:02}" if k else None, rng.choice([0, 1, 5, 50, 1000, 20_000])) for k in range(n)]
+        got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.shared(spark.createDataFrame(rows, "source string, words long"), (5, 2, 1), 1.5, 2).collect()}
+        names = sorted((s for s, _ in rows), key=lambda s: (s is None, s or ""))
+        sizes = [dict(rows)[s] for s in names]
+        want = mixing.water_fill(sizes, [(5, 2, 1)[k % 3] for k in range(n)], 1.5 * sum(sizes), 2)
+        assert [got[s] for s in names] == [(z, pytest.approx(t)) for z, t in zip(sizes, want, strict=True)]
+    assert mixing.shared(spark.createDataFrame([], "source string, words long"), (5, 2, 1), 1.5, 2).count() == 0
