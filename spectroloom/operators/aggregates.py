@@ -1,4 +1,8 @@
-"""Aggregations: clusters, crosstabs, histograms, thresholds, regressions and frequency tables."""
+"""Aggregations: clusters, crosstabs, histograms, thresholds, regressions and frequency tables.
+
+Null keys are one group, null values are left out of sums and counts of values, repeated rows count as often as they
+occur, and empty tables give no rows (one row of nulls and zeros where there are no keys).
+"""
 
 from __future__ import annotations
 

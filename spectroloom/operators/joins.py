@@ -70,7 +70,9 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, hi
 def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float, slack: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
     """Pairs of intervals with left.low - slack < right.high and right.low < left.high + slack, each once.
 
-    Both sides are copied to the buckets they touch; a pair counts in the first one that they share.
+    Both sides are copied to the buckets they touch; a pair counts in the first one that they share. Intervals with a
+    null or reversed end match nothing; ``width`` should be about a usual interval's length, since a row is copied
+    length / width times.
     """
     (a, b), (c, d) = left_span, right_span
     renamed, same = _matched(left, right, keys)
@@ -85,7 +87,8 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
 def asof_join(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str], take: Sequence[str], direction: str = "backward", right_on: str | None = None) -> DataFrame:
     """Each left row with the columns ``take`` of the nearest right row before it (or at it), or after.
 
-    One window over the union of both sides, partitioned by ``keys``: no pairs are made.
+    One window over the union of both sides, partitioned by ``keys``: no pairs are made. Of several right rows at one
+    place any may be taken; left rows with a null place see right rows with a null place only, null keys are one group.
     """
     right_on = right_on or on
     ours = left.withColumn("_left", F.struct(*left.columns)).select(*keys, F.col(on).alias("_at"), "_left", F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType).alias("_right"))
@@ -102,7 +105,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str], t
 
 
 def previous_and_next(df: DataFrame, at: str, keys: Sequence[str], level: Column) -> DataFrame:
-    """``df`` with ``prev_at`` and ``next_at``: the nearest rows before and after where ``level`` holds."""
+    """``df`` with ``prev_at`` and ``next_at``: the nearest rows before and after where ``level`` holds, null if there
+    is none. Rows at equal places are before or after each other in no fixed order."""
     before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(at).rowsBetween(1, Window.unboundedFollowing)
     mark = F.when(level, F.col(at))
@@ -110,7 +114,7 @@ def previous_and_next(df: DataFrame, at: str, keys: Sequence[str], level: Column
 
 
 def best_in_band(left: DataFrame, right: DataFrame, left_on: str, right_on: str, tolerance: float, best: Column, take: Sequence[str], id_columns: Sequence[str], unit: str = "da", keys: Sequence[str] = ()) -> DataFrame:
-    """Each left row's best partner in the band, by the largest ``best``; rows without one are left out."""
+    """Each left row's best partner in the band, by the largest ``best``, then the largest ``take``; rows without one are left out."""
     pairs = band_join(left, right, left_on, right_on, tolerance, unit, keys)
     picked = pairs.groupBy(*id_columns).agg(F.max_by(F.struct(*take), F.struct(best, *[F.col(t) for t in take])).alias("_b"))
     return picked.select(*id_columns, "_b.*")

@@ -1,4 +1,8 @@
-"""Window operators: false discovery rates, ranks, gaps, neighbourhoods and smoothing."""
+"""Window operators: false discovery rates, ranks, gaps, neighbourhoods and smoothing.
+
+Null keys are one group; null intensities come last in ranks and are no maximum; rows that are equal in the order that is
+given are ranked in no fixed order, so pass enough columns. Repeated rows are rows of their own. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
