@@ -40,7 +40,8 @@ def format_conversations(
     Turns are ordered by (turn, role, text); ties and repeated rows are all kept. A null turn
     comes first; null roles and texts are empty; rows with a null conversation form one
     conversation. Other columns are ignored. An empty table gives no rows. A conversation's own
-    text is the only thing that is held together, because it is one output value.
+    text is the only thing that is held together, because it is one output value; if a large share
+    of all rows has no conversation, give them ids first.
     """
     row = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sorted_ = turns.select(F.col(conv), row.alias("row")).groupBy(conv).agg(F.sort_array(F.collect_list("row")).alias("turns"))
