@@ -444,3 +444,64 @@ def feature_extents(t):
 l AS (SELECT *, coalesce(lag(suffix) OVER (ORDER BY suffix, k, start), '') AS b FROM x) SELECT k, CAST(start AS INT) AS start, suffix, CAST(len(list_filter(range(1, 13), lambda i: i <= length(suffix) AND i <= length(b) AND substr(suffix, 1, CAST(i AS INT)) = substr(b, 1, CAST(i AS INT)))) AS INT) AS common FROM l""")
 def suffix_order(t):
     return sequences.suffix_order(_proteins(t), "n_nationkey", "sequence", 12).withColumnRenamed("n_nationkey", "k")
+
+
+@query("shuffled_decoys", """SELECT p_partkey, length(p_name) AS n, array_to_string(list_sort(string_split(p_name, '')), '') AS letters FROM part""")
+def shuffled_decoys(t):
+    shuffled = t("part").select("p_partkey", text.decoy_shuffle(F.col("p_name"), F.lit(7)).alias("s"))
+    return shuffled.select("p_partkey", F.length("s").cast("long").alias("n"), F.array_join(F.array_sort(F.filter(F.split("s", ""), lambda r: r != "")), "").alias("letters"))
+
+
+@query("reachable_mass_bins", "WITH RECURSIVE s(d) AS (VALUES " + ", ".join(f"({d})" for d in sorted({round(m * 0.9995) for m in RESIDUE_MASS.values()})) + "), m AS (SELECT 0 AS bin UNION SELECT bin + d FROM m JOIN s ON bin + d <= 700) SELECT CAST(bin AS BIGINT) AS bin FROM m")
+def reachable_mass_bins(t):
+    bins = evidence.reachable_bins(700)
+    return t("region").sparkSession.createDataFrame([(int(b),) for b in bins], "bin long")
+
+
+@query("spline_slopes", """SELECT l_orderkey, l_linenumber AS x, CAST(l_orderkey % 7 AS DOUBLE) AS slope FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) > 1) GROUP BY ALL""")
+def spline_slopes(t):
+    # a spline through points of a line has the line's slope at each of them
+    points = t("lineitem").select("l_orderkey", F.col("l_linenumber").cast("double").alias("x")).distinct().groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x")).where(F.size("x") > 1)
+    rows = points.withColumn("y", F.transform("x", lambda x: x * (F.col("l_orderkey") % 7) + 3.0))
+    each = rows.select("l_orderkey", F.explode(F.arrays_zip("x", numeric.slope_filter_udf(F.col("x"), F.col("y")).alias("s"))).alias("p"))
+    return each.select("l_orderkey", F.col("p.x").cast("int").alias("x"), F.round("p.s", 6).alias("slope"))
+
+
+@query("best_modified_paths", f"""WITH p AS (SELECT n_nationkey, {_sequence_sql("n_name || r_name")} AS s FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT n_nationkey, CAST(length(s) AS DOUBLE) AS path_score, CASE WHEN regexp_matches(s, '[MW]') THEN length(s) - strpos(reverse(translate(s, 'W', 'M')), 'M') + 1 ELSE 0 END AS placed FROM p""")
+def best_modified_paths(t):
+    p = _proteins(t).withColumn("at", F.when(F.col("sequence").rlike("[MW]"), F.length("sequence") - F.locate("M", F.reverse(F.translate("sequence", "W", "M"))) + 1).otherwise(0))
+    up = numeric.prefix_masses(F.col("sequence"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("sequence")), lambda i: F.get(F.col("up"), i) + F.when((F.col("at") > 0) & (i >= F.col("at")), F.lit(15.994915)).otherwise(F.lit(0.0)))
+    rows = p.withColumn("up", up).withColumn("prefixes", prefixes).select("n_nationkey", "sequence", "prefixes")
+    done = scoring.score_proteoforms(rows, ["n_nationkey"], "sequence", "prefixes", {"Ox": 15.994915}, {"Ox": "MW"}, 0.001)
+    return done.select("n_nationkey", "path_score", F.array_position("placement", "Ox").alias("placed"))
+
+
+@query("sql_functions", """SELECT p_partkey, (p_retailprice + 2 * 1.00335483) / 3 + 1.00727649 AS mz, CAST(round_even(p_retailprice * 0.9995, 0) AS BIGINT) AS bin, abs(p_retailprice - 1000) < p_retailprice * 50000 / 1e6 AS near FROM part""")
+def sql_functions(t):
+    from spectroloom.functions import registry
+
+    p = t("part")
+    registry.register(p.sparkSession)
+    return p.sparkSession.sql("SELECT p_partkey, isotope_mz(p_retailprice, 3, 2) AS mz, nominal_bin(p_retailprice) AS bin, within_ppm(p_retailprice, 1000, 50000) AS near FROM {part}", part=p)
+
+
+@query("digest_table_function", f"""WITH p AS (SELECT n_nationkey, {_sequence_sql("n_name")} AS s FROM nation), x AS (SELECT *, list_sort(list_distinct(list_concat([0, length(s)], list_filter(range(1, length(s)), lambda i: substr(s, CAST(i AS INT), 1) IN ('K', 'E'))))) AS cuts FROM p),
+c AS (SELECT n_nationkey, s, unnest(range(1, len(cuts))) AS i, cuts FROM x), d AS (SELECT *, i + k AS j FROM c, range(1, 3) q(k) WHERE i + k <= len(cuts)) SELECT n_nationkey, substr(s, CAST(cuts[i] + 1 AS INT), CAST(cuts[j] - cuts[i] AS INT)) AS peptide, CAST(cuts[i] AS INT) AS start, CAST(j - i - 1 AS INT) AS missed FROM d""")
+def digest_table_function(t):
+    from spectroloom.functions import registry
+
+    p = t("nation").select("n_nationkey", _sequence("n_name").alias("s"))
+    registry.register(p.sparkSession)
+    return p.sparkSession.sql("SELECT n_nationkey, d.* FROM {p}, LATERAL digest(s, 'KE', 1) AS d", p=p)
+
+
+@query("fragments_table_function", f"""WITH {MASS_SQL}, p AS (SELECT n_nationkey AS k, {_sequence_sql("n_name")} AS s FROM nation), l AS (SELECT k, i, length(s) AS n, m FROM (SELECT k, s, i, substr(s, i, 1) AS x FROM p, range(1, 60) q(i) WHERE i <= length(s)) JOIN r ON r = x),
+b AS (SELECT k, i, n, sum(m) OVER (PARTITION BY k ORDER BY i) AS pre, sum(m) OVER (PARTITION BY k) AS total FROM l) SELECT k, 'b' AS series, CAST(i AS INT) AS length, round(pre, 5) AS mass FROM b WHERE i < n UNION ALL SELECT k, 'y', CAST(n - i AS INT), round(total - pre + {WATER!r}, 5) FROM b WHERE i < n""")
+def fragments_table_function(t):
+    from spectroloom.functions import registry
+
+    p = t("nation").select(F.col("n_nationkey").alias("k"), _sequence("n_name").alias("s"))
+    registry.register(p.sparkSession)
+    return p.sparkSession.sql("SELECT k, f.series, f.length, round(f.mass, 5) AS mass FROM {p}, LATERAL fragments(s) AS f", p=p)
