@@ -3,11 +3,11 @@
 1. Documents are cut into words once and written; all that follows reads the words.
 2. Test items are cut into windows (phrases) of consecutive words, each with a number; equal ones are one phrase.
 3. Corpus frequencies of all words of the items are counted over all documents.
-4. The index is built: the postings (document, term, position) of the rarest terms of each phrase. Words that no
-   phrase is looked up by are left out of the stored index.
+4. The index is built: the postings (document, term, position) of the rarest terms of each phrase, those of the
+   rarest one with the words around them. Words that no phrase is looked up by are left out of the stored index.
 5. A phrase is looked up from its rarest terms: each list of postings is shifted back by the term's offset in the
    phrase, so that it holds starts, and the lists are intersected by document, phrase and start. What is left is
-   compared with the document word by word.
+   compared word by word with the words around the rarest term, so that no document moves.
 6. ``proximity`` looks up phrases whose terms all stand near the rarest one, in any order.
 
 Phrases travel as numbers; the items of a phrase are joined at the end. Test-side tables are broadcast only after
@@ -67,24 +67,28 @@ def rarest(found: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame
     return ranked.where(F.col("r")[0]["n"] > 0).select("pid", F.slice("r", 1, lists).alias("rare")).join(found, "pid")
 
 
-def build_index(tokens: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """The stored postings of ``terms``: (keys, term, pos), positions counted in words from 0."""
-    return written(tokens.select(*keys, F.posexplode("w").alias("pos", "term")).join(_small(terms), "term").select(*keys, "term", "pos"))
+def build_index(tokens: DataFrame, terms: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """The stored postings of ``terms`` (term, first): (keys, term, pos, from, near), positions counted in words from 0.
+
+    ``near`` are the words from position ``from`` on, up to ``reach`` on either side of ``pos``; null where ``first`` is false.
+    """
+    each = tokens.select(*keys, "w", F.posexplode("w").alias("pos", "term")).join(_small(terms), "term")
+    low = F.greatest(F.lit(0), F.col("pos") - reach)
+    return written(each.select(*keys, "term", "pos", low.alias("from"), F.when(F.col("first"), F.slice("w", low + 1, F.col("pos") - low + 1 + reach)).alias("near")))
 
 
-def exact(tokens: DataFrame, index: DataFrame, looked: DataFrame, keys: list[str]) -> DataFrame:
+def exact(index: DataFrame, looked: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, length, pid) of every occurrence of the phrases."""
     lists = looked.select("pid", F.size("rare").alias("lists"), F.posexplode("rare").alias("k", "r"))
-    starts = index.join(_small(lists.select("pid", "lists", "k", F.col("r.term").alias("term"), F.col("r.offset").alias("offset"))), "term")
-    starts = starts.select(*keys, "pid", (F.col("pos") - F.col("offset")).alias("start"), "lists", F.call_function("shiftleft", F.lit(1), F.col("k")).alias("list")).where("start >= 0")
+    lists = lists.select("pid", "lists", F.call_function("shiftleft", F.lit(1), F.col("k")).alias("list"), F.col("r.term").alias("term"), F.col("r.offset").alias("offset"))
+    starts = index.select(*keys, "term", "pos").join(_small(lists), "term").select(*keys, "pid", (F.col("pos") - F.col("offset")).alias("start"), "lists", "list").where("start >= 0")
     met = starts.groupBy(*keys, "pid", "start").agg(F.bit_or("list").alias("seen"), F.first("lists").alias("lists"))
-    # a document's starts are one row for it, so that its words are read once
-    kept = met.where(F.col("seen") == F.call_function("shiftleft", F.lit(1), F.col("lists")) - 1).join(_small(looked.select("pid", "phrase")), "pid")
-    starts = written(kept.groupBy(*keys).agg(F.collect_list(F.struct("pid", "start", "phrase")).alias("at")))
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    both = tokens.alias("d").join(starts.alias("s"), reduce(lambda a, b: a & b, same)).select(*[f"d.{k}" for k in keys], "w", "at")
-    found = F.filter("at", lambda x: F.slice("w", x["start"] + 1, F.size(x["phrase"])) == x["phrase"])
-    return both.select(*keys, F.explode(found).alias("x")).select(*keys, "x.start", F.size("x.phrase").alias("length"), "x.pid")
+    kept = met.where(F.col("seen") == F.call_function("shiftleft", F.lit(1), F.col("lists")) - 1).drop("seen", "lists")
+    first = looked.select("pid", "phrase", F.col("rare")[0]["offset"].alias("offset"))
+    kept = kept.join(_small(first), "pid").select(*[F.col(k).alias(f"{k}_of") for k in keys], "pid", "start", "phrase", (F.col("start") + F.col("offset")).alias("at"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]) & (F.col("pos") == F.col("at"))
+    inside = F.slice("near", F.col("start") - F.col("from") + 1, F.size("phrase")) == F.col("phrase")
+    return index.where("near is not null").join(kept, same).where(inside).select(*keys, "start", F.size("phrase").alias("length"), "pid")
 
 
 def proximity(index: DataFrame, looked: DataFrame, keys: list[str], within: int) -> DataFrame:
@@ -124,8 +128,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     tokens = tokenised(docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")), keys, "_text")
     found, owners = phrases(items, window, item_id, item_text)
     looked = looked_up(tokens, found)
-    index = build_index(tokens, looked.select(F.explode("rare.term").alias("term")).distinct(), keys)
-    hits = written(exact(tokens, index, looked, keys).distinct())
+    rare = looked.select(F.posexplode("rare.term").alias("k", "term"))
+    index = build_index(tokens, rare.groupBy("term").agg(F.bool_or(F.col("k") == 0).alias("first")), keys, window - 1)
+    hits = written(exact(index, looked, keys).distinct())
     per_doc = hits.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
     whose = hits.select(*keys, "pid").distinct().join(_small(owners), "pid").groupBy(*keys).agg(F.collect_set("item").alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))

@@ -91,13 +91,13 @@ def test_proximity(spark):
     tokens = decontamination.tokenised(d, ["doc_id"])
     found, _ = decontamination.phrases(b, 3)
     looked = decontamination.looked_up(tokens, found)
-    index = decontamination.build_index(tokens, found.select(F.explode("phrase").alias("term")).distinct(), ["doc_id"])
+    index = decontamination.build_index(tokens, found.select(F.explode("phrase").alias("term"), F.lit(True).alias("first")).distinct(), ["doc_id"], 2)
     words_of = {r["pid"]: (list(r["phrase"]), r["rare"][0]["term"]) for r in looked.collect()}
     for within in (3, 5):
         want = sorted(((i, k, " ".join(p)) for i, t in docs for p, r in words_of.values() for k, w in enumerate(t.split()) if w == r and set(p) <= set(t.split()[max(0, k - within) : k + within + 1])), key=str)
         got = sorted(((r["doc_id"], r["pos"], " ".join(words_of[r["pid"]][0])) for r in decontamination.proximity(index, looked, ["doc_id"], within).collect()), key=str)
         assert got == want and want
-    exact = sorted((r["doc_id"], r["start"], " ".join(words_of[r["pid"]][0])) for r in decontamination.exact(tokens, index, looked, ["doc_id"]).where("doc_id is not null").collect())
+    exact = sorted((r["doc_id"], r["start"], " ".join(words_of[r["pid"]][0])) for r in decontamination.exact(index, looked, ["doc_id"]).where("doc_id is not null").collect())
     assert exact == sorted((i, k, " ".join(p)) for i, t in docs if i for p, _ in words_of.values() for k in range(len(t.split())) if t.split()[k : k + len(p)] == p)
 
 
