@@ -9,9 +9,11 @@ that no text is judged by a lexicon or a tree that has seen its own label.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +186,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) ->
     return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
+def copies(sets: list[frozenset[bytes]]) -> np.ndarray:
+    """A number for each text that exact and most near copies share: texts with the same four words of least checksum."""
+    known: dict[tuple, int] = {}
+    return np.array([known.setdefault(tuple(nsmallest(4, map(zlib.crc32, words))), len(known)) for words in sets], int)
+
+
 @dataclass
 class Model:
     lexicon: dict[bytes, float]
@@ -205,13 +213,20 @@ def fit(sample: list[tuple[int, str]], totals: dict[int, int] | None = None, fol
     weight = np.array(class_weights([label for label, _ in sample], totals))
     y = np.array([label for label, _ in sample], float)
     sets = [frozenset(words_of(t)) for _, t in sample]
-    fold = np.arange(len(sample)) % folds
+    # copies are one text to the lexicon, whose words they would all repeat, and stay in one fold
+    group = copies(sets)
+    fold = group % folds
+
+    def lexicon_of(rows: np.ndarray, least: float) -> dict[bytes, float]:
+        rows = rows[np.unique(group[rows], return_index=True)[1]] if len(rows) else rows
+        return learn_lexicon([sets[i] for i in rows], y[rows], least)
+
     best = None
     for least in THRESHOLDS if len(sample) else THRESHOLDS[:1]:
         x = np.zeros((len(sample), len(FEATURES)))
         for k in range(folds):
             rest = np.flatnonzero(fold != k)
-            lexicon = learn_lexicon([sets[i] for i in rest], y[rest], least)
+            lexicon = lexicon_of(rest, least)
             for i in np.flatnonzero(fold == k):
                 x[i] = features(sample[i][1], lexicon)
         raw = np.zeros(len(sample))
@@ -222,7 +237,7 @@ def fit(sample: list[tuple[int, str]], totals: dict[int, int] | None = None, fol
         if best is None or loss < best[0]:
             best = (loss, least, x, raw)
     _, least, x, raw = best
-    return Model(learn_lexicon(sets, y, least), boost(x, y, weight), *isotonic(raw, y, weight))
+    return Model(lexicon_of(np.arange(len(sample)), least), boost(x, y, weight), *isotonic(raw, y, weight))
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column, label: str = "toxic", per_class: int = 4000, max_chars: int = 20_000, seed: int = 10) -> Model:

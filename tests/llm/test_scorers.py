@@ -310,3 +310,16 @@ def test_logistic_curve_is_the_likeliest():
     loss = lambda v: float((w * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v[:3] + v[3]))).sum())
     best = np.array(quality.logistic(x, y, w, 1e-9))
     assert all(loss(best) <= loss(best + d) + 1e-9 for d in rng.normal(size=(50, 4)) * 0.05)
+
+
+def test_copies_count_once_in_the_lexicon():
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(400)]
+    prose = lambda: " ".join(rng.choice(words, 40))
+    fine = [(0, prose()) for _ in range(150)]
+    rude = [(1, f"{prose()} awful idiot") for _ in range(60)]
+    copied = [(1, f"idiot {' '.join(f'odd{k}' for k in range(30))} {j}") for j in range(40)]
+    model = toxicity.fit(fine + rude + copied)
+    assert {b"awful", b"idiot"} <= set(model.lexicon) and not any(w.startswith(b"odd") for w in model.lexicon)
+    group = toxicity.copies([frozenset(toxicity.words_of(t)) for _, t in fine + rude + copied])
+    assert len(set(group[210:])) <= 12 and len(set(group[:210])) > 200
