@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: ASCII white space: the separators of words in most contracts here.
 WHITE = "\\x20\\x09-\\x0D"
 WORD = f"[^{WHITE}]+"
+#: Bytes of texts that a Python worker takes at a time, about (one text at least).
+SLICE = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +61,7 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def wider(df: DataFrame, **kinds: str) -> StructType:
+def wider(df: DataFrame, **kinds: str | DataType) -> StructType:
     """The schema of ``df`` with more columns (a schema's own ``add`` would change the frame's)."""
     out = StructType(list(df.schema.fields))
     for name, kind in kinds.items():
@@ -87,3 +93,48 @@ def ascii_lower(column):
 def fanout(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: what hash partitions of our own follow."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batch: pa.RecordBatch, at: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``most`` bytes of a text column: long values are never held many at a time."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), np.int64)
+    ends, first = np.cumsum(sizes), 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+_IS_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def spaced(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a text with one space between, and where each begins and ends; no object is made for each word."""
+    data = np.frombuffer(text, np.uint8)
+    white = _IS_WHITE[data]
+    # of the white space behind a word the first byte stays
+    keep = ~white
+    keep[1:] |= ~white[:-1]
+    data, white = data[keep], white[keep]
+    data = np.where(white, np.uint8(32), data)
+    if len(data) and white[-1]:
+        data, white = data[:-1], white[:-1]
+    if not len(data):
+        return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cuts = np.flatnonzero(white)
+    return data.tobytes(), np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])
+
+
+def joined_unevenly(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the columns of ``right``, in which ``key`` (of no nulls) is unique; an inner join on it.
+
+    Keys of more than a thousandth of the rows of ``left``, of which there are fewer than a thousand, go by
+    broadcast, so that no task gets all the rows of one; others by hash. ``left`` is read up to four times.
+    """
+    hot = written(left.groupBy(key).count().where(f"count > {max(1000, left.count() // 1000)}").select(key))
+    if not hot.limit(1).count():
+        return left.join(right, key)
+    few = F.broadcast(hot)
+    loud = left.join(F.broadcast(right.join(few, key, "left_semi")), key)
+    return loud.unionByName(left.join(few, key, "left_anti").join(right, key))

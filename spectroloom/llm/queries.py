@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectroloom.llm import chat, decontamination, language, licenses, media, mixing, quality, simhash, substrings, toxicity
-from spectroloom.llm.common import crc_mod, table
+from spectroloom.llm import chat, decontamination, language, licenses, media, merkle, minhash, mixing, periods, quality, simhash, substrings, toxicity
+from spectroloom.llm.common import WORD, crc_mod, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +155,91 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a tenth of the documents (none without an id) repeat some of their words to the end
+    h = F.crc32(F.col("doc_id").cast("string"))
+    cut = docs.withColumn("g", F.floor(h / 10)).withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"))))
+    placed = cut.withColumn("a", F.expr("g % size(w)")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    told = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    done = periods.with_runs(placed.select("doc_id", F.when(F.size("w") > 0, F.array_join(told, " ")).otherwise(F.col("text")).alias("text")))
+    first = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = done.withColumn("best", first)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    digest = lambda text: merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    # a row without an id has no decimal id, and is left as it is
+    lost = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.col("text").contains("\n")
+    rows = docs.select("doc_id", "source", digest(F.col("text")).alias("leaf"), F.when(lost, digest(F.translate("text", "\n", ""))).alias("changed"))
+    done = merkle.manifest(rows).withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("path")))
+    return done.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS src,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    replace(text, chr(10), '') AS cut,
+    list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: CAST(ascii(substr(doc_id::VARCHAR, i, 1)) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+  FROM documents),
+l AS (
+  SELECT doc_id, src, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS shorter, xor(crc, 4294967295) % 2 = 0 AS even,
+    row_number() OVER (PARTITION BY src ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY src) AS n
+  FROM d),
+up AS (
+  SELECT src, 0 AS lvl, pos, n, leaf AS h FROM l
+  UNION ALL SELECT src, lvl + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY src, lvl, pos // 3),
+s AS (SELECT src, h AS subroot, row_number() OVER (ORDER BY src) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, n, subroot AS h FROM s
+  UNION ALL SELECT lvl + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 3),
+sib AS (
+  SELECT src, lvl, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM up WHERE n > 1 WINDOW w AS (PARTITION BY src, lvl, pos // 3 ORDER BY pos)),
+topsib AS (
+  SELECT lvl, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM top WHERE n > 1 WINDOW w AS (PARTITION BY lvl, pos // 3 ORDER BY pos)),
+steps AS (
+  SELECT doc_id, lvl, a, b FROM l JOIN sib ON sib.src = l.src AND sib.pos = l.pos // CAST(pow(3, lvl) AS BIGINT)
+  UNION ALL SELECT doc_id, 1000 + lvl, a, b FROM l JOIN s USING (src) JOIN topsib ON topsib.pos = s.pos // CAST(pow(3, lvl) AS BIGINT)),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lvl) AS i FROM steps),
+fold AS (
+  SELECT doc_id, 1 AS i, CASE WHEN even THEN shorter ELSE leaf END AS h FROM l
+  UNION ALL SELECT doc_id, f.i + 1, sha256(a || h || b) FROM fold f JOIN p USING (doc_id) WHERE p.i = f.i),
+proofs AS (SELECT doc_id, sha256(string_agg(a || b, '' ORDER BY i)) AS proof FROM p GROUP BY doc_id),
+ends AS (SELECT doc_id, max_by(h, i) AS folded_root FROM fold GROUP BY doc_id),
+r AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT l.doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN s USING (src) CROSS JOIN r JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)
+"""
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = minhash.near_duplicates(docs)
+    return done.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS x FROM d, range(1, greatest(len(w) - 3, 1) + 1) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS m FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM b JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * m >= 80 * (p.n + q.n - m)),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT reach.u, l.v FROM reach JOIN l ON l.u = reach.v)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS c FROM reach GROUP BY u) USING (doc_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -174,8 +259,11 @@ def queries() -> dict:
         "op8_substrings": op8_substrings,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
+        "op11_periods": op11_periods,
+        "op12_merkle": op12_merkle,
+        "op13_minhash": op13_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op4_licenses": _op4_sql(), "op8_substrings": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_licenses": _op4_sql(), "op8_substrings": OP8_SQL, "op9_decontamination": OP9_SQL, "op12_merkle": OP12_SQL, "op13_minhash": OP13_SQL}
