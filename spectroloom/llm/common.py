@@ -126,13 +126,22 @@ def spaced(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data.tobytes(), np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])
 
 
+def encoded(cut: list[tuple[bytes, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of several texts, as ``spaced`` cuts them, as numbers; the bounds of the texts; the words (a space behind) by number."""
+    cut = [(joined + b" ", starts) if len(starts) else (b"", starts) for joined, starts, _ in cut]
+    begin = np.concatenate([[0], np.cumsum([len(joined) for joined, _ in cut])]).astype(np.int64)
+    offsets = np.concatenate([*(starts + b for (_, starts), b in zip(cut, begin.tolist(), strict=False)), begin[-1:]]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(joined for joined, _ in cut))]).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum([len(s) for _, s in cut])]).astype(np.int64), found.dictionary
+
+
 def joined_unevenly(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """``left`` with the columns of ``right``, in which ``key`` (of no nulls) is unique; an inner join on it.
 
     Keys of more than a thousandth of the rows of ``left``, of which there are fewer than a thousand, go by
     broadcast, so that no task gets all the rows of one; others by hash. ``left`` is read up to four times.
     """
-    hot = written(left.groupBy(key).count().where(f"count > {max(1000, left.count() // 1000)}").select(key))
+    hot = left.groupBy(key).count().where(f"count > {max(1000, left.count() // 1000)}").select(key)
     if not hot.limit(1).count():
         return left.join(right, key)
     few = F.broadcast(hot)

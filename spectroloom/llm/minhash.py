@@ -1,6 +1,6 @@
 """MinHash near-duplicates with b-bit signatures, confirmed on full sets of shingles.
 
-1. Each text becomes the set of its word shingles, by XXH64. Its minima under ``rows * bands`` hash functions give
+1. Each text becomes the set of its word shingles, by 64-bit hashes. Its minima under ``rows * bands`` hash functions give
    band keys (a hash of ``rows`` minima each) and a signature: the low ``BITS`` bits of all minima, packed.
 2. Equal sets are one class. Classes that share a band key are candidates: two sets of similarity 0.8 share none of
    32 keys of 4 minima with a chance of 5 in 10^8.
@@ -25,31 +25,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from spectroloom.llm.common import joined_unevenly, slices, spaced, wider, written
+from spectroloom.llm.common import encoded, joined_unevenly, slices, spaced, wider, written
 from spectroloom.llm.graph import components
 
 SEED = 42
 #: Bits of a minimum that a signature keeps, and those of them in a long.
 BITS, PER_LONG = 4, 16
 LOWEST = 0x1111111111111111
+MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)
 #: Members of a block, and shingles of a block or of a task that confirms, about.
 BLOCK, SHINGLES = 512, 1_000_000
 
 
-def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct XXH64 of the shingles of a text, A-Z lower-cased, in order; of fewer words the whole sequence, of none nothing."""
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The distinct hashes of the shingles of each text, A-Z lower-cased, in order; of fewer words the whole sequence is
+    one, of none there is none. A shingle's hash mixes the XXH64 of its words and their number."""
     import xxhash
 
-    joined, starts, ends = spaced(text.lower())
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = max(1, len(starts) - shingle + 1)
-    starts, ends = starts[:n], ends[min(shingle, len(ends)) - 1 :]
-    out, h = np.empty(n, np.uint64), xxhash.xxh64_intdigest
-    for k in range(0, n, 1 << 16):
-        cut = slice(k, k + (1 << 16))
-        out[cut] = [h(joined[a:b], SEED) for a, b in zip(starts[cut].tolist(), ends[cut].tolist(), strict=True)]
-    return np.unique(out)
+    numbers, bounds, known = encoded([spaced(t.lower()) for t in texts])
+    hashed = np.array([xxhash.xxh64_intdigest(w, SEED) for w in known.to_pylist()], np.uint64)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        words = hashed[numbers[a:b]] if b > a else np.zeros(0, np.uint64)
+        k = min(shingle, len(words))
+        mixed = np.full(len(words) - k + 1 if k else 0, k, np.uint64)
+        for i in range(k):
+            mixed = (mixed ^ words[i : i + len(mixed)]) * MULTIPLIER
+            mixed ^= mixed >> np.uint64(29)
+        out.append(np.unique(mixed))
+    return out
 
 
 def hash_functions(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +131,7 @@ def with_signatures(docs: DataFrame, shingle: int = 4, rows: int = 4, bands: int
         for batch in batches:
             for part in slices(batch, 1):
                 sizes, digests, keys, signatures = [], [], [], []
-                for t in part.column(1).cast(pa.large_binary()):
-                    found = shingle_hashes(t.as_py() or b"", shingle)
+                for found in shingle_sets([t.as_py() or b"" for t in part.column(1).cast(pa.large_binary())], shingle):
                     sizes.append(len(found))
                     if not len(found):
                         digests.append(None), keys.append(None), signatures.append(None)
@@ -153,7 +156,7 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -
 
         def hashed(c: int) -> np.ndarray:
             if c not in sets:
-                sets[c] = shingle_hashes(raw[at[c]].cast(pa.large_binary()).as_py() or b"", shingle)
+                sets[c] = shingle_sets([raw[at[c]].cast(pa.large_binary()).as_py() or b""], shingle)[0]
             return sets[c]
 
         us, vs = asked.column("u").to_numpy(), asked.column("v").to_numpy()
@@ -271,14 +274,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, rows:
     pairs = written(joined_unevenly(first, weights, "hub").select(F.col("cls").alias("u"), F.col("hub").alias("v"), task.alias("task")))
     links = written(_confirmed(texts, pairs, shingle, percent))
     sides = written(classes.join(candidates, "cls").select("cls", "n", "bits"))
+    roots = components(links)
     for best in (True, False):
-        roots = components(links)
         state = written(sides.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "n", "bits", F.coalesce("root", "cls").alias("root")))
         more = _apart(met, state, k, percent, best)
         if not more.limit(1).count():
             break
-        links = written(links.union(_confirmed(texts, more, shingle, percent)))
-    roots = components(links)
+        found = written(_confirmed(texts, more, shingle, percent))
+        if found.limit(1).count():
+            links = links.union(found)
+            roots = components(links)
     rooted = written(classes.join(roots, F.col("cls") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("root", "cls").alias("root")))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = joined_unevenly(rooted, least, "root").select("digest", "component_id")

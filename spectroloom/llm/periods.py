@@ -21,67 +21,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from spectroloom.llm.common import slices, spaced, wider
+from spectroloom.llm.common import encoded, slices, spaced, wider
 
 #: Words of a block at the first scale: a stretch of 24 - q words, for q up to 8, holds a block of 8.
 FIRST = 8
 #: Values of a transform at a time, about.
 AT_ONCE = 1 << 16
+#: The longest transform that is a product with a matrix.
+SHORT = 512
 #: (prime, generator, longest transform): the first is reduced by shifts, the second serves longer blocks.
 PRIMES = ((65537, 3, 1 << 16), (2013265921, 31, 1 << 27))
 RUN = StructType().add("start", LongType()).add("length", LongType()).add("period", LongType())
 
 
-@lru_cache(maxsize=8)
-def _stages(size: int, inverse: bool) -> tuple[int, list[np.ndarray], np.ndarray]:
-    """The prime, powers of roots for halves size / 2, ..., 1, and where the value of -j stands for that of j."""
-    prime, generator, _ = next(p for p in PRIMES if p[2] >= size)
-    root = pow(generator, (prime - 1) // size, prime)
-    if inverse:
-        root = pow(root, -1, prime)
-    powers = np.ones(size // 2, np.int64)
-    for k in range(size.bit_length() - 2):
-        # the next as many powers are those so far times root^(2^k)
-        powers[1 << k : 2 << k] = powers[: 1 << k] * pow(root, 1 << k, prime) % prime
-    reverse = np.zeros(1, np.int64)
-    while len(reverse) < size:
-        reverse = np.concatenate([2 * reverse, 2 * reverse + 1])
-    negative = reverse[-reverse % size]
-    return prime, [powers[:: 1 << k] for k in range(size.bit_length() - 1)], negative
-
-
-def _less(x: np.ndarray, prime: int) -> np.ndarray:
-    """Something congruent to ``x``, small enough to go on; 2^16 is -1 modulo 65537."""
-    return (x & 65535) - (x >> 16) if prime == 65537 else x % prime
-
-
-def transform(x: np.ndarray) -> np.ndarray:
-    """Transforms of rows, in reversed order of bits; the rows are overwritten. Values are congruent, not reduced."""
-    rows, size = x.shape
-    prime, stages, _ = _stages(size, False)
-    for powers in stages:
-        v = x.reshape(rows, -1, 2, len(powers))
-        a, b = v[:, :, 0], v[:, :, 1]
-        d = _less((a - b) * powers, prime)
-        a += b
-        if prime != 65537:
-            a %= prime
-        v[:, :, 1] = d
-    return x
-
-
-def back(x: np.ndarray) -> np.ndarray:
-    """The rows whose transforms are ``x``, times their length; the rows are overwritten."""
-    rows, size = x.shape
-    prime, stages, _ = _stages(size, True)
-    for powers in reversed(stages):
-        v = x.reshape(rows, -1, 2, len(powers))
-        a, b = v[:, :, 0], _less(v[:, :, 1] * powers, prime)
-        v[:, :, 1] = a - b
-        a += b
-        if prime != 65537:
-            x %= prime
-    return x
+class Transform:
+    """Transforms of blocks of half its size, zeros behind, and the first halves of what products of them come from.
+
+    Short ones are products with the matrix of powers, of integers that doubles hold exactly; long ones go by halves in
+    64-bit integers, their values in reversed order of bits. ``negative`` says where the value of -j stands for that of
+    j; times ``sign`` a transform is that of the block one block further on.
+    """
+
+    def __init__(self, size: int):
+        self.size, (self.prime, generator, _) = size, next(p for p in PRIMES if p[2] >= size)
+        self.short = size <= SHORT
+        root = pow(generator, (self.prime - 1) // size, self.prime)
+        powers = np.ones(size, np.int64)
+        for k in range(size.bit_length() - 1):
+            # the next as many powers are those so far times root^(2^k)
+            powers[1 << k : 2 << k] = powers[: 1 << k] * pow(root, 1 << k, self.prime) % self.prime
+        shrink = pow(size, -1, self.prime)
+        if self.short:
+            j = np.arange(size)
+            self.negative, self.sign = -j % size, 1 - 2 * (j % 2)
+            self.there = powers[np.outer(j[: size // 2], j) % size].astype(float)
+            self.back_again = (powers[-np.outer(j, j[: size // 2]) % size] * shrink % self.prime).astype(float)
+        else:
+            reverse = np.zeros(1, np.int64)
+            while len(reverse) < size:
+                reverse = np.concatenate([2 * reverse, 2 * reverse + 1])
+            self.negative, self.sign = reverse[-reverse % size], np.repeat(np.array([1, -1], np.int64), size // 2)
+            inverse = powers[-np.arange(size) % size]
+            self.stages = [(powers[: size // 2 : 1 << k], inverse[: size // 2 : 1 << k]) for k in range(size.bit_length() - 1)]
+            self.shrink = shrink
+
+    def less(self, x: np.ndarray) -> np.ndarray:
+        """Something congruent to ``x``, small enough to go on; 2^16 is -1 modulo 65537."""
+        if self.short:
+            return x - self.prime * np.floor(x * (1 / self.prime))
+        return (x & 65535) - (x >> 16) if self.prime == 65537 else x % self.prime
+
+    def forward(self, blocks: np.ndarray) -> np.ndarray:
+        if self.short:
+            return self.less(blocks @ self.there)
+        x = np.concatenate([blocks, np.zeros_like(blocks)], axis=1)
+        for powers, _ in self.stages:
+            v = x.reshape(len(x), -1, 2, len(powers))
+            a, b = v[:, :, 0], v[:, :, 1]
+            d = self.less((a - b) * powers)
+            a += b
+            if self.prime != 65537:
+                a %= self.prime
+            v[:, :, 1] = d
+        return x % self.prime
+
+    def backward(self, x: np.ndarray) -> np.ndarray:
+        if self.short:
+            return self.less(self.less(x) @ self.back_again)
+        x = self.less(x)
+        for _, powers in reversed(self.stages):
+            v = x.reshape(len(x), -1, 2, len(powers))
+            a, b = v[:, :, 0], self.less(v[:, :, 1] * powers)
+            v[:, :, 1] = a - b
+            a += b
+            if self.prime != 65537:
+                x %= self.prime
+        return x[:, : self.size // 2] % self.prime * self.shrink % self.prime
+
+    def is_zero(self, x: np.ndarray) -> np.ndarray:
+        return x == self.prime * np.rint(x * (1 / self.prime)) if self.short else x % self.prime == 0
+
+
+#: A long transform is kept for the next slice only while it is small.
+_kept = lru_cache(maxsize=16)(Transform)
 
 
 def occurrences(words: np.ndarray, bounds: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,48 +111,41 @@ def occurrences(words: np.ndarray, bounds: np.ndarray, block: int) -> tuple[np.n
 
     ``words`` are numbers of words, document i those between bounds[i] and bounds[i + 1].
     """
-    size, shifts = 2 * block, (0, 1) if block == FIRST else (1,)
-    prime, _, negative = _stages(size, False)
-    scale = pow(size, -1, prime)
     lengths = np.diff(bounds)
     docs = np.flatnonzero(lengths >= 3 * block)
     if not len(docs):
         return (np.zeros(0, np.int64),) * 3
+    size, shifts = 2 * block, (0, 1) if block == FIRST else (1,)
+    t = _kept(size) if size <= AT_ONCE else Transform(size)
+    kind = float if t.short else np.int64
     # each document begins a row of its own, with two empty ones behind
     height = -(-lengths[docs] // block) + 2
     top = np.concatenate([[0], np.cumsum(height)])
-    held = np.zeros(top[-1] * block, np.int64)
-    for d, t in zip(docs.tolist(), top.tolist(), strict=False):
-        held[t * block : t * block + lengths[d]] = words[bounds[d] : bounds[d + 1]] % prime
+    held = np.zeros(top[-1] * block, kind)
+    for d, at in zip(docs.tolist(), top.tolist(), strict=False):
+        held[at * block : at * block + lengths[d]] = (words[bounds[d] : bounds[d + 1]] + 1) % t.prime
     doc_of = np.repeat(np.arange(len(docs)), height)
     first = (np.arange(top[-1]) - top[doc_of]) * block
     # words that a document still has behind a block; negative where the block is not whole
     behind = lengths[docs][doc_of] - first - block
-    squares = np.concatenate([[0], np.cumsum(held * held % prime)])
-    sign = np.repeat(np.array([1, -1], np.int64), block)
-    found, step, ahead = [], max(1, AT_ONCE // size), np.zeros((0, size), np.int64)
+    squares = np.concatenate([np.zeros(1, kind), np.cumsum(t.less(held * held))])
+    found, step, ahead = [], max(1, AT_ONCE // size), np.zeros((0, size), kind)
     for r in range(0, top[-1], step):
-        fresh = np.zeros((min(step, top[-1] - r), size), np.int64)
-        fresh[:, :block] = held[r * block : (r + step) * block].reshape(-1, block)
-        got = np.concatenate([ahead, transform(fresh) % prime])
-        n, at = len(got) - 2, r - len(ahead)
-        ahead = got[-2:].copy()
-        use = np.arange(max(n, 0))
-        use = use[behind[at : at + len(use)] >= 0] if len(use) else use
+        got = np.concatenate([ahead, t.forward(held[r * block : (r + step) * block].reshape(-1, block))])
+        at, ahead = r - len(ahead), got[-2:].copy()
+        use = np.flatnonzero(behind[at : at + max(0, len(got) - 2)] >= 0)
         if not len(use):
             continue
-        mirrored = got[use][:, negative]
+        mirrored = got[use][:, t.negative]
         own = squares[(at + use + 1) * block] - squares[(at + use) * block]
         for m in shifts:
-            window = got[use + m] + sign * got[use + m + 1]
-            meets = back(_less(mirrored * (window % prime), prime))[:, :block]
+            meets = t.backward(mirrored * (got[use + m] + t.sign * got[use + m + 1]))
             begin = (at + use + m)[:, None] * block + np.arange(block)
-            sums = own[:, None] + squares[begin + block] - squares[begin] - 2 * scale * (meets % prime)
-            good = sums % prime == 0
-            good &= np.arange(block) <= (behind[at + use] - m * block)[:, None]
-            if m == 0:
-                good[:, 0] = False
+            good = t.is_zero(own[:, None] + squares[begin + block] - squares[begin] - 2 * meets)
             i, d = np.nonzero(good)
+            # what reaches beyond the document is none, nor is a block itself
+            inside = (d <= behind[at + use[i]] - m * block) & (d + m > 0)
+            i, d = i[inside], d[inside]
             found.append(np.stack([docs[doc_of[at + use[i]]], first[at + use[i]], d + m * block]))
     out = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
     return out[0], out[1], out[2]
@@ -189,17 +204,6 @@ def extended(x: np.ndarray, seeds: list[tuple[int, np.ndarray, np.ndarray]], lea
     return sorted((s, e - s, p) for (s, e), p in runs.items())
 
 
-def numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, np.ndarray, np.ndarray]]]:
-    """Equal words of several texts as equal numbers, the bounds of the texts, and the texts as ``spaced`` gives them."""
-    known: dict[bytes, int] = {}
-    cut, out = [spaced(t) for t in texts], []
-    for joined, starts, ends in cut:
-        for k in range(0, len(starts), 1 << 16):
-            last = min(k + (1 << 16), len(starts))
-            out.append(np.array([known.setdefault(w, len(known) + 1) for w in joined[starts[k] : ends[last - 1]].split(b" ")], np.int64))
-    return np.concatenate([np.zeros(0, np.int64), *out]), np.concatenate([[0], np.cumsum([len(s) for _, s, _ in cut])]).astype(np.int64), cut
-
-
 def runs_of(words: np.ndarray, bounds: np.ndarray, least: int, times: int) -> list[list[tuple[int, int, int]]]:
     """The runs of each document."""
     seeds: dict[int, list] = {}
@@ -247,7 +251,8 @@ def with_runs(docs: DataFrame, text: str = "text", least: int = 24, times: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
-                words, bounds, cut = numbers([t.as_py() or b"" for t in part.column(at).cast(pa.large_binary())])
+                cut = [spaced(t.as_py() or b"") for t in part.column(at).cast(pa.large_binary())]
+                words, bounds, _ = encoded(cut)
                 runs = runs_of(words, bounds, least, times)
                 left = pa.array([collapsed(c, r).decode() for c, r in zip(cut, runs, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([[{"start": s, "length": n, "period": p} for s, n, p in r] for r in runs], kind), left], [*part.schema.names, "runs", "collapsed"])
