@@ -1,7 +1,8 @@
 """MinHash near-duplicates with b-bit signatures, confirmed on full sets of shingles.
 
-1. Each text becomes the set of its word shingles, by 64-bit hashes. Its minima under ``rows * bands`` hash functions give
-   band keys (a hash of ``rows`` minima each) and a signature: the low ``BITS`` bits of all minima, packed.
+1. Each text becomes the set of its word shingles, by 64-bit hashes. Its minima under ``length`` hash functions give a
+   signature, the low ``BITS`` bits of all minima, packed; the first ``rows * bands`` of them give band keys (a hash of
+   ``rows`` minima each).
 2. Equal sets are one class. Classes that share a band key are candidates: two sets of similarity 0.8 share none of
    32 keys of 4 minima with a chance of 5 in 10^8.
 3. Candidates are first compared by bit counts of their signatures: the share of equal entries, corrected for those
@@ -35,6 +36,8 @@ LOWEST = 0x1111111111111111
 MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)
 #: Members of a block, and shingles of a block or of a task that confirms, about.
 BLOCK, SHINGLES = 512, 1_000_000
+#: Members of small keys that a task compares, about.
+ROWS = 100_000
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -57,24 +60,24 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
 
 
 def hash_functions(k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers (odd) and summands of ``k`` linear hash functions modulo 2^64."""
-    rng = np.random.default_rng(SEED)
-    a, b = rng.integers(0, 1 << 64, (2, k), np.uint64)
-    return a | np.uint64(1), b
+    """Multipliers (odd) and summands of ``k`` linear hash functions modulo 2^32."""
+    a, b = np.random.default_rng(SEED).integers(0, 1 << 32, (2, k), np.uint32)
+    return a | np.uint32(1), b
 
 
 def minima(hashes: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The least value of each function over a set that is not empty."""
+    """The least value of each function over the high halves of a set that is not empty."""
     a, b = functions[0][:, None], functions[1][:, None]
-    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), 512):
-        np.minimum(out, (hashes[None, k : k + 512] * a + b).min(1), out=out)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    out, step = np.full(len(a), np.iinfo(np.uint32).max, np.uint32), max(1, (1 << 16) // len(a))
+    for k in range(0, len(high), step):
+        np.minimum(out, (high[None, k : k + step] * a + b).min(1), out=out)
     return out
 
 
 def packed_bits(least: np.ndarray) -> np.ndarray:
     """The low bits of minima, sixteen of them in a long."""
-    low = (least ^ least >> np.uint64(29)) & np.uint64((1 << BITS) - 1)
+    low = ((least ^ least >> np.uint32(15)) & np.uint32((1 << BITS) - 1)).astype(np.uint64)
     low = np.concatenate([low, np.zeros(-len(low) % PER_LONG, np.uint64)]).reshape(-1, PER_LONG)
     return np.bitwise_or.reduce(low << np.arange(0, 64, BITS, dtype=np.uint64), axis=1)
 
@@ -116,7 +119,7 @@ def agreements(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def with_signatures(docs: DataFrame, shingle: int = 4, rows: int = 4, bands: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_signatures(docs: DataFrame, shingle: int = 4, rows: int = 4, bands: int = 32, length: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, print, n_shingles, digest, bands, bits) of every row; without words digest, bands and bits are null.
 
     ``print`` is a hash of the text, ``digest`` 128 bits of the set.
@@ -124,8 +127,8 @@ def with_signatures(docs: DataFrame, shingle: int = 4, rows: int = 4, bands: int
     import xxhash
 
     ids = docs.select(F.col(doc_id).alias("doc_id"))
-    functions = hash_functions(rows * bands)
-    width = 8 * rows
+    functions = hash_functions(length)
+    width = 4 * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +191,10 @@ def _blocks(met: DataFrame, state: DataFrame) -> DataFrame:
     keys = each.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.max("c").alias("most"), F.max_by("w", F.struct("c", "root")).alias("heavy"), F.sum("c").alias("members"), F.sum("w").alias("weight"), F.count("*").alias("roots")).where("roots > 1")
     pieces = lambda c, w: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(w / SHINGLES)).cast("int")
     one = (F.col("members") <= BLOCK) & (F.col("weight") <= SHINGLES)
-    keys = written(keys.select("key", "top", one.alias("one"), pieces(F.col("most"), F.col("heavy")).alias("tops"), pieces(F.col("members") - F.col("most"), F.col("weight") - F.col("heavy")).alias("rests")))
-    dealt = joined_unevenly(rows, keys, "key").withColumn("is_top", F.col("root") == F.col("top"))
+    keys = written(keys.select("key", "top", "members", one.alias("one"), pieces(F.col("most"), F.col("heavy")).alias("tops"), pieces(F.col("members") - F.col("most"), F.col("weight") - F.col("heavy")).alias("rests")))
+    # small keys with the same largest component meet in one task, where their pairs are told once
+    piled = keys.where("one").groupBy("top").agg(F.ceil(F.sum("members") / ROWS).alias("piles"))
+    dealt = joined_unevenly(rows, keys.join(piled, "top", "left").drop("members"), "key").withColumn("is_top", F.col("root") == F.col("top"))
     number = F.pmod(F.xxhash64("cls"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests"))).cast("int")
     number = F.when(F.col("one"), 0).when(F.col("is_top"), F.col("rests") + number).otherwise(number)
     dealt = dealt.withColumn("block", number)
@@ -197,9 +202,10 @@ def _blocks(met: DataFrame, state: DataFrame) -> DataFrame:
     of_rest = F.transform(F.sequence(F.lit(0), F.col("rests") + F.col("tops") - 1), lambda o: place(F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
     of_top = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda o: place(o, F.col("block")))
     places = F.when(F.col("one"), F.array(place(F.lit(0), F.lit(0)))).when(F.col("is_top"), of_top).otherwise(of_rest)
-    tasks = max(1, rows.count() // 50_000)
-    spread = dealt.select("key", "cls", "root", "n", "block", "one", F.explode(places).alias("p")).select("key", "cls", "root", "n", "block", "one", "p.i", "p.j")
-    spread = spread.withColumn("task", F.when(F.col("one"), F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "i", "j")))
+    tasks = max(1, rows.count() // ROWS)
+    spread = dealt.select("key", "cls", "root", "n", "block", "one", "top", "piles", F.explode(places).alias("p")).select("key", "cls", "root", "n", "block", "one", "top", "piles", "p.i", "p.j")
+    pile = F.when(F.col("piles") > 1, F.xxhash64("top", F.pmod(F.xxhash64("key"), F.col("piles")))).otherwise(F.pmod(F.xxhash64("top"), F.lit(tasks)))
+    spread = spread.withColumn("task", F.when(F.col("one"), pile).otherwise(F.xxhash64("key", "i", "j"))).drop("top", "piles")
     return spread.join(state.select("cls", "bits"), "cls")
 
 
@@ -215,7 +221,7 @@ def _apart(met: DataFrame, state: DataFrame, k: int, percent: int, best: bool) -
         n, root, cls, block = column("n"), column("root"), column("cls"), column("block")
         bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
         cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
-        us, vs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)], strict=True):
             rows = np.arange(a, b)
             i, j = place[a, 1:]
@@ -235,14 +241,14 @@ def _apart(met: DataFrame, state: DataFrame, k: int, percent: int, best: bool) -
                     u, v = u[first], v[first]
                 us.append(np.minimum(cls[u], cls[v]))
                 vs.append(np.maximum(cls[u], cls[v]))
-                keys.append(np.full(len(u), place[a, 0]))
-        return pa.table({"key": np.concatenate(keys), "u": np.concatenate(us), "v": np.concatenate(vs), "task": np.full(sum(map(len, us)), t.column("task")[0].as_py())})
+        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
+        return pa.table({"u": pairs[0], "v": pairs[1], "task": np.full(pairs.shape[1], t.column("task")[0].as_py())})
 
-    found = _blocks(met, state).groupBy("task").applyInArrow(look, "key long, u long, v long, task long")
+    found = _blocks(met, state).groupBy("task").applyInArrow(look, "u long, v long, task long")
     return written(found.groupBy("u", "v").agg(F.min("task").alias("task")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, rows: int = 4, bands: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, rows: int = 4, bands: int = 32, length: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, print) of every row: component_id is the least doc_id reachable by links.
 
     Two rows are linked if their sets of shingles have ``100 * intersection >= percent * union``. Null, empty and
@@ -250,8 +256,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, rows:
     name a component (null if it has no other id). Equal texts and repeated rows are linked, rows are repeated as they
     are. Texts of any length are taken whole; other columns are ignored; an empty table gives no rows.
     """
-    k = rows * bands
-    prints = written(with_signatures(docs, shingle, rows, bands, doc_id, text))
+    if not 0 < rows * bands <= length:
+        raise ValueError("bands are made of minima of the signature")
+    k = length
+    prints = written(with_signatures(docs, shingle, rows, bands, length, doc_id, text))
     some = prints.where("digest is not null")
     named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
     classes = some.groupBy("digest").agg(F.min(named).alias("a"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
