@@ -10,8 +10,9 @@
    compared word by word with the words around the rarest term, so that no document moves.
 6. ``proximity`` looks up phrases whose terms all stand near the rarest one, in any order.
 
-Phrases travel as numbers; the items of a phrase are joined at the end. Test-side tables are broadcast only after
-their rows, of a bounded number of words, were counted; larger ones are joined by hash.
+Phrases travel as numbers; the items of a phrase are joined at the end. Terms meet the words of documents by broadcast,
+in pieces of bounded size; other test-side tables are broadcast only after their rows, of a bounded number of words, were
+counted, and larger ones are joined by hash.
 """
 
 from __future__ import annotations
@@ -39,6 +40,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _looked(words_of: DataFrame, table: DataFrame, on: str = "term") -> DataFrame:
+    """``words_of`` joined with ``table``, which is broadcast in pieces of about BROADCAST_ROWS rows, one after the
+    other: rows that carry a document's words are never shuffled, however many terms there are."""
+    pieces = -(-table.count() // max(1, BROADCAST_ROWS)) or 1
+    kept = written(table.withColumn("_piece", F.pmod(F.xxhash64(on), F.lit(pieces)))) if pieces > 1 else table.withColumn("_piece", F.lit(0))
+    return reduce(DataFrame.union, [words_of.join(F.broadcast(kept.where(F.col("_piece") == k).drop("_piece")), on) for k in range(pieces)])
+
+
 def tokenised(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, w): the words of each document, written."""
     return written(docs.select(*keys, words(F.col(text)).alias("w")))
@@ -56,7 +65,7 @@ def phrases(items: DataFrame, window: int, item_id: str = "item_id", text: str =
 
 def frequencies(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, n): occurrences in all documents of the terms of ``vocabulary``."""
-    return tokens.select(F.explode("w").alias("term")).join(_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return _looked(tokens.select(F.explode("w").alias("term")), vocabulary).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def rarest(found: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame:
@@ -72,7 +81,7 @@ def build_index(tokens: DataFrame, terms: DataFrame, keys: list[str], reach: int
 
     ``near`` are the words from position ``from`` on, up to ``reach`` on either side of ``pos``; null where ``first`` is false.
     """
-    each = tokens.select(*keys, "w", F.posexplode("w").alias("pos", "term")).join(_small(terms), "term")
+    each = _looked(tokens.select(*keys, "w", F.posexplode("w").alias("pos", "term")), terms)
     low = F.greatest(F.lit(0), F.col("pos") - reach)
     return written(each.select(*keys, "term", "pos", low.alias("from"), F.when(F.col("first"), F.slice("w", low + 1, F.col("pos") - low + 1 + reach)).alias("near")))
 

@@ -253,13 +253,12 @@ def decoded(media: DataFrame, column: str = "media", to_rate: int = 16000) -> Da
     return media.mapInArrow(run, wider(media, pcm="binary", error="string"))
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: int = 8000, to_rate: int = 1600) -> DataFrame:
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: int = 8000, to_rate: int = 16000) -> DataFrame:
     """Stores each text as audio and its PCM in a table of the shared folder, reads both back and describes them.
 
     One row per input row: doc_id (of its type), n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, feature. Null and empty texts are 64 bytes of 0; equal texts have equal
-    values; repeated rows are repeated; other columns are ignored; an empty table gives no rows. PCM is
-    kept at ``to_rate``: at 16 kHz it takes more disk than the texts themselves.
+    values; repeated rows are repeated; other columns are ignored; an empty table gives no rows. PCM is kept at ``to_rate``.
     """
     ids = docs.select(F.col(doc_id).alias("doc_id"))
     kept = decoded(stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", rate).drop("text"), "media", to_rate).drop("error")

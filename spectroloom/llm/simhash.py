@@ -23,8 +23,8 @@ SEED = 42
 SEGMENT = 32
 #: Look-ups (13 bytes each) of a partition, about.
 PROBES = 8_000_000
-#: Members under one value from which they are first divided by quarters of the fingerprint.
-DIVIDE = 20_000
+#: Members that are compared with each other at once; more are divided by pieces of the bits that they don't share.
+TOGETHER = 1024
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -84,22 +84,36 @@ def forest(members: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
 
-def links_within(members: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``forest``; many members are divided by the values of ``most + 1`` equal parts first, one
-    of which linked fingerprints share, so that no comparison goes over all of them."""
-    if len(members) <= DIVIDE:
+def close_links(members: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links of a few members, or a spanning forest where they are many."""
+    u, v = np.nonzero(_popcount(members[:, None] ^ members[None, :]) <= most)
+    u, v = u[u > v], v[u > v]
+    return forest(members, most) if len(u) > 4 * len(members) else (members[u], members[v])
+
+
+def links_within(members: np.ndarray, most: int, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As ``forest``, of members that differ in ``bits`` (positions; all by default), divided before they are compared.
+
+    Linked fingerprints have at least one of ``most + 1`` pieces of the bits in common, so members are grouped by the
+    value of each piece, and large groups by pieces of the bits that are left. Members of a large group that share all
+    but ``most`` of the bits are few: they differ in what is left and in one bit of the segment under which they meet.
+    """
+    bits = np.arange(64) if bits is None else bits
+    if len(members) <= TOGETHER:
+        return close_links(members, most)
+    if len(bits) <= most:
         return forest(members, most)
     us, vs = [], []
-    width = 64 // (most + 1)
-    for k in range(most + 1):
-        part = members >> np.uint64(k * width) & np.uint64((1 << width) - 1)
-        order = np.argsort(part, kind="stable")
+    for piece in np.array_split(bits, most + 1):
+        part = members & np.bitwise_or.reduce(np.uint64(1) << piece.astype(np.uint64))
+        order, rest = np.argsort(part, kind="stable"), np.setdiff1d(bits, piece)
         for group in np.split(members[order], np.flatnonzero(np.diff(part[order])) + 1):
             if len(group) > 1:
-                u, v = forest(group, most)
+                u, v = links_within(group, most, rest)
                 us.append(u)
                 vs.append(v)
-    return np.concatenate(us), np.concatenate(vs)
+    empty = np.zeros(0, np.uint64)
+    return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
 def pack(part: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -150,9 +164,11 @@ def links(fps: DataFrame, most: int = 3, fp: str = "fp") -> DataFrame:
         cuts = np.flatnonzero(np.diff(keys)) + 1
         starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
         us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        # members under one value share that segment but for a bit; the other one tells them apart
+        other = np.arange(SEGMENT) + (0 if key[1].as_py() else SEGMENT)
         for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
             if b - a > 1:
-                u, v = links_within(x[a:b], most)
+                u, v = links_within(x[a:b], most, other)
                 us.append(u)
                 vs.append(v)
         pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -89,9 +90,38 @@ def test_divided_groups_have_the_same_links(monkeypatch):
             parent[find(a)] = find(b)
         return {frozenset(m for m in parent if find(m) == r) for r in {find(m) for m in parent}}
 
-    whole = parts(*simhash.links_within(members, 3))
-    monkeypatch.setattr(simhash, "DIVIDE", 10)
+    whole = parts(*simhash.forest(members, 3))
     assert parts(*simhash.links_within(members, 3)) == whole
+    monkeypatch.setattr(simhash, "TOGETHER", 10)
+    assert parts(*simhash.links_within(members, 3)) == whole
+
+
+def test_many_members_of_one_segment():
+    rng = np.random.default_rng(8)
+    values = np.unique(rng.integers(0, 1 << 32, 100_000, np.uint64))
+    values[1000:2000] = values[:1000] ^ np.uint64(1 << 20)
+    members = np.unique(np.uint64(77 << 32) | values)
+    began = time.perf_counter()
+    u, v = simhash.links_within(members, 3, np.arange(32))
+    assert time.perf_counter() - began < 6 and len(u) >= 900
+    few = rng.choice(members[:3000], 2500, replace=False)
+    name = lambda pairs: {frozenset(p) for p in zip(*(x.tolist() for x in pairs), strict=True)}
+    got, want = simhash.links_within(few, 3, np.arange(32)), simhash.forest(few, 3)
+    assert name(want) <= name(got) or components_of(few, got) == components_of(few, want)
+
+
+def components_of(members, pairs):
+    root = {int(m): int(m) for m in members}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in zip(*(x.tolist() for x in pairs), strict=True):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {m: find(m) for m in root}
 
 
 def test_simhash_odd_rows(spark):
