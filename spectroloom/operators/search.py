@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spectroloom.functions.arrays import upper_quantile
 from spectroloom.functions.mass import ION_SERIES, PROTON, RESIDUE_MASS, WATER, nominal_bin
-from spectroloom.operators import deconvolution, evidence, features, ranking, scoring, sequences, tags, windows
+from spectroloom.operators import deconvolution, evidence, features, ranking, scoring, sequences, sweeps, tags, windows
 from spectroloom.operators.joins import band_join
 from spectroloom.operators.scratch import materialised
 from spectroloom.sources import parameters, spectra, tables
@@ -25,15 +25,9 @@ def ingest(spark: SparkSession, path: str, out: str, first: int | None = None, l
     return spectra.read_run(spark, out)
 
 
-def find_features(runs: DataFrame, charges: tuple[int, int] = (1, 60), ppm: float = 10.0, gap: int = 4, least_peaks: int = 2) -> DataFrame:
-    """Features of the MS1 spectra of ``runs`` (run, scan_num, ms_level, elution_time, mz, intensity)."""
-    ms1 = runs.where(F.col("ms_level") == 1)
-    peaks = deconvolution.deconvolute(ms1, ["run", "scan_num", "elution_time"], charges, ppm)
-    # scans are numbered within their level, so that gaps count missing spectra
-    clusters = features.peak_clusters(peaks, "run", "scan_num", ppm, gap)
-    table = features.feature_table(clusters, least_peaks=least_peaks)
-    times = clusters.groupBy("run", "feature").agg(F.min("elution_time").alias("min_time"), F.max("elution_time").alias("max_time"))
-    return features.without_overlaps(table, ppm).join(times, ["run", "feature"])
+def find_features(runs: DataFrame, charges: tuple[int, int] = (1, 60), ppm: float = 10.0, masses: tuple[float, float] = (600.0, 50000.0), least_cells: int = 2) -> DataFrame:
+    """Features of the MS1 spectra of ``runs`` (run, scan_num, ms_level, elution_time, mz, intensity), by sweeps over mass ranges."""
+    return sweeps.swept_features(runs, charges, masses, ppm, least_cells)
 
 
 def candidates(proteins: DataFrame, options: parameters.SearchParameters) -> DataFrame:

@@ -280,6 +280,28 @@ def found_features(t):
     return best.select("n_nationkey", "min_scan", "max_scan", "min_charge", "max_charge", "rep_scan")
 
 
+def _feature_runs(t):
+    """MS1 spectra of runs of seven parts each, whose m/z are apart: every part is a mass that elutes for 5 to 8 spectra at
+    charges 6 to 8; every eleventh one comes a second time, weaker, behind a spectrum in which it is hardly there."""
+    k = F.col("p_partkey")
+    p = t("part").select(F.floor(k / 7).alias("run"), (3500.0 * F.pow(F.lit(1.2), k % 7) + F.col("p_size") * 0.7).alias("mass"), "p_retailprice", (1 + k % 5).alias("first"), (5 + k % 4).alias("long"), (k % 11 == 0).alias("twice"))
+    p = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("twice"), 2 * F.col("long")).otherwise(F.col("long") - 1))))
+    shape = F.col("long") + 1 - F.abs(2 * (F.col("k") % (F.col("long") + 1)) - F.col("long") + 1)
+    height = F.when(F.col("k") == F.col("long"), 0.2).when(F.col("k") > F.col("long"), 0.8 * shape).otherwise(shape) * F.col("p_retailprice")
+    p = p.withColumn("height", height).withColumn("envelope", numeric.envelope_of_mass(F.col("mass"))).withColumn("charge", F.explode(F.sequence(F.lit(6), F.lit(8))))
+    peaks = p.select("run", (F.col("first") + F.col("k")).alias("scan_num"), "height", "charge", "mass", F.posexplode("envelope").alias("i", "r"))
+    lists = F.sort_array(F.collect_list(F.struct(((F.col("mass") + F.col("i") * 1.00335483) / F.col("charge") + PROTON).alias("mz"), (F.col("height") * F.col("r")).alias("intensity"))))
+    return peaks.groupBy("run", "scan_num").agg(lists.alias("p")).select("run", "scan_num", F.lit(1).alias("ms_level"), (F.col("scan_num") * 0.5).alias("elution_time"), "p.mz", "p.intensity")
+
+
+@query("feature_table_of_runs", """WITH p AS (SELECT p_partkey // 7 AS run, CAST(round(10 * (3500.0 * pow(1.2, p_partkey % 7) + p_size * 0.7)) AS BIGINT) AS tenths, 1 + p_partkey % 5 AS f, 5 + p_partkey % 4 AS n, p_partkey FROM part)
+SELECT run, tenths, CAST(f + s * (n + 1) AS INT) AS min_scan, CAST(f + s * (n + 1) + n - 1 AS INT) AS max_scan, 6 AS min_charge, 8 AS max_charge, CAST(3 * n AS INT) AS cells, CAST((f + s * (n + 1) + (n - 1) // 2) * 0.5 AS DOUBLE) AS apex_time FROM p, range(0, 2) q(s) WHERE s = 0 OR p_partkey % 11 = 0""")
+def feature_table_of_runs(t):
+    # the whole table that is found; the first of two equal middle spectra is the apex
+    found = search.find_features(_feature_runs(t), (2, 12))
+    return found.select("run", F.bround(10 * F.col("mass")).cast("long").alias("tenths"), F.col("min_scan").cast("int").alias("min_scan"), F.col("max_scan").cast("int").alias("max_scan"), "min_charge", "max_charge", F.col("n").alias("cells"), (F.col("rep_scan") * 0.5).alias("apex_time"))
+
+
 def _matrix(t):
     s = _envelope_spectra(t, 9)
     masses = t("nation").select(F.col("n_nationkey").alias("mass_id"), (F.lit(5000.0) + F.col("n_nationkey") * 137.0).alias("mass")).withColumn("envelope", numeric.envelope_of_mass(F.col("mass")))
