@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spectroloom.functions.arrays import bhattacharyya, pearson
 from spectroloom.functions.mass import ION_SERIES, NEUTRAL_LOSS, PROTON, RESIDUE_MASS, fine_bin, isotope_mz, nominal_bin, residue_mass
+from spectroloom.functions.numeric import prefix_masses
 from spectroloom.operators.joins import band_join, interval_join
 
 
@@ -198,16 +199,20 @@ def extended_tags(hits: DataFrame, proteins: DataFrame, protein: str, sequence:
     ``stop`` (0-based, stop excluded) and the mass shifts on either side.
 
     ``before`` and ``after`` are residue masses on the tag's left and right. Ends are searched among
-    all prefixes and suffixes around the tag with each of ``shifts`` (a constant list).
+    all prefixes and suffixes around the tag with each of ``shifts`` (a constant list), by differences of one list of
+    prefix masses of each protein.
     """
-    with_seq = hits.join(proteins.select(protein, sequence), protein)
-    p, n = F.col(position), F.length(sequence)
-    add = F.array(*[F.lit(float(s)) for s in shifts])
-    left = with_seq.withColumn("start", F.explode(F.sequence(F.lit(0), p.cast("int")))).withColumn("left_shift", F.explode(add))
-    left = left.where(F.abs(residue_mass(F.substring(F.col(sequence), F.col("start") + 1, (p - F.col("start")).cast("int"))) + F.col("left_shift") - F.col(before)) <= da)
+    masses, n = "_masses", F.length(sequence)
+    with_seq = hits.join(proteins.select(protein, sequence, prefix_masses(F.col(sequence)).alias(masses)), protein)
+    p = F.col(position).cast("int")
     end = (p + F.length(tag)).cast("int")
-    right = left.withColumn("stop", F.explode(F.sequence(end, n))).withColumn("right_shift", F.explode(add))
-    right = right.where(F.abs(residue_mass(F.substring(F.col(sequence), end + 1, F.col("stop") - end)) + F.col("right_shift") - F.col(after)) <= da)
+    at = lambda i: F.get(masses, i.cast("int"))
+    add = F.array(*[F.lit(float(s)) for s in shifts])
+    near = lambda mass, wanted: F.exists(add, lambda s: F.abs(mass + s - wanted) <= da)
+    starts = F.filter(F.sequence(F.lit(0), p), lambda s: near(at(p) - at(s), F.col(before)))
+    stops = F.filter(F.sequence(end, n), lambda s: near(at(s) - at(end), F.col(after)))
+    both = with_seq.withColumn("start", F.explode(starts)).withColumn("left_shift", F.explode(add)).where(F.abs(at(p) - at(F.col("start")) + F.col("left_shift") - F.col(before)) <= da)
+    right = both.withColumn("stop", F.explode(stops)).withColumn("right_shift", F.explode(add)).where(F.abs(at(F.col("stop")) - at(end) + F.col("right_shift") - F.col(after)) <= da).drop(masses)
     return right.withColumn("matched", F.substring(F.col(sequence), F.col("start") + 1, F.col("stop") - F.col("start"))).drop(sequence)
 
 

@@ -40,6 +40,13 @@ def composite_term(prefix: Column, intensity: Column, reference: Column, corr: C
     return F.when(prefix, side(PREFIX)).otherwise(side(SUFFIX))
 
 
+def composite_value(prefix: bool, intensity: np.ndarray, reference: float, corr: np.ndarray, dist: np.ndarray, error_ppm: np.ndarray) -> np.ndarray:
+    """``composite_term`` of arrays."""
+    w = PREFIX if prefix else SUFFIX
+    share = np.minimum(intensity / reference, 1.0) if reference > 0 else np.ones_like(intensity)
+    return (w["count"] + w["intensity"] * share + w["corr"] * corr + w["dist"] * dist + w["error"] * np.abs(error_ppm)) * SCALE
+
+
 def composite_sites(matched: DataFrame, by: Sequence[str], length: str) -> DataFrame:
     """A row for each cleavage of a match that some fragment shows: ``site`` (residues before it), ``site_score``,
     ``plain_score`` (without mass errors, a whole number) and ``n``.

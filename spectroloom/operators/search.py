@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spectroloom.functions.arrays import upper_quantile
 from spectroloom.functions.mass import ION_SERIES, PROTON, RESIDUE_MASS, WATER, nominal_bin
-from spectroloom.operators import deconvolution, evidence, features, ranking, scoring, sequences, sweeps, tags, windows
+from spectroloom.operators import deconvolution, evidence, features, ranking, scoring, sequences, shifted, sweeps, tags, windows
 from spectroloom.operators.joins import band_join
 from spectroloom.operators.scratch import materialised
 from spectroloom.sources import parameters, spectra, tables
@@ -151,12 +151,16 @@ def rescore(results: DataFrame, peaks: DataFrame, ppm: float = 10.0, activation:
     return results.join(scored.withColumnsRenamed({"scan_num": "Scan", "sequence": "Sequence"}), ["Scan", "Sequence"], "left")
 
 
-def tag_search(scans: DataFrame, peaks: DataFrame, proteins: DataFrame, least: int = 5, most: int = 8, ppm: float = 10.0, da: float = 0.01, shifts: Sequence[float] = (0.0,), most_hits: int = 10**9, activation: str = "CID") -> DataFrame:
+def tag_search(scans: DataFrame, peaks: DataFrame, proteins: DataFrame, least: int = 5, most: int = 8, ppm: float = 10.0, da: float = 0.01, shifts: Sequence[float] = (0.0,), most_hits: int = 10**9, activation: str = "CID", unknown: tuple[float, float] | None = None, modifications: dict[str, tuple[float, str]] | None = None, most_modifications: int = 0) -> DataFrame:
     """(scan_num, name, start, stop, sequence, left_shift, right_shift, n_matched, score): proteins found by sequence tags.
 
     ``scans`` are (scan_num, precursor_mass). Tags of ``least`` to ``most`` residues are read off the deconvoluted peaks as
     prefix fragments, and backwards as suffix fragments; where one stands on a protein, its flanking masses are made up by the
     residues around it, with one of ``shifts`` on either side. What is found is scored as a whole, without the shifts.
+
+    With ``unknown`` (least and greatest) or ``modifications`` the sides are made up by the best placement of these, any mass
+    within ``unknown`` may hang on an end of the protein, fragments are scored with what they carry, and ``placement`` is
+    added (modification or empty of each residue).
     """
     series = scoring.SERIES.get(activation.upper(), ("b", "y"))
     prefix, suffix = ION_SERIES[series[0]][1], ION_SERIES[series[-1]][1]
@@ -171,6 +175,8 @@ def tag_search(scans: DataFrame, peaks: DataFrame, proteins: DataFrame, least: i
     before = F.when(F.col("reversed"), whole - (F.col("high") - suffix)).otherwise(F.col("low") - prefix)
     after = F.when(F.col("reversed"), F.col("low") - suffix).otherwise(whole - (F.col("high") - prefix))
     placed = placed.withColumn("before", before).withColumn("after", after).select("scan_num", "name", "position", "tag", "before", "after").distinct()
+    if unknown is not None or modifications:
+        return shifted.shifted_matches(placed, peaks, proteins, modifications, most_modifications, shifts, unknown, ppm, da, activation)
     found = evidence.extended_tags(placed, proteins, "name", "sequence", "position", "tag", "before", "after", da, shifts)
     found = found.select("scan_num", "name", "start", "stop", F.col("matched").alias("sequence"), "left_shift", "right_shift").distinct()
     return found.join(scorer(peaks, ppm, activation)(found), ["scan_num", "sequence"])

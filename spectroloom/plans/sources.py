@@ -243,11 +243,14 @@ def modification_file(t):
     return got.select("name", "residue", "is_fixed", F.col("composition")["O"].cast("long").alias("oxygens"))
 
 
-@query("parameter_file", """SELECT 7 AS min_length, 30 AS max_length, 12.5 AS precursor_ppm, false AS tag_search, 2 AS max_modifications""")
+@query("parameter_file", """SELECT 6 + min(p_size) AS min_length, 60 + max(p_size) AS max_length, min(p_retailprice) / 100 AS precursor_ppm, false AS tag_search, CAST(count(DISTINCT p_brand) AS INT) AS max_modifications FROM part""")
 def parameter_file(t):
-    spark = t("region").sparkSession
-    lines = spark.createDataFrame([("MinLength=7 ; least",), ("maxLength=30",), ("PMTolerance=12.5ppm",), ("TagSearch=false",), ("NumMods=2",), ("Unknown=x",)], "value string")
-    o = parameters.read_parameters(spark, _lines(lines, F.col("value"), "x.params"))
+    # a file of options that says what is in the table
+    said = t("part").agg(F.min("p_size").alias("a"), F.max("p_size").alias("b"), (F.min("p_retailprice") / 100).alias("c"), F.count_distinct("p_brand").alias("d"))
+    text = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    each = F.array(text("MinLength=", (6 + F.col("a")).cast("string"), " ; least"), text("maxLength=", (60 + F.col("b")).cast("string")), text("PMTolerance=", F.col("c").cast("string"), "ppm"), F.lit("TagSearch=false"), text("NumMods=", F.col("d").cast("string")), F.lit("Unknown=x"))
+    spark = said.sparkSession
+    o = parameters.read_parameters(spark, _lines(said.select(F.explode(each).alias("value")), F.col("value"), "x.params"))
     again = parameters.parse_parameters(parameters.format_parameters(o))
     return spark.createDataFrame([(again.min_length, again.max_length, again.precursor_ppm, again.tag_search, again.max_modifications)], "min_length int, max_length int, precursor_ppm double, tag_search boolean, max_modifications int")
 

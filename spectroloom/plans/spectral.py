@@ -393,12 +393,26 @@ def tag_search(t):
     return search.tag_search(masses, peaks, _proteins(t), 4, 4).select("scan_num", "sequence", "n_matched").distinct()
 
 
-@query("tag_search_of_features", f"""{FOUND}, s_nationkey AS feature FROM supplier JOIN p ON s_nationkey = n_nationkey WHERE s_suppkey <= 400""")
+@query("tag_search_of_shifted", f"""{FOUND}, 2 * (length(s) - 1) AS n_matched, CASE WHEN s_suppkey % 2 = 1 THEN 100 + s_suppkey % 50 * 1.25 ELSE 0.0 END::DOUBLE AS left_shift, 0.0::DOUBLE AS right_shift FROM supplier JOIN p ON s_nationkey = n_nationkey""")
+def tag_search_of_shifted(t):
+    # every second spectrum has a mass on its first residue that the search does not know
+    put = F.when(F.col("scan_num") % 2 == 1, 100 + F.col("scan_num") % 50 * 1.25).otherwise(0.0)
+    s = t("supplier").join(_proteins(t), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("int").alias("scan_num"), "sequence")
+    masses = s.select("scan_num", (residue_mass(F.col("sequence")) + WATER + put).alias("precursor_mass"))
+    ions = sequences.fragments(s, "sequence", ("b", "y"))
+    peaks = ions.select("scan_num", (F.col("fragment_mass") + F.when(F.col("ion") == "b", put).otherwise(0.0)).alias("mass"), F.lit(10.0).alias("intensity"))
+    done = search.tag_search(masses, peaks, _proteins(t), 4, 4, unknown=(-60.0, 400.0))
+    best = ranking.top_k(done, ["scan_num"], [F.desc("score"), F.col("name"), F.col("start")], 1)
+    return best.select("scan_num", "sequence", "n_matched", F.round("left_shift", 3).alias("left_shift"), F.round("right_shift", 3).alias("right_shift"))
+
+
+@query("tag_search_of_features", f"""{FOUND}, s_nationkey AS feature FROM supplier JOIN p ON s_nationkey = n_nationkey WHERE s_suppkey <= (SELECT max(s_suppkey) * 2 // 5 FROM supplier)""")
 def tag_search_of_features(t):
     scans, peaks = _planted(t, 0.0)
     masses = scans.select("scan_num", ((F.col("isolation.mono_mz") - PROTON) * 2).alias("precursor_mass"))
-    # the feature of a nation's mass covers the scans up to 400
-    n = _proteins(t).select(F.col("n_nationkey").alias("feature"), (residue_mass(F.col("sequence")) + WATER).alias("mass"), F.lit(0).alias("min_scan"), F.lit(400).alias("max_scan"))
+    # the feature of a nation's mass covers two fifths of the scans
+    last = t("supplier").agg(F.floor(F.max("s_suppkey") * 2 / 5).alias("max_scan"))
+    n = _proteins(t).join(F.broadcast(last)).select(F.col("n_nationkey").alias("feature"), (residue_mass(F.col("sequence")) + WATER).alias("mass"), F.lit(0).alias("min_scan"), "max_scan")
     done = search.feature_tag_search(n, masses, peaks, _proteins(t), least=4, most=4)
     return done.join(_proteins(t).select(F.col("n_nationkey").alias("feature"), F.col("sequence").alias("own")), "feature").where("sequence = own").select("scan_num", "sequence", "feature").distinct()
 
@@ -474,10 +488,11 @@ def shuffled_decoys(t):
     return shuffled.select("p_partkey", F.length("s").cast("long").alias("n"), F.array_join(F.array_sort(F.filter(F.split("s", ""), lambda r: r != "")), "").alias("letters"))
 
 
-@query("reachable_mass_bins", "WITH RECURSIVE s(d) AS (VALUES " + ", ".join(f"({d})" for d in sorted({round(m * 0.9995) for m in RESIDUE_MASS.values()})) + "), m AS (SELECT 0 AS bin UNION SELECT bin + d FROM m JOIN s ON bin + d <= 700) SELECT CAST(bin AS BIGINT) AS bin FROM m")
+@query("reachable_mass_bins", "WITH RECURSIVE s(d) AS (VALUES " + ", ".join(f"({d})" for d in sorted({round(m * 0.9995) for m in RESIDUE_MASS.values()})) + "), m AS (SELECT 0 AS bin UNION SELECT bin + d FROM m JOIN s ON bin + d <= 700) SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice % 700) AS BIGINT) IN (SELECT bin FROM m) AS reachable FROM lineitem")
 def reachable_mass_bins(t):
-    bins = evidence.reachable_bins(700)
-    return t("region").sparkSession.createDataFrame([(int(b),) for b in bins], "bin long")
+    # which rows have a nominal mass (their price within 700) that some sequence of residues has
+    bins = [int(b) for b in evidence.reachable_bins(700)]
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.floor(F.col("l_extendedprice") % 700).isin(bins).alias("reachable"))
 
 
 @query("spline_slopes", """SELECT l_orderkey, l_linenumber AS x, CAST(l_orderkey % 7 AS DOUBLE) AS slope FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) > 1) GROUP BY ALL""")

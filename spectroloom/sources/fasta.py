@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectroloom.functions import text
+from spectroloom.operators.scratch import materialised
 
 #: Fixed value: what the names of decoy proteins begin with.
 DECOY_PREFIX = "XXX_"
@@ -47,9 +48,11 @@ def with_decoys(proteins: DataFrame, how: str = "reverse", keep_last: str = "",
 def with_offsets(proteins: DataFrame, order: str = "name") -> DataFrame:
     """``proteins`` with ``start_offset``: where each sequence begins if all are joined by a delimiter.
 
-    Sums run within parts of the order; only a row for each part goes through one window.
+    Sums run within ranges of the order, written once, whatever the names begin with; only a row for each range goes
+    through one window.
     """
-    parts = proteins.withColumn("_part", F.substring(order, 1, 2))
+    ranges = int(proteins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialised(proteins.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id()))
     size = F.length("sequence") + 1
     totals = parts.groupBy("_part").agg(F.sum(size).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
