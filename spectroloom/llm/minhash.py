@@ -34,10 +34,10 @@ SEED = 42
 BITS, PER_LONG = 4, 16
 LOWEST = 0x1111111111111111
 MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)
-#: Members of a block, and shingles of a block or of a task that confirms, about.
-BLOCK, SHINGLES = 512, 1_000_000
+#: Members of a block, and shingles of a task that confirms, about.
+BLOCK, SHINGLES = 4096, 1_000_000
 #: Members of small keys that a task compares, about.
-ROWS = 100_000
+ROWS = 200_000
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -184,14 +184,14 @@ def _rows_of(docs: DataFrame, prints: DataFrame, wanted: DataFrame, doc_id: str,
 
 
 def _blocks(met: DataFrame, state: DataFrame) -> DataFrame:
-    """Members (key, i, j, block, cls, root, n, bits, task) of the keys whose members are in several components, in the
+    """Members (key, i, j, block, is_top, cls, root, n, bits, task) of the keys whose members are in several components, in the
     pairs of blocks (i, j) that have to meet. Members of the largest component of a key do not meet each other."""
     rows = written(met.select("key", "cls").join(state.select("cls", "root", "n"), "cls"))
-    each = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    keys = each.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.max("c").alias("most"), F.max_by("w", F.struct("c", "root")).alias("heavy"), F.sum("c").alias("members"), F.sum("w").alias("weight"), F.count("*").alias("roots")).where("roots > 1")
-    pieces = lambda c, w: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(w / SHINGLES)).cast("int")
-    one = (F.col("members") <= BLOCK) & (F.col("weight") <= SHINGLES)
-    keys = written(keys.select("key", "top", "members", one.alias("one"), pieces(F.col("most"), F.col("heavy")).alias("tops"), pieces(F.col("members") - F.col("most"), F.col("weight") - F.col("heavy")).alias("rests")))
+    each = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = each.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("members"), F.count("*").alias("roots")).where("roots > 1")
+    pieces = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
+    one = F.col("members") <= BLOCK
+    keys = written(keys.select("key", "top", "members", one.alias("one"), pieces(F.col("most")).alias("tops"), pieces(F.col("members") - F.col("most")).alias("rests")))
     # small keys with the same largest component meet in one task, where their pairs are told once
     piled = keys.where("one").groupBy("top").agg(F.ceil(F.sum("members") / ROWS).alias("piles"))
     dealt = joined_unevenly(rows, keys.join(piled, "top", "left").drop("members"), "key").withColumn("is_top", F.col("root") == F.col("top"))
@@ -203,7 +203,7 @@ def _blocks(met: DataFrame, state: DataFrame) -> DataFrame:
     of_top = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda o: place(o, F.col("block")))
     places = F.when(F.col("one"), F.array(place(F.lit(0), F.lit(0)))).when(F.col("is_top"), of_top).otherwise(of_rest)
     tasks = max(1, rows.count() // ROWS)
-    spread = dealt.select("key", "cls", "root", "n", "block", "one", "top", "piles", F.explode(places).alias("p")).select("key", "cls", "root", "n", "block", "one", "top", "piles", "p.i", "p.j")
+    spread = dealt.select("key", "cls", "root", "n", "block", "one", "top", "is_top", "piles", F.explode(places).alias("p")).select("key", "cls", "root", "n", "block", "one", "top", "is_top", "piles", "p.i", "p.j")
     pile = F.when(F.col("piles") > 1, F.xxhash64("top", F.pmod(F.xxhash64("key"), F.col("piles")))).otherwise(F.pmod(F.xxhash64("top"), F.lit(tasks)))
     spread = spread.withColumn("task", F.when(F.col("one"), pile).otherwise(F.xxhash64("key", "i", "j"))).drop("top", "piles")
     return spread.join(state.select("cls", "bits"), "cls")
@@ -211,21 +211,23 @@ def _blocks(met: DataFrame, state: DataFrame) -> DataFrame:
 
 def _apart(met: DataFrame, state: DataFrame, k: int, percent: int, best: bool) -> DataFrame:
     """(task, u, v): pairs of different components that share a key and look similar enough; with ``best`` of each
-    class only the most similar one of each other component in a pair of blocks. Each pair is in one task."""
+    class only the most similar one of each other component in a pair of blocks. Each pair is confirmed in one task, which
+    takes pairs of one comparing task, so that it gets each text once, and only so many that their texts fit."""
     least = least_agreement(percent / 100, k)
 
     def look(t: pa.Table) -> pa.Table:
         t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("root", "ascending"), ("cls", "ascending")])
         column = lambda c: t.column(c).to_numpy()
         place = np.stack([column("key"), column("i"), column("j")], 1)
-        n, root, cls, block = column("n"), column("root"), column("cls"), column("block")
+        n, root, cls, block, is_top = column("n"), column("root"), column("cls"), column("block"), column("is_top")
         bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
         cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)], strict=True):
             rows = np.arange(a, b)
             i, j = place[a, 1:]
-            left, right = (rows, rows) if i == j else (rows[block[a:b] == i], rows[block[a:b] == j])
+            # members of the largest component only meet others
+            left, right = (rows[~is_top[a:b]], rows) if i == j else (rows[block[a:b] == i], rows[block[a:b] == j])
             for chunk in np.array_split(left, max(1, len(left) * len(right) // 250_000)):
                 same = agreements(bits[chunk], bits[right], k)
                 x, y = n[chunk][:, None], n[right][None, :]
@@ -245,7 +247,11 @@ def _apart(met: DataFrame, state: DataFrame, k: int, percent: int, best: bool) -
         return pa.table({"u": pairs[0], "v": pairs[1], "task": np.full(pairs.shape[1], t.column("task")[0].as_py())})
 
     found = _blocks(met, state).groupBy("task").applyInArrow(look, "u long, v long, task long")
-    return written(found.groupBy("u", "v").agg(F.min("task").alias("task")))
+    n = lambda c: state.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"))
+    pairs = written(found.groupBy("u", "v").agg(F.min("task").alias("task")).join(n("u"), "u").join(n("v"), "v"))
+    loads = written(pairs.groupBy("task").agg(F.ceil(F.sum(F.col("u_n") + F.col("v_n")) / (8 * SHINGLES)).alias("pieces")))
+    piece = F.xxhash64("task", F.pmod(F.xxhash64("u", "v"), F.col("pieces")))
+    return written(joined_unevenly(pairs, loads, "task").select("u", "v", F.when(F.col("pieces") > 1, piece).otherwise(F.col("task")).alias("task")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, rows: int = 4, bands: int = 32, length: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
