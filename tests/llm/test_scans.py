@@ -303,3 +303,20 @@ def test_terms_are_broadcast_in_pieces(spark, monkeypatch):
     assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == sum(1 for _, t in docs for w in (t or "").split() if int(w[1:]) < 200)
     got = [(r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"]), r["contaminated"]) for r in decontamination.contamination(d, b).collect()]
     assert sorted(got, key=str) == naive(docs, items, 13)
+
+
+def test_packed_pcm_comes_back():
+    rng = np.random.default_rng(7)
+    doubled = media.resample(media.MU[rng.integers(0, 256, 500)], 8000, 16000)
+    edges = np.array([-32768, 32767, -32768, 32767, 0, -1], "<i2")
+    for x in (doubled, edges, edges[:5], edges[:1], edges[:0], rng.integers(-32768, 32768, 1001).astype("<i2")):
+        assert media.unpacked(media.packed(x.tobytes())) == x.tobytes()
+    assert len(media.packed(doubled.tobytes())) < doubled.nbytes / 2
+
+
+def test_decoded_with_packing_is_the_same_pcm(spark):
+    rows = [(1, bytearray(media.stored_as(media.payload("some text of a few words"), 8000))), (2, bytearray(b"junk")), (3, None)]
+    df = spark.createDataFrame(rows, "id long, media binary")
+    plain, pack = (sorted(media.decoded(df, pack=p).collect()) for p in (False, True))
+    assert [r["error"] for r in pack] == [None, "not a WAV file", None]
+    assert media.unpacked(bytes(pack[0]["pcm"])) == bytes(plain[0]["pcm"]) and pack[1]["pcm"] is None and pack[2]["pcm"] is None
