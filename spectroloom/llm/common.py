@@ -42,11 +42,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, level: int = 3) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage. ``level`` is zstandard's."""
+def written(df: DataFrame, level: int = 3, page: int = 1 << 20) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage. ``level`` is zstandard's, ``page``
+    the bytes of a page, which is compressed as one."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._loom_path = path
     return back

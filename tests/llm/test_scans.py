@@ -309,9 +309,9 @@ def test_packed_pcm_comes_back():
     rng = np.random.default_rng(7)
     doubled = media.resample(media.MU[rng.integers(0, 256, 500)], 8000, 16000)
     edges = np.array([-32768, 32767, -32768, 32767, 0, -1], "<i2")
-    for x in (doubled, edges, edges[:5], edges[:1], edges[:0], rng.integers(-32768, 32768, 1001).astype("<i2")):
+    for x in (doubled, edges, edges[:5], edges[:1], edges[:0], rng.integers(-32768, 32768, 1001).astype("<i2"), np.arange(512, dtype="<i2"), np.arange(514, dtype="<i2")):
         assert media.unpacked(media.packed(x.tobytes())) == x.tobytes()
-    assert len(media.packed(doubled.tobytes())) < doubled.nbytes / 2
+    assert len(media.packed(doubled.tobytes())) < doubled.nbytes / 1.9
 
 
 def test_decoded_with_packing_is_the_same_pcm(spark):
