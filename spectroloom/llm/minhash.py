@@ -119,7 +119,7 @@ def agreements(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def with_signatures(docs: DataFrame, shingle: int = 4, rows: int = 4, bands: int = 32, length: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_signatures(docs: DataFrame, shingle: int = 4, rows: int = 4, bands: int = 32, length: int = 768, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, print, n_shingles, digest, bands, bits) of every row; without words digest, bands and bits are null.
 
     ``print`` is a hash of the text, ``digest`` 128 bits of the set.
@@ -254,7 +254,7 @@ def _apart(met: DataFrame, state: DataFrame, k: int, percent: int, best: bool) -
     return written(joined_unevenly(pairs, loads, "task").select("u", "v", F.when(F.col("pieces") > 1, piece).otherwise(F.col("task")).alias("task")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, rows: int = 4, bands: int = 32, length: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, rows: int = 4, bands: int = 32, length: int = 768, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, print) of every row: component_id is the least doc_id reachable by links.
 
     Two rows are linked if their sets of shingles have ``100 * intersection >= percent * union``. Null, empty and
@@ -286,9 +286,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, rows:
     tasks = max(1, (first.agg(F.sum("n")).first()[0] or 0) // SHINGLES)
     task = F.when(F.col("pieces") > 1, F.xxhash64("hub", F.pmod(F.xxhash64("cls"), F.col("pieces")))).otherwise(F.pmod(F.xxhash64("hub"), F.lit(tasks)))
     pairs = written(joined_unevenly(first, weights, "hub").select(F.col("cls").alias("u"), F.col("hub").alias("v"), task.alias("task")))
-    links = written(_confirmed(texts, pairs, shingle, percent))
     sides = written(classes.join(candidates, "cls").select("cls", "n", "bits"))
-    roots = components(links)
+    roots = components(_confirmed(texts, pairs, shingle, percent))
     for best in (True, False):
         state = written(sides.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "n", "bits", F.coalesce("root", "cls").alias("root")))
         more = _apart(met, state, k, percent, best)
@@ -296,8 +295,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, rows:
             break
         found = written(_confirmed(texts, more, shingle, percent))
         if found.limit(1).count():
-            links = links.union(found)
-            roots = components(links)
+            # what was merged before stays a star, so that only new links take rounds
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
     rooted = written(classes.join(roots, F.col("cls") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("root", "cls").alias("root")))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = joined_unevenly(rooted, least, "root").select("digest", "component_id")
