@@ -67,11 +67,15 @@ def hash_functions(k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def minima(hashes: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The least value of each function over the high halves of a set that is not empty."""
-    a, b = functions[0][:, None], functions[1][:, None]
+    a, b = functions
     high = (hashes >> np.uint64(32)).astype(np.uint32)
     out, step = np.full(len(a), np.iinfo(np.uint32).max, np.uint32), max(1, (1 << 16) // len(a))
+    room = np.empty((min(step, len(high)), len(a)), np.uint32)
     for k in range(0, len(high), step):
-        np.minimum(out, (high[None, k : k + step] * a + b).min(1), out=out)
+        part = high[k : k + step, None]
+        values = np.multiply(part, a, out=room[: len(part)])
+        values += b
+        np.minimum(out, values.min(0), out=out)
     return out
 
 
