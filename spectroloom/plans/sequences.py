@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spectroloom.functions import numeric
 from spectroloom.functions.mass import RESIDUE_MASS, RESIDUES
-from spectroloom.operators import features, graph, scoring, sequences, tags
+from spectroloom.operators import features, graph, scoring, sequences, suffixes, tags
 from spectroloom.operators.joins import band_join
 from spectroloom.plans.registry import query
 
@@ -214,3 +214,15 @@ def poisson_tests(t):
 def generating_function_e_values(t):
     rows = t("part").select("p_partkey", (F.col("p_size") * 20 + 300).cast("int").alias("target"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct((i * 57).cast("int").alias("mass"), F.lit(1).alias("score"))).alias("nodes"), (F.col("p_size") % 5 + 1).cast("int").alias("score"))
     return scoring.generating_function(rows, ["p_partkey"], "target", "nodes", "score", {r: RESIDUE_MASS[r] for r in RESIDUES})
+
+
+@query("suffix_array", f"""WITH {SEQ}, x AS (SELECT p_partkey, CAST(i AS BIGINT) AS start, substr(s, i) AS suffix FROM p, (SELECT unnest(range(1, (SELECT max(length(s)) FROM p) + 1)) AS i) WHERE i <= length(s)),
+l AS (SELECT *, row_number() OVER o AS position, coalesce(lag(suffix) OVER o, '') AS b FROM x WINDOW o AS (ORDER BY suffix, p_partkey, start))
+SELECT p_partkey, start, length(suffix) AS length, position, CAST(len(list_filter(range(1, least(length(suffix), length(b)) + 1), lambda i: substr(suffix, 1, CAST(i AS INT)) = substr(b, 1, CAST(i AS INT)))) AS BIGINT) AS common FROM l""")
+def suffix_array(t):
+    return suffixes.suffix_array(_proteins(t), "p_partkey", "sequence")
+
+
+@query("distinct_substrings_by_length", f"""WITH {SEQ} SELECT length, count(DISTINCT substr(s, start, length)) AS substrings FROM (SELECT s, unnest(range(1, length(s) + 1)) AS start FROM p), LATERAL (SELECT unnest(range(1, length(s) - start + 2)) AS length) GROUP BY length""")
+def distinct_substrings_by_length(t):
+    return suffixes.distinct_substrings(suffixes.suffix_array(_proteins(t), "p_partkey", "sequence"))

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMAT_VERSION = 1
+#: Files with parameter groups (some KB each) up to which the groups are broadcast.
+GROUP_FILES = 5000
 SPECTRUM_SCHEMA = (
     "scan_num int, native_id string, ms_level int, elution_time double, tic double, mz array<double>, intensity array<double>, "
     "isolation struct<mono_mz:double,charge:int,target_mz:double,lower:double,upper:double>, activation string"
@@ -41,12 +43,25 @@ def decode_array(node: ElementTree.Element) -> tuple[str, np.ndarray]:
     return name, np.frombuffer(raw, kind).astype(np.float64)
 
 
-def parse_spectrum(fragment: str, peaks: bool = True) -> dict | None:
-    """A spectrum element cut from an mzML file as a row; None if there is none."""
+def parameter_groups(fragment: str | None) -> dict[str, list[ElementTree.Element]]:
+    """The parameters of each group of a file's list of parameter groups, by the group's id; none without a list."""
+    if not fragment:
+        return {}
+    return {g.get("id"): list(g) for g in ElementTree.fromstring(fragment).iter("referenceableParamGroup")}
+
+
+def parse_spectrum(fragment: str, peaks: bool = True, groups: dict[str, list[ElementTree.Element]] | None = None) -> dict | None:
+    """A spectrum element cut from an mzML file as a row; None if there is none.
+
+    References to parameter groups stand for the parameters of ``groups``; unknown ones for nothing.
+    """
     start = fragment.find("<spectrum ")
     if start < 0:
         return None
     root = ElementTree.fromstring(re.sub(r"\sxmlns(:\w+)?=\"[^\"]*\"", "", fragment[start:]) + "</spectrum>")
+    for node in list(root.iter()):
+        for ref in node.findall("referenceableParamGroupRef"):
+            node.extend((groups or {}).get(ref.get("ref"), []))
     native = root.get("id") or ""
     found = NATIVE_SCAN.search(native)
     row = {"scan_num": int(found[1]) if found else int(root.get("index", -1)) + 1, "native_id": native, "ms_level": None, "elution_time": None, "tic": None, "mz": [], "intensity": [], "isolation": None, "activation": None}
@@ -78,14 +93,31 @@ def parse_spectrum(fragment: str, peaks: bool = True) -> dict | None:
 def read_mzml(spark: SparkSession, path: str, peaks: bool = True) -> DataFrame:
     """mzML 1.0 and 1.1, plain or gzip: files are cut at the ends of spectra and parsed in parallel.
 
-    ``peaks=False`` leaves the arrays undecoded. The file's name is in ``run``.
+    ``peaks=False`` leaves the arrays undecoded. The file's name is in ``run``. Parameter groups stand at the head of a file:
+    they are looked for first, by a scan without any parsing, and joined to the file's spectra (by broadcast where at most
+    ``GROUP_FILES`` files have some). Groups of one file are unknown in others.
     """
-    cut = spark.read.option("lineSep", "</spectrum>").text(path).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("run"))
+    cut = spark.read.option("lineSep", "</spectrum>").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    found = cut.where(F.col("value").contains("<referenceableParamGroupList")).select("file", F.regexp_extract("value", r"(?s)(<referenceableParamGroupList.*?</referenceableParamGroupList>)", 1).alias("groups"))
+    files = found.count()
+    if files:
+        # a second list of a file, which the format does not allow, would repeat its spectra
+        lists = found.groupBy("file").agg(F.first("groups").alias("groups"))
+        cut = cut.join(F.broadcast(lists) if files <= GROUP_FILES else lists, "file", "left")
+    else:
+        cut = cut.withColumn("groups", F.lit(None).cast("string"))
+    cut = cut.select("value", F.element_at(F.split("file", "/"), -1).alias("run"), "groups")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SPECTRUM_SCHEMA.split(", ")]
+        text, groups = None, {}
         for frame in frames:
-            rows = [(r | {"run": name}) for value, name in zip(frame["value"], frame["run"], strict=True) if (r := parse_spectrum(value, peaks))]
+            rows = []
+            for value, name, listed in zip(frame["value"], frame["run"], frame["groups"], strict=True):
+                if listed != text:
+                    text, groups = listed, parameter_groups(listed)
+                if row := parse_spectrum(value, peaks, groups):
+                    rows.append(row | {"run": name})
             yield pd.DataFrame(rows, columns=[*names, "run"])
 
     return cut.where(F.col("value").contains("<spectrum ")).mapInPandas(run, SPECTRUM_SCHEMA + ", run string")
