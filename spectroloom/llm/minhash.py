@@ -10,8 +10,10 @@
 4. What is left is confirmed on full sets, and confirmed links are merged to components.
 
 Members of a key are never all paired. First each class meets the least member of its keys that looks most like it.
-Then only members of different components meet, in blocks of bounded size, each with the most similar of each other
-component; last, what is still apart and looks similar enough is confirmed pair by pair, so that no link is lost.
+Classes whose keys are then still divided get their rarest shingles among them. A class is left if too many of its
+shingles occur in no other one; two are not told as a pair if their rarest shingles show that they cannot be similar
+enough. Both are exact, so no link is lost. Members of different components meet in blocks of bounded size, each with
+the most similar of each other component; last, what is still apart is confirmed pair by pair.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from spectroloom.llm.common import encoded, joined_unevenly, slices, spaced, wider, written
+from spectroloom.llm.common import discard, encoded, joined_unevenly, slices, spaced, wider, written
 from spectroloom.llm.graph import components
 
 SEED = 42
@@ -36,8 +38,8 @@ LOWEST = 0x1111111111111111
 MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)
 #: Members of a block, and shingles of a task that confirms, about.
 BLOCK, SHINGLES = 4096, 1_000_000
-#: Members of small keys that a task compares, about.
-ROWS = 200_000
+#: Members of small keys that a task compares, about, and the rarest shingles of a class that it gets.
+ROWS, RAREST = 50_000, 256
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -187,8 +189,61 @@ def _rows_of(docs: DataFrame, prints: DataFrame, wanted: DataFrame, doc_id: str,
     return written(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_of")) & (F.col("print") == F.col("print_of"))).select("cls", "text"))
 
 
+def _divided(met: DataFrame, state: DataFrame) -> DataFrame:
+    """(key, cls) of the keys whose members are in several components; written."""
+    rows = written(met.join(state.select("cls", "root"), "cls").select("key", "cls", "root"))
+    keys = written(rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"))
+    return written(joined_unevenly(rows.select("key", "cls"), keys, "key"))
+
+
+def _rarest(texts: DataFrame, live: DataFrame, shingle: int) -> DataFrame:
+    """(cls, common, codes) of the classes ``live`` (cls) that have shingles in common with others of them: the number of
+    those shingles, and the ``RAREST`` least of their codes, ascending; written. A code has the number of classes above 48
+    bits of the hash, so the order is the same for all classes and begins with the rarest."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                sets = shingle_sets([t.as_py() or b"" for t in part.column(1).cast(pa.large_binary())], shingle)
+                cls = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                yield pa.record_batch([pa.array(cls), pa.array(np.concatenate(sets).view(np.int64))], ["cls", "hash"])
+
+    each = written(texts.join(live, "cls").select("cls", "text").mapInArrow(cut, "cls long, hash long"))
+    several = written(each.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1"))
+    code = F.shiftleft(F.least("c", F.lit(32767)).cast("long"), 48).bitwiseOR(F.shiftrightunsigned("hash", 16))
+    coded = joined_unevenly(each, several, "hash").select("cls", code.alias("code"))
+    out = written(coded.groupBy("cls").agg(F.count("*").alias("common"), F.slice(F.sort_array(F.collect_list("code")), 1, RAREST).alias("codes")))
+    discard(each), discard(several)
+    return out
+
+
+def in_common(codes: np.ndarray, bounds: np.ndarray, common: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """At most so many common shingles of the sets u[i] and v[i] (u ascending). Set x has ``common[x]`` shingles that others
+    have, too, of which codes[bounds[x] : bounds[x + 1]] (numbered in their order) are the least, ascending. Below the last
+    of a list that is cut both lists are whole; equal codes are counted, and of what lies above it the set with fewer of
+    them may share all."""
+    sizes = np.diff(bounds)
+    last = np.full(len(sizes), np.iinfo(np.int64).max)
+    last[sizes < common] = codes[bounds[1:][sizes < common] - 1]
+    mark = np.zeros(codes.max(initial=0) + 1, bool)
+    out = np.empty(len(u), np.int64)
+    cuts = np.flatnonzero(np.diff(u)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(u)], strict=True) if len(u) else ():
+        x, others = u[a], v[a:b]
+        mine, ends = slice(bounds[x], bounds[x + 1]), np.cumsum(sizes[others])
+        starts = ends - sizes[others]
+        place = np.arange(ends[-1]) + np.repeat(bounds[others] - starts, sizes[others])
+        edge = np.minimum(last[x], last[others])
+        mark[codes[mine]] = True
+        told = lambda hit: (lambda c: c[ends] - c[starts])(np.concatenate([[0], np.cumsum(hit)]))  # noqa: E731, B023
+        equal, whole = told(mark[codes[place]]), told(codes[place] < np.repeat(edge, sizes[others]))
+        mark[codes[mine]] = False
+        out[a:b] = equal + np.minimum(common[x] - np.searchsorted(codes[mine], edge), common[others] - whole)
+    return out
+
+
 def _blocks(met: DataFrame, state: DataFrame) -> DataFrame:
-    """Members (key, i, j, block, is_top, cls, root, n, bits, task) of the keys whose members are in several components, in the
+    """Members (key, i, j, block, is_top, cls, root, n, task) of the keys whose members are in several components, in the
     pairs of blocks (i, j) that have to meet. Members of the largest component of a key do not meet each other."""
     rows = written(met.select("key", "cls").join(state.select("cls", "root", "n"), "cls"))
     each = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -210,7 +265,7 @@ def _blocks(met: DataFrame, state: DataFrame) -> DataFrame:
     spread = dealt.select("key", "cls", "root", "n", "block", "one", "top", "is_top", "piles", F.explode(places).alias("p")).select("key", "cls", "root", "n", "block", "one", "top", "is_top", "piles", "p.i", "p.j")
     pile = F.when(F.col("piles") > 1, F.xxhash64("top", F.pmod(F.xxhash64("key"), F.col("piles")))).otherwise(F.pmod(F.xxhash64("top"), F.lit(tasks)))
     spread = spread.withColumn("task", F.when(F.col("one"), pile).otherwise(F.xxhash64("key", "i", "j"))).drop("top", "piles")
-    return spread.join(state.select("cls", "bits"), "cls")
+    return written(spread)
 
 
 def _apart(met: DataFrame, state: DataFrame, k: int, percent: int, best: bool) -> DataFrame:
@@ -219,12 +274,17 @@ def _apart(met: DataFrame, state: DataFrame, k: int, percent: int, best: bool) -
     takes pairs of one comparing task, so that it gets each text once, and only so many that their texts fit."""
     least = least_agreement(percent / 100, k)
 
-    def look(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("root", "ascending"), ("cls", "ascending")])
+    def look(t: pa.Table, sides: pa.Table) -> pa.Table:
+        t, sides = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("root", "ascending"), ("cls", "ascending")]), sides.sort_by("of")
         column = lambda c: t.column(c).to_numpy()
         place = np.stack([column("key"), column("i"), column("j")], 1)
         n, root, cls, block, is_top = column("n"), column("root"), column("cls"), column("block"), column("is_top")
-        bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+        side = np.searchsorted(sides.column("of").to_numpy(), cls)
+        lists = lambda c: pa.concat_arrays(sides.column(c).chunks)
+        bits = lists("bits").flatten().to_numpy().view(np.uint64).reshape(len(sides), -1)
+        codes, common = lists("codes"), sides.column("common").to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(codes.value_lengths().to_numpy())])
+        codes = np.unique(codes.flatten().to_numpy(), return_inverse=True)[1]
         cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)], strict=True):
@@ -233,9 +293,13 @@ def _apart(met: DataFrame, state: DataFrame, k: int, percent: int, best: bool) -
             # members of the largest component only meet others
             left, right = (rows[~is_top[a:b]], rows) if i == j else (rows[block[a:b] == i], rows[block[a:b] == j])
             for chunk in np.array_split(left, max(1, len(left) * len(right) // 250_000)):
-                same = agreements(bits[chunk], bits[right], k)
+                same = agreements(bits[side[chunk]], bits[side[right]], k)
                 x, y = n[chunk][:, None], n[right][None, :]
                 same[(root[chunk][:, None] == root[right][None, :]) | (100 * np.minimum(x, y) < percent * np.maximum(x, y))] = -1
+                u, v = np.nonzero(same >= least)
+                most = in_common(codes, bounds, common, side[chunk[u]], side[right[v]])
+                far = 100 * most < percent * (n[chunk[u]] + n[right[v]] - most)
+                same[u[far], v[far]] = -1
                 if best and same.size:
                     starts = np.concatenate([[0], np.flatnonzero(np.diff(root[right])) + 1])
                     top = np.maximum.reduceat(same, starts, axis=1)
@@ -250,9 +314,13 @@ def _apart(met: DataFrame, state: DataFrame, k: int, percent: int, best: bool) -
         pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
         return pa.table({"u": pairs[0], "v": pairs[1], "task": np.full(pairs.shape[1], t.column("task")[0].as_py())})
 
-    found = _blocks(met, state).groupBy("task").applyInArrow(look, "u long, v long, task long")
+    members = _blocks(met, state)
+    of = members.select(F.col("task").alias("job"), F.col("cls").alias("of")).distinct()
+    sides = of.join(state.select(F.col("cls").alias("of"), "bits", "common", "codes"), "of")
+    found = members.groupBy("task").cogroup(sides.groupBy("job")).applyInArrow(look, "u long, v long, task long")
     n = lambda c: state.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"))
     pairs = written(found.groupBy("u", "v").agg(F.min("task").alias("task")).join(n("u"), "u").join(n("v"), "v"))
+    discard(members)
     loads = written(pairs.groupBy("task").agg(F.ceil(F.sum(F.col("u_n") + F.col("v_n")) / (8 * SHINGLES)).alias("pieces")))
     piece = F.xxhash64("task", F.pmod(F.xxhash64("u", "v"), F.col("pieces")))
     return written(joined_unevenly(pairs, loads, "task").select("u", "v", F.when(F.col("pieces") > 1, piece).otherwise(F.col("task")).alias("task")))
@@ -292,8 +360,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, rows:
     pairs = written(joined_unevenly(first, weights, "hub").select(F.col("cls").alias("u"), F.col("hub").alias("v"), task.alias("task")))
     sides = written(classes.join(candidates, "cls").select("cls", "n", "bits"))
     roots = components(_confirmed(texts, pairs, shingle, percent))
+    placed = lambda sides: sides.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    met = _divided(met, placed(sides))
+    # a class that shares too few of its shingles with all others that are left can have no more links
+    sides = written(sides.join(_rarest(texts, met.select("cls").distinct(), shingle), "cls").where(100 * F.col("common") >= percent * F.col("n")))
     for best in (True, False):
-        state = written(sides.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "n", "bits", F.coalesce("root", "cls").alias("root")))
+        state = written(placed(sides).select("cls", "n", "bits", "common", "codes", "root"))
         more = _apart(met, state, k, percent, best)
         if not more.limit(1).count():
             break

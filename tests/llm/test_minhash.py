@@ -69,6 +69,43 @@ def test_blocks_and_piles_of_any_size(spark, family, monkeypatch):
     assert result(df) == slow(family)
 
 
+def test_lists_of_rarest_shingles_may_be_cut(spark, family, monkeypatch):
+    monkeypatch.setattr(minhash, "RAREST", 9)
+    df = spark.createDataFrame(family, "doc_id long, text string")
+    assert result(df) == slow(family)
+
+
+def test_near_misses_of_a_large_group_are_not_told_pair_by_pair(spark, monkeypatch):
+    """Every one of 60 looks like every one of 120, and is linked with none of them."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(160)]
+
+    def spoilt(n):
+        at = set(rng.sample(range(5, 150, 5), n))
+        return " ".join(w + f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(base))
+
+    rows = list(enumerate([" ".join(base), *(spoilt(2) for _ in range(120)), *(spoilt(5) for _ in range(60))]))
+    told, confirmed = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda texts, pairs, *more: told.append(pairs.count()) or confirmed(texts, pairs, *more))
+    want = slow(rows)
+    assert len({c for _, c in want.values()}) == 61
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == want
+    assert sum(told) < 3 * len(rows)
+
+
+def test_bounds_of_common_shingles_hold():
+    rng, most = np.random.default_rng(5), 12
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(80)]
+    codes = [x[:most] for x in sets]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in codes])])
+    u, v = (x.ravel() for x in np.mgrid[:80, :80])
+    got = minhash.in_common(np.concatenate(codes), bounds, np.array([len(x) for x in sets]), u, v)
+    exact = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(u, v, strict=True)])
+    whole = np.array([len(sets[i]) <= most and len(sets[j]) <= most for i, j in zip(u, v, strict=True)])
+    assert (got >= exact).all() and (got[whole] == exact[whole]).all()
+    assert (got[~whole] < np.minimum(*(np.array([len(sets[i]) for i in x]) for x in (u, v)))[~whole]).any()
+
+
 def test_odd_rows(spark):
     text = "One two  three\nfour five"
     rows = [(5, None), (6, ""), (7, " \t"), (3, text), (3, text), (4, text.upper()), (None, text.lower()), (None, "alone here"), (9, "few words"), (8, "FEW words"), (10, "long " * 150_000), (11, "long " * 160_000)]
