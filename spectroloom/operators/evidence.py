@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spectroloom.functions.arrays import bhattacharyya, pearson
 from spectroloom.functions.mass import ION_SERIES, NEUTRAL_LOSS, PROTON, RESIDUE_MASS, fine_bin, isotope_mz, nominal_bin, residue_mass
 from spectroloom.functions.numeric import prefix_masses
+from spectroloom.operators.chromatograms import correlation
 from spectroloom.operators.joins import band_join, interval_join
 
 
@@ -181,9 +182,8 @@ def xic_charge_score(points: DataFrame, keys: Sequence[str], scan: str = "scan_n
     """keys with the mean correlation of the chromatograms of neighbouring charges, and how many pairs there are."""
     a = points.select(*keys, scan, F.col(charge).alias("_z"), F.col(intensity).alias("_x"))
     b = points.select(*keys, scan, (F.col(charge) - 1).alias("_z"), F.col(intensity).alias("_y"))
-    pair = a.join(b, [*keys, scan, "_z"]).groupBy(*keys, "_z").agg(F.corr("_x", "_y").alias("_c"))
-    value = F.greatest(F.lit(0.0), F.coalesce(F.nanvl("_c", F.lit(0.0)), F.lit(0.0)))
-    return pair.groupBy(*keys).agg(F.avg(value).alias("charge_correlation"), F.count("*").alias("pairs"))
+    pair = a.join(b, [*keys, scan, "_z"]).groupBy(*keys, "_z").agg(correlation("_x", "_y").alias("_c"))
+    return pair.groupBy(*keys).agg(F.avg("_c").alias("charge_correlation"), F.count("*").alias("pairs"))
 
 
 def ms1_evidence(matches: DataFrame, matrix: DataFrame, by: Sequence[str], scan: str, half: int) -> DataFrame:
