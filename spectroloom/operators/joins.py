@@ -50,6 +50,23 @@ def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, to
     return out.drop("_bucket", "_rbucket", *[f"_r_{k}" for k in keys])
 
 
+def band_links(rows: DataFrame, id_column: str, at: str, tolerance: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Links (u, v) with the connected components of all pairs with |at - at| <= tolerance, without making these.
+
+    Rows of a bucket a little narrower than the tolerance are all within it and linked to one of them; buckets are linked
+    where the nearest ends of two next to each other (or with an empty one between them) are. One link a row and bucket.
+    """
+    if not tolerance > 0:
+        raise ValueError("tolerance is above 0")
+    wide = tolerance * (1 - 1e-9)
+    dealt = rows.where(F.col(at).isNotNull()).select(*keys, F.col(id_column).alias("u"), F.col(at).alias("_x"), F.floor(F.col(at) / wide).alias("_bucket"))
+    cells = dealt.groupBy(*keys, "_bucket").agg(F.min("u").alias("v"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    inside = dealt.join(cells.select(*keys, "_bucket", "v"), [*keys, "_bucket"]).select("u", "v")
+    after = cells.select(*keys, F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket") - 2)).alias("_bucket"), F.col("v").alias("_v"), F.col("_low").alias("_next"))
+    between = cells.join(after, [*keys, "_bucket"]).where(F.col("_next") - F.col("_high") <= tolerance).select(F.col("v").alias("u"), F.col("_v").alias("v"))
+    return inside.unionByName(between).where("u <> v")
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float, keys: Sequence[str] = (), how: str = "inner", closed: str = "both") -> DataFrame:
     """Points inside intervals. ``width`` is a bucket's: about a typical interval's length.
 

@@ -145,8 +145,7 @@ def substring_join_rare(t):
 r AS (SELECT s_suppkey AS id, s_suppkey AS c FROM supplier UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id) SELECT id, min(c) AS component FROM r GROUP BY id""")
 def connected_components(t):
     n = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"))
-    pairs = joins.band_join(n, n.select(F.col("id").alias("v"), F.col("x").alias("y")), "x", "y", 60.0).select(F.col("id").alias("u"), "v")
-    return graph.connected_components(n.select("id"), pairs)
+    return graph.connected_components(n.select("id"), joins.band_links(n, "id", "x", 60.0))
 
 
 @query("component_clusters", """WITH s AS (SELECT *, CASE WHEN c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) > 30 THEN 1 ELSE 0 END AS g FROM customer),
@@ -154,8 +153,7 @@ r AS (SELECT *, sum(g) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal ROWS UN
 SELECT min(c_custkey) AS component, count(*) AS n, round(median(c_acctbal), 4) AS mass, min(c_acctbal) AS low, max(c_acctbal) AS high FROM r GROUP BY c_nationkey, run""")
 def component_clusters(t):
     n = t("customer").select(F.col("c_custkey").alias("id"), "c_nationkey", F.col("c_acctbal").alias("x"))
-    pairs = joins.band_join(n, n.select(F.col("id").alias("v"), F.col("x").alias("y"), "c_nationkey"), "x", "y", 30.0, keys=["c_nationkey"]).select(F.col("id").alias("u"), "v")
-    found = graph.connected_components(n, pairs)
+    found = graph.connected_components(n, joins.band_links(n, "id", "x", 30.0, ["c_nationkey"]))
     return found.groupBy("component").agg(F.count("*").alias("n"), F.round(F.median("x"), 4).alias("mass"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from spectroloom.operators import chromatograms, evidence, graph
+from spectroloom.operators import chromatograms, evidence, graph, joins
 
 
 def test_constant_chromatograms(spark):
@@ -38,3 +38,20 @@ def test_components_store_no_circles(spark, monkeypatch):
     got = graph.connected_components(spark.range(300), links, one_task=0).collect()
     assert {r["component"] for r in got} == {0}
     assert stored[0].count() < 2 * 300
+
+
+def test_links_of_a_band(spark):
+    deal = random.Random(2)
+    rows = [(i, i % 2, round(deal.uniform(0, 400) ** 1.2, 1)) for i in range(300)] + [(300 + i, 0, 600.0 + 3 * i) for i in range(9)] + [(400, 1, None)]
+    df = spark.createDataFrame(rows, "id long, k int, x double")
+    links = joins.band_links(df, "id", "x", 3.0, ["k"])
+    assert links.count() < 2 * len(rows)
+    got = {r["id"]: r["component"] for r in graph.connected_components(df, links).collect()}
+    want = {i: i for i, _, _ in rows}
+    for k in (0, 1):
+        line = sorted((x, i) for i, j, x in rows if j == k and x is not None)
+        group: list = []
+        for n, (x, i) in enumerate(line):
+            group = [*group, i] if n and x - line[n - 1][0] <= 3.0 else [i]
+            want |= dict.fromkeys(group, min(group))
+    assert got == want
