@@ -2,7 +2,12 @@
 
 import random
 
-from spectroloom.operators import chromatograms, evidence, graph, joins
+import pytest
+from conftest import DATA
+from pyspark.sql import functions as F
+
+from spectroloom import plans
+from spectroloom.operators import chromatograms, evidence, graph, joins, tags
 
 
 def test_constant_chromatograms(spark):
@@ -55,3 +60,45 @@ def test_links_of_a_band(spark):
             group = [*group, i] if n and x - line[n - 1][0] <= 3.0 else [i]
             want |= dict.fromkeys(group, min(group))
     assert got == want
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copied_rows_are_not_broadcast(spark):
+    # a plan goes by the size of the file, which copies and pieces exceed by far
+    texts = spark.createDataFrame([(i, "large ring") for i in range(50)], "id long, text string")
+    pieces = joins.substring_join(texts, spark.createDataFrame([("ring",)], "pattern string"), "text", "pattern", 3, ["id"])
+    assert pieces.count() == 50
+    peaks = spark.createDataFrame([(1, 100.0, 1), (1, 157.02146, 2)], "k int, mass double, node int")
+    edges = tags.tag_edges(peaks, ["k"], "mass", "node", 20.0)
+    assert [(r["from_node"], r["to_node"], r["residue"]) for r in edges.collect()] == [(1, 2, "G")]
+    for df in (pieces, edges):
+        assert "BroadcastHashJoin" not in _plan(df) and "SortMergeJoin" in _plan(df)
+
+
+@pytest.mark.parametrize("name, expected", [("aligned_runs", 3), ("alignment_crosstab", 1), ("overlapping_features_removed", 1)])
+def test_made_features_stay_apart(spark, tmp_path, name, expected):
+    # far down a large table neighbours lie within the tolerance of each other's masses
+    near = spark.read.parquet(f"{DATA}/sf0.001/customer.parquet").withColumn("c_custkey", F.col("c_custkey") + 900_000)
+    near.write.parquet(f"{tmp_path}/customer.parquet")
+    assert near.count() == 150
+    got = plans.queries()[name](spark, str(tmp_path))
+    assert got.count() == 150 * expected
+    if name == "aligned_runs":
+        assert got.where("group_mass <> feature * 10 + 1000").count() == 0
+
+
+def test_components_are_whole_across_batches(spark):
+    # components larger than a batch beside many small ones, each gone through once
+    rows = [(i, i % 7 if i < 70 else i, float(i % 5), 10 * i, 10 * i + (15 if i < 70 else 5)) for i in range(170)]
+    df = spark.createDataFrame(rows, "id long, component long, score double, low long, high long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        sizes = graph.per_component(df, "component", lambda g: g.groupby("component", as_index=False).size(), "component long, size long").collect()
+        taken = graph.greedy_non_overlapping(df, "component", "score", "low", "high", "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in sizes) == sorted([(c, 10) for c in range(7)] + [(i, 1) for i in range(70, 170)])
+    assert len(taken) == 170
