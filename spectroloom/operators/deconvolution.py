@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectroloom.functions.mass import C13_MINUS_C12, PROTON
@@ -82,10 +82,14 @@ def deconvolute(spectra: DataFrame, keys: list[str], charges: tuple[int, int] =
     return spectra.select(*keys, "mz", "intensity").mapInPandas(run, schema)
 
 
-def nearest_mass(targets: DataFrame, peaks: DataFrame, target_mass: str, id_columns: list[str], ppm: float, keys: list[str]) -> DataFrame:
-    """Each target with the deconvoluted peak nearest to its mass, within ``ppm``."""
-    pairs = band_join(targets, peaks, target_mass, "mass", ppm, "ppm", keys)
-    nearest = F.min(F.struct(F.abs(F.col("mass") - F.col(target_mass)).alias("gap"), F.col("mass"), F.col("charge"), F.col("intensity"))).alias("n")
+def nearest_mass(targets: DataFrame, peaks: DataFrame, target_mass: str, id_columns: list[str], ppm: float, keys: list[str], apart: Column | None = None, gap: Column | None = None) -> DataFrame:
+    """Each target with the deconvoluted peak nearest to its mass, within ``ppm``.
+
+    ``apart`` and ``gap`` are the distances that ``ppm`` and the nearest go by, |mass - target| if they are not given:
+    of peaks as near on either side the rounding of this difference decides.
+    """
+    pairs = band_join(targets, peaks, target_mass, "mass", ppm, "ppm", keys, apart=apart)
+    nearest = F.min(F.struct((F.abs(F.col("mass") - F.col(target_mass)) if gap is None else gap).alias("gap"), F.col("mass"), F.col("charge"), F.col("intensity"))).alias("n")
     return pairs.groupBy(*id_columns).agg(nearest).select(*id_columns, "n.mass", "n.charge", "n.intensity")
 
 

@@ -2,8 +2,9 @@
 
 import random
 
+import duckdb
 import pytest
-from conftest import DATA
+from conftest import DATA, same_rows
 from pyspark.sql import functions as F
 
 from spectroloom import plans
@@ -102,3 +103,20 @@ def test_components_are_whole_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(tuple(r) for r in sizes) == sorted([(c, 10) for c in range(7)] + [(i, 1) for i in range(70, 170)])
     assert len(taken) == 170
+
+
+@pytest.mark.parametrize("name", ["nearest_deconvoluted_mass", "features_with_matches"])
+def test_differences_are_rounded_as_in_sql(spark, tmp_path, name):
+    # peaks as near on either side, and at the very edge: (mass + 2000) - (other + 2000) is rounded otherwise than the SQL's
+    suppliers, customers = [], []
+    for i in range(1500):
+        x = round(-900 + i * 7.13, 2)
+        suppliers.append((i, i % 15, x))
+        edge = round((x + 2000) * 2000 / 1e6, 2)
+        customers += [(8 * i + n, "n%06d" % (8 * i + n), i % 15 + n % 8 if name == "features_with_matches" else i % 15, round(x + d, 2)) for n, d in enumerate((-0.03, 0.03, -edge, edge))]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for table in ("supplier", "customer"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    same_rows(plans.queries()[name](spark, str(tmp_path)), con.execute(plans.oracle_sql()[name]))
